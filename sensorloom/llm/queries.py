@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from sensorloom.llm.simhash_dedup import op4_simhash_dedup
 from sensorloom.llm.substring_dedup import op9_substring_dedup
 from sensorloom.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
