@@ -33,6 +33,16 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((c, pa.binar
 _BACK = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("mask", "occ_entry", "occ_row", "occ_at"))])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of x by significance, so that high bytes that are zero compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 @dataclass
 class Found:
     """Occurrences of strings in the texts of a block."""
@@ -171,19 +181,19 @@ def _sending(method: Method, buckets: int):
         rows, starts = e.row[o].astype(np.uint32), e.at[o].astype(np.int64)
         both = list(zip(cut, cut[1:]))
         cols = {
-            "anchor": [a[at[i:j]].tobytes() for i, j in both],
+            "anchor": [a[at[i:j]].astype(np.uint32).tobytes() for i, j in both],
             "context": [c[at[i:j]].tobytes() for i, j in both],
-            "doc": [d[at[i:j]].tobytes() for i, j in both],
+            "doc": [_planes(d[at[i:j]]) for i, j in both],
             "windows": [windows[at[i:j]].astype(np.uint8).tobytes() for i, j in both],
-            "data": [length[i:j].astype(np.uint16).tobytes() + data[ends[i] : ends[j]].tobytes() for i, j in both],
-            "occ_entry": [(spot[x:y] - i).astype(np.uint32).tobytes() for i, x, y in zip(cut, occ, occ[1:])],
-            "occ_row": [rows[mine[x:y]].tobytes() for x, y in zip(occ, occ[1:])],
-            "occ_at": [starts[mine[x:y]].tobytes() for x, y in zip(occ, occ[1:])],
+            "data": [_planes(length[i:j].astype(np.uint16)) + data[ends[i] : ends[j]].tobytes() for i, j in both],
+            "occ_entry": [_planes(np.diff(spot[x:y], prepend=i).astype(np.uint32)) for i, x, y in zip(cut, occ, occ[1:])],
+            "occ_row": [_planes(rows[mine[x:y]]) for x, y in zip(occ, occ[1:])],
+            "occ_at": [_planes(starts[mine[x:y]]) for x, y in zip(occ, occ[1:])],
         }
         # Windows that a smaller document of the same block has need no answer: their masks travel along.
         lat = np.flatnonzero(later)
         numbers, back = np.unique(windows[lat], return_inverse=True)
-        for k, v in {"anchor": b"", "context": b"", "doc": b"", "windows": numbers.astype(np.uint8).tobytes(), "data": b"", "occ_entry": back.astype(np.uint32).tobytes(), "occ_row": rows[lat].tobytes(), "occ_at": starts[lat].tobytes()}.items():
+        for k, v in {"anchor": b"", "context": b"", "doc": b"", "windows": numbers.astype(np.uint8).tobytes(), "data": b"", "occ_entry": _planes(np.diff(back.reshape(-1), prepend=0).astype(np.uint32)), "occ_row": _planes(rows[lat]), "occ_at": _planes(starts[lat])}.items():
             cols[k].append(v)
         return T.rows_of(_SENT, bucket=np.r_[bucket[cut[:-1]], block % buckets].astype(np.int32), block=np.full(len(cut), block, np.int32), **cols)
 
@@ -197,15 +207,15 @@ def _all_of(windows: np.ndarray) -> np.ndarray:
 def _deciding(method: Method):
     def run(table: pa.Table) -> pa.Table:
         col = {c: table[c].to_pylist() for c in _PARTS}
-        here = [len(x) // 8 for x in col["anchor"]]
-        anchor = np.frombuffer(b"".join(col["anchor"]), np.uint64)
+        here = [len(x) // 4 for x in col["anchor"]]
+        anchor = np.frombuffer(b"".join(col["anchor"]), np.uint32)
         context = np.frombuffer(b"".join(col["context"]), np.uint64)
-        doc = np.frombuffer(b"".join(col["doc"]), np.int64)
+        doc = np.concatenate([_from_planes(x, np.int64) for x in col["doc"]])
         own = [np.frombuffer(x, np.uint8) for x in col["windows"]]
         masks = [_all_of(x) for x in own]
         if len(anchor):
             windows = np.concatenate([x for x, n in zip(own, here) if n])
-            length = np.concatenate([np.frombuffer(x[: 2 * n], np.uint16) for x, n in zip(col["data"], here)]).astype(np.int64)
+            length = np.concatenate([_from_planes(x[: 2 * n], np.uint16) for x, n in zip(col["data"], here)]).astype(np.int64)
             data = np.frombuffer(b"".join(x[2 * n :] for x, n in zip(col["data"], here)), np.uint8)
             start = np.cumsum(length) - length
             o = np.lexsort((context, anchor))
@@ -232,11 +242,11 @@ def _removing(method: Method, schema: pa.Schema):
         ids, _, buf, off = _sorted(table)
         rows, ats, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m, e, r, a in zip(*(back[c].to_pylist() for c in ("mask", "occ_entry", "occ_row", "occ_at"))):
-            mask = np.frombuffer(m, np.uint32)[np.frombuffer(e, np.uint32)]
+            mask = np.frombuffer(m, np.uint32)[np.cumsum(_from_planes(e, np.uint32), dtype=np.uint32)]
             hit = np.flatnonzero(mask)
             if not len(hit):
                 continue
-            r, a = np.frombuffer(r, np.uint32)[hit].astype(np.int64), np.frombuffer(a, np.int64)[hit]
+            r, a = _from_planes(r, np.uint32)[hit].astype(np.int64), _from_planes(a, np.int64)[hit]
             which, bit = np.nonzero((mask[hit][:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1))
             rows.append(r[which])
             ats.append(a[which])

@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by a long string that a smaller document has too.
 
-Any string of ``length`` bytes holds an anchor, the 25-byte slice with the smallest hash, and
+Any string of ``length`` bytes holds an anchor, the 20-byte slice with the smallest hash, and
 equal strings hold equal anchors, so equal strings meet where their anchor is dealt.  Only
 anchors that occur in two documents are sent on, each with its context: the bytes of all
 strings that have it as their anchor, equal contexts once.  The contexts of one anchor are
@@ -27,7 +27,7 @@ from sensorloom.llm import repeats
 from sensorloom.llm.substring_dedup import span_lists
 from sensorloom.llm.suffix_groups import suffix_array
 
-ANCHOR = 25
+ANCHOR = 20
 #: Symbols of the texts that are suffix-sorted together.
 BATCH = 30_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -45,8 +45,8 @@ def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
 
 class ByteStrings(repeats.Method):
     def __init__(self, length: int):
-        if not ANCHOR < length <= ANCHOR + 32:
-            raise ValueError(f"length must be {ANCHOR + 1} to {ANCHOR + 32}")
+        if not ANCHOR < length <= ANCHOR + 31:
+            raise ValueError(f"length must be {ANCHOR + 1} to {ANCHOR + 31}")
         self.length, self.span = length, length - ANCHOR + 1
 
     def _anchors(self, buf, off):
