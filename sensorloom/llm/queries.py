@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sensorloom.llm.line_dedup import op6_line_dedup
+from sensorloom.llm.mixing import op10_mixing
 from sensorloom.llm.simhash_dedup import op4_simhash_dedup
 from sensorloom.llm.substring_dedup import op9_substring_dedup
 from sensorloom.llm.suffix_dedup import op1_suffix_dedup
@@ -9,7 +11,9 @@ from sensorloom.llm.suffix_dedup import op1_suffix_dedup
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -28,6 +32,14 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, string_agg(substring(h, CAST(2 * e.a + 1 AS BIGINT), CAST(2 * (coalesce(z, n) - e.a) AS BIGINT)), '' ORDER BY e.a) AS k FROM edge e JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
         FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op6_line_dedup": """
+        WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+        bad AS (SELECT trim(line) AS t, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+        seen AS (SELECT l.*, first, row_number() OVER (PARTITION BY doc_id, trim(line) ORDER BY i) AS k FROM l LEFT JOIN bad ON trim(line) = t),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS txt, count(*) AS n FROM seen WHERE first IS NULL OR (first = doc_id AND k = 1) GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, len(ls) - coalesce(n, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         w AS (SELECT doc_id, p, array_to_string(ws[p : p + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS p FROM d)),
