@@ -6,6 +6,7 @@ from sensorloom.llm.decontamination import op2_decontamination
 from sensorloom.llm.fingerprints import op7_fingerprints
 from sensorloom.llm.line_dedup import op6_line_dedup
 from sensorloom.llm.mixing import op10_mixing
+from sensorloom.llm.quality import op5_quality
 from sensorloom.llm.simhash_dedup import op4_simhash_dedup
 from sensorloom.llm.substring_dedup import op9_substring_dedup
 from sensorloom.llm.suffix_dedup import op1_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
