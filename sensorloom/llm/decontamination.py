@@ -140,46 +140,68 @@ class Index:
                 best[item] = score
 
 
+def _matches(index: Index, column) -> list[dict[int, float]]:
+    """For each text the items that it has a window of, with their best similarity."""
+    buf, off = T.text_bytes(column)
+    out: list[dict[int, float]] = []
+    for i, j in T.chunks(off):
+        part, o = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        s, e, row = T.words(part, o)
+        h = T.word_hashes(part, s, e)
+        first = np.searchsorted(row, np.arange(j - i + 1))
+        near: dict[int, dict[int, list[int]]] = {}
+        for k in index.lengths:
+            at = index.hits(h, k) if len(h) >= k else np.zeros(0, np.int64)
+            at = at[row[at] == row[np.minimum(at + k - 1, len(row) - 1)]] if len(at) else at
+            for p, r in zip(at.tolist(), row[at].tolist()):
+                near.setdefault(r, {}).setdefault(k, []).append(p - int(first[r]))
+        out.extend(index.judge(h[first[r] : first[r + 1]], near[r]) if r in near else {} for r in range(j - i))
+    return out
+
+
 def _scan(index: Index):
     def run(batches):
         for batch in batches:
-            buf, off = T.text_bytes(batch["text"])
-            found: list[list] = []
-            scores: list[list] = []
-            for i, j in T.chunks(off):
-                part, o = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                s, e, row = T.words(part, o)
-                h = T.word_hashes(part, s, e)
-                first = np.searchsorted(row, np.arange(j - i + 1))
-                near: dict[int, dict[int, list[int]]] = {}
-                for k in index.lengths:
-                    at = index.hits(h, k) if len(h) >= k else np.zeros(0, np.int64)
-                    at = at[row[at] == row[np.minimum(at + k - 1, len(row) - 1)]] if len(at) else at
-                    for p, r in zip(at.tolist(), row[at].tolist()):
-                        near.setdefault(r, {}).setdefault(k, []).append(p - int(first[r]))
-                for r in range(j - i):
-                    best = index.judge(h[first[r] : first[r + 1]], near[r]) if r in near else {}
-                    found.append(sorted(best))
-                    scores.append([best[x] for x in sorted(best)])
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.record_batch([*(batch[n] for n in names), pa.array(found, _LIST), pa.array(scores, pa.list_(pa.float64()))], names=[*names, "items", "scores"])
+            best = _matches(index, batch["text"])
+            names = ["doc_id", "text_hash"]
+            yield pa.record_batch([*(batch[n] for n in names), pa.array([sorted(x) for x in best], _LIST), pa.array([[x[k] for k in sorted(x)] for x in best], pa.list_(pa.float64()))], names=[*names, "items", "scores"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, items (ids of matched benchmark items) and scores (their similarities), one row per row of docs."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").withColumn("item", F.coalesce("item", F.lit(-1)))
+def _indexes(benchmark: DataFrame, shingle: int, radius: int, similarity: float, item_col: str, text_col: str):
+    """An index for each block of the benchmark, one at a time."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").withColumn("item", F.coalesce("item", F.lit(-1)))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BLOCK_BYTES))
+    for b in range(n):
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+        yield Index(sorted((r.item, r.text) for r in block.collect()), shingle, radius, similarity)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without a window of any item, all columns as they are."""
+    place = docs.columns.index(text_col)
+
+    def without(index):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array([not x for x in _matches(index, batch.column(place))], pa.bool_()))
+
+        return run
+
+    for index in _indexes(benchmark, shingle, radius, similarity, item_col, item_text_col):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, items (ids of matched benchmark items) and scores (their similarities), one row per row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     ddl = "doc_id long, text_hash long, items array<long>, scores array<double>"
-    parts = []
-    for b in range(n):
-        block = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
-        parts.append(mine.mapInArrow(_scan(Index(sorted(block), shingle, radius, similarity)), ddl))
-    if n == 1:
+    parts = [mine.mapInArrow(_scan(index), ddl) for index in _indexes(benchmark, shingle, radius, similarity, item_col, item_text_col)]
+    if len(parts) == 1:
         return parts[0]
     # Rows that share an id and a text are alike in every block: one of them speaks for all.
     out = parts[0]

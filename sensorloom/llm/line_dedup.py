@@ -49,29 +49,28 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", tex
     return spread.where(~near & (F.col("sites") > min_sites)).select("h1", "h2", "first").union(kept)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """docs with the text column cleaned, and _n_lines and _n_removed."""
+def dedup_lines(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: bool = False) -> DataFrame:
+    """docs with the text column cleaned, and with ``counts`` also n_lines and n_removed."""
     bad = boilerplate(docs, min_sites, id_col, text_col, site_col)
-    lines = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(_keyed(F.col(text_col)), lambda x: F.struct(x["h1"], x["h2"])))).alias("k")).select("_id", "k.h1", "k.h2").where("h1 IS NOT NULL")
-    hits = lines.join(bad, ["h1", "h2"]).select("_id", F.struct("h1", "h2").alias("k"), (F.col("first").eqNullSafe(F.col("_id"))).alias("mine"))
+    distinct = F.array_distinct(F.transform(_keyed(F.col(text_col)), lambda x: F.struct(x["h1"], x["h2"])))
+    lines = docs.select(F.col(id_col).alias("_id"), F.explode(distinct).alias("k")).select("_id", "k.h1", "k.h2").where("h1 IS NOT NULL")
+    hits = lines.join(bad, ["h1", "h2"]).select("_id", F.struct("h1", "h2").alias("k"), F.col("first").eqNullSafe(F.col("_id")).alias("mine"))
     hits = hits.groupBy("_id").agg(F.collect_set("k").alias("_bad"), F.collect_set(F.when(F.col("mine"), F.col("k"))).alias("_mine"))
-    d = docs.withColumn("_lines", _keyed(F.col(text_col)))
-    joined = d.join(hits, d[id_col].eqNullSafe(hits["_id"]), "left")
-    keys = F.transform("_lines", lambda x: F.struct(x["h1"], x["h2"]))
+    # All columns of docs in one, so that their names can't clash with ours.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), _keyed(F.col(text_col)).alias("lines"))
+    rows = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")), "left").withColumn("keys", F.transform("lines", lambda x: F.struct(x["h1"], x["h2"])))
 
     def stays(x, i):
         k = F.struct(x["h1"], x["h2"])
-        return x["h1"].isNull() | ~F.array_contains("_bad", k) | (F.array_contains("_mine", k) & (F.array_position("_keys", k) == i + 1))
+        return x["h1"].isNull() | ~F.array_contains("_bad", k) | (F.array_contains("_mine", k) & (F.array_position("keys", k) == i + 1))
 
-    joined = joined.withColumn("_keys", keys)
-    left = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = joined.withColumn("_left", left)
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    names = [F.concat_ws("\n", F.transform("_left", lambda x: x["line"])).alias(c) if c == text_col else out[c] for c in docs.columns]
-    return out.select(*names, n.alias("_n_lines"), (F.size("_lines") - F.size("_left")).cast("long").alias("_n_removed"))
+    rows = rows.withColumn("left", F.when(F.col("_bad").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    text = F.concat_ws("\n", F.transform("left", lambda x: x["line"]))
+    out = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    n = F.when(F.col("none"), 0).otherwise(F.size("lines")).cast("long")
+    return rows.select(*out, *([n.alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed")] if counts else []))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = dedup_lines(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))

@@ -131,6 +131,19 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "d
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("base") + F.round("p").cast("long")).alias("copies"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken; alike rows are one, copies added."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h")).agg(*(F.min(c).alias(c) for c in ("size", "source_size", "target")), F.sum("copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("i"), F.col(source_col).cast("string").alias("s"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+    same = F.col("i").eqNullSafe(F.col("_i")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h"))
+    new = ("size", "source_size", "target", "copies")
+    one = rows.join(taken, same).groupBy("i", "s", "h").agg(F.first("row").alias("row"), *(F.min(c).alias(c) for c in new))
+    out = one.withColumn("taken", F.col("size") * F.col("copies"))
+    names = [c for c in docs.columns if c not in (*new, "taken")]
+    return out.select(*(F.col("row")[c].alias(c) for c in names), *new, "taken")
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -36,7 +36,7 @@ PART = 2048
 ITEMS = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -85,7 +85,7 @@ def _fingerprints(shingle: int, wide: int, narrow: int):
                 fps.append(majority(h, row, j - i))
             fps, extra = np.concatenate(fps), np.concatenate(extra)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * wide, pa.int32()), pa.array(extra.reshape(-1).view(np.int64)))
-            yield pa.record_batch([batch["doc_id"], pa.array(fps.view(np.int64)), lists], schema=_PRINTS)
+            yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(fps.view(np.int64)), lists], schema=_PRINTS)
 
     return run
 
@@ -220,9 +220,10 @@ def _compare(radius: int, wide_radius: int, wide: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int, wide: int = 0, narrow: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and wide: ``wide`` more words of 64 bits over the shingles; fp then is over shingles of ``narrow`` words."""
-    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return mine.mapInArrow(_fingerprints(shingle, wide, narrow or shingle), "doc_id long, fp long, wide array<long>")
+    """doc_id, text_hash, fp and wide: ``wide`` more words of 64 bits over the shingles; fp then is over shingles of ``narrow`` words."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return mine.mapInArrow(_fingerprints(shingle, wide, narrow or shingle), "doc_id long, text_hash long, fp long, wide array<long>")
 
 
 def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -> DataFrame:
@@ -247,7 +248,7 @@ def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -
 
 
 def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, wide: int = 0, wide_radius: int = 0, narrow: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (as a long) and component_id, the smallest id of the group, for each row of docs.
+    """doc_id, text_hash, fp (as a long) and component_id, the smallest id of the group, for each row of docs.
 
     With ``wide``, two rows link if their fingerprints over shingles of ``narrow`` words are
     within the radius and their 64 * wide bits over shingles of ``shingle`` words within
@@ -262,7 +263,18 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, wide: int = 0, wi
     named = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(best, "root").select("fp", "wide", F.when(F.col("component_id") != top, F.col("component_id")).alias("component_id"))
-    return prints.join(named, ["fp", "wide"]).select("doc_id", "fp", "component_id")
+    return prints.join(named, ["fp", "wide"]).select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each group, that of the smallest id (a null id last), all columns as they are."""
+    found = groups(docs, id_col=id_col, text_col=text_col, **options)
+    top = F.lit(np.iinfo(np.int64).max)
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("i"), "text_hash")).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.text_hash").alias("_h"))
+    # Groups without any id share a null component: those rows are all of one key, so nothing else is lost.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), top).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_h"))
+    one = rows.join(best, ["_i", "_h"]).groupBy("_i", "_h").agg(F.first("row").alias("row"))
+    return one.select("row.*")
 
 
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:

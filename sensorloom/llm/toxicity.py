@@ -206,6 +206,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return mine.mapInArrow(run, "doc_id long, text_hash long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(model.scores(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str, parts: int) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts))
 
