@@ -210,7 +210,7 @@ def agg12_prp1_cohorts(spark, sf):
     return rounded(_cohort(spark, sf))
 
 
-_SCAN = "siz AS (SELECT chan, count(*) AS n_ref FROM e GROUP BY chan), lat AS (SELECT ref, tar, delay - 10.0 AS latency, n1, n1 / n2::DOUBLE AS ratio FROM coh), res AS (SELECT l.*, max(n1) OVER (PARTITION BY ref) AS top, n_ref FROM lat l JOIN siz ON siz.chan = l.ref WHERE latency BETWEEN 0 AND 9), scan AS (SELECT * FROM res WHERE n1 >= 5 AND n1 >= 0.02 * n_ref AND n1 >= 0.5 * top)"
+_SCAN = "siz AS (SELECT chan, count(*) AS n_ref FROM e GROUP BY chan), lat AS (SELECT ref, tar, delay - 10.0::DOUBLE AS latency, n1, n1 / n2::DOUBLE AS ratio FROM coh), res AS (SELECT l.*, max(n1) OVER (PARTITION BY ref) AS top, n_ref FROM lat l JOIN siz ON siz.chan = l.ref WHERE latency BETWEEN 0 AND 9), scan AS (SELECT * FROM res WHERE n1 >= 5 AND n1 >= 0.02 * n_ref AND n1 >= 0.5 * top)"
 
 
 def _scanned(spark, sf):
@@ -224,7 +224,7 @@ def prp3_rescanned(spark, sf):
     return rounded(_scanned(spark, sf))
 
 
-_PROP = """hd AS (SELECT DISTINCT ref, ref AS chan, 0.0 AS latency, CAST(NULL AS BIGINT) AS n1, 1.0 AS ratio, 0 AS kind FROM scan), al AS (SELECT * FROM hd UNION ALL SELECT ref, tar, latency, n1, ratio, 1 FROM scan),
+_PROP = """hd AS (SELECT DISTINCT ref, ref AS chan, 0.0::DOUBLE AS latency, CAST(NULL AS BIGINT) AS n1, 1.0::DOUBLE AS ratio, 0 AS kind FROM scan), al AS (SELECT * FROM hd UNION ALL SELECT ref, tar, latency, n1, ratio, 1 FROM scan),
 ok AS (SELECT *, count(*) OVER (PARTITION BY ref) AS sz, max(latency) OVER (PARTITION BY ref) AS last FROM al),
 prop AS (SELECT ref, row_number() OVER (PARTITION BY ref ORDER BY kind, latency, n1 DESC, ratio DESC, chan) - 1 AS ord, chan, latency, n1, ratio FROM ok WHERE sz >= 2 AND last >= 1)"""
 

@@ -34,12 +34,12 @@ def plain(v):
 def test_against_sql(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    got = sorted(tuple(map(plain, r)) for r in df.select(columns).collect())
+    got = sorted((tuple(map(plain, r)) for r in df.select(columns).collect()), key=str)
     cur = duck.execute(plans.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
-    assert got == sorted(tuple(plain(r[i]) for i in at) for r in cur.fetchall())
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=str)
 
 
 def test_assignment_is_greedy(spark):
