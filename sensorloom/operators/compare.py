@@ -145,3 +145,36 @@ def nearest_first(a: DataFrame, b: DataFrame, delta: int) -> DataFrame:
     mine = F.row_number().over(Window.partitionBy("t").orderBy("d", "rt"))
     yours = F.row_number().over(Window.partitionBy("rt").orderBy("d", "t"))
     return pairs.withColumn("i", mine).withColumn("j", yours).where("i = 1 AND j = 1").select(F.col("t").alias("t1"), F.col("rt").alias("t2"))
+
+
+def placed_matches(left: DataFrame, right: DataFrame, delta: int, radius: float) -> DataFrame:
+    """id, rid: left rows (id, t, x, y) in time order each take the nearest free right row (rid, rt, rx, ry) within delta and the radius.
+
+    Candidates only compete inside stretches of time without a gap over delta.
+    """
+    far = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
+    pairs = band_join(left, right, delta, delta).where(far <= radius * radius)
+    # Blocks of time much wider than delta; a stretch is named by the first moment after a gap.
+    times = pairs.select("t").union(pairs.select("rt")).distinct().withColumn("block", F.floor(F.col("t") / (4096 * max(1, delta))))
+    w = Window.partitionBy("block").orderBy("t")
+    times = times.withColumn("fresh", F.when(F.col("t") - F.lag("t").over(w) <= delta, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = times.groupBy("block", "run").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    first = F.col("run") == F.min("run").over(Window.partitionBy("block"))
+    last = F.col("run") == F.max("run").over(Window.partitionBy("block"))
+    ends = ends.withColumn("edge", first | last)
+    chain = Window.orderBy("a")  # two runs a block at most
+    edge = ends.where("edge").withColumn("fresh", F.when(F.col("a") - F.lag("b").over(chain) <= delta, 0).otherwise(1)).withColumn("chain", F.sum("fresh").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.select("block", "run", F.min("a").over(Window.partitionBy("chain")).alias("stretch"))
+    names = times.join(edge.union(ends.where("NOT edge").select("block", "run", F.col("a").alias("stretch"))), ["block", "run"]).select("t", "stretch")
+    rows = pairs.join(names, "t").select("stretch", "id", "t", "rid", "rt")
+
+    def take(p: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for (_, i), g in p.groupby(["t", "id"], sort=True):
+            free = [(abs(rt - t), rt, r) for t, rt, r in zip(g["t"], g["rt"], g["rid"]) if r not in used]
+            if free:
+                used.add(min(free)[2])
+                out.append((i, min(free)[2]))
+        return pd.DataFrame(out, columns=["id", "rid"], dtype="int64")
+
+    return rows.groupBy("stretch").applyInPandas(take, "id long, rid long")

@@ -32,10 +32,10 @@ def band_join(left: DataFrame, right: DataFrame, before: int, after: int, lt: st
     return l.join(r, (F.col("_bucket") == F.col("_rbucket")) & on, how).drop("_bucket", "_rbucket")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str = "t", take: str = "t", direction: str = "forward", tolerance: int | None = None, strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str = "t", take: str = "t", direction: str = "forward", tolerance: int | None = None, strict: bool = False, earlier: bool = False) -> DataFrame:
     """Left rows with ``match``: ``take`` of the next (forward), last (backward) or nearest right row of the same keys.
 
-    ``strict`` excludes equal times; nearest prefers the later of two as near.  Null without
+    ``strict`` excludes equal times; nearest prefers the later of two as near, with ``earlier`` the other.  Null without
     a match within the tolerance.
     """
     l = left.withColumn("_side", F.lit(1))
@@ -49,7 +49,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str = "t", take
     rows = both.withColumn("_last", last if direction != "forward" else none).withColumn("_next", following if direction != "backward" else none).where("_side = 1")
     if tolerance is not None:
         rows = rows.withColumn("_last", F.when(F.col(t) - F.col("_last.t") <= tolerance, F.col("_last"))).withColumn("_next", F.when(F.col("_next.t") - F.col(t) <= tolerance, F.col("_next")))
-    nearer = F.col("_last").isNotNull() & (F.col("_next").isNull() | (F.col(t) - F.col("_last.t") < F.col("_next.t") - F.col(t)))
+    back, forth = F.col(t) - F.col("_last.t"), F.col("_next.t") - F.col(t)
+    nearer = F.col("_last").isNotNull() & (F.col("_next").isNull() | ((back <= forth) if earlier else (back < forth)))
     best = F.when(nearer, F.col("_last")).otherwise(F.col("_next"))
     return rows.select(*left.columns, best["v"].alias("match"))
 

@@ -138,3 +138,36 @@ def split_events(rows: DataFrame, least: int = 10, share: float = 0.1, amp_p: fl
 
     kinds = dict(rows.dtypes)
     return rows.select("root", "event", "chan", "latency", "amp").groupBy("root").applyInPandas(run, f"root {kinds['root']}, part int, event {kinds['event']}")
+
+
+def leader_clusters(rows: DataFrame, max_latency: float, max_amp: float) -> DataFrame:
+    """root, cluster, event: each event joins the best cluster within both bounds, else it leads a new one.
+
+    rows: root, event, chan, latency, amp.  Differences are means over the channels that the
+    event and the cluster share; a cluster is the running mean of its events.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        root, clusters, out = p["root"].iloc[0], [], []
+        for event, g in p.sort_values(["event", "chan"]).groupby("event", sort=True):
+            mine = {c: (x, y) for c, x, y in zip(g["chan"], g["latency"], g["amp"])}
+            best, at = np.inf, -1
+            for k, (n, c) in enumerate(clusters):
+                both = [x for x in mine if x in c]
+                if not both:
+                    continue
+                late = np.mean([abs(mine[x][0] - c[x][0]) for x in both])
+                high = np.mean([abs(mine[x][1] - c[x][1]) / max(c[x][1], 1e-12) for x in both])
+                if late <= max_latency and high <= max_amp and late / max_latency + high / max_amp < best:
+                    best, at = late / max_latency + high / max_amp, k
+            if at < 0:
+                at = len(clusters)
+                clusters.append((1, mine))
+            else:
+                n, c = clusters[at]
+                clusters[at] = (n + 1, {x: tuple((np.array(c[x]) * n + mine[x]) / (n + 1)) if x in c and x in mine else c.get(x, mine.get(x)) for x in {*c, *mine}})
+            out.append((root, at, event))
+        return pd.DataFrame(out, columns=["root", "cluster", "event"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select("root", "event", "chan", "latency", "amp").groupBy("root").applyInPandas(run, f"root {kinds['root']}, cluster int, event {kinds['event']}")
