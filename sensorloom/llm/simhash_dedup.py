@@ -32,11 +32,13 @@ from sensorloom.llm.components import components
 
 #: Distinct fingerprints that are compared in one piece.
 PART = 2048
+#: Rows of a small table that is sent to all tasks; a larger one is joined by shuffling.
+BROADCAST = 200_000
 #: Words of bit planes compared at a time.
 ITEMS = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -84,7 +86,8 @@ def _fingerprints(shingle: int, wide: int, narrow: int):
                     h, row = shingle_hashes(part, o, narrow)
                 fps.append(majority(h, row, j - i))
             fps, extra = np.concatenate(fps), np.concatenate(extra)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * wide, pa.int32()), pa.array(extra.reshape(-1).view(np.int64)))
+            ends = pa.py_buffer((np.arange(len(fps) + 1) * 8 * wide).astype(np.int32))
+            lists = pa.Array.from_buffers(pa.binary(), len(fps), [None, ends, pa.py_buffer(np.ascontiguousarray(extra))])
             yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(fps.view(np.int64)), lists], schema=_PRINTS)
 
     return run
@@ -175,8 +178,8 @@ def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, wide: np.ndarray,
         q = np.repeat(query[i:j], per[i:j])
         w = T.spread(base[g[i:j]], per[i:j])
         q, w, lanes = near_words(planes, valid, fps, q, w, radius)
-        for x in range(0, len(q), 1 << 14):
-            bits = np.unpackbits(lanes[x : x + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for x in range(0, len(q), 1 << 12):
+            bits = np.unpackbits(lanes[x : x + (1 << 12)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, b = np.nonzero(bits)
             mine, other = q[x + at], target[cut[w[x + at]] + b]
             ok = mine != other
@@ -209,7 +212,7 @@ def _compare(radius: int, wide_radius: int, wide: int):
         for table in whole(batches):
             place, side = table["place"].to_numpy(), table["side"].to_numpy()
             fps = table["fp"].to_numpy().view(T.U)
-            flat = table["wide"].combine_chunks().flatten().to_numpy().view(T.U).reshape(len(fps), wide)
+            flat = T.text_bytes(table["wide"])[0].view(T.U).reshape(len(fps), wide)
             # The place is a hash: what really has to agree is table and masked fingerprint.
             node = table["node"].to_numpy()
             root = _links(place, side, fps, flat, radius, wide_radius)
@@ -220,10 +223,10 @@ def _compare(radius: int, wide_radius: int, wide: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int, wide: int = 0, narrow: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp and wide: ``wide`` more words of 64 bits over the shingles; fp then is over shingles of ``narrow`` words."""
+    """doc_id, text_hash, fp and wide (bytes): ``wide`` more words of 64 bits over the shingles; fp then is over shingles of ``narrow`` words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return mine.mapInArrow(_fingerprints(shingle, wide, narrow or shingle), "doc_id long, text_hash long, fp long, wide array<long>")
+    return mine.mapInArrow(_fingerprints(shingle, wide, narrow or shingle), "doc_id long, text_hash long, fp long, wide binary")
 
 
 def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -> DataFrame:
@@ -236,7 +239,8 @@ def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(a | b))).alias("part")) for t, (a, b) in enumerate(combinations(masks, 2))))
     met = prints.select("node", "fp", "wide", F.explode(tables).alias("x")).select("node", "fp", "wide", "x.t", "x.part")
     large = met.groupBy("t", "part").count().where(F.col("count") > PART).select("t", "part", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    met = met.join(large, ["t", "part"], "left").select("*", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("mine"))
+    large = checkpointed(large)
+    met = met.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["t", "part"], "left").select("*", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
     met = met.select("node", "fp", "wide", "t", "part", "mine", other)
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
@@ -272,9 +276,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     top = F.lit(np.iinfo(np.int64).max)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("i"), "text_hash")).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.text_hash").alias("_h"))
     # Groups without any id share a null component: those rows are all of one key, so nothing else is lost.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), top).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_h"))
-    one = rows.join(best, ["_i", "_h"]).groupBy("_i", "_h").agg(F.first("row").alias("row"))
-    return one.select("row.*")
+    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), top).alias("_i"), h.alias("_h"))
+    keys = found.select(F.coalesce("doc_id", top).alias("_i"), F.col("text_hash").alias("_h")).groupBy("_i", "_h").agg(F.count("*").alias("n"))
+    keys = keys.join(best.withColumn("best", F.lit(True)), ["_i", "_h"], "left")
+    # Keys that go, or that several rows have: the others stay as they are, without a shuffle of their texts if these are few.
+    other = checkpointed(keys.where("best IS NULL OR n > 1").select("_i", "_h", F.coalesce("best", F.lit(False)).alias("best")))
+    small = other.count() <= BROADCAST
+    marked = rows.join(F.broadcast(other) if small else other, ["_i", "_h"], "left")
+    alone = marked.where("best IS NULL").select("row.*")
+    twice = other.where("best")
+    if twice.isEmpty():
+        return alone
+    one = rows.join(F.broadcast(twice) if small else twice, ["_i", "_h"]).groupBy("_i", "_h").agg(F.first("row").alias("row"))
+    return alone.union(one.select("row.*"))
 
 
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ REPORTS = frozenset("said says say called calls claimed wrote reported quote quo
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]")
 _FEATURES = 4
+#: Stems that a task counts before it hands them on.
+STEMS = 200_000
 PLAIN, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
 
 
@@ -112,14 +114,21 @@ class Grammar:
 
 
 def _stem_rows(batches):
-    """How many toxic and clean texts have each word beginning, summed over a task."""
+    """How many toxic and clean texts have each word beginning, summed over parts of a task."""
     counts: dict[str, list[int]] = {}
+
+    def told():
+        return pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["stem", "toxic", "clean"])
+
     for batch in batches:
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
             words = set(_WORD.findall(text.lower()))
             for stem in {w[:k] for w in words for k in range(3, min(len(w), 12) + 1)}:
                 counts.setdefault(stem, [0, 0])[1 - toxic] += 1
-    yield pa.record_batch([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["stem", "toxic", "clean"])
+            if len(counts) > STEMS:
+                yield told()
+                counts = {}
+    yield told()
 
 
 def learned_stems(rows: DataFrame, most: int = 2000) -> dict[str, float]:
