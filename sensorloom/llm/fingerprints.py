@@ -91,7 +91,8 @@ def buckets(prints: DataFrame) -> DataFrame:
     """id, fp, least for the rows of fingerprints that two rows or more have; each id and fingerprint once."""
     keys = prints.select("id", "fp")
     shared = keys.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select("fp", "least")
-    return keys.join(shared, "fp").select("id", "fp", "least").distinct()
+    # Dealt by row after the join, so that a bucket of very many rows can be split there.
+    return keys.join(shared, "fp").select("id", "fp", "least").repartition("id", "fp").distinct()
 
 
 def likeness(a: Column, b: Column) -> Column:
