@@ -178,3 +178,32 @@ def placed_matches(left: DataFrame, right: DataFrame, delta: int, radius: float)
         return pd.DataFrame(out, columns=["id", "rid"], dtype="int64")
 
     return rows.groupBy("stretch").applyInPandas(take, "id long, rid long")
+
+
+def average_linkage(scores: DataFrame, least: float) -> DataFrame:
+    """unit, cluster (its smallest unit): pairs of clusters merge, best first, while their mean score is ``least`` or more.
+
+    scores: u1, u2, score, missing pairs count 0.  Units that no score connects are merged apart from each other.
+    """
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        units = sorted({*p["u1"], *p["u2"]})
+        at = {u: i for i, u in enumerate(units)}
+        total = np.zeros((len(units), len(units)))
+        for a, b, s in zip(p["u1"], p["u2"], p["score"]):
+            total[at[a], at[b]] = total[at[b], at[a]] = s
+        groups = [[u] for u in units]
+        size = np.ones(len(units))
+        while len(groups) > 1:
+            mean = total / np.outer(size, size)
+            np.fill_diagonal(mean, -np.inf)
+            i, j = sorted(divmod(int(mean.argmax()), len(groups)))
+            if mean[i, j] < least:
+                break
+            groups[i] += groups.pop(j)
+            total[i] += total[j]
+            total[:, i] += total[:, j]
+            total, size = np.delete(np.delete(total, j, 0), j, 1), np.delete(np.where(np.arange(len(size)) == i, size + size[j], size), j)
+        return pd.DataFrame([(u, min(g)) for g in groups for u in g], columns=["unit", "cluster"])
+
+    return linked(scores.where("u1 <> u2").select("u1", "u2", "score")).groupBy("part").applyInPandas(merge, "unit long, cluster long")

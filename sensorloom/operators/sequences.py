@@ -139,8 +139,8 @@ def merge_tests(roled: DataFrame, roots: DataFrame, places: DataFrame, radius: f
     return kept.withColumn("score", F.col("latency_diff") / max_latency + F.col("amp_diff") / max_amp)
 
 
-def candidates(foot: DataFrame, roled: DataFrame, roots: DataFrame, stringent: float, loose: float, min_inner: int = 3, max_latency: float = 2.5, max_amp: float = 0.45, clip_latency: float = 5.0, clip_amp: float = 0.9, max_z: float = 2.5) -> DataFrame:
-    """event, frame, seq, score of the sequences that an event may be a spike of; higher is better.
+def overlap_metrics(foot: DataFrame, roled: DataFrame, roots: DataFrame, loose: float, clip_latency: float = 5.0, clip_amp: float = 0.9) -> DataFrame:
+    """event, frame, seq with root_prob, n_inner, n_loose, n_cross, min_loose, latency_diff, amp_diff and z.
 
     Events meet only sequences that have the event's root among their roots.
     """
@@ -150,11 +150,16 @@ def candidates(foot: DataFrame, roled: DataFrame, roots: DataFrame, stringent: f
     at = F.col("chan") == F.col("root")
     late = F.least(F.abs(F.col("latency") - F.col("s_latency")), F.lit(clip_latency))
     high = F.least(F.abs(F.col("amp") - F.col("s_amp")) / F.col("s_amp"), F.lit(clip_amp))
-    out = rows.groupBy("event", "frame", "seq").agg(
+    return rows.groupBy("event", "frame", "seq").agg(
         F.max(F.when(at, F.col("prob"))).alias("root_prob"), F.count_if(F.col("cross") & F.col("inner_loose")).alias("n_inner"), F.count_if(F.col("cross") & F.col("loose")).alias("n_loose"), F.count_if(F.col("cross") & F.col("comp")).alias("n_cross"), F.min("min_loose").alias("min_loose"),
         F.try_divide(F.sum(F.when(F.col("comp") & ~at, late * F.col("s_prob"))), F.sum(F.when(F.col("comp") & ~at, F.col("s_prob")))).alias("latency_diff"), F.try_divide(F.sum(F.when(F.col("comp"), high * F.col("s_prob"))), F.sum(F.when(F.col("comp"), F.col("s_prob")))).alias("amp_diff"),
         F.max(F.when(at, F.try_divide(F.abs(F.col("amp") - F.col("s_amp")), F.col("amp_sd")))).alias("z"),
     )
+
+
+def candidates(foot: DataFrame, roled: DataFrame, roots: DataFrame, stringent: float, loose: float, min_inner: int = 3, max_latency: float = 2.5, max_amp: float = 0.45, clip_latency: float = 5.0, clip_amp: float = 0.9, max_z: float = 2.5) -> DataFrame:
+    """event, frame, seq, score of the sequences that an event may be a spike of; higher is better."""
+    out = overlap_metrics(foot, roled, roots, loose, clip_latency, clip_amp)
     ok = (F.col("root_prob") >= stringent) & (F.col("n_inner") >= min_inner) & (F.col("n_loose") >= F.ceil("min_loose")) & (F.col("latency_diff") <= max_latency) & (F.col("amp_diff") <= max_amp) & (F.col("z") <= max_z)
     score = 2.1 - (F.col("latency_diff") / max_latency + F.col("amp_diff") / max_amp - 0.5 * F.col("n_loose") / F.col("n_cross"))
     return out.where(ok).select("event", "frame", "seq", score.alias("score"))

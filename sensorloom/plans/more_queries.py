@@ -13,10 +13,12 @@ from sensorloom.operators import spikes as K
 from sensorloom.operators import templates as W
 from sensorloom.operators import traces as T
 from sensorloom.plans.registry import query, r, rounded
-from sensorloom.plans.sequence_queries import _measured
+from sensorloom.operators import sequences as Q
+from sensorloom.plans.sequence_queries import _AM, _CA, _EV, _FT, _RO, _ST, _measured, _roled, _roots
 from sensorloom.plans.tables import MINUTE, SPIKES, TRACE, spikes, table, trace, waveforms
 from sensorloom.plans.trace_queries import _kinds, _sides
-from sensorloom.plans.unit_queries import _FOOT, _TWO, _sides as _trains
+from sensorloom.plans.unit_queries import _FOOT, _TWO, _template
+from sensorloom.plans.unit_queries import _sides as _trains
 
 HOUR = 60 * MINUTE
 
@@ -188,3 +190,49 @@ def ds4_subset_concat(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     one, two = d.where(F.col("source").isin("src1", "src2")), d.where("source = 'src3'")
     return one.unionByName(two).select("doc_id", "quality")
+
+
+@query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO}, {_CA} SELECT event, seq, ni AS n_inner, nl AS n_loose, nc AS n_cross, round(ld, 5) AS latency_diff, round(ad, 5) AS amp_diff, round(z, 5) AS z FROM cd")
+def asg8_asg9_overlap_metrics(spark, sf):
+    m = Q.overlap_metrics(_measured(spark, sf), _roled(spark, sf), _roots(spark, sf), 0.85)
+    return rounded(m.select("event", "seq", "n_inner", "n_loose", "n_cross", "latency_diff", "amp_diff", "z"), 5)
+
+
+@query(f"WITH {SPIKES} SELECT a.kind AS first, b.kind AS second, count(DISTINCT a.id) AS matched FROM spikes a JOIN spikes b ON a.kind <> b.kind AND a.unit % 8 = b.unit % 8 AND b.t BETWEEN a.t - {10 * MINUTE} AND a.t + {10 * MINUTE} GROUP BY 1, 2")
+def jn17_nearby_sorters(spark, sf):
+    """Of each two detectors, how many events of the first the second has a match for."""
+    s = spikes(spark, sf).withColumn("u", F.col("unit") % 8)
+    left, right = s.select(F.col("kind").alias("first"), "id", "t", "u"), s.select(F.col("kind").alias("second"), F.col("t").alias("rt"), F.col("u").alias("ru"))
+    pairs = J.band_join(left, right, 10 * MINUTE, 10 * MINUTE, keys=[("u", "ru")]).where("first <> second")
+    return pairs.groupBy("first", "second").agg(F.count_distinct("id").alias("matched"))
+
+
+@query(_sides() + f", m AS (SELECT id, (SELECT rt - t FROM q WHERE runit = unit ORDER BY abs(rt - t), rt DESC LIMIT 1) / {MINUTE}.0::DOUBLE AS lag FROM l), s AS (SELECT avg(lag) AS m, stddev_samp(lag) AS sd FROM m) SELECT id, round((lag - m) / sd, 6) AS z FROM m, s WHERE abs(lag - m) <= 0.5 * sd")
+def prp19_z_detections(spark, sf):
+    """Events whose lag to the nearest target is within half a standard deviation of the mean, on both sides."""
+    near = J.as_of(_kinds(spark, sf, "click", "id", "unit", "t", "amp"), _kinds(spark, sf, "view", "rid", "unit", "t", "ramp"), ["unit"], direction="nearest")
+    lag = near.where("match IS NOT NULL").select("id", ((F.col("match") - F.col("t")) / MINUTE).alias("lag"))
+    stats = lag.agg(F.avg("lag").alias("m"), F.stddev_samp("lag").alias("sd"))
+    z = (F.col("lag") - F.col("m")) / F.col("sd")
+    return rounded(lag.join(F.broadcast(stats)).where(F.abs(F.col("lag") - F.col("m")) <= 0.5 * F.col("sd")).select("id", z.alias("z")))
+
+
+@query(f"""WITH {TRACE}, e AS (SELECT chan, frame FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM trace WINDOW w AS (PARTITION BY chan ORDER BY frame)) WHERE v > a AND v > b AND v >= 90000),
+h AS (SELECT chan, frame, EXISTS (SELECT 1 FROM e k WHERE k.chan = e.chan + 1 AND k.frame BETWEEN e.frame - 2 AND e.frame + 2) AS hit FROM e), s AS (SELECT chan, frame, hit, unnest(range(-2, 3)) AS d FROM h)
+SELECT hit, d, count(*) AS n, round(avg(v), 2) AS mean FROM s JOIN trace t ON t.chan = s.chan AND t.frame = s.frame + d GROUP BY 1, 2""")
+def wfm5_matched_waveforms(spark, sf):
+    """Mean windows of events with and without an event on the next channel within two frames."""
+    t = trace(spark, sf)
+    e = T.local_maxima(t, 90_000.0).select("chan", "frame")
+    right = e.select((F.col("chan") - 1).alias("rchan"), F.col("frame").alias("rf"))
+    hit = J.band_join(e, right, 2, 2, lt="frame", rt="rf", keys=[("chan", "rchan")], how="left_semi").withColumn("hit", F.lit(True))
+    rows = e.join(hit, ["chan", "frame"], "left").select("chan", "frame", F.coalesce("hit", F.lit(False)).alias("hit"), F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("d"))
+    rows = rows.withColumn("at", F.col("frame") + F.col("d")).join(t.select("chan", F.col("frame").alias("at"), "v"), ["chan", "at"])
+    return rows.groupBy("hit", F.col("d").cast("long").alias("d")).agg(F.count("*").alias("n"), r(F.avg("v"), 2).alias("mean"))
+
+
+@query()
+def prp9_average_linkage(spark, sf):
+    """Units by the likeness of their templates, 1 / (1 + distance)."""
+    d = W.dissimilarity(_template(spark, sf)).select(F.col("a").cast("long").alias("u1"), F.col("b").cast("long").alias("u2"), (1 / (1 + F.col("l1"))).alias("score"))
+    return C.average_linkage(d, 0.05)
