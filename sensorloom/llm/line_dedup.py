@@ -17,8 +17,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm._spark import checkpointed
+
 #: Registers of a sketch: 2**LG_K.
 LG_K = 10
+#: Rows of a table that is sent to all tasks.
+BROADCAST = 200_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, marked to be sent to all tasks if it has few rows; a larger one is joined by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
 def _keyed(text) -> F.Column:
@@ -34,8 +43,8 @@ def _keyed(text) -> F.Column:
 def boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """h1, h2 of the lines on min_sites sites or more, and first, the smallest document that has each."""
     lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.transform(_keyed(F.col(text_col)), lambda x: F.struct(x["h1"], x["h2"])))).alias("k")).select("id", "site", "k.h1", "k.h2").where("h1 IS NOT NULL")
-    often = lines.groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
-    found = lines.join(often, ["h1", "h2"])
+    often = checkpointed(lines.groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2"))
+    found = lines.join(_small(often), ["h1", "h2"])
     # The lines of one hash spread over salts; sketches and minima merge from those.
     salt = F.pmod(F.xxhash64("id", "site"), F.lit(64)).cast("int")
     found = found.withColumn("salt", salt).repartition("h1", "h2", "salt")
@@ -44,14 +53,16 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", tex
     spread = merged.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = max(1.0, 4 * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.abs(F.col("sites") - min_sites) <= margin
-    exact = found.join(spread.where(near).select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "site").where("site IS NOT NULL").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    # Distinct pairs first: a line in very many documents is then as many rows as it has sites.
+    pairs = found.where("site IS NOT NULL").select("h1", "h2", "site").distinct()
+    exact = pairs.join(spread.where(near).select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     kept = spread.where(near).join(exact, ["h1", "h2"]).where(F.col("exact") >= min_sites).select("h1", "h2", "first")
     return spread.where(~near & (F.col("sites") > min_sites)).select("h1", "h2", "first").union(kept)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: bool = False) -> DataFrame:
     """docs with the text column cleaned, and with ``counts`` also n_lines and n_removed."""
-    bad = boilerplate(docs, min_sites, id_col, text_col, site_col)
+    bad = _small(checkpointed(boilerplate(docs, min_sites, id_col, text_col, site_col)))
     distinct = F.array_distinct(F.transform(_keyed(F.col(text_col)), lambda x: F.struct(x["h1"], x["h2"])))
     lines = docs.select(F.col(id_col).alias("_id"), F.explode(distinct).alias("k")).select("_id", "k.h1", "k.h2").where("h1 IS NOT NULL")
     hits = lines.join(bad, ["h1", "h2"]).select("_id", F.struct("h1", "h2").alias("k"), F.col("first").eqNullSafe(F.col("_id")).alias("mine"))
