@@ -190,26 +190,27 @@ def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, wide: np.ndarray,
     return root
 
 
-def _compare(radius: int, wide_radius: int, wide: int):
-    def whole(batches):
-        """Sorted batches joined so that no meeting place is cut."""
-        kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([kept, table]) if kept is not None else table
-            place = table["place"].to_numpy()
-            cut = int(np.searchsorted(place, place[-1]))
-            if cut >= 50_000:
-                yield table.slice(0, cut)
-                table = table.slice(cut)
-            kept = table
-        if kept is not None:
-            yield kept
+def _whole(batches, rows: int = 50_000):
+    """Sorted batches joined so that no meeting place is cut."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([kept, table]) if kept is not None else table
+        place = table["place"].to_numpy()
+        cut = int(np.searchsorted(place, place[-1]))
+        if cut >= rows:
+            yield table.slice(0, cut)
+            table = table.slice(cut)
+        kept = table
+    if kept is not None:
+        yield kept
+
 
+def _compare(radius: int, wide_radius: int, wide: int):
     def run(batches):
-        for table in whole(batches):
+        for table in _whole(batches):
             place, side = table["place"].to_numpy(), table["side"].to_numpy()
             fps = table["fp"].to_numpy().view(T.U)
             flat = T.text_bytes(table["wide"])[0].view(T.U).reshape(len(fps), wide)
@@ -229,6 +230,20 @@ def fingerprints(docs: DataFrame, shingle: int, wide: int = 0, narrow: int = 0,
     return mine.mapInArrow(_fingerprints(shingle, wide, narrow or shingle), "doc_id long, text_hash long, fp long, wide binary")
 
 
+def _dealt(met: DataFrame, size: int, *columns: str) -> DataFrame:
+    """node, columns, place and side of rows that meet under (t, part), sorted by place; over ``size`` rows in parts that meet two by two."""
+    large = met.groupBy("t", "part").count().where(F.col("count") > size).select("t", "part", F.ceil(F.col("count") / size).cast("int").alias("parts"))
+    large = checkpointed(large)
+    met = met.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["t", "part"], "left").select("*", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("mine"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
+    met = met.select("node", *columns, "t", "part", "mine", other)
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") == low, 1).otherwise(2)
+    met = met.select("node", *columns, F.xxhash64("t", "part", low, high).alias("place"), side.cast("int").alias("side"))
+    # One partition key per meeting place; a place that only one fingerprint has is dropped in the task.
+    return met.repartition("place").sortWithinPartitions("place", "node", "side")
+
+
 def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -> DataFrame:
     """Edges u, v that span the groups of distinct rows (node, fp, wide) within the radius."""
     if not 0 <= radius <= 7:
@@ -238,16 +253,7 @@ def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(a | b))).alias("part")) for t, (a, b) in enumerate(combinations(masks, 2))))
     met = prints.select("node", "fp", "wide", F.explode(tables).alias("x")).select("node", "fp", "wide", "x.t", "x.part")
-    large = met.groupBy("t", "part").count().where(F.col("count") > PART).select("t", "part", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    large = checkpointed(large)
-    met = met.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["t", "part"], "left").select("*", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("mine"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
-    met = met.select("node", "fp", "wide", "t", "part", "mine", other)
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") == low, 1).otherwise(2)
-    met = met.select("node", "fp", "wide", F.xxhash64("t", "part", low, high).alias("place"), side.cast("int").alias("side"))
-    # One partition key per meeting place; a place that only one fingerprint has is dropped in the task.
-    met = met.repartition("place").sortWithinPartitions("place", "node", "side")
+    met = _dealt(met, PART, "fp", "wide")
     return met.mapInArrow(_compare(radius, wide_radius, wide), "u long, v long")
 
 
@@ -270,9 +276,9 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, wide: int = 0, wi
     return prints.join(named, ["fp", "wide"]).select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each group, that of the smallest id (a null id last), all columns as they are."""
-    found = groups(docs, id_col=id_col, text_col=text_col, **options)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped=groups, **options) -> DataFrame:
+    """One row of docs for each group of ``grouped``, that of the smallest id (a null id last), all columns as they are."""
+    found = grouped(docs, id_col=id_col, text_col=text_col, **options)
     top = F.lit(np.iinfo(np.int64).max)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("i"), "text_hash")).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.text_hash").alias("_h"))
     # Groups without any id share a null component: those rows are all of one key, so nothing else is lost.
