@@ -39,8 +39,9 @@ def synthetic(noise: DataFrame, waves: DataFrame, size: int, most: int, gap: int
     turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed + 1), "id", "slot")))
     picks = picks.withColumn("turn", turn).where("turn <= n")
     picks = picks.withColumn("place", F.col("slot") * gap).withColumn("scale", 0.5 + _draw(seed + 2, F.col("id"), F.col("slot"))).withColumn("wave", F.pmod(F.xxhash64(F.lit(seed + 3), "id", "slot"), F.lit(max(1, count))))
-    order = waves.select((F.row_number().over(Window.orderBy("wave")) - 1).cast("long").alias("wave"), "w")
-    picks = picks.join(F.broadcast(order), "wave").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "scale", "w"))).alias("put"))
+    kind = dict(waves.dtypes)["w"]
+    order = waves.sort("wave").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["w"])).toDF(f"wave long, w {kind}")
+    picks = picks.join(order, "wave").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "scale", "w"))).alias("put"))
     rows = rows.join(picks, "id", "left")
 
     def build(batches):

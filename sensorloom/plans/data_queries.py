@@ -45,10 +45,10 @@ def agg15_detector_scores(spark, sf):
 
 @query()
 def ds1_d20_synthetic(spark, sf):
-    """Windows of the first channel samples of each unit with scaled waveforms added."""
+    """Windows with scaled waveforms added, the first samples of the vectors of all labels."""
     e = table(spark, sf, "embeddings")
     noise = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") / 10).alias("v"))
-    waves = e.where("label = 0").orderBy("vec_id").limit(20).select(F.col("vec_id").alias("wave"), F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("w"))
+    waves = e.select(F.col("vec_id").alias("wave"), F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("w"))
     return D.synthetic(noise, waves, 64, 3, 16, 7)
 
 

@@ -62,3 +62,13 @@ def test_assignment_is_greedy(spark):
 def test_others_run(spark, name):
     df = plans.QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+def test_synthetic_takes_waveforms_of_all_labels(spark, monkeypatch):
+    """The waveforms given are the vectors of the table, every label, none left out."""
+    from sensorloom.plans import data_queries as D
+
+    seen = []
+    monkeypatch.setattr(D.D, "synthetic", lambda noise, waves, *a: seen.append(waves))
+    D.ds1_d20_synthetic(spark, SF)
+    assert sorted(r.wave for r in seen[0].collect()) == sorted(r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
