@@ -72,3 +72,19 @@ def test_synthetic_takes_waveforms_of_all_labels(spark, monkeypatch):
     monkeypatch.setattr(D.D, "synthetic", lambda noise, waves, *a: seen.append(waves))
     D.ds1_d20_synthetic(spark, SF)
     assert sorted(r.wave for r in seen[0].collect()) == sorted(r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+
+
+def test_queries_without_sql_take_all_events(spark):
+    """Every strict local maximum over the threshold, odd frames too, reaches splits and assignment."""
+    from sensorloom.plans import sequence_queries as S
+    from sensorloom.plans.tables import trace
+
+    rows = {(r.chan, r.frame): r.v for r in trace(spark, SF).collect()}
+    chans = {}
+    for chan, frame in sorted(rows):
+        chans.setdefault(chan, []).append(frame)
+    want = {f"{c}-{b}" for c, f in chans.items() for a, b, d in zip(f, f[1:], f[2:]) if rows[c, b] >= 80_000 and rows[c, b] > rows[c, a] and rows[c, b] > rows[c, d]}
+    assert any(int(e.split("-")[1]) % 2 for e in want)
+    assert {r.event for r in S._measured(spark, SF).select("event").distinct().collect()} == want
+    split = {r.event for r in S.seq1_seq2_seq3_split_events(spark, SF).select("event").distinct().collect()}
+    assert split <= want and any(int(e.split("-")[1]) % 2 for e in split)
