@@ -1,6 +1,6 @@
 """Text that repeats across documents: the exchange shared by substring and suffix-array dedup.
 
-Documents are dealt into blocks by a hash of their id.  Each block lists what it holds (one
+Documents are dealt into blocks by a hash of their id and text.  Each block lists what it holds (one
 32-bit key and a document count per distinct string), dealt into buckets by hash; a bucket
 answers each block which keys occur in two documents or more.  Blocks send only those to
 their buckets again, one entry per distinct string with the smallest document that has it,
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm import _text as T
 
 BLOCK_BYTES = 4 << 20
-#: Keys that more documents than this have are dealt window by window.
+#: Keys that more documents than this have are dealt window by window; how strings are compared stays the same.
 HOT = 400
 NO_ID = np.iinfo(np.int64).max
 
@@ -104,6 +104,46 @@ def _distinct(method: Method, buf, off, doc, buckets: int):
     return found, order, low, new
 
 
+def _parts(fresh: np.ndarray, data) -> np.ndarray:
+    """For rows sorted so that equal hashes stand together: 0 for those with the bytes of the first of their hash, else another number for each other string.
+
+    fresh: where a hash begins; data: bytes and lengths of the rows at the given places.
+    """
+    part, number = np.zeros(len(fresh), np.int64), np.cumsum(fresh) - 1
+    head = np.flatnonzero(fresh)[number]
+    rows, k = np.flatnonzero(~fresh), 0
+    while len(rows):
+        (x, n), (y, m) = data(rows), data(head[rows])
+        unlike = n != m
+        if unlike.any():
+            rest = np.flatnonzero(~unlike)
+            (x, n2), (y, _) = data(rows[rest]), data(head[rows[rest]])
+        else:
+            rest, n2 = np.arange(len(rows)), n
+        some = n2 > 0
+        if some.any():
+            unlike[rest[some]] = np.logical_or.reduceat(x != y, (np.cumsum(n2) - n2)[some])
+        rows, k = rows[unlike], k + 1
+        if len(rows):
+            part[rows] = k
+            first = np.r_[True, number[rows][1:] != number[rows][:-1]]
+            head[rows] = rows[first][np.cumsum(first) - 1]
+            rows = rows[~first]
+    return part
+
+
+def _by_content(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, data) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which entries of one anchor and equal bytes stand together, by document, and where each such run begins."""
+    o = np.lexsort((doc, context, anchor))
+    fresh = np.r_[True, (anchor[o][1:] != anchor[o][:-1]) | (context[o][1:] != context[o][:-1])]
+    part = _parts(fresh, lambda which: data(o[which]))
+    if part.any():
+        again = np.lexsort((doc[o], part, context[o], anchor[o]))
+        o, part = o[again], part[again]
+        fresh = np.r_[True, (anchor[o][1:] != anchor[o][:-1]) | (context[o][1:] != context[o][:-1]) | (part[1:] != part[:-1])]
+    return o, fresh
+
+
 def _cuts(bucket: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
 
@@ -158,9 +198,8 @@ def _sending(method: Method, buckets: int):
         e = method.entries(buf, off, kind)
         del found, order, low, new
         d = doc[e.row]
-        o = np.lexsort((d, e.context, e.anchor))
+        o, fresh = _by_content(e.anchor, e.context, d, e.data)
         a, c, d = e.anchor[o], e.context[o], d[o]
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
         entry = np.cumsum(fresh) - 1
         at = np.flatnonzero(fresh)
         least = d[at]
@@ -218,8 +257,8 @@ def _deciding(method: Method):
             length = np.concatenate([_from_planes(x[: 2 * n], np.uint16) for x, n in zip(col["data"], here)]).astype(np.int64)
             data = np.frombuffer(b"".join(x[2 * n :] for x, n in zip(col["data"], here)), np.uint8)
             start = np.cumsum(length) - length
-            o = np.lexsort((context, anchor))
-            new = np.flatnonzero(np.r_[True, (anchor[o][1:] != anchor[o][:-1]) | (context[o][1:] != context[o][:-1])])
+            o, fresh = _by_content(anchor, context, doc, lambda which: (data[T.spread(start[which], length[which])], length[which]))
+            new = np.flatnonzero(fresh)
             number = np.empty(len(o), np.int64)
             number[o] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(o)]))
             at = o[new]
@@ -260,11 +299,11 @@ def _removing(method: Method, schema: pa.Schema):
 def apply(docs: DataFrame, method: Method, schema: pa.Schema, ddl: str, id_col: str, text_col: str) -> DataFrame:
     """One row per row of docs, as method.result makes them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mine = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    mine = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     total = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-int(total) // BLOCK_BYTES))
     mine = mine.select(
-        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"), F.col("text").cast("binary").alias("data")
+        F.pmod(F.xxhash64("id", "hash"), F.lit(n)).cast("int").alias("block"), "id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), "hash", F.octet_length("text").alias("size"), F.col("text").cast("binary").alias("data")
     ).repartition(n, "block")
     frame = lambda s: ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int'}" for f in s)
     listed = mine.groupBy("block").applyInArrow(_listing(method, n), frame(_LIST))

@@ -2,8 +2,9 @@
 
 Every window of ``width`` words gets a Rabin-Karp hash; hashes are counted over all
 documents, and each window that also starts in a document with a smaller id is removed,
-neighbours merged into maximal intervals.  Two 64-bit hashes over different word values
-stand for the words of a window.
+neighbours merged into maximal intervals.  Windows are equal if a second hash agrees too, one
+over the XXH64 of each word, which has nothing in common with the first: the first is a
+polynomial modulo 2**64, for which long words that collide can be written down.
 
 Null texts are empty.  A text of fewer words than a window keeps them all.  Rows that share
 an id count as one document and never remove each other's words; a null id counts as larger
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,23 @@ class WordWindows(repeats.Method):
     def __init__(self, width: int):
         self.width = width
 
-    def _windows(self, buf, off, seed=0):
-        keys, rows, ats, base = [], [], [], []
+    def _windows(self, buf, off, kind=None):
+        """Hash, text and first word of each window; with ``kind`` the second hash, of windows whose kind isn't 0."""
+        keys, rows, ats, done = [], [], [], 0
         for i, j in T.chunks(off):
             part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
             s, e, row = T.words(part, o)
             if len(s) < self.width:
                 continue
-            h = T.word_hashes(part, s, e)
-            n = len(h) - self.width + 1
+            n = len(s) - self.width + 1
             ok = np.flatnonzero(row[:n] == row[self.width - 1 :])
+            if kind is None:
+                h = T.word_hashes(part, s, e)
+            else:
+                ok, done = ok[kind[done : done + len(ok)] > 0], done + len(ok)
+                h = self._word_xxh64(part, s, e, ok)
             first = np.searchsorted(row, np.arange(j - i))
-            keys.append(T.window_hashes(h, self.width, seed)[ok])
+            keys.append(T.window_hashes(h, self.width)[ok])
             rows.append((row[ok] + i).astype(np.int32))
             ats.append(ok - first[row[ok]])
         if not keys:
@@ -52,16 +59,26 @@ class WordWindows(repeats.Method):
             return np.zeros(0, T.U), z, z
         return np.concatenate(keys), np.concatenate(rows), np.concatenate(ats)
 
+    def _word_xxh64(self, part, s, e, ok):
+        """XXH64 of the words of the windows that start at ok, 0 for the other words."""
+        edge = np.zeros(len(s) + 1, np.int64)
+        np.add.at(edge, ok, 1)
+        np.add.at(edge, ok + self.width, -1)
+        at = np.flatnonzero(np.cumsum(edge[:-1]))
+        raw, digest = part.tobytes(), xxhash.xxh64_intdigest
+        h = np.zeros(len(s), T.U)
+        h[at] = [digest(raw[a:b]) for a, b in zip(s[at].tolist(), e[at].tolist())]
+        return h
+
     def find(self, buf, off):
         key, row, _ = self._windows(buf, off)
         return repeats.Found(key, row)
 
     def entries(self, buf, off, kind):
-        key, row, at = self._windows(buf, off)
-        second, _, _ = self._windows(buf, off, 0x5851F42D4C957F2D)
-        on = np.flatnonzero(kind)
+        key, _, _ = self._windows(buf, off)
+        second, row, at = self._windows(buf, off, kind)
         none = lambda i: (np.zeros(0, np.uint8), np.zeros(len(i), np.int64))
-        return repeats.Entries(key[on], second[on], np.ones(len(on), np.int64), row[on], at[on], none)
+        return repeats.Entries(key[kind > 0], second, np.ones(len(second), np.int64), row, at, none)
 
     def spans(self, buf, off, row, at, first):
         s, e, words_row = T.words(buf, off)

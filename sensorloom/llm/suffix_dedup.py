@@ -3,11 +3,13 @@
 Any string of ``length`` bytes holds an anchor, the 20-byte slice with the smallest hash, and
 equal strings hold equal anchors, so equal strings meet where their anchor is dealt.  Only
 anchors that occur in two documents are sent on, each with its context: the bytes of all
-strings that have it as their anchor, equal contexts once.  The contexts of one anchor are
+strings that have it as their anchor, equal bytes once.  The contexts of one anchor are
 joined into a text whose suffix array (``suffix_groups``) puts equal strings side by side,
-and the smallest document of each run decides.  A context without another at its anchor
-needs no sorting: it is a run of its own.  Anchors in very many documents are dealt string
-by string instead, by a 128-bit hash, so that their contexts don't gather in one task.
+and the smallest document of each run decides.  A string reaches ``half`` bytes beyond its
+anchor on one side at least, so a context that shares neither the half to the left of its
+anchor nor that to the right with another needs no sorting: it is a run of its own.  Anchors
+in very many documents are dealt string by string, so that their contexts don't gather in
+one task; strings are equal if their bytes are, there as elsewhere.
 
 Null texts are empty; a text shorter than ``length`` bytes keeps them all.  Rows that share
 an id count as one document and never remove each other's bytes; a null id counts as larger
@@ -47,7 +49,7 @@ class ByteStrings(repeats.Method):
     def __init__(self, length: int):
         if not ANCHOR < length <= ANCHOR + 31:
             raise ValueError(f"length must be {ANCHOR + 1} to {ANCHOR + 31}")
-        self.length, self.span = length, length - ANCHOR + 1
+        self.length, self.span, self.half = length, length - ANCHOR + 1, (length - ANCHOR) // 2
 
     def _anchors(self, buf, off):
         """For each range of texts: its bytes, offsets, hashes, minima over strings, anchor positions and their texts."""
@@ -102,7 +104,7 @@ class ByteStrings(repeats.Method):
                 s = x[y, q]
                 whole = T.mix(T.sliced(sums, s, s + L))
                 one = np.ones(len(s), np.int64)
-                out.append((T.mix(h[p[y]] + whole), whole, one, r[y] + i, s - o[r[y]], s + off[i], one * 0))
+                out.append((T.mix(h[p[y]] + whole), whole, one, r[y] + i, s - o[r[y]], s + off[i], one * L))
         anchor, context, n, row, at, start, size = (np.concatenate(c) for c in zip(*out))
 
         def data(which):
@@ -119,12 +121,14 @@ class ByteStrings(repeats.Method):
         new = np.r_[True, anchor[1:] != anchor[:-1]]
         group = np.cumsum(new) - 1
         shared = np.bincount(group)[group] > 1
-        todo = np.flatnonzero(shared & (size > 0))
+        todo = np.flatnonzero(shared)
+        todo = todo[self._kin(anchor[todo], group[todo], data, start[todo], size[todo])]
         if not len(todo):
             return out
+        new = np.r_[True, group[todo][1:] != group[todo][:-1]]
         # Batches of whole anchors.
         fill = np.cumsum(size[todo] + 1)
-        fresh = np.flatnonzero(new[todo])
+        fresh = np.flatnonzero(new)
         begins, last = [0], 0
         for f in fresh:
             if f and fill[f - 1] - last >= BATCH:
@@ -135,6 +139,26 @@ class ByteStrings(repeats.Method):
             self._sort(out, some, doc, windows, data, start, size)
         return out
 
+    def _kin(self, anchor, group, data, start, size) -> np.ndarray:
+        """Places of the contexts that share a half with another of their group, or hold their anchor not just once."""
+        text, end = data[T.spread(start, size)], np.cumsum(size)
+        if not len(text):
+            return np.zeros(0, np.int64)
+        sums, begin = T.prefix(text), np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(size)), size)
+        h = T.rolled(sums, ANCHOR)
+        at = np.flatnonzero((h.astype(np.uint32) == anchor[owner[: len(h)]]) & (np.arange(len(h)) + ANCHOR <= end[owner[: len(h)]]))
+        times = np.bincount(owner[at], minlength=len(size))
+        kin = times != 1
+        at = at[~kin[owner[at]]]
+        who = owner[at]
+        for a, b in ((at - self.half, at + ANCHOR), (at, at + ANCHOR + self.half)):
+            ok = np.flatnonzero((a >= begin[who]) & (b <= end[who]))
+            key = T.mix(T.mix(T.sliced(sums, a[ok], b[ok])) + group[who[ok]].astype(T.U))
+            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            kin[who[ok[count[back] > 1]]] = True
+        return np.flatnonzero(kin)
+
     def _sort(self, out, some, doc, windows, data, start, size):
         """Suffix array of the contexts, each behind a symbol below all bytes."""
         L, n = self.length, size[some]
