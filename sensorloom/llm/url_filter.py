@@ -1,14 +1,18 @@
 """URL filters by explicit rules and a path-template tree, as DataFrame expressions.
 
-Rules fit a host and its subdomains and the beginnings of paths; the longest wins.  For the
-other urls each host has a tree of path templates: variable segments (numbers, hashes, dates,
-and the children of a node that are nearly all different) become wildcards; sibling branches
-whose shares of labelled bad urls don't differ significantly pool their counts; a template is
-rejected if its smoothed purity, bad / (labelled + alpha), is ``purity`` or more.  Labels are
-the verdicts of the rules, so a template without any evidence is allowed.
+Rules fit a host and its subdomains and the beginnings of paths; the longest wins.  The other
+urls are judged by a tree of templates: a node is the labels of a host from the last to the
+first, then the segments of the path, all of them.  Variable segments (numbers, hashes, dates,
+and the children of a node that are nearly all different) become wildcards, until nothing
+changes.  The verdicts of the rules are the labels; branches of one node whose shares of bad
+urls don't differ significantly from those of their siblings pool their counts.  The purity of
+a node is smoothed by that of the node above, (bad + alpha * above) / (labelled + alpha), from
+the root down, so a branch with few labels or none inherits what is known around it.  A
+template of a purity of ``purity`` or more is rejected.
 
 Null urls and urls without :// have an empty host and path, match no rule and are allowed.
-Rows that repeat are judged alike.  Other columns are passed on by the operator unread.
+Rows that repeat are judged alike.  Other columns are passed on by the operator unread, also
+those that have the names of its own.  Without any label all is allowed.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm._spark import checkpointed, joined
+
+#: The fixed rules of the registered query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,52 +46,75 @@ def ruled(host: Column, path: Column, rules) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments, variable ones as *, the rest as one **."""
+    """The segments of a path, variable ones as *, digits in others as *."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     kind = lambda s: F.when(s.rlike(r"^\d+$|^[0-9a-fA-F-]{8,}$|^\d{4}-\d{2}(-\d{2})?$"), F.lit("*")).otherwise(F.regexp_replace(s, r"\d+", "*"))
-    head = F.transform(F.slice(parts, 1, DEPTH), kind)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
-
-
-def template_tree(counted: DataFrame, wide: int = 8, share: float = 0.5, alpha: float = 2.0, purity: float = 0.5, z: float = 1.96) -> DataFrame:
-    """host, segs, reject for rows (host, segs, n, bad, good), each (host, segs) once."""
-    rows = counted.withColumn("t", F.col("segs"))
-    for k in range(DEPTH):
-        above = F.concat_ws("/", F.slice("t", 1, k))
-        here = rows.where(F.size("t") > k).groupBy("host", above.alias("above"), F.get("t", F.lit(k)).alias("seg")).agg(F.sum("n").alias("n"))
-        node = here.groupBy("host", "above").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") > wide) & (F.col("kinds") > share * F.col("n"))).select("host", "above")
-        rows = rows.withColumn("above", above).join(node.withColumn("many", F.lit(True)), ["host", "above"], "left")
-        star = F.transform("t", lambda s, i: F.when(i == k, F.lit("*")).otherwise(s))
-        rows = rows.withColumn("t", F.when(F.col("many") & (F.size("t") > k), star).otherwise(F.col("t"))).drop("above", "many")
-    rows = rows.withColumn("leaf", F.concat_ws("/", "t")).withColumn("parent", F.concat_ws("/", F.when(F.size("t") > 0, F.slice("t", 1, F.size("t") - 1)).otherwise(F.array().cast("array<string>"))))
-    leaf = rows.groupBy("host", "parent", "leaf").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    whole = leaf.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum(F.col("bad") + F.col("good")).alias("all_n"))
-    both = leaf.join(whole, ["host", "parent"]).withColumn("n", F.col("bad") + F.col("good"))
-    p = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
-    like = (F.col("n") > 0) & (F.abs(F.col("bad") / F.col("n") - p) <= z * F.sqrt(p * (1 - p) / F.col("n")))
-    both = both.withColumn("like", F.coalesce(like, F.lit(False)))
-    pooled = both.where("like").groupBy("host", "parent").agg(F.sum("bad").alias("pool_bad"), F.sum("n").alias("pool_n"))
-    both = both.join(pooled, ["host", "parent"], "left")
-    bad = F.when(F.col("like"), F.col("pool_bad")).otherwise(F.col("bad"))
-    n = F.when(F.col("like"), F.col("pool_n")).otherwise(F.col("n"))
-    judged = both.select("host", "leaf", (bad / (n + alpha) >= purity).alias("reject"))
-    return rows.join(judged, ["host", "leaf"]).select("host", "segs", "reject")
-
-
-def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
-    """pages with _host, _path, _rule and _verdict."""
+    return F.transform(parts, kind)
+
+
+def generalised(counted: DataFrame, wide: int = 8, share: float = 0.5) -> DataFrame:
+    """Rows of counted (host, segs, n, ...) with t, segs where the children of a node that are over ``wide`` and over ``share`` of its urls are one *.
+
+    A round sees the nodes as the one before left them; rounds end when no node is left to change.
+    """
+    rows = checkpointed(counted.withColumn("t", F.col("segs")))
+    while True:
+        steps = rows.select("host", "t", "n", F.posexplode("t").alias("k", "seg")).where("seg <> '*'").withColumn("above", F.slice("t", F.lit(1), F.col("k")))
+        here = steps.groupBy("host", "above", "seg").agg(F.sum("n").alias("n"))
+        many = here.groupBy("host", "above").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") > wide) & (F.col("kinds") > share * F.col("n")))
+        many = checkpointed(many.select("host", "above", F.size("above").alias("k")))
+        if many.isEmpty():
+            return rows
+        hit = rows.select("host", "t", F.posexplode("t").alias("k", "seg")).withColumn("above", F.slice("t", F.lit(1), F.col("k"))).join(many, ["host", "above", "k"])
+        hit = hit.groupBy("host", "t").agg(F.collect_set("k").alias("ks"))
+        star = F.transform("t", lambda s, k: F.when(F.array_contains("ks", k), F.lit("*")).otherwise(s))
+        rows = checkpointed(rows.join(hit, ["host", "t"], "left").withColumn("t", F.when(F.col("ks").isNotNull(), star).otherwise(F.col("t"))).drop("ks"))
+
+
+def template_tree(counted: DataFrame, wide: int = 8, share: float = 0.5, alpha: float = 2.0, purity: float = 0.9, z: float = 1.96) -> DataFrame:
+    """host, segs, purity, reject for rows (host, segs, n, bad, good), each (host, segs) once."""
+    rows = generalised(counted, wide, share)
+    labels = F.filter(F.reverse(F.split("host", r"\.")), lambda x: x != "")
+    leaves = checkpointed(rows.groupBy(F.concat(labels, F.array(F.lit("/")), F.col("t")).alias("leaf")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    step = F.explode(F.transform(F.sequence(F.lit(0), F.size("leaf")), lambda k: F.slice(F.col("leaf"), F.lit(1), k)))
+    paths = leaves.select("leaf", "bad", "good", step.alias("node"))
+    nodes = paths.groupBy("node").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("of"), F.count("*").alias("n")).where("of > 0")
+    nodes = checkpointed(nodes.withColumn("above", F.when(F.size("node") > 0, F.slice("node", F.lit(1), F.size("node") - 1))))
+    top = nodes.where("above IS NULL").select(F.lit(None).cast(nodes.schema["above"].dataType).alias("above"), "node", "bad", "of", "n")
+    # Each branch against the rest of its siblings: pooled if their shares are as near as chance makes them.
+    total = nodes.where("above IS NOT NULL").groupBy("above").agg(F.sum("bad").alias("all_bad"), F.sum("of").alias("all_of"), F.count("*").alias("n"))
+    both = joined(nodes.where("above IS NOT NULL").withColumnRenamed("n", "leaves"), total, "above")
+    rest_bad, rest = F.col("all_bad") - F.col("bad"), F.col("all_of") - F.col("of")
+    p = F.col("all_bad") / F.col("all_of")
+    like = (rest > 0) & (F.abs(F.col("bad") / F.col("of") - F.try_divide(rest_bad, rest)) <= z * F.sqrt(p * (1 - p) * (1 / F.col("of") + F.try_divide(F.lit(1.0), rest))))
+    both = checkpointed(both.withColumn("like", F.coalesce(like, F.lit(False))))
+    pool = both.where("like").groupBy("above").agg(F.sum("bad").alias("bad"), F.sum("of").alias("of"), F.count("*").alias("n"))
+    pooled = joined(both.where("like").select("above", "node", "leaves"), pool, "above")
+    counts = pooled.select("node", "bad", "of", "leaves").union(both.where("NOT like").select("node", "bad", "of", "leaves")).union(top.select("node", "bad", "of", F.col("n").alias("leaves")))
+    found = joined(paths.select("leaf", "node"), counts.withColumnRenamed("leaves", "n"), "node")
+    chain = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct(F.size("node").alias("k"), "bad", "of"))).alias("chain"))
+    smooth = F.aggregate("chain", F.lit(0.5), lambda above, x: (x["bad"] + alpha * above) / (x["of"] + alpha))
+    judged = chain.select("leaf", smooth.alias("purity"))
+    named = rows.select("host", "segs", F.concat(labels, F.array(F.lit("/")), F.col("t")).alias("leaf"))
+    out = named.join(judged, "leaf", "left").select("host", "segs", F.coalesce("purity", F.lit(0.0)).alias("purity"))
+    return out.withColumn("reject", F.col("purity") >= purity)
+
+
+def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", **options) -> DataFrame:
+    """row (a struct of all columns of pages) with host, path, rule and verdict."""
     host, path = parsed(F.col(url_col).cast("string"))
-    rows = pages.withColumn("_host", host).withColumn("_path", path)
-    rows = rows.withColumn("_ruled", ruled(F.col("_host"), F.col("_path"), rules)).withColumn("_segs", segments(F.col("_path")))
-    verdict = F.col("_ruled.verdict")
-    counted = rows.groupBy(F.col("_host").alias("host"), F.col("_segs").alias("segs")).agg(F.count("*").alias("n"), F.count_if(verdict == "block").alias("bad"), F.count_if(verdict == "allow").alias("good"))
-    # Only templates that reject are joined back; where there is no evidence nothing is to do.
-    reject = template_tree(counted).where("reject").select(F.col("host").alias("_h"), F.col("segs").alias("_s"), "reject")
-    out = rows.join(reject, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_segs").eqNullSafe(F.col("_s")), "left")
-    method = F.when(F.col("reject") & (F.col("_host") != ""), "block").otherwise("allow")
-    return out.select(*pages.columns, "_host", "_path", F.col("_ruled.rule").alias("_rule"), F.coalesce(verdict, method).alias("_verdict"))
+    rows = pages.select(F.struct(*pages.columns).alias("row"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("ruled", ruled(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
+    verdict = F.col("ruled.verdict")
+    counted = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(verdict == "block").alias("bad"), F.count_if(verdict == "allow").alias("good"))
+    counted = checkpointed(counted)
+    # Only templates that reject urls without a rule are joined back.
+    reject = template_tree(counted, **options).where("reject AND host <> ''").select("host", "segs")
+    reject = counted.where("n > bad + good").join(reject, ["host", "segs"]).select(F.struct("host", "segs").alias("key"), "n", F.lit(True).alias("reject"))
+    out = joined(rows.withColumn("key", F.struct("host", "segs")), reject, "key", "left")
+    return out.select("row", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce(verdict, F.when(F.col("reject"), "block"), F.lit("allow")).alias("verdict"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     out = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
-    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+    return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
