@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm import _text as T
-from sensorloom.llm._spark import checkpointed
+from sensorloom.llm._spark import checkpointed, joined
 from sensorloom.llm.components import components
 
 #: Distinct fingerprints that are compared in one piece.
@@ -38,7 +38,7 @@ BROADCAST = 200_000
 ITEMS = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -73,22 +73,14 @@ def majority(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _fingerprints(shingle: int, wide: int, narrow: int):
+def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
             buf, off = T.text_bytes(batch["text"])
-            fps, extra = [np.zeros(0, T.U)], [np.zeros((0, wide), T.U)]
+            fps = [np.zeros(0, T.U)]
             for i, j in T.chunks(off, T.CHUNK // 4):
-                part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                h, row = shingle_hashes(part, o, shingle)
-                if wide:
-                    extra.append(np.stack([majority(T.mix(h + T.U(k + 1)), row, j - i) for k in range(wide)], 1))
-                    h, row = shingle_hashes(part, o, narrow)
-                fps.append(majority(h, row, j - i))
-            fps, extra = np.concatenate(fps), np.concatenate(extra)
-            ends = pa.py_buffer((np.arange(len(fps) + 1) * 8 * wide).astype(np.int32))
-            lists = pa.Array.from_buffers(pa.binary(), len(fps), [None, ends, pa.py_buffer(np.ascontiguousarray(extra))])
-            yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(fps.view(np.int64)), lists], schema=_PRINTS)
+                fps.append(majority(*shingle_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle), j - i))
+            yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(np.concatenate(fps).view(np.int64))], schema=_PRINTS)
 
     return run
 
@@ -148,7 +140,7 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[on], b[on]
 
 
-def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, wide: np.ndarray, radius: int, wide_radius: int) -> np.ndarray:
+def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     """Rows (key order) to the root of their group; side: 0 both, 1 compared with those of side 2."""
     n = len(fps)
     root = np.arange(n)
@@ -183,8 +175,6 @@ def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, wide: np.ndarray,
             at, b = np.nonzero(bits)
             mine, other = q[x + at], target[cut[w[x + at]] + b]
             ok = mine != other
-            if wide.shape[1]:
-                ok &= np.bitwise_count(wide[mine] ^ wide[other]).sum(1) <= wide_radius
             _unite(root, mine[ok], other[ok])
         i = j
     return root
@@ -208,26 +198,23 @@ def _whole(batches, rows: int = 50_000):
         yield kept
 
 
-def _compare(radius: int, wide_radius: int, wide: int):
+def _compare(radius: int):
     def run(batches):
         for table in _whole(batches):
-            place, side = table["place"].to_numpy(), table["side"].to_numpy()
-            fps = table["fp"].to_numpy().view(T.U)
-            flat = T.text_bytes(table["wide"])[0].view(T.U).reshape(len(fps), wide)
-            # The place is a hash: what really has to agree is table and masked fingerprint.
+            # The place is a hash: only distances decide.
             node = table["node"].to_numpy()
-            root = _links(place, side, fps, flat, radius, wide_radius)
+            root = _links(table["place"].to_numpy(), table["side"].to_numpy(), node.view(T.U), radius)
             on = np.flatnonzero(root != np.arange(len(root)))
             yield pa.record_batch([pa.array(node[on]), pa.array(node[root[on]])], schema=_EDGES)
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int, wide: int = 0, narrow: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp and wide (bytes): ``wide`` more words of 64 bits over the shingles; fp then is over shingles of ``narrow`` words."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash and fp for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return mine.mapInArrow(_fingerprints(shingle, wide, narrow or shingle), "doc_id long, text_hash long, fp long, wide binary")
+    return mine.mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
 
 
 def _dealt(met: DataFrame, size: int, *columns: str) -> DataFrame:
@@ -244,40 +231,41 @@ def _dealt(met: DataFrame, size: int, *columns: str) -> DataFrame:
     return met.repartition("place").sortWithinPartitions("place", "node", "side")
 
 
-def links(prints: DataFrame, radius: int, wide_radius: int = 0, wide: int = 0) -> DataFrame:
-    """Edges u, v that span the groups of distinct rows (node, fp, wide) within the radius."""
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """Edges u, v that span the groups of distinct fingerprints (node) within the radius."""
     if not 0 <= radius <= 7:
         raise ValueError("radius must be 0 to 7")
     cuts = np.linspace(0, 64, radius + 3).round().astype(int)
     masks = [sum(1 << b for b in range(cuts[i], cuts[i + 1])) for i in range(radius + 2)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(a | b))).alias("part")) for t, (a, b) in enumerate(combinations(masks, 2))))
-    met = prints.select("node", "fp", "wide", F.explode(tables).alias("x")).select("node", "fp", "wide", "x.t", "x.part")
-    met = _dealt(met, PART, "fp", "wide")
-    return met.mapInArrow(_compare(radius, wide_radius, wide), "u long, v long")
+    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("node").bitwiseAND(F.lit(signed(a | b))).alias("part")) for t, (a, b) in enumerate(combinations(masks, 2))))
+    met = prints.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.part")
+    return _dealt(met, PART).mapInArrow(_compare(radius), "u long, v long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, wide: int = 0, wide_radius: int = 0, narrow: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (as a long) and component_id, the smallest id of the group, for each row of docs.
-
-    With ``wide``, two rows link if their fingerprints over shingles of ``narrow`` words are
-    within the radius and their 64 * wide bits over shingles of ``shingle`` words within
-    ``wide_radius``.
-    """
-    prints = checkpointed(fingerprints(docs, shingle, wide, narrow, id_col, text_col))
+def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fp (as a long) and component_id, the smallest id of the group, for each row of docs."""
+    prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     top = F.lit(np.iinfo(np.int64).max)
-    node = F.xxhash64("fp", "wide") if wide else F.col("fp")
-    distinct = prints.groupBy("fp", "wide").agg(F.min(F.coalesce("doc_id", top)).alias("least")).withColumn("node", node)
-    distinct = checkpointed(distinct)
-    found = components(links(distinct, radius, wide_radius, wide))
-    named = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(best, "root").select("fp", "wide", F.when(F.col("component_id") != top, F.col("component_id")).alias("component_id"))
-    return prints.join(named, ["fp", "wide"]).select("doc_id", "text_hash", "fp", "component_id")
+    distinct = checkpointed(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.coalesce("doc_id", top)).alias("least"), F.count("*").alias("n")))
+    named = named_by_least(distinct, components(links(distinct, radius)))
+    return joined(prints, named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def named_by_least(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """node, component_id, n for rows (node, least, n), found (node, root) telling which belong together; no id at all gives null."""
+    rooted = checkpointed(distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = joined(rooted.withColumnRenamed("n", "rows"), best, "root")
+    top = np.iinfo(np.int64).max
+    return named.select("node", F.when(F.col("component_id") != top, F.col("component_id")).alias("component_id"), F.col("rows").alias("n"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped=groups, **options) -> DataFrame:
-    """One row of docs for each group of ``grouped``, that of the smallest id (a null id last), all columns as they are."""
+    """One row of docs for each group of ``grouped``, that of the smallest id (a null id last), all columns as they are.
+
+    Of rows alike in id and text the one stays that is least written as JSON.
+    """
     found = grouped(docs, id_col=id_col, text_col=text_col, **options)
     top = F.lit(np.iinfo(np.int64).max)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("i"), "text_hash")).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.text_hash").alias("_h"))
@@ -294,7 +282,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     twice = other.where("best")
     if twice.isEmpty():
         return alone
-    one = rows.join(F.broadcast(twice) if small else twice, ["_i", "_h"]).groupBy("_i", "_h").agg(F.first("row").alias("row"))
+    one = rows.join(F.broadcast(twice) if small else twice, ["_i", "_h"]).groupBy("_i", "_h").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return alone.union(one.select("row.*"))
 
 
