@@ -10,7 +10,8 @@ temperature is calibrated on a fifth of those rows that training doesn't see.
 
 Null and empty texts have no token and the vector 0.  Without labels of both kinds all scores
 are the share of good ones, or 0.5 without any.  Rows that repeat or share an id are scored
-alike; null labels and ids teach nothing; of several labels for a document the least counts.
+alike; null labels and ids teach nothing; a label above 0 is good, and of several for a document the
+least counts; of several texts of an id the least teaches.
 Other columns of the input are never read.
 """
 
@@ -70,12 +71,15 @@ def _contexts(batches):
                 for a, b in ((slot[near], slot[near + d]), (slot[near + d], slot[near])):
                     for k in range(NONZERO):
                         total += np.bincount(a * WIDTH + PLACES[b, k], SIGNS[b, k], len(total))
-    parts = total.astype(np.float32).reshape(SLICES, -1)
-    yield pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "sums"])
+    # Whole numbers, so that their sum is the same however documents are dealt.
+    parts = total.astype(np.int64).reshape(SLICES, -1)
+    kind = np.int32 if np.abs(parts).max() < 1 << 31 else np.int64
+    yield pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.astype(kind).tobytes() for x in parts], pa.binary())], names=["part", "sums"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["sums"].to_pylist())
+    size = VOCABULARY * WIDTH // SLICES
+    total = sum(np.frombuffer(x, np.int32 if len(x) == 4 * size else np.int64).astype(np.int64) for x in table["sums"].to_pylist())
     return pa.table({"part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -86,7 +90,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     own = np.zeros((VOCABULARY, WIDTH))
     for k in range(NONZERO):
         np.add.at(own, (np.arange(VOCABULARY), PLACES[:, k]), SIGNS[:, k])
-    sums = np.concatenate([np.frombuffer(r.sums) for r in rows]).reshape(VOCABULARY, WIDTH) if rows else np.zeros_like(own)
+    sums = np.concatenate([np.frombuffer(r.sums, np.int64) for r in rows]).reshape(VOCABULARY, WIDTH) if rows else np.zeros_like(own)
     damped = np.sign(sums) * np.log1p(np.abs(sums))
     damped /= np.maximum(np.linalg.norm(damped, axis=1, keepdims=True), 1e-9)
     return (damped + 0.5 * own).astype(np.float32)
@@ -154,9 +158,10 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network from at most ``sample`` labelled rows; word vectors come from all of docs."""
     vectors = word_vectors(docs, text_col)
-    marks = labels.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col)).cast("long").alias("label")).where("label IS NOT NULL AND _id IS NOT NULL")
+    marks = labels.groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.min(F.col(label_col)) > 0).cast("long").alias("label")).where("label IS NOT NULL AND _id IS NOT NULL")
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
     def features(batches):
         for batch in batches:
@@ -196,4 +201,4 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     out = score(docs, fit(docs, labels.where(part != 1)))
-    return out.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
