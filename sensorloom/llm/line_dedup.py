@@ -5,11 +5,12 @@ enough get a HyperLogLog sketch of the sites they occur on, merged by aggregatio
 whose estimate is within the sketch's error of the threshold gets its exact distinct count.
 A line on ``min_sites`` sites or more is boilerplate: it stays once, at its first place in the
 smallest document that has it, and goes everywhere else.  A line is known by two 64-bit
-hashes, so only those are shuffled, and each document's text moves once.
+hashes, so only those are shuffled, with its number in the text, and each document's text
+moves once, to meet the numbers of the lines it loses.
 
 A null text is empty and has no line; its kept text is empty.  Null sites count as no site.  A line whose
-documents all have null ids stays at its first place in each of them.  Rows that share an id
-are treated alike.  Columns other than id, text and site are passed on unread.
+documents all have null ids stays at its first place in each of them.  Of rows that share an id
+each keeps the line if their id is the smallest.  Columns other than id, text and site are passed on unread.
 """
 
 from __future__ import annotations
@@ -30,27 +31,29 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-def _keyed(text) -> F.Column:
-    """An array of (line, h1, h2); the hashes are null for blank lines."""
-    def one(x):
-        bare = F.trim(x)
-        full = bare != ""
-        return F.struct(x.alias("line"), F.when(full, F.xxhash64(bare)).alias("h1"), F.when(full, F.xxhash64(F.lit(1), bare)).alias("h2"))
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """id, text_hash, site, at, h1, h2 of the lines that aren't blank."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    bare = F.trim("line")
+    return rows.where(bare != "").select("id", "text_hash", "site", "at", F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit(1), bare).alias("h2"))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), one)
 
+def frequent(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """The rows of _lines whose line occurs ``least`` times or more, written down: no text is read again for what follows."""
+    lines = _lines(docs, id_col, text_col, site_col)
+    often = checkpointed(lines.groupBy("h1", "h2").count().where(F.col("count") >= least).select("h1", "h2"))
+    return checkpointed(lines.join(_small(often), ["h1", "h2"]))
 
-def boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+
+def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
     """h1, h2 of the lines on min_sites sites or more, and first, the smallest document that has each."""
-    lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.transform(_keyed(F.col(text_col)), lambda x: F.struct(x["h1"], x["h2"])))).alias("k")).select("id", "site", "k.h1", "k.h2").where("h1 IS NOT NULL")
-    often = checkpointed(lines.groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2"))
-    found = lines.join(_small(often), ["h1", "h2"])
     # The lines of one hash spread over salts; sketches and minima merge from those.
     salt = F.pmod(F.xxhash64("id", "site"), F.lit(64)).cast("int")
-    found = found.withColumn("salt", salt).repartition("h1", "h2", "salt")
-    part = found.groupBy("h1", "h2", "salt").agg(F.min("id").alias("first"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    salted = found.withColumn("salt", salt).repartition("h1", "h2", "salt")
+    part = salted.groupBy("h1", "h2", "salt").agg(F.min("id").alias("first"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
     merged = part.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.hll_union_agg("sketch").alias("sketch"))
-    spread = merged.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = checkpointed(merged.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")))
     margin = max(1.0, 4 * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.abs(F.col("sites") - min_sites) <= margin
     # Distinct pairs first: a line in very many documents is then as many rows as it has sites.
@@ -62,24 +65,22 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", tex
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: bool = False) -> DataFrame:
     """docs with the text column cleaned, and with ``counts`` also n_lines and n_removed."""
-    bad = _small(checkpointed(boilerplate(docs, min_sites, id_col, text_col, site_col)))
-    distinct = F.array_distinct(F.transform(_keyed(F.col(text_col)), lambda x: F.struct(x["h1"], x["h2"])))
-    lines = docs.select(F.col(id_col).alias("_id"), F.explode(distinct).alias("k")).select("_id", "k.h1", "k.h2").where("h1 IS NOT NULL")
-    hits = lines.join(bad, ["h1", "h2"]).select("_id", F.struct("h1", "h2").alias("k"), F.col("first").eqNullSafe(F.col("_id")).alias("mine"))
-    hits = hits.groupBy("_id").agg(F.collect_set("k").alias("_bad"), F.collect_set(F.when(F.col("mine"), F.col("k"))).alias("_mine"))
+    found = frequent(docs, min_sites, id_col, text_col, site_col)
+    bad = _small(checkpointed(boilerplate(found, min_sites)))
+    # Alike rows have alike places, so a set of places is enough; the first one stays in the smallest document.
+    places = found.join(bad, ["h1", "h2"]).groupBy("id", "text_hash", "h1", "h2").agg(F.sort_array(F.collect_set("at")).alias("at"), F.min("first").alias("first"))
+    goes = F.when(F.col("first").eqNullSafe(F.col("id")), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
+    gone = places.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.flatten(F.collect_list(goes)).alias("gone"))
     # All columns of docs in one, so that their names can't clash with ours.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), _keyed(F.col(text_col)).alias("lines"))
-    rows = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")), "left").withColumn("keys", F.transform("lines", lambda x: F.struct(x["h1"], x["h2"])))
-
-    def stays(x, i):
-        k = F.struct(x["h1"], x["h2"])
-        return x["h1"].isNull() | ~F.array_contains("_bad", k) | (F.array_contains("_mine", k) & (F.array_position("keys", k) == i + 1))
-
-    rows = rows.withColumn("left", F.when(F.col("_bad").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
-    text = F.concat_ws("\n", F.transform("left", lambda x: x["line"]))
-    out = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    n = F.when(F.col("none"), 0).otherwise(F.size("lines")).cast("long")
-    return rows.select(*out, *([n.alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed")] if counts else []))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), text.alias("body"), F.xxhash64(text).alias("text_hash"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    n = F.when(F.col("none"), 0).otherwise(F.size(F.split("body", "\n"))).cast("long")
+    rows = rows.select("row", "body", "gone", n.alias("n"), F.split("body", "\n").alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.coalesce(F.size("gone"), F.lit(0)) > 0, F.concat_ws("\n", F.transform(left, lambda i: F.get("lines", i)))).otherwise(F.col("body"))
+    out = [kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.select(*out, *([F.col("n").alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed")] if counts else []))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
