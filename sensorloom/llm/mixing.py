@@ -11,7 +11,8 @@ with those of other pieces.  What is left of a source at the end (the landing pr
 rounded to the least deviation in words.
 
 A null text has size 0; documents of size 0 take part, for their source's document count.
-Repeated rows are documents of their own.  An empty table gives no rows.
+Repeated rows are documents of their own.  An empty table gives no rows.  Sources are ranked
+and filled in ranges, so their number may be large.
 """
 
 from __future__ import annotations
@@ -31,22 +32,38 @@ WEIGHTS = (3, 1, 2)
 PIECE = 4096
 
 
+def _before(rows: DataFrame, order: list, **sums) -> DataFrame:
+    """rows, written down, with the sum of each of sums over the rows before it in the order.
+
+    Rows are dealt in ranges of the order; only the sums of whole ranges come to the driver.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    whole = ranged.groupBy("range").agg(*(F.sum(e).alias(c) for c, e in sums.items())).orderBy("range").collect()
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for c, e in sums.items():
+        start, at = 0.0, []
+        for r in whole:
+            at += [F.lit(r["range"]), F.lit(start)]
+            start += r[c] or 0.0
+        base = F.element_at(F.create_map(*at), F.col("range")) if at else F.lit(0.0)
+        ranged = ranged.withColumn(c, F.coalesce(F.sum(e).over(within), F.lit(0.0)) + base)
+    return ranged.drop("range")
+
+
 def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, n, target for each source of sized (source, size): one row a source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    per = _before(per, [F.col("source").asc_nulls_last()], rank=F.lit(1.0))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("rank").cast("long"), F.lit(len(WEIGHTS))) + 1).cast("int"))
     per = per.withColumn("w", weight.cast("double")).withColumn("cap", most * F.col("source_size"))
     # Water level: sources are capped in order of cap / weight as long as the level is above it.
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    rest = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    total = share * F.sum("source_size").over(every)
-    per = per.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    per = per.withColumn("capped", F.col("level") * F.col("w") >= F.col("cap"))
-    level = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("w"), "source", "level"))).over(every)["level"]
-    return per.select("source", "source_size", "n", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
+    full = F.col("cap") / F.col("w")
+    per = checkpointed(_before(per, [full.asc(), F.col("source").asc_nulls_last()], caps=F.col("cap"), weights=F.col("w")))
+    words, weights = per.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (share * (words or 0) - F.col("caps")) / (F.lit(weights or 1.0) - F.col("weights"))
+    per = per.withColumn("level", level).withColumn("capped", F.col("level") * F.col("w") >= F.col("cap"))
+    open_ = per.where(~F.col("capped")).agg(F.min(F.struct(full.alias("full"), F.coalesce("source", F.lit("\U0010ffff")).alias("source"), "level")).alias("x")).first()["x"]
+    return per.select("source", "source_size", "n", F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(open_["level"] if open_ else 0.0) * F.col("w")).alias("target"))
 
 
 def flight(size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
@@ -132,13 +149,17 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "d
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs that the mix takes, with size, source_size, target, copies and taken; alike rows are one, copies added."""
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken.
+
+    Columns of docs that have these names give way to them.  Rows alike in id, source and text
+    are one, copies added: the one that is least written as JSON.
+    """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
     taken = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h")).agg(*(F.min(c).alias(c) for c in ("size", "source_size", "target")), F.sum("copies").alias("copies"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("i"), F.col(source_col).cast("string").alias("s"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
     same = F.col("i").eqNullSafe(F.col("_i")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h"))
     new = ("size", "source_size", "target", "copies")
-    one = rows.join(taken, same).groupBy("i", "s", "h").agg(F.first("row").alias("row"), *(F.min(c).alias(c) for c in new))
+    one = rows.join(taken, same).groupBy("i", "s", "h").agg(F.min_by("row", F.to_json("row")).alias("row"), *(F.min(c).alias(c) for c in new))
     out = one.withColumn("taken", F.col("size") * F.col("copies"))
     names = [c for c in docs.columns if c not in (*new, "taken")]
     return out.select(*(F.col("row")[c].alias(c) for c in names), *new, "taken")
