@@ -7,11 +7,13 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontamination, fingerprints, line_dedup, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
+from sensorloom.llm import _text as T
+from sensorloom.llm import decontamination, fingerprints, line_dedup, mixing, quality, repeats, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
 from sensorloom.llm.suffix_groups import suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, _id long, size long, text_hash string"
@@ -65,8 +67,6 @@ def test_suffix_array():
 
 @pytest.mark.parametrize("hot", [400, 1])
 def test_suffix_dedup(spark, docs, none, hot, monkeypatch):
-    from sensorloom.llm import repeats
-
     monkeypatch.setattr(repeats, "HOT", hot)
     data = [(t or "").encode() for _, t, *_ in rows()]
     wins = [[b[i : i + 50] for i in range(len(b) - 49)] for b in data]
@@ -83,6 +83,35 @@ def test_suffix_dedup(spark, docs, none, hot, monkeypatch):
     assert suffix_dedup.remove_repeated_strings(none).count() == 0
 
 
+def test_equal_hashes_are_told_apart_by_bytes():
+    """Rows of one hash fall into parts of equal bytes, the first row's being part 0."""
+    texts = [b"aa", b"aa", b"ab", b"aa", b"abc", b"ab", b"x", b"", b"x", b"q"]
+    fresh = np.array([True, *[False] * 5, True, False, False, True])
+
+    def data(which):
+        return np.frombuffer(b"".join(texts[i] for i in which), np.uint8), np.array([len(texts[i]) for i in which])
+
+    part = repeats._parts(fresh, data)
+    hash_of = np.cumsum(fresh)
+    for i in range(len(texts)):
+        for j in range(i):
+            if hash_of[i] == hash_of[j]:
+                assert (part[i] == part[j]) == (texts[i] == texts[j])
+    assert not part[fresh].any()
+
+
+def test_words_whose_polynomial_hashes_collide_are_not_equal(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    buf = np.frombuffer((word + other).encode(), np.uint8)
+    assert len(set(T.word_hashes(buf, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 1
+    head = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{head} {word}")], "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in substring_dedup.remove_repeated_windows(docs).collect()}
+    assert got == {1: f"{head} {word}", 2: f"{head} {other}", 3: ""}
+
+
 def test_substring_dedup(docs, none):
     ws = [re.findall(WORD, t or "") for _, t, *_ in rows()]
     wins = [[tuple(w[i : i + 13]) for i in range(len(w) - 12)] for w in ws]
@@ -137,7 +166,7 @@ def test_bit_sliced_distances():
     fps = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)), base ^ np.uint64(0b10110101)])
     key = np.sort(rng.integers(0, 4, len(fps)))
     for radius in range(8):
-        got = simhash_dedup._links(key, np.zeros(len(fps), int), fps, np.zeros((len(fps), 0), np.uint64), radius, 0)
+        got = simhash_dedup._links(key, np.zeros(len(fps), int), fps, radius)
         near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= radius) & (key[:, None] == key[None])
         want = np.arange(len(fps))
         for _ in range(len(fps)):
@@ -177,9 +206,9 @@ def test_line_dedup(spark, none):
 
 def test_decontamination(spark, docs, none, monkeypatch):
     item = words(30, 9)
-    bench = spark.createDataFrame([(1, item), (2, "three short words"), (3, None), (4, ""), (5, words(12, 11)), (5, words(20, 12)), (None, words(25, 13))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "three short words"), (3, None), (4, ""), (5, words(12, 11)), (5, words(20, 12)), (None, words(25, 13)), (-1, words(22, 14))], "item_id long, text string")
     w = item.split()
-    data = [(1, words(50, 20) + " " + item + " " + words(9, 21)), (2, " ".join(w[:29] + ["other"])), (3, " ".join(w[:15] + ["other"] + w[16:])), (4, "we saw Three SHORT words!"), (5, "three short"), (6, None), (7, ""), (8, words(12, 11)), (9, words(300, 22)), (9, item.upper().replace(" ", " !! "))]
+    data = [(1, words(50, 20) + " " + item + " " + words(9, 21)), (2, " ".join(w[:29] + ["other"])), (3, " ".join(w[:15] + ["other"] + w[16:])), (4, "we saw Three SHORT words!"), (5, "three short"), (6, None), (7, ""), (8, words(12, 11)), (9, words(300, 22)), (9, item.upper().replace(" ", " !! ")), (10, words(25, 13) + " and " + words(22, 14)), (11, words(20, 12) + " " + item + " " + words(12, 11))]
     mine = spark.createDataFrame([(d, t, "en", "s", 1, "", 0, 0, "") for d, t in data], SCHEMA)
 
     def tokens(t):
@@ -200,12 +229,14 @@ def test_decontamination(spark, docs, none, monkeypatch):
             for i in range(len(x) - len(y) + 1):
                 a, b = grams(x[i : i + len(y)]), grams(y)
                 if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
-                    hits.add(-1 if r.item_id is None else r.item_id)
-        want[(d, tuple(sorted(hits)))] += 1
+                    hits.add(r.item_id)
+        want[(d, tuple(sorted(hits, key=lambda i: (i is None, i))))] += 1
     for size in (4 << 20, 200):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
         got = decontamination.contamination(mine, bench)
-        assert Counter((r.doc_id, tuple(sorted(r["items"]))) for r in got.collect()) == want
+        found = got.collect()
+        assert Counter((r.doc_id, tuple(r["items"])) for r in found) == want
+        assert all(len(r.scores) == len(r["items"]) and all(x >= 0.8 for x in r.scores) for r in found)
         clean = decontamination.drop_contaminated(mine, bench)
         assert clean.columns == mine.columns and sorted(r.doc_id for r in clean.collect()) == sorted(d for (d, h), n in want.items() if not h for _ in range(n))
     assert decontamination.contamination(none, bench).count() == 0
@@ -215,28 +246,78 @@ def test_decontamination(spark, docs, none, monkeypatch):
 def test_url_filter(spark):
     urls = ["http://www.Example.com/en/1", "https://a.example.com/en/x?y#z", "http://b.net/es/1", "http://b.net/de/1", "http://xnet/es/", "net/es/1", None, "", "ftp://net/fr/", "http://com", "http://c.org/a/1?q=/en/", "http://www.example.com", "http://É.com/", "http://a.com#/en/"]
     urls += [f"http://h.net/{lang}/{k}.html" for lang in ("es", "de") for k in range(9)]
+    urls += [f"http://w.net/es/u{chr(97 + k)}{chr(97 + k)}q/a/b/c/d/{chr(97 + k)}" for k in range(12)] + ["http://w.net/it/x/y", "http://c.org/free/1"] + ["http://s.com/a"] * 5
+    urls += [f"http://mix.example.com/{p}/q" for p in ("en", "de", "it") for _ in range(4)] + ["http://example.org/" + "/".join("seg" * 60)]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, path int")
-    for r in url_filter.judge_urls(pages).collect():
-        u = r.url or ""
+    judged = url_filter.judge_urls(pages).collect()
+    assert sorted(r.row.page_id for r in judged) == list(range(len(urls))) and all(r.row.host == "x" and r.row.path == 1 for r in judged)
+    plain = []
+    for r in judged:
+        u = r.row.url or ""
         rest = u.split("://", 1)[1] if "://" in u else ""
         host = re.match(r"[^/?#]*", rest).group()
         path = re.match(r"[^?#]*", rest[len(host) :]).group()
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
         fit = [(len(p), p, v) for v, p in url_filter.RULES if (host == p.split("/", 1)[0] or host.endswith("." + p.split("/", 1)[0])) and path.startswith("/" + p.split("/", 1)[1])]
-        best = max(fit, default=(0, None, "allow"))
-        assert (r._host, r._path, r._rule) == (host, path, best[1])
-        if best[1] or not host:
-            assert r._verdict == best[2]
-    # A template most of whose labelled urls are bad is rejected as a whole.
-    counted = spark.createDataFrame([("h", ["a", "*"], 10, 6, 0), ("h", ["b", "*"], 10, 0, 6), ("h", ["c"], 3, 0, 0)], "host string, segs array<string>, n long, bad long, good long")
-    assert {tuple(r.segs): r.reject for r in url_filter.template_tree(counted).collect()} == {("a", "*"): True, ("b", "*"): False, ("c",): False}
-    wild = spark.createDataFrame([("h", ["u", f"page-{k}x"], 1, int(k < 9), 0) for k in range(12)], "host string, segs array<string>, n long, bad long, good long")
-    assert {r.reject for r in url_filter.template_tree(wild).collect()} == {True}
+        best = max(fit, default=(0, None, None))
+        assert (r.host, r.path, r.rule) == (host, path, best[1])
+        plain.append((r.row.page_id, host, segments(path), best[2]))
+    purity = plain_tree(plain)
+    verdicts = {k: v or ("block" if host and purity[host, segs] >= 0.9 else "allow") for k, host, segs, v in plain}
+    assert {r.row.page_id: r.verdict for r in judged} == verdicts
+    free = [verdicts[k] for k, host, _, v in plain if v is None and host]
+    assert "block" in free and "allow" in free  # the tree decides, one way and the other
     assert url_filter.judge_urls(pages.where("false")).count() == 0
 
 
+def segments(path):
+    kind = lambda s: "*" if re.fullmatch(r"\d+|[0-9a-fA-F-]{8,}|\d{4}-\d{2}(-\d{2})?", s) else re.sub(r"\d+", "*", s)
+    return tuple(kind(s) for s in path.split("/") if s)
+
+
+def plain_tree(rows, alpha=2.0, z=1.96, wide=8, share=0.5):
+    """Purity of each (host, segments), by dictionaries."""
+    t = {(h, s): list(s) for _, h, s, _ in rows}
+    while True:
+        kids, many = defaultdict(Counter), set()
+        for _, h, s, _ in rows:
+            for k, x in enumerate(t[h, s]):
+                if x != "*":
+                    kids[h, tuple(t[h, s][:k])][x] += 1
+        many = {k for k, c in kids.items() if len(c) > wide and len(c) > share * sum(c.values())}
+        if not many:
+            break
+        for key, x in t.items():
+            t[key] = ["*" if (key[0], tuple(x[:k])) in many else v for k, v in enumerate(x)]
+    leaf = {(h, s): tuple([x for x in reversed(h.split(".")) if x] + ["/"] + x) for (h, s), x in t.items()}
+    bad, of = Counter(), Counter()
+    for _, h, s, v in rows:
+        if v:
+            for k in range(len(leaf[h, s]) + 1):
+                bad[leaf[h, s][:k]] += v == "block"
+                of[leaf[h, s][:k]] += 1
+    kin, pooled = defaultdict(list), {(): (bad[()], of[()])}
+    for node in of:
+        if node:
+            kin[node[:-1]].append(node)
+    for nodes in kin.values():
+        b, n = sum(bad[x] for x in nodes), sum(of[x] for x in nodes)
+        like = [x for x in nodes if n > of[x] and abs(bad[x] / of[x] - (b - bad[x]) / (n - of[x])) <= z * (b / n * (1 - b / n) * (1 / of[x] + 1 / (n - of[x]))) ** 0.5]
+        for x in nodes:
+            pooled[x] = (sum(bad[y] for y in like), sum(of[y] for y in like)) if x in like else (bad[x], of[x])
+    out = {}
+    for key, x in leaf.items():
+        p = 0.5
+        for k in range(len(x) + 1):
+            if x[:k] in of:
+                b, n = pooled[x[:k]]
+                p = (b + alpha * p) / (n + alpha)
+        out[key] = p
+    return out
+
+
 def test_fingerprints(spark, docs, none):
-    canon = lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "").lower()).strip()
+    canon = plain_canon
     prints = fingerprints.fingerprints(docs)
     seen = {}
     for r in prints.collect():
@@ -248,12 +329,73 @@ def test_fingerprints(spark, docs, none):
     follow = Counter((x[0], x[2], order[(i + 1) % len(order)][2]) for i, x in enumerate(order))
     assert Counter((r.id, r.text, r.next_text) for r in got) == follow
     assert all((r.least is not None) == (Counter(x[1] for x in order)[r.fp] > 1) for r in got)
-    groups = fingerprints.equal_groups(spark.createDataFrame([(1, "f", "a", 1), (2, "f", "a", 1), (3, "f", "b", 1)], "doc_id long, fp string, canon string, least long"))
-    assert {r.doc_id: r.group_id for r in groups.collect()} == {1: 1, 2: 1, 3: 3}
+    apart = fingerprints.equal_groups(spark.createDataFrame([(1, "f", "a"), (2, "f", "a"), (3, "f", "b"), (4, "f", "b"), (5, "g", "c"), (6, "g", "c")], "doc_id long, fp string, canon string"))
+    assert {(r.fp, r.canon): r.group_id for r in apart.collect()} == {("f", "a"): 1, ("f", "b"): 3}
     empty = fingerprints.fingerprints(none)
     assert fingerprints.with_next(empty, fingerprints.buckets(empty)).count() == 0
 
 
+def plain_canon(s):
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    return re.sub(r"\s+", " ", nfkc(nfkc(s or "").casefold())).strip()
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_fingerprint_query(spark, tmp_path, monkeypatch, weak):
+    """All columns of the query against a plain restatement; with a weak digest that puts unlike texts in one bucket too."""
+    if weak:
+        monkeypatch.setattr(fingerprints, "digest", lambda canon: F.lpad((F.char_length(canon) % 3).cast("string"), 32, "0"))
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 300)
+    texts = [words(k % 7 * 9, k) for k in range(30)] + ["STRASSE", "straße", None, "", " ", "Ünḯ   x", "Ünḯ x", "ﬁne \u2003 Ⅷ", "fine viii", "a\U0001f600b" * 9, *[words(18, 2)] * 4]
+    data = [(10 * k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op7_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    order = sorted(data, reverse=True)
+    first = {}
+    for d, t in data:
+        first.setdefault(plain_canon(t), d)
+    for i, (d, t) in enumerate(order):
+        text, after = t or "", order[(i + 1) % len(order)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + (after[1] or "")[:half]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256, r.group_id) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), first[plain_canon(t)])
+        if not weak:
+            assert (r.near_edited, r.near_next) == (float(plain_canon(edited) == plain_canon(text)), float(plain_canon(after[1]) == plain_canon(text)))
+            assert (r.edited_fingerprint == r.fingerprint) == (plain_canon(edited) == plain_canon(text))
+
+
+def test_composed_transducers():
+    """The one machine writes what the five write one after another, and weighs it alike."""
+    r = random.Random(4)
+    five = [toxicity.INSULTING, toxicity.THREATENING, toxicity.TARGETING, toxicity.NEGATING, toxicity.REPORTING]
+    assert len(toxicity.STEP) == toxicity.MACHINE.states == 32
+    for _ in range(300):
+        state, states = 0, [0] * 5
+        for _ in range(12):
+            symbol = at = r.randrange(6)
+            weight = 1.0
+            for k, t in enumerate(five):
+                states[k], at, w = t.step(states[k], at)
+                weight *= w
+            factor = weight if at in (toxicity.HIT, toxicity.AIM) else 0.0
+            assert abs(toxicity.FACTOR[state][symbol] - factor) < 1e-12
+            state = toxicity.STEP[state][symbol]
+
+
+def test_long_clauses_and_stems(spark):
+    g = toxicity.Grammar({"idiot": 2.0}, {"kill": 1.0})
+    far = " filler" * 400
+    assert g.clauses(f"never{far} an idiot") == [2.0 * 0.3] and g.clauses(f"idiot{far} you") == [2.0 + 2.0 * 0.25]
+    assert g.clauses("kill them. i kill") == [0.5 + 0.25, 0.5] and g.clauses("you kill")[0] == 1.5 * 1.5
+    assert g.clauses(";;idiot;;.x idiot!" + " idiot" * 3) == [2.0, 2.0, 6.0]
+    long = "q" * 30
+    data = [(words(9, k) + f" {long}{'xyz'[k % 3]} ", 1) for k in range(60)] + [(words(9, k) + f" you zorble{k % 5}a", 1) for k in range(60)] + [(words(9, 500 + k) + f" qqqq{k % 9}", 0) for k in range(400)]
+    insults, threats = toxicity.learned_stems(spark.createDataFrame(data, "text string, toxic long"))
+    assert long in insults and any(s.startswith("zor") for s in threats) and not any("qqqq".startswith(s) for s in insults)
+
+
 def test_toxicity(spark, docs, none):
     g = toxicity.Grammar({"idiot": 2.0, "lowei": 3.0}, {"kill": 1.0})
     total = lambda t: sum(g.clauses(t))
@@ -267,7 +409,7 @@ def test_toxicity(spark, docs, none):
     data = bad + good
     r.shuffle(data)
     train = spark.createDataFrame([(i, t, "en", "s", 1, "", 0, 0, "") for i, t, _ in data], SCHEMA)
-    labels = spark.createDataFrame([(i, y, 0) for i, _, y in data] + [(None, 1, 1), (7, None, None)], "doc_id long, toxic int, quality int")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in data] + [(None, 1, 1), (7, None, None), (0, 5, 5)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(train, labels)
     scores = {x.doc_id: x.score for x in toxicity.score(train, model).collect()}
     assert min(scores[i] for i, _, y in data if y) > 0.3 > max(scores[i] for i, _, y in data if not y)
@@ -292,6 +434,38 @@ def test_quality(spark, docs, none):
     assert {x.score for x in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
 
 
+def test_quality_forward_pass(spark):
+    """Word vectors, pooling and the network against loops over tokens."""
+    texts = [words(15, k) for k in range(6)] + ["", "a", "12 ab!? été", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    slots = lambda t: quality.tokens(*T.text_bytes(pa.array([t or ""])))[0].tolist()
+    assert [len(slots(t)) for t in texts[6:]] == [0, 1, 4, 0]
+    sums = defaultdict(lambda: np.zeros(quality.WIDTH))
+    index = defaultdict(lambda: np.zeros(quality.WIDTH))
+    for s in {s for t in texts for s in slots(t)}:
+        for k in range(quality.NONZERO):
+            index[s][quality.PLACES[s, k]] += quality.SIGNS[s, k]
+    for t in texts:
+        x = slots(t)
+        for i, a in enumerate(x):
+            for b in x[max(0, i - quality.REACH) : i] + x[i + 1 : i + 1 + quality.REACH]:
+                sums[a] += index[b]
+    vectors = quality.word_vectors(docs)
+    for s in index:
+        v = np.sign(sums[s]) * np.log1p(np.abs(sums[s]))
+        v = v / max(np.linalg.norm(v), 1e-9) + 0.5 * index[s]
+        assert np.allclose(vectors[s], v, atol=1e-6)
+    net = quality.Network(vectors)
+    net.temperature = 1.7
+    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    for d, t in enumerate(texts):
+        x = [vectors[s].astype(float) for s in slots(t)]
+        f = np.concatenate([np.mean(x, 0), np.mean(np.square(x), 0)]) if x else np.zeros(quality.FEATURES)
+        z = np.tanh(f @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3][0]
+        assert abs(got[d] - 1 / (1 + np.exp(-z / 1.7))) < 1e-5
+    assert (quality.word_vectors(docs.repartition(5)) == vectors).all()
+
+
 def test_mixing(spark, docs, none, monkeypatch):
     monkeypatch.setattr(mixing, "PIECE", 16)
     r = random.Random(8)
@@ -323,3 +497,22 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
     m = mixing.mixed(docs)
     assert m.agg(F.sum("taken")).first()[0] == sum(x.copies * x["size"] for x in mixing.mix(docs).collect())
+    clash = spark.createDataFrame([(1, "a b", "s", 77, "x"), (1, "a b", "s", 77, "y"), (2, "c", "t", 5, "z")], "doc_id long, text string, source string, size long, tag string")
+    assert {(r.doc_id, r["size"], r.tag) for r in mixing.mixed(clash).collect()} <= {(1, 2, "x"), (2, 1, "z")}
+    many = spark.createDataFrame([(i, "w " * (1 + i % 17), f"host{i % 700}") for i in range(1400)], "doc_id long, text string, source string").repartition(6)
+    got = {r.source: r for r in mixing.targets(many.select("source", F.regexp_count("text", F.lit("w")).cast("long").alias("size"))).collect()}
+    size = Counter()
+    for i in range(1400):
+        size[f"host{i % 700}"] += 1 + i % 17
+    left, free, target = 1.5 * sum(size.values()), set(size), {}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(size))}
+    while True:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not full:
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        free -= full
+        left -= sum(target[s] for s in full)
+    target |= {s: level * weight[s] for s in free}
+    assert all(abs(got[s].target - target[s]) < 1e-6 and got[s].source_size == size[s] for s in size)
