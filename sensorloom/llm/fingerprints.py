@@ -22,6 +22,7 @@ from sensorloom.llm._spark import checkpointed, joined
 
 #: Bytes of text in a range of ids.
 RANGE_BYTES = 32 << 20
+PIECE_BYTES = 16 << 10
 
 
 def canonical(text: Column) -> Column:
@@ -62,26 +63,28 @@ def _range_of(i: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, extra: DataFrame) -> DataFrame:
-    """Rows of docs (id, text, canon, fp) with next_text and next_fp, those of the row behind in
+    """Rows of docs (id, text, fp) with next_text and next_fp, those of the row behind in
     descending id (behind the last: the first), and least, from the row of extra (id, fp,
     least) with the same id and fingerprint.
 
-    Ids are cut into ranges of like weight, as many as the bytes of text ask for; each range is
-    a window of its own, to which the first row of the range behind is copied, so no row leaves
+    Ids are cut into ranges of like bytes of text, as many as there are RANGE_BYTES; each range is
+    a task and a window of its own, to which the first row of the range behind is copied, so no row leaves
     its range but the heads.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-int(total) // RANGE_BYTES))
-    bounds = sorted(set(docs.agg(F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 8 * n))).first()[0] or []))
+    # An id counts once for every piece of its text.
+    weighed = docs.select("id", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / PIECE_BYTES).cast("int"))))
+    bounds = sorted(set(weighed.agg(F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 8 * n))).first()[0] or []))
     # Range 0 holds the largest ids.
     heads = [r for r in docs.groupBy(_range_of(F.col("id"), bounds).alias("r")).agg(F.max("id").alias("top")).orderBy("r").collect()]
     # The head of each range, copied behind the last row of the range before it; the first head also behind the last row of all.
     before = [(int(heads[k].top), int(heads[k - 1].r if k else heads[-1].r)) for k in range(len(heads))]
     before = F.broadcast(docs.sparkSession.createDataFrame(before, "top long, to int"))
-    rows = docs.select("id", "text", "canon", "fp", F.lit(None).cast("long").alias("least"), _range_of(F.col("id"), bounds).alias("own")).join(before, F.col("id") == F.col("top"), "left")
+    rows = docs.select("id", "text", "fp", F.lit(None).cast("long").alias("least"), _range_of(F.col("id"), bounds).alias("own")).join(before, F.col("id") == F.col("top"), "left")
     rows = rows.withColumn("kind", F.explode(F.when(F.col("to").isNotNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     rows = rows.withColumn("r", F.when(F.col("kind") == 2, F.col("to")).otherwise(F.col("own"))).drop("own", "top", "to")
-    marks = extra.select("id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("canon"), "fp", "least", F.lit(0).alias("kind"), _range_of(F.col("id"), bounds).alias("r"))
+    marks = extra.select("id", F.lit(None).cast("string").alias("text"), "fp", "least", F.lit(0).alias("kind"), _range_of(F.col("id"), bounds).alias("r"))
     # Copied heads (kind 2) stand last in their window, whatever their id; marks stand just before their rows.
     order = Window.partitionBy("r").orderBy((F.col("kind") == 2).asc(), F.desc("id"), "fp", "kind", "text")
     behind = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -90,9 +93,9 @@ def with_next(docs: DataFrame, extra: DataFrame) -> DataFrame:
     row = F.struct("kind", "text", "fp")
     one, two = F.lead(row, 1).over(order), F.lead(row, 2).over(order)
     after = F.when(one["kind"] > 0, one).otherwise(two)
-    out = rows.union(marks.select(*rows.columns)).repartition(n, "r").withColumn("mark", mark).withColumn("after", after).where("kind = 1")
+    out = rows.union(marks.select(*rows.columns)).repartitionById(len(bounds) + 1, F.col("r")).withColumn("mark", mark).withColumn("after", after).where("kind = 1")
     mine = (F.col("mark.id") == F.col("id")) & (F.col("mark.fp") == F.col("fp"))
-    return out.select("id", "text", "canon", "fp", F.col("after.text").alias("next_text"), F.col("after.fp").alias("next_fp"), F.when(mine, F.col("mark.least")).alias("least"))
+    return out.select("id", "text", "fp", F.col("after.text").alias("next_text"), F.col("after.fp").alias("next_fp"), F.when(mine, F.col("mark.least")).alias("least"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +126,7 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     edited_fp = digest(canonical(edited))
     rows = rows.select(
-        F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), edited_fp.alias("edited_fingerprint"), "next_fp", "least", F.when(F.col("least").isNotNull(), F.col("canon")).alias("canon")
+        F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), edited_fp.alias("edited_fingerprint"), "next_fp", "least", F.when(F.col("least").isNotNull(), canonical(F.col("text"))).alias("canon")
     )
     rows = checkpointed(rows)
     unlike = equal_groups(rows.where("least IS NOT NULL").select("doc_id", F.col("fingerprint").alias("fp"), "canon"))
