@@ -17,7 +17,11 @@ def spike_free(frames: DataFrame, spikes: DataFrame, size: int, before: int, aft
 def leave_one_out(rows: DataFrame, fold: str) -> DataFrame:
     """Every row once per fold, with held (the fold left out) and is_test."""
     folds = rows.select(F.col(fold).alias("held")).distinct()
-    return rows.join(F.broadcast(folds)).withColumn("is_test", F.col(fold) == F.col("held"))
+    return rows.crossJoin(F.broadcast(folds) if folds.count() <= FOLDS else folds).withColumn("is_test", F.col(fold) == F.col("held"))
+
+
+#: Folds that are sent to all tasks.
+FOLDS = 10_000
 
 
 def _draw(seed: int, *parts) -> F.Column:
@@ -65,28 +69,37 @@ def detector_scores(labels: DataFrame, predicted: DataFrame, buffer: int) -> Dat
     """One row: tp, n_label, n_pred, accuracy, recall, precision, f1, mad.
 
     labels and predicted: (id, place).  Within a sample the nearest pairs match first, each
-    place once, up to ``buffer`` apart.
+    place once, up to ``buffer`` apart; of equals the earlier label, then the earlier prediction.
+    Places further apart than the buffer can't compete, so pairs match inside stretches
+    without such gaps.  accuracy: matches over all that are labelled or predicted.
     """
-    both = labels.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("x")).join(predicted.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("y")), "id", "full")
+    w = Window.partitionBy("id").orderBy("place", "side")
+    both = labels.select("id", "place", F.lit(1).alias("side")).union(predicted.select("id", "place", F.lit(2).alias("side")))
+    both = both.withColumn("fresh", F.when(F.col("place") - F.lag("place").over(w) <= buffer, 0).otherwise(1))
+    both = both.withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("place"))))
+    both = both.groupBy("id", "stretch").agg(of(1).alias("x"), of(2).alias("y"))
 
     def match(batches):
         for p in batches:
             out = []
-            for i, x, y in zip(p["id"], p["x"], p["y"]):
-                x, y = list(x if x is not None else ()), list(y if y is not None else ())
-                pairs = sorted((abs(a - b), k, m) for k, a in enumerate(x) for m, b in enumerate(y) if abs(a - b) <= buffer)
-                left, right, gaps = set(), set(), []
+            for x, y in zip(p["x"], p["y"]):
+                x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+                low, high = np.searchsorted(y, x - buffer), np.searchsorted(y, x + buffer, "right")
+                pairs = sorted((abs(int(a - y[m])), k, m) for k, (a, i, j) in enumerate(zip(x, low, high)) for m in range(i, j))
+                left, right, gap = set(), set(), 0
                 for d, k, m in pairs:
                     if k not in left and m not in right:
                         left.add(k)
                         right.add(m)
-                        gaps.append(d)
-                out.append((i, len(gaps), len(x), len(y), float(sum(gaps))))
-            yield pd.DataFrame(out, columns=["id", "tp", "a", "b", "gap"])
+                        gap += d
+                out.append((len(left), len(x), len(y), float(gap)))
+            yield pd.DataFrame(out, columns=["tp", "a", "b", "gap"])
 
-    g = both.mapInPandas(match, "id long, tp long, a long, b long, gap double").agg(*(F.sum(c).alias(c) for c in ("tp", "a", "b", "gap")))
+    g = both.select("x", "y").mapInPandas(match, "tp long, a long, b long, gap double").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "a", "b", "gap")))
     recall, precision = F.try_divide("tp", "a"), F.try_divide("tp", "b")
-    return g.select("tp", F.col("a").alias("n_label"), F.col("b").alias("n_pred"), recall.alias("recall"), precision.alias("precision"), F.try_divide(2 * recall * precision, recall + precision).alias("f1"), F.try_divide("gap", "tp").alias("mad"))
+    accuracy = F.try_divide("tp", F.col("a") + F.col("b") - F.col("tp"))
+    return g.select("tp", F.col("a").alias("n_label"), F.col("b").alias("n_pred"), accuracy.alias("accuracy"), recall.alias("recall"), precision.alias("precision"), F.try_divide(2 * recall * precision, recall + precision).alias("f1"), F.try_divide("gap", "tp").alias("mad"))
 
 
 def threshold_grid(scored: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -100,3 +113,9 @@ def threshold_grid(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     out = out.join(F.broadcast(total)).withColumn("fp", F.col("n") - F.col("tp")).withColumn("fn", F.col("all") - F.col("tp"))
     p, q = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     return out.select("threshold", "tp", "fp", "fn", p.alias("precision"), q.alias("recall"), F.try_divide(2 * p * q, p + q).alias("f1"))
+
+
+def best_threshold(grid: DataFrame) -> DataFrame:
+    """threshold, f1: the row of the largest f1, the lowest threshold of equals; undefined f1 is below all."""
+    best = F.max(F.struct(F.coalesce("f1", F.lit(-1.0)).alias("s"), (-F.col("threshold")).alias("t"), "f1")).alias("x")
+    return grid.agg(best).select((-F.col("x.t")).alias("threshold"), F.col("x.f1").alias("f1"))

@@ -1,7 +1,8 @@
 """Footprints of events on a sensor array, the sequences they form and their assignment.
 
 Scores are (chan, frame, logit) of a detector, traces (chan, frame, v), places (chan, x, y).
-An event is a row (event, root, frame): a peak on its root channel.  A sequence is known by
+An event is a row (event, root, frame): a peak on its root channel.  Where scores, traces and
+events have a column rec_id, recordings are kept apart.  A sequence is known by
 its statistics on each channel; seq, chan, prob, latency, amp and amp_sd, plus its roots.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import sigmoid
 from sensorloom.operators.joins import neighbours
-from sensorloom.operators.traces import MAD
+from sensorloom.operators.traces import line_keys, preceding_noise
 
 
 def reach(places: DataFrame, radius: float) -> DataFrame:
@@ -32,18 +33,19 @@ def footprint(events: DataFrame, scores: DataFrame, near: DataFrame, half: int)
     """
     grid = events.join(near, "root").withColumn("d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).where("chan <> root OR d = 0")
     grid = grid.withColumn("at", F.col("frame") + F.col("d"))
-    rows = grid.join(scores.select("chan", F.col("frame").alias("at"), "logit"), ["chan", "at"])
+    keys = line_keys(scores)
+    rows = grid.join(scores.select(*keys, F.col("frame").alias("at"), "logit"), [*keys, "at"])
     best = F.max(F.struct("logit", (-F.col("d")).alias("d")))
-    out = rows.groupBy("event", "root", "frame", "chan").agg(best.alias("b"))
-    return out.select("event", "root", "frame", "chan", sigmoid(F.col("b.logit")).alias("prob"), (-F.col("b.d")).cast("int").alias("latency"))
+    out = rows.groupBy("event", "root", "frame", *keys).agg(best.alias("b"))
+    return out.select("event", "root", "frame", *keys, sigmoid(F.col("b.logit")).alias("prob"), (-F.col("b.d")).cast("int").alias("latency"))
 
 
 def amplitudes(foot: DataFrame, trace: DataFrame, noise_frames: int, half: int, floor: float = 0.5) -> DataFrame:
     """foot with amp: |v| at frame + latency over the median of |v| of the noise_frames before frame - half, / 0.6745."""
-    w = Window.partitionBy("chan").orderBy("frame").rangeBetween(-noise_frames - half, -half - 1)
-    noise = trace.select("chan", "frame", F.greatest(F.lit(floor), F.coalesce(F.percentile(F.abs("v"), 0.5).over(w) / MAD, F.lit(floor))).alias("noise"))
-    at = trace.select("chan", F.col("frame").alias("at"), F.abs("v").alias("a"))
-    rows = foot.join(noise, ["chan", "frame"]).withColumn("at", F.col("frame") + F.col("latency")).join(at, ["chan", "at"])
+    keys = line_keys(trace)
+    noise = preceding_noise(trace.select(*keys, "frame", "v"), noise_frames, floor, half).select(*keys, "frame", "noise")
+    at = trace.select(*keys, F.col("frame").alias("at"), F.abs("v").alias("a"))
+    rows = foot.join(noise, [*keys, "frame"]).withColumn("at", F.col("frame") + F.col("latency")).join(at, [*keys, "at"])
     return rows.select(*foot.columns, (F.col("a") / F.col("noise")).alias("amp"))
 
 
@@ -60,8 +62,9 @@ def dominant(foot: DataFrame) -> DataFrame:
 
 def not_array_noise(events: DataFrame, scores: DataFrame, loose: float, most: int, closed: bool) -> DataFrame:
     """Events on whose frame fewer than ``most`` channels reach loose; ``closed``: that many are still allowed."""
-    busy = scores.where(sigmoid(F.col("logit")) >= loose).groupBy("frame").agg(F.count("*").alias("busy"))
-    rows = events.join(busy, "frame", "left").withColumn("busy", F.coalesce("busy", F.lit(0)))
+    keys = [c for c in ("rec_id", "frame") if c in scores.columns]
+    busy = scores.where(sigmoid(F.col("logit")) >= loose).groupBy(*keys).agg(F.count("*").alias("busy"))
+    rows = events.join(busy, keys, "left").withColumn("busy", F.coalesce("busy", F.lit(0)))
     return rows.where(F.col("busy") <= most if closed else F.col("busy") < most).select(*events.columns)
 
 

@@ -34,13 +34,22 @@ def agg16_cmp16_threshold_grid(spark, sf):
     return rounded(D.threshold_grid(rows, [k / 10 for k in range(1, 10)]))
 
 
-@query(f"WITH {TRACE}, n AS (SELECT chan, frame, lag(v) OVER w AS a, v, lead(v) OVER w AS b FROM trace WINDOW w AS (PARTITION BY chan ORDER BY frame)), l AS (SELECT chan, frame FROM n WHERE v > a AND v > b AND v >= 85000 AND frame % 16 < 8), p AS (SELECT chan, frame FROM n WHERE v > a AND v > b AND v >= 90000 AND frame % 16 < 8) SELECT (SELECT count(*) FROM p) AS tp, (SELECT count(*) FROM l) AS n_label, (SELECT count(*) FROM p) AS n_pred, round((SELECT count(*) FROM p) / (SELECT count(*) FROM l)::DOUBLE, 6) AS recall, 1.0::DOUBLE AS \"precision\", 0.0::DOUBLE AS mad")
+@query()
 def agg15_detector_scores(spark, sf):
-    """Peaks over 90000 against those over 85000: every prediction is also a label, so it matches itself."""
-    near = T.local_maxima(trace(spark, sf), 85_000.0).where("frame % 16 < 8")
-    label = near.select(F.col("chan").alias("id"), F.col("frame").alias("place"))
-    found = near.where("v >= 90000").select(F.col("chan").alias("id"), F.col("frame").alias("place"))
-    return rounded(D.detector_scores(label, found, 0).drop("f1"))
+    """Frames of a high absolute value as predictions of peaks: within eight frames, nearest first, each once."""
+    t = trace(spark, sf)
+    label = T.local_maxima(t, 85_000.0).select(F.col("chan").alias("id"), F.col("frame").alias("place"))
+    found = T.rms_detections(t, 1.6).select(F.col("chan").alias("id"), F.col("frame").alias("place"))
+    return D.detector_scores(label, found, 8)
+
+
+@query("""WITH t AS (SELECT unnest(range(1, 20)) / 20.0::DOUBLE AS threshold), s AS (SELECT n_chars % 1000 / 1000.0::DOUBLE AS score, toxic FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT threshold, count(*) FILTER (score >= threshold AND toxic = 1) AS tp, count(*) FILTER (score >= threshold AND toxic = 0) AS fp, count(*) FILTER (score < threshold AND toxic = 1) AS fn FROM t CROSS JOIN s GROUP BY 1)
+SELECT round(threshold, 6) AS threshold, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c ORDER BY 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) DESC NULLS LAST, threshold LIMIT 1""")
+def agg16_best_threshold(spark, sf):
+    s = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = s.select((F.col("n_chars") % 1000 / 1000.0).alias("score"), F.col("toxic").cast("long").alias("label"))
+    return rounded(D.best_threshold(D.threshold_grid(rows, [k / 20 for k in range(1, 20)])))
 
 
 @query()

@@ -17,16 +17,14 @@ from sensorloom.plans.registry import query, r, rounded
 from sensorloom.plans.tables import PLACES, TRACE, places, trace
 
 HALF, NOISE, RADIUS = 4, 40, 45.0
-#: Queries with SQL take the events of every second frame, as their SQL does; the others take all.
-IN_SQL = 2
 
 
 def _scores(spark, sf):
     return trace(spark, sf).select("chan", "frame", ((F.col("v") - 60_000) / 8_000).alias("logit"))
 
 
-def _events(spark, sf, least=80_000.0, step=1):
-    e = T.local_maxima(trace(spark, sf), least).where(F.col("frame") % step == 0)
+def _events(spark, sf, least=80_000.0):
+    e = T.local_maxima(trace(spark, sf), least)
     return e.select(F.concat_ws("-", "chan", "frame").alias("event"), F.col("chan").alias("root"), "frame")
 
 
@@ -34,17 +32,17 @@ def _near(spark, sf):
     return Q.reach(places(spark, sf), RADIUS)
 
 
-def _foot(spark, sf, step=1):
-    return Q.footprint(_events(spark, sf, step=step), _scores(spark, sf), _near(spark, sf), HALF)
+def _foot(spark, sf):
+    return Q.footprint(_events(spark, sf), _scores(spark, sf), _near(spark, sf), HALF)
 
 
-def _measured(spark, sf, step=1):
-    return Q.amplitudes(_foot(spark, sf, step=step), trace(spark, sf), NOISE, HALF)
+def _measured(spark, sf):
+    return Q.amplitudes(_foot(spark, sf), trace(spark, sf), NOISE, HALF)
 
 
 _DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _EV = f"""WITH {TRACE}, {PLACES}, nb AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM trace WINDOW w AS (PARTITION BY chan ORDER BY frame)),
-ev AS (SELECT chan || '-' || frame AS event, chan AS root, frame FROM nb WHERE v > p AND v > q AND v >= 80000 AND frame % 2 = 0),
+ev AS (SELECT chan || '-' || frame AS event, chan AS root, frame FROM nb WHERE v > p AND v > q AND v >= 80000),
 nr AS (SELECT a.chan AS root, b.chan FROM places a JOIN places b ON {_DIST} <= {RADIUS})"""
 _FT = f"""fw AS (SELECT event, ev.root, ev.frame, nr.chan, t.frame - ev.frame AS d, (t.v - 60000) / 8000 AS logit FROM ev JOIN nr ON nr.root = ev.root JOIN trace t ON t.chan = nr.chan AND t.frame BETWEEN ev.frame - {HALF} AND ev.frame + {HALF} WHERE nr.chan <> ev.root OR t.frame = ev.frame),
 ft AS (SELECT event, root, frame, chan, 1 / (1 + exp(-greatest(-9.0, least(10.0, logit)))) AS prob, CAST(d AS INT) AS latency FROM fw QUALIFY row_number() OVER (PARTITION BY event, chan ORDER BY logit DESC, d) = 1)"""
@@ -54,29 +52,28 @@ fa AS (SELECT ft.*, abs(t.v) / noise AS amp FROM ft JOIN ns ON ns.chan = ft.chan
 
 @query(f"{_EV}, {_FT} SELECT event, chan, round(prob, 6) AS prob, latency FROM ft")
 def jn18_wfm2_footprints(spark, sf):
-    return rounded(_foot(spark, sf, step=IN_SQL).select("event", "chan", "prob", "latency"))
+    return rounded(_foot(spark, sf).select("event", "chan", "prob", "latency"))
 
 
 @query(f"{_EV}, {_FT} SELECT event, root, chan, round(prob, 6) AS prob, latency FROM ft WHERE chan <> root AND prob >= 0.9")
 def jn2_codetections(spark, sf):
-    return rounded(Q.codetections(_foot(spark, sf, step=IN_SQL), 0.9).select("event", "root", "chan", "prob", "latency"))
+    return rounded(Q.codetections(_foot(spark, sf), 0.9).select("event", "root", "chan", "prob", "latency"))
 
 
 @query(f"{_EV}, {_FT} SELECT root, event, count(*) + 1 AS channels FROM ft WHERE chan <> root AND prob >= 0.9 GROUP BY 1, 2 HAVING count(*) + 1 >= 4")
 def seq16_rich_events(spark, sf):
-    return Q.rich_events(Q.codetections(_foot(spark, sf, step=IN_SQL), 0.9), 4)
+    return Q.rich_events(Q.codetections(_foot(spark, sf), 0.9), 4)
 
 
-
-@query(f"{_EV}, {_FT}, {_AM} SELECT event, chan, round(amp, 4) AS amp FROM fa WHERE frame >= 60")
+@query(f"{_EV}, {_FT}, {_AM} SELECT event, chan, round(amp, 4) AS amp FROM fa")
 def agg28_amplitudes(spark, sf):
-    """From the frame on where every noise window is full."""
-    return rounded(_measured(spark, sf, step=IN_SQL).where("frame >= 60").select("event", "chan", "amp"), 4)
+    """Noise windows may be partial or empty: the floor then stands for the noise."""
+    return rounded(_measured(spark, sf).select("event", "chan", "amp"), 4)
 
 
 @query(f"{_EV}, {_FT}, {_AM} SELECT event FROM fa GROUP BY event HAVING max(amp) FILTER (chan = root) >= max(amp)")
 def flt5_dominant_roots(spark, sf):
-    return Q.dominant(_measured(spark, sf, step=IN_SQL))
+    return Q.dominant(_measured(spark, sf))
 
 
 _BUSY = "bs AS (SELECT frame, count(*) AS busy FROM trace WHERE 1 / (1 + exp(-greatest(-9.0, least(10.0, (v - 60000) / 8000)))) >= 0.9 GROUP BY frame)"
@@ -84,7 +81,7 @@ _BUSY = "bs AS (SELECT frame, count(*) AS busy FROM trace WHERE 1 / (1 + exp(-gr
 
 @query(f"{_EV}, {_BUSY} SELECT event, coalesce(busy, 0) < 20 AS forming, coalesce(busy, 0) <= 20 AS assigning FROM ev LEFT JOIN bs USING (frame) WHERE coalesce(busy, 0) <= 20")
 def flt4_array_noise(spark, sf):
-    e, s = _events(spark, sf, step=IN_SQL), _scores(spark, sf)
+    e, s = _events(spark, sf), _scores(spark, sf)
     strict = Q.not_array_noise(e, s, 0.9, 20, closed=False).select("event", F.lit(True).alias("forming"))
     return Q.not_array_noise(e, s, 0.9, 20, closed=True).select("event").join(strict, "event", "left").select("event", F.coalesce("forming", F.lit(False)).alias("forming"), F.lit(True).alias("assigning"))
 
@@ -92,14 +89,14 @@ def flt4_array_noise(spark, sf):
 _ST = """st AS (SELECT root AS seq, chan, count(*) AS n, CASE WHEN quantile_cont(prob, 0.5) < 0.03 THEN 0.0 ELSE quantile_cont(prob, 0.5) END AS prob, avg(latency) AS latency, avg(amp) AS amp, stddev_samp(amp) AS amp_sd FROM fa GROUP BY 1, 2)"""
 
 
-def _statistics(spark, sf, step=1):
-    f = _measured(spark, sf, step=step)
+def _statistics(spark, sf):
+    f = _measured(spark, sf)
     return Q.statistics(f, f.select(F.col("root").alias("seq"), "event").distinct())
 
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST} SELECT seq, chan, n, round(prob, 6) AS prob, round(latency, 6) AS latency, round(amp, 4) AS amp, round(amp_sd, 4) AS amp_sd FROM st")
 def agg11_d13_d14_statistics(spark, sf):
-    return _statistics(spark, sf, step=IN_SQL).select("seq", "chan", "n", r("prob").alias("prob"), r("latency").alias("latency"), r("amp", 4).alias("amp"), r("amp_sd", 4).alias("amp_sd"))
+    return _statistics(spark, sf).select("seq", "chan", "n", r("prob").alias("prob"), r("latency").alias("latency"), r("amp", 4).alias("amp"), r("amp_sd", 4).alias("amp_sd"))
 
 
 _RO = f"""n5 AS (SELECT a.chan AS c, b.chan AS chan FROM places a JOIN places b ON {_DIST} <= 45),
@@ -111,19 +108,19 @@ def _roots(spark, sf):
     return places(spark, sf).select(F.col("chan").alias("seq"), F.col("chan").alias("root"), F.lit(0).alias("ord"))
 
 
-def _roled(spark, sf, step=1):
+def _roled(spark, sf):
     roots = _roots(spark, sf)
-    return Q.roles(_statistics(spark, sf, step=step), roots, roots.select("seq", F.col("root").alias("chan")), places(spark, sf), 0.85, 45.0)
+    return Q.roles(_statistics(spark, sf), roots, roots.select("seq", F.col("root").alias("chan")), places(spark, sf), 0.85, 45.0)
 
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO} SELECT seq, chan, loose, inner_loose, comp, round(min_loose, 6) AS min_loose FROM ro")
 def seq4_d12_roles(spark, sf):
-    return rounded(_roled(spark, sf, step=IN_SQL).select("seq", "chan", "loose", "inner_loose", "comp", "min_loose"))
+    return rounded(_roled(spark, sf).select("seq", "chan", "loose", "inner_loose", "comp", "min_loose"))
 
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO} SELECT seq FROM ro GROUP BY seq HAVING count(*) FILTER (inner_loose) >= 3 AND count(*) FILTER (loose) >= 4 AND count(*) FILTER (prob >= 0.85) < 12")
 def flt3_seq5_filtered(spark, sf):
-    return Q.filtered(_roled(spark, sf, step=IN_SQL), 0.85, noise=12)
+    return Q.filtered(_roled(spark, sf), 0.85, noise=12)
 
 
 _MG = f"""cl AS (SELECT a.chan AS a, b.chan AS b FROM places a JOIN places b ON a.chan < b.chan AND {_DIST} < 45),
@@ -136,13 +133,13 @@ sum(least(abs(aa - ab) / ((aa + ab) / 2), 0.9) * (pa + pb) / 2) FILTER (comp) /
 FROM en WHERE common >= 4 AND common >= either / 3.0::DOUBLE AND inn >= 3 GROUP BY a, b)"""
 
 
-def _merges(spark, sf, step=1):
-    return Q.merge_tests(_roled(spark, sf, step=step), _roots(spark, sf), places(spark, sf), 45.0)
+def _merges(spark, sf):
+    return Q.merge_tests(_roled(spark, sf), _roots(spark, sf), places(spark, sf), 45.0)
 
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO}, {_MG} SELECT a, b, round(ld, 5) AS latency_diff, round(ad, 5) AS amp_diff, round(z, 5) AS z, round(ld / 2.5 + ad / 0.45, 5) AS score FROM mg WHERE ld <= 2.5 AND ad <= 0.45 AND z <= 2.5")
 def seq8_seq9_merge_tests(spark, sf):
-    return rounded(_merges(spark, sf, step=IN_SQL), 5)
+    return rounded(_merges(spark, sf), 5)
 
 
 _CA = """cd AS (SELECT fa.event, fa.frame, ro.seq, max(fa.prob) FILTER (fa.chan = fa.root) AS rp, count(*) FILTER (fa.prob >= 0.85 AND inner_loose) AS ni, count(*) FILTER (fa.prob >= 0.85 AND loose) AS nl, count(*) FILTER (fa.prob >= 0.85 AND comp) AS nc, min(min_loose) AS ml,
@@ -151,13 +148,13 @@ max(abs(fa.amp - ro.amp) / nullif(amp_sd, 0)) FILTER (fa.chan = fa.root) AS z FR
 cc AS (SELECT event, frame, seq, 2.1 - (ld / 2.5 + ad / 0.45 - 0.5 * nl / nc) AS score FROM cd WHERE rp >= 0.9 AND ni >= 3 AND nl >= ceil(ml) AND ld <= 2.5 AND ad <= 0.45 AND z <= 2.5)"""
 
 
-def _candidates(spark, sf, step=1):
-    return Q.candidates(_measured(spark, sf, step=step), _roled(spark, sf, step=step), _roots(spark, sf), 0.9, 0.85)
+def _candidates(spark, sf):
+    return Q.candidates(_measured(spark, sf), _roled(spark, sf), _roots(spark, sf), 0.9, 0.85)
 
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO}, {_CA} SELECT event, seq, round(score, 5) AS score FROM cc")
 def asg2_candidates(spark, sf):
-    return rounded(_candidates(spark, sf, step=IN_SQL).select("event", "seq", "score"), 5)
+    return rounded(_candidates(spark, sf).select("event", "seq", "score"), 5)
 
 
 @query()
@@ -169,7 +166,7 @@ def asg1_flt_assigned(spark, sf):
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO}, bt AS (SELECT ro.seq, ro.chan FROM ro JOIN st h ON h.seq = ro.seq AND h.chan = h.seq WHERE ro.latency <= -0.2 AND ro.amp >= 0.5 * h.amp AND ro.prob >= 0.85 QUALIFY row_number() OVER (PARTITION BY ro.seq ORDER BY ro.latency, ro.chan) = 1) SELECT p.chan AS seq, coalesce(bt.chan, p.chan) AS root FROM places p LEFT JOIN bt ON bt.seq = p.chan")
 def seq12_relocated(spark, sf):
-    return Q.relocated(_roled(spark, sf, step=IN_SQL), _roots(spark, sf), -0.2, 0.5, 0.85)
+    return Q.relocated(_roled(spark, sf), _roots(spark, sf), -0.2, 0.5, 0.85)
 
 
 @query()
@@ -187,7 +184,7 @@ def seq1_seq2_seq3_split_events(spark, sf):
 
 @query(f"{_EV} SELECT root AS seq, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS idx, count(*) AS n FROM ev GROUP BY root")
 def srt1_ordered_sequences(spark, sf):
-    n = _events(spark, sf, step=IN_SQL).groupBy("root").agg(F.count("*").alias("n"))
+    n = _events(spark, sf).groupBy("root").agg(F.count("*").alias("n"))
     return n.select(F.col("root").alias("seq"), (F.row_number().over(Window.orderBy("root")) - 1).cast("int").alias("idx"), "n")
 
 
@@ -195,7 +192,7 @@ def srt1_ordered_sequences(spark, sf):
 def asg5_window_tiling(spark, sf):
     """Windows step by twice the half size less the margins; peak regions tile without overlap."""
     step = 2 * 60 - HALF - HALF
-    e = _events(spark, sf, step=IN_SQL).where("frame >= 44")
+    e = _events(spark, sf).where("frame >= 44")
     return e.select("event", F.floor((F.col("frame") - 44) / step).alias("tile"), ((F.col("frame") - 44) % step).alias("at"))
 
 

@@ -51,18 +51,19 @@ def evt5_runs_above(spark, sf):
     return T.runs_above(trace(spark, sf), 60_000.0)
 
 
-@query(f"""WITH {TRACE}, c AS (SELECT chan, frame FROM trace WHERE frame % 50 = 25)
-SELECT c.chan, c.frame, (SELECT min(frame) FROM trace t WHERE t.chan = c.chan AND t.frame BETWEEN c.frame - 10 AND c.frame + 10 AND t.v = (SELECT min(v) FROM trace t WHERE t.chan = c.chan AND t.frame BETWEEN c.frame - 10 AND c.frame + 10)) AS centre FROM c""")
+@query(f"""WITH {TRACE} SELECT chan, frame, min({{'v': v, 'f': frame}}) OVER (PARTITION BY chan ORDER BY frame RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING).f AS centre FROM trace""".replace("min({'v'", "(min({'v'").replace("FOLLOWING).f", "FOLLOWING)).f"))
 def evt6_recentred(spark, sf):
-    """Every 50th frame moved to the trough within ten frames: the largest -v, the first of equals."""
+    """Every frame moved to the trough within ten frames: the largest -v, the first of equals."""
     rows = T.sliding_peak(trace(spark, sf).withColumn("v", -F.col("v")), 10)
-    return rows.where("frame % 50 = 25").select("chan", "frame", F.col("top_frame").alias("centre"))
+    return rows.select("chan", "frame", F.col("top_frame").alias("centre"))
 
 
-@query(f"WITH {TRACE} SELECT a.chan, a.frame, b.chan AS other, b.v AS amp FROM trace a JOIN trace b USING (frame) WHERE a.v >= 80000 AND b.v >= 80000")
+@query(_NEAR + ", c AS (SELECT chan, frame FROM n WHERE v > a AND v > b AND v >= 80000) SELECT c.chan, c.frame, count(*) AS channels, max(v) AS top, round(sum(v), 2) AS total FROM c JOIN trace t ON t.frame = c.frame GROUP BY 1, 2")
 def evt9_amplitudes_at_crossings(spark, sf):
-    a = trace(spark, sf).where("v >= 80000")
-    return a.select("chan", "frame").join(a.select(F.col("chan").alias("other"), "frame", F.col("v").alias("amp")), "frame")
+    """The amplitudes of all channels at each crossing, summed up by crossing."""
+    found = T.local_maxima(trace(spark, sf), 80_000.0)
+    rows = T.amplitudes_at(trace(spark, sf), found.select("chan", "frame"))
+    return rows.groupBy("chan", "frame").agg(F.count("*").alias("channels"), F.max("amp").alias("top"), r(F.sum("amp"), 2).alias("total"))
 
 
 @query(f"""WITH {TRACE} SELECT chan, frame, round(greatest(0.5, quantile_cont(abs(v), 0.5) OVER (PARTITION BY chan ORDER BY frame RANGE BETWEEN 50 PRECEDING AND 1 PRECEDING) / 0.6745), 4) AS noise FROM trace""")

@@ -10,6 +10,7 @@ from sensorloom.operators import correlograms as P
 from sensorloom.operators import curation as U
 from sensorloom.operators import spikes as K
 from sensorloom.operators import templates as W
+from sensorloom.operators import traces as T
 from sensorloom.plans.registry import query, r, rounded
 from sensorloom.plans.tables import MINUTE, PLACES, SPIKES, TRACE, WAVES, places, spikes, table, trace, waveforms
 
@@ -90,10 +91,11 @@ def flt9_flt11_channel_gates(spark, sf):
     return g.where("amp >= 0.02 AND s <= 8").groupBy("unit").agg(F.count("*").alias("channels"))
 
 
-@query(f"WITH {TRACE}, s AS (SELECT chan, frame FROM trace WHERE frame % 100 = 99), g AS (SELECT chan, frame, unnest(range(-3, 4)) AS sample FROM s) SELECT g.chan AS unit, g.frame AS spike, g.chan, sample, coalesce(v, 0.0) AS v FROM g LEFT JOIN trace t ON t.chan = g.chan AND t.frame = g.frame + sample")
+@query(f"WITH {TRACE}, n AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM trace WINDOW w AS (PARTITION BY chan ORDER BY frame)), s AS (SELECT chan, frame FROM n WHERE v > a AND v > b AND v >= 80000), g AS (SELECT chan, frame, unnest(range(-3, 4)) AS sample FROM s), h AS (SELECT *, frame + sample AS at FROM g) SELECT h.chan AS unit, h.frame AS spike, h.chan, sample, coalesce(v, 0.0) AS v FROM h LEFT JOIN trace t ON t.chan = h.chan AND t.frame = h.at")
 def wfm1_win12_windows(spark, sf):
+    """Seven samples around every detected peak, zeros beyond the ends."""
     t = trace(spark, sf)
-    s = t.where("frame % 100 = 99").select(F.col("chan").alias("unit"), F.col("frame").alias("spike"), "chan", "frame")
+    s = T.local_maxima(t, 80_000.0).select(F.col("chan").alias("unit"), F.col("frame").alias("spike"), "chan", "frame")
     return W.windows(t, s, 3, 3)
 
 
