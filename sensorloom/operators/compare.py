@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.graphs import linked
 from sensorloom.operators.joins import band_join
 
 
-def _merged(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """u1, u2, t, side for every pair of units."""
-    left = pairs.join(a.select(F.col("unit").alias("u1"), "t"), "u1").select("u1", "u2", "t", F.lit(1).alias("side"))
-    right = pairs.join(b.select(F.col("unit").alias("u2"), "t"), "u2").select("u1", "u2", "t", F.lit(2).alias("side"))
-    return left.union(right)
+def _merged(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
+    """u1, u2, t, side of the spikes of every pair of units that are at most delta from one of the other train.
+
+    Only those can match, and no train is copied to units that it never meets.
+    """
+    met = band_join(a.select(F.col("unit").alias("u1"), "t"), b.select(F.col("unit").alias("u2"), F.col("t").alias("rt")), delta, delta)
+    met = met.join(pairs.select("u1", "u2"), ["u1", "u2"], "left_semi")
+    both = F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("side")), F.struct(F.col("rt").alias("t"), F.lit(2).alias("side")))
+    rows = met.select("u1", "u2", F.explode(both).alias("x")).select("u1", "u2", "x.t", "x.side").distinct()
+    # Spikes of one time in a train come back as often as they are.
+    often = a.select("unit", "t", F.lit(1).alias("side")).union(b.select("unit", "t", F.lit(2).alias("side"))).groupBy("unit", "t", "side").agg(F.count("*").alias("k")).where("k > 1")
+    rows = rows.withColumn("unit", F.when(F.col("side") == 1, F.col("u1")).otherwise(F.col("u2"))).join(often, ["unit", "t", "side"], "left")
+    return rows.select("u1", "u2", "t", "side", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("k", F.lit(1).cast("long"))))).drop("col")
 
 
 def run_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
@@ -25,11 +32,12 @@ def run_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> Dat
     A chain counts once, whatever its length; on equal times train 1 comes first.
     """
     w = Window.partitionBy("u1", "u2").orderBy("t", "side")
-    rows = _merged(a, b, pairs)
+    rows = _merged(a, b, pairs, delta)
     hit = (F.lead("t").over(w) - F.col("t") <= delta) & (F.lead("side").over(w) != F.col("side"))
     rows = rows.withColumn("hit", F.coalesce(hit, F.lit(False)))
     rows = rows.withColumn("begins", F.col("hit") & ~F.coalesce(F.lag("hit").over(w), F.lit(False)))
-    return rows.groupBy("u1", "u2").agg(F.count_if("begins").alias("n"))
+    n = rows.groupBy("u1", "u2").agg(F.count_if("begins").alias("n"))
+    return pairs.select("u1", "u2").join(n, ["u1", "u2"], "left").select("u1", "u2", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def greedy_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
@@ -39,7 +47,7 @@ def greedy_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) ->
     such gaps, not over whole trains.
     """
     w = Window.partitionBy("u1", "u2").orderBy("t", "side")
-    rows = _merged(a, b, pairs).withColumn("fresh", F.when(F.col("t") - F.lag("t").over(w) <= delta, 0).otherwise(1))
+    rows = _merged(a, b, pairs, delta).withColumn("fresh", F.when(F.col("t") - F.lag("t").over(w) <= delta, 0).otherwise(1))
     rows = rows.withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("t"))))
     both = rows.groupBy("u1", "u2", "stretch").agg(of(1).alias("x"), of(2).alias("y")).where("size(x) > 0 AND size(y) > 0")
@@ -118,25 +126,7 @@ def one_to_one(scores: DataFrame, least: float) -> DataFrame:
         out = [(rows[i], cols[j], grid[i, j]) for i, j in assignment(-grid) if grid[i, j] > 0]
         return pd.DataFrame(out, columns=["u1", "u2", "score"])
 
-    return linked(strong).groupBy("part").applyInPandas(solve, "u1 long, u2 long, score double")
-
-
-def linked(pairs: DataFrame) -> DataFrame:
-    """Pairs (u1, u2, ...) with part, the same for pairs that a chain of shared units connects.
-
-    Labels fall to the least of a unit's pairs round by round; each round is written to the
-    checkpoint folder, so that plans don't grow.
-    """
-    context = pairs.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    part, before = pairs.withColumn("part", F.col("u1").cast("long")), None
-    while True:
-        part = part.withColumn("part", F.min("part").over(Window.partitionBy("u2"))).withColumn("part", F.min("part").over(Window.partitionBy("u1"))).checkpoint()
-        total = part.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return part
-        before = total
+    return linked(strong, sides=True).groupBy("part").applyInPandas(solve, "u1 long, u2 long, score double")
 
 
 def nearest_first(a: DataFrame, b: DataFrame, delta: int) -> DataFrame:
@@ -180,16 +170,17 @@ def placed_matches(left: DataFrame, right: DataFrame, delta: int, radius: float)
     return rows.groupBy("stretch").applyInPandas(take, "id long, rid long")
 
 
-def average_linkage(scores: DataFrame, least: float) -> DataFrame:
+def average_linkage(scores: DataFrame, least: float, missing: float = 0.0) -> DataFrame:
     """unit, cluster (its smallest unit): pairs of clusters merge, best first, while their mean score is ``least`` or more.
 
-    scores: u1, u2, score, missing pairs count 0.  Units that no score connects are merged apart from each other.
+    scores: u1, u2, score; pairs that aren't listed count ``missing``, an extremum for those that
+    may not merge.  Units that no score connects are merged apart from each other.
     """
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
         units = sorted({*p["u1"], *p["u2"]})
         at = {u: i for i, u in enumerate(units)}
-        total = np.zeros((len(units), len(units)))
+        total = np.full((len(units), len(units)), missing)
         for a, b, s in zip(p["u1"], p["u2"], p["score"]):
             total[at[a], at[b]] = total[at[b], at[a]] = s
         groups = [[u] for u in units]
@@ -207,3 +198,17 @@ def average_linkage(scores: DataFrame, least: float) -> DataFrame:
         return pd.DataFrame([(u, min(g)) for g in groups for u in g], columns=["unit", "cluster"])
 
     return linked(scores.where("u1 <> u2").select("u1", "u2", "score")).groupBy("part").applyInPandas(merge, "unit long, cluster long")
+
+
+def rank_scores(top: DataFrame, events: DataFrame, spikes: DataFrame, delta: int) -> DataFrame:
+    """unit, rank, chan, tp, fp, fn: the events of a unit's strongest channels against its spikes.
+
+    top: (unit, chan, rank), events: (chan, t), spikes: (unit, t); runs of neighbours count as in run_matches.
+    """
+    pairs = top.select(F.col("chan").cast("long").alias("u1"), F.col("unit").cast("long").alias("u2")).distinct()
+    n = run_matches(events.select(F.col("chan").cast("long").alias("unit"), "t"), spikes.select(F.col("unit").cast("long").alias("unit"), "t"), pairs, delta)
+    found = events.groupBy("chan").agg(F.count("*").alias("found"))
+    fired = spikes.groupBy("unit").agg(F.count("*").alias("fired"))
+    rows = top.join(n.select(F.col("u1").alias("chan"), F.col("u2").alias("unit"), F.col("n").alias("tp")), ["chan", "unit"]).join(found, "chan", "left").join(fired, "unit", "left")
+    none = F.lit(0).cast("long")
+    return rows.select("unit", "rank", "chan", "tp", (F.coalesce("found", none) - F.col("tp")).alias("fp"), (F.coalesce("fired", none) - F.col("tp")).alias("fn"))

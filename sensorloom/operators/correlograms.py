@@ -22,30 +22,25 @@ def lags(events: DataFrame, before: int, after: int, step: int, chan: str = "cha
     return pairs.groupBy("ref", "tar", k.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def dense(counted: DataFrame, bins: int) -> DataFrame:
-    """The same with a row for each bin 0 to bins - 1 of every pair."""
-    every = counted.select("ref", "tar").distinct().select("ref", "tar", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(counted, ["ref", "tar", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-
-
 def cohorts(counted: DataFrame, bins: int, narrow: int, wide: int, ratio: float) -> DataFrame:
     """ref, tar, delay (bin), n1, n2, ratio of pairs with n1 >= ratio * n2 and n2 >= 1.
 
     n1: most events in narrow + 1 bins, the first such window; delay: its first largest bin;
     n2: the events of the wide window around the delay, moved inside where it meets an end.
+    The bins of a pair are one array, so pairs are grouped once.
     """
-    w = Window.partitionBy("ref", "tar")
-    rows = dense(counted, bins).withColumn("moving", F.sum("n").over(w.orderBy("bin").rowsBetween(0, narrow)))
-    full = F.col("bin") <= bins - 1 - narrow
-    rows = rows.withColumn("best", F.max(F.when(full, F.struct(F.col("moving").alias("m"), (-F.col("bin")).alias("b")))).over(w))
-    rows = rows.withColumn("loc", -F.col("best.b"))
-    inside = F.col("bin").between(F.col("loc"), F.col("loc") + narrow)
-    rows = rows.withColumn("delay", -F.max(F.when(inside, F.struct("n", (-F.col("bin")).alias("b")))).over(w)["b"])
+    at = lambda k: F.coalesce(F.sum(F.when(F.col("bin") == k, F.col("n"))), F.lit(0)).cast("long")
+    rows = counted.groupBy("ref", "tar").agg(F.array(*(at(k) for k in range(bins))).alias("h"))
+    part = lambda low, size: F.aggregate(F.slice("h", low + 1, size), F.lit(0).cast("long"), lambda a, x: a + x)
+    starts = F.sequence(F.lit(0), F.lit(bins - 1 - narrow))
+    best = F.array_max(F.transform(starts, lambda k: F.struct(part(k, F.lit(narrow + 1)).alias("m"), (-k).alias("b"))))
+    rows = rows.withColumn("best", best).withColumn("loc", -F.col("best.b"))
+    rows = rows.withColumn("delay", -F.array_max(F.transform(F.sequence(F.lit(0), F.lit(narrow)), lambda k: F.struct(F.get("h", F.col("loc") + k).alias("n"), (-(F.col("loc") + k)).alias("b"))))["b"])
     half = wide // 2
     low = F.when(F.col("delay") - half < 0, 0).when(F.col("delay") + half + 1 > bins, bins - wide - 1).otherwise(F.col("delay") - half)
     high = F.when(F.col("delay") - half < 0, wide).when(F.col("delay") + half + 1 > bins, bins - 1).otherwise(F.col("delay") + half)
-    rows = rows.withColumn("low", low).withColumn("high", high)
-    out = rows.groupBy("ref", "tar").agg(F.min("delay").alias("delay"), F.min("best.m").alias("n1"), F.sum(F.when(F.col("bin").between(F.col("low"), F.col("high")), F.col("n")).otherwise(0)).alias("n2"))
+    rows = rows.withColumn("low", low).withColumn("n2", part(F.col("low"), high - F.col("low") + 1))
+    out = rows.select("ref", "tar", "delay", F.col("best.m").alias("n1"), "n2")
     return out.where((F.col("n1") >= ratio * F.col("n2")) & (F.col("n2") >= 1)).withColumn("ratio", F.col("n1") / F.col("n2"))
 
 
@@ -97,3 +92,51 @@ def order_scores(members: DataFrame) -> DataFrame:
     da, db = F.col("la") - F.col("la2"), F.col("lb") - F.col("lb2")
     scored = pairs.groupBy("a", "b").agg(F.avg((F.signum(da) == F.signum(db)).cast("double")).alias("agreement"), F.try_divide(F.sum(F.abs(da - db)), F.sum(F.abs(da) + F.abs(db))).alias("distance"))
     return shift.join(scored, ["a", "b"])
+
+
+def product_scores(members: DataFrame) -> DataFrame:
+    """a, b, product, ratio, distance of each two propagations (ref, chan, latency) that share a channel.
+
+    product: the latency differences of all ordered channel pairs multiplied and summed, over
+    the latencies of both; ratio: absolute differences of pair differences over the latencies
+    on shared channels, of one shared channel the difference of latencies itself, 0 where these
+    are below 0.0001 in sum; distance: ratio plus 1 - overlap.
+    """
+    m = members.select("ref", "chan", "latency")
+    total = m.groupBy("ref").agg(F.sum("latency").alias("total"), F.count("*").alias("size"))
+    both = m.select(F.col("ref").alias("a"), "chan", F.col("latency").alias("la")).join(m.select(F.col("ref").alias("b"), "chan", F.col("latency").alias("lb")), "chan").where("a < b")
+    one = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum("la").alias("sa"), F.sum("lb").alias("sb"), F.sum(F.col("la") * F.col("lb")).alias("sab"), F.sum(F.abs(F.col("la") - F.col("lb"))).alias("alone"))
+    other = both.select("a", "b", F.col("chan").alias("c2"), F.col("la").alias("la2"), F.col("lb").alias("lb2"))
+    gap = F.abs((F.col("la") - F.col("la2")) - (F.col("lb") - F.col("lb2")))
+    two = both.join(other, ["a", "b"]).where("chan < c2").groupBy("a", "b").agg(F.sum(gap).alias("gaps"))
+    side = lambda s: total.select(F.col("ref").alias(s), F.col("total").alias(f"total_{s}"), F.col("size").alias(f"size_{s}"))
+    out = one.join(two, ["a", "b"], "left").join(side("a"), "a").join(side("b"), "b")
+    product = F.try_divide(2 * (F.col("common") * F.col("sab") - F.col("sa") * F.col("sb")), F.col("total_a") + F.col("total_b"))
+    sums = F.col("sa") + F.col("sb")
+    ratio = F.when(sums < 1e-4, 0.0).otherwise(F.when(F.col("common") == 1, F.col("alone")).otherwise(F.col("gaps")) / sums)
+    overlap = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+    return out.select("a", "b", product.alias("product"), ratio.alias("ratio"), (ratio + 1 - overlap).alias("distance"))
+
+
+def statistic_overlaps(stats: DataFrame, width: float = 1.0) -> DataFrame:
+    """a, b, common, common_share, alike, alike_share of each two roots that share a channel.
+
+    stats: (ref, chan, latency, latency_sd, amp, amp_sd).  alike: shared channels where both
+    latencies and both amplitudes overlap, as mean plus and minus ``width`` deviations.
+    """
+    names = ("latency", "latency_sd", "amp", "amp_sd")
+    n = stats.groupBy("ref").agg(F.count("*").alias("n"))
+    side = lambda s: stats.select(F.col("ref").alias(s), "chan", *(F.col(c).alias(f"{c}_{s}") for c in names))
+    both = side("a").join(side("b"), "chan").where("a < b")
+    near = lambda c: F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= width * (F.coalesce(f"{c}_sd_a", F.lit(0.0)) + F.coalesce(f"{c}_sd_b", F.lit(0.0)))
+    out = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.count_if(near("latency") & near("amp")).alias("alike"))
+    out = out.join(n.select(F.col("ref").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("ref").alias("b"), F.col("n").alias("nb")), "b")
+    return out.select("a", "b", "common", (100 * F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("common_share"), "alike", (100 * F.col("alike") / F.col("common")).alias("alike_share"))
+
+
+def best_overlap(pairs: DataFrame, common_share: float, alike_share: float) -> DataFrame:
+    """The pair to merge first: of those with both shares the best by alike_share, alike, common_share, common, then the smallest a and b."""
+    order = ("alike_share", "alike", "common_share", "common")
+    good = pairs.where((F.col("common_share") >= common_share) & (F.col("alike_share") >= alike_share))
+    best = good.agg(F.max(F.struct(*order, (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")).where("x IS NOT NULL")
+    return best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b"), *(F.col(f"x.{c}").alias(c) for c in order))

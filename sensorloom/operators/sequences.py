@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import sigmoid
+from sensorloom.operators.graphs import linked, written
 from sensorloom.operators.joins import neighbours
+from sensorloom.operators.mixtures import split_events
+from sensorloom.operators.spikes import refractory
 from sensorloom.operators.traces import line_keys, preceding_noise
 
 
@@ -216,46 +219,108 @@ def relocated(roled: DataFrame, roots: DataFrame, latency: float = -2.0, amp: fl
     return first.join(best, "seq", "left").select("seq", F.coalesce("better", "root").alias("root"))
 
 
-def merged_trains(base: list[float], other: list[float], overlap: float, strict: bool = True) -> list[float]:
-    """Two sorted trains as one, spikes within ``overlap`` of the last kept one dropped.
+def merged_trains(base: DataFrame, other: DataFrame, overlap: float, strict: bool = True) -> DataFrame:
+    """unit, t: two trains of each unit as one, spikes within ``overlap`` of the last kept one dropped.
 
     ``strict`` keeps a habit of the original procedure: spikes of the other train before the
-    first of base are dropped, and what follows the end of either train is appended unchecked.
+    first of base are dropped, and what follows the end of the train that ends first stays
+    unchecked.  A unit without base, or with one base spike alone, takes all of the other.
     """
+    both = base.select("unit", "t", F.lit(1).alias("side")).union(other.select("unit", "t", F.lit(2).alias("side")))
     if not strict:
-        out: list[float] = []
-        for t in sorted([*base, *other]):
-            if not out or t - out[-1] > overlap:
-                out.append(t)
-        return out
-    if not base:
-        return list(other)
-    out, i, j = [base[0]], 1, 0
-    while i < len(base) and j < len(other):
-        if base[i] < other[j]:
-            t, i = base[i], i + 1
-        else:
-            t, j = other[j], j + 1
-        if t - out[-1] > overlap:
-            out.append(t)
-    return [*out, *base[i:], *other[j:]]
-
-
-def agglomerated(pairs: DataFrame) -> DataFrame:
-    """seq, into: greedy merging by ascending score; a sequence that has been merged away takes no further part this round.
-
-    Components of the pair graph are merged each on its own.
+        return refractory(both.withColumn("id", F.col("side")), overlap, tie="id").select("unit", "t")
+    ends = both.groupBy("unit").agg(F.min(F.when(F.col("side") == 1, F.col("t"))).alias("first"), F.max(F.when(F.col("side") == 1, F.col("t"))).alias("last"), F.max(F.when(F.col("side") == 2, F.col("t"))).alias("last2"), F.count_if(F.col("side") == 1).alias("n"))
+    rows = both.join(ends, "unit")
+    mine = F.col("side") == 1
+    # The other train ends first: what base has from there on; base ends first: what the other has behind it.
+    tail = F.when(mine, (F.col("t") > F.col("first")) & (F.col("last2").isNull() | (F.col("t") >= F.col("last2")))).otherwise((F.col("n") < 2) | (F.col("t") > F.col("last")))
+    head = ~tail & (mine | (F.col("t") >= F.col("first")))
+    kept = refractory(rows.where(head).withColumn("id", F.col("side")), overlap, tie="id").select("unit", "t")
+    return kept.union(rows.where(tail).select("unit", "t"))
+
+
+def greedy_merges(pairs: DataFrame, chains: bool = False) -> DataFrame:
+    """seq, into: merging of rows (a, b, score), the lowest score first, b into a; a sequence that has been merged away takes no further part.
+
+    One that has taken up others stays as it is in a round of its own, unless ``chains``: then
+    its whole group may be taken up.  Components of the pair graph are merged each on its own.
     """
-    from sensorloom.operators.compare import linked
-
     p = linked(pairs.select(F.col("a").cast("long").alias("u1"), F.col("b").cast("long").alias("u2"), "score"))
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        gone, into = set(), []
+        gone, took, into = set(), set(), {}
         for a, b in g.sort_values(["score", "u1", "u2"])[["u1", "u2"]].itertuples(index=False):
-            if a not in gone and b not in gone and not any(t == b for _, t in into):
-                gone.add(b)
-                into.append((b, a))
-        return pd.DataFrame(into, columns=["seq", "into"], dtype="int64")
+            if a in gone or b in gone or (b in took and not chains):
+                continue
+            gone.add(b)
+            took.add(a)
+            into = {s: a if t == b else t for s, t in into.items()} | {b: a}
+        return pd.DataFrame(sorted(into.items()), columns=["seq", "into"], dtype="int64")
 
     return p.groupBy("part").applyInPandas(merge, "seq long, into long")
+
+
+def agglomerated(pairs: DataFrame) -> DataFrame:
+    """seq, into of one round of greedy merging."""
+    return greedy_merges(pairs)
+
+
+def merged_to_end(foot: DataFrame, spikes: DataFrame, roots: DataFrame, places: DataFrame, loose: float, inner: float, radius: float, overlap: int, **tests) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """spikes (seq, event, shift), roots (seq, root, ord) and their statistics with roles when no two sequences may merge any more.
+
+    Statistics are taken anew after each round.  The sequence of the larger amplitude at its
+    root takes up the other, whose latencies are counted from the base's root from then on;
+    a spike within ``overlap`` frames of the last kept one is the same spike.
+    """
+    while True:
+        shifted = foot.join(spikes.select("event", "shift"), "event").withColumn("latency", F.col("latency") - F.col("shift")).drop("shift")
+        stats = statistics(shifted, spikes)
+        roled = written(roles(stats, roots, roots.select("seq", F.col("root").alias("chan")), places, loose, inner))
+        pairs = merge_tests(roled, roots, places, radius, **tests)
+        first = roots.groupBy("seq").agg(F.min_by("root", "ord").alias("root"))
+        height = roled.join(first, "seq").where("chan = root").select("seq", "root", "amp")
+        pairs = pairs.join(height.select(F.col("seq").alias("a"), F.col("amp").alias("ha")), "a").join(height.select(F.col("seq").alias("b"), F.col("amp").alias("hb")), "b")
+        over = F.col("ha") >= F.col("hb")
+        pairs = pairs.select(F.when(over, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(over, F.col("b")).otherwise(F.col("a")).alias("b"), "score")
+        into = written(greedy_merges(pairs))
+        if into.isEmpty():
+            return spikes, roots, roled
+        # Latency of the base's root in the sequence that is taken up.
+        moved = into.join(first.select(F.col("seq").alias("into"), F.col("root").alias("chan")), "into").join(roled.select("seq", "chan", "latency"), ["seq", "chan"], "left").select("seq", "into", F.coalesce("latency", F.lit(0.0)).alias("by"))
+        spikes = spikes.join(moved, "seq", "left").select(F.coalesce("into", "seq").alias("seq"), "event", (F.col("shift") + F.coalesce("by", F.lit(0.0))).alias("shift"))
+        at = spikes.join(foot.select("event", "frame").distinct(), "event").withColumn("at", F.col("frame") + F.round("shift").cast("long"))
+        kept = refractory(at.select(F.col("seq").alias("unit"), F.col("at").alias("t"), F.col("event").alias("id")), overlap).select(F.col("unit").alias("seq"), F.col("t").alias("at")).distinct()
+        one = at.join(kept, ["seq", "at"]).groupBy("seq", "at").agg(F.min(F.struct("event", "shift")).alias("x"))
+        spikes = written(one.select("seq", "x.event", "x.shift"))
+        renamed = roots.join(into, "seq", "left")
+        roots = written(renamed.select(F.coalesce("into", "seq").alias("seq"), "root", F.when(F.col("into").isNull(), F.col("ord")).otherwise(F.col("ord") + 1_000_000).alias("ord")).distinct())
+
+
+def formed(foot: DataFrame, places: DataFrame, stringent: float, loose: float, inner: float, radius: float, overlap: int, least: int = 10, amp_p: float = 0.1, **tests) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sequences from footprints, from end to end: spikes (seq, event), roots (seq, root, ord) and statistics with roles.
+
+    Events of a root are split, the sequences filtered, events assigned anew to those that are
+    left, and sequences of ``least`` spikes or more merged, first those of one root, then all.
+    """
+    foot = written(foot)
+    parts = split_events(foot.where((F.col("prob") >= loose) | (F.col("chan") == F.col("root"))), least=least, amp_p=amp_p)
+    parts = written(parts.select((F.col("root").cast("long") * 4096 + F.col("part")).alias("seq"), "root", "event"))
+    roots = written(parts.select("seq", "root", F.lit(0).alias("ord")).distinct())
+
+    def judged(spikes, roots):
+        """Spikes and roots of the sequences that are left, and statistics of those."""
+        roled = written(roles(statistics(foot, spikes), roots, roots.select("seq", F.col("root").alias("chan")), places, loose, inner))
+        good = written(filtered(roled, loose))
+        return (x.join(good, "seq", "left_semi") for x in (spikes, roots, roled))
+
+    spikes, roots, roled = judged(parts.select("seq", "event"), roots)
+    near = reach(places, inner).select("root", F.col("chan").alias("root2"))
+    close = roots.select("seq", "root").join(near, "root").join(roots.select(F.col("seq").alias("other"), F.col("root").alias("root2")), "root2").where("seq <> other").select("seq", "other")
+    spikes = written(assigned(candidates(foot, roled, roots, stringent, loose), close, overlap).select("seq", "event"))
+    enough = spikes.groupBy("seq").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    spikes, roots, roled = judged(spikes.join(enough, "seq", "left_semi"), roots.join(enough, "seq", "left_semi"))
+    spikes = written(spikes.withColumn("shift", F.lit(0.0)))
+    for reach_of in (1e-6, radius):
+        spikes, roots, roled = merged_to_end(foot, spikes, written(roots), places, loose, inner, reach_of, overlap, **tests)
+    good = written(filtered(roled, loose))
+    return tuple(x.join(good, "seq", "left_semi") for x in (spikes, roots, roled))

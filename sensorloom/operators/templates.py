@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,60 @@ def top_channels(template: DataFrame, k: int, value: str = "mean") -> DataFrame:
     """unit, chan, rank of the channels by falling depth, ranks up to k."""
     per = template.groupBy("unit", "chan").agg(F.max(F.abs(value)).alias("amp"))
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("amp"), "chan"))).where(F.col("rank") <= k)
+
+
+def waveform_metrics(waves: DataFrame) -> DataFrame:
+    """unit, width, peak_time, half_time, fall_time and ratio of waveforms (unit, w array) in samples.
+
+    width: between the half-trough levels on both sides of the trough; peak_time: trough to the
+    largest value behind it; half_time: trough to the half-trough behind it; fall_time: peak to
+    half of it (to the end if it doesn't fall so far); ratio: peak over trough.  Levels are
+    interpolated between samples.  The left side begins at the last local maximum before the
+    trough that reaches half of it; without one the width is null.
+    """
+    at = lambda i: F.get("w", i)
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    one = F.lit(1)
+    rows = waves.select("unit", "w", F.size("w").alias("n")).withColumn("t", (F.array_position("w", F.array_min("w")) - 1).cast("int"))
+    rows = rows.withColumn("low", at(F.col("t"))).withColumn("behind", F.slice("w", F.col("t") + 1, F.col("n")))
+    rows = rows.withColumn("p", (F.col("t") + F.array_position("behind", F.array_max("behind")) - 1).cast("int")).withColumn("high", at(F.col("p")))
+    half, fall = F.col("low") / 2, F.col("high") / 2
+    cross = lambda i, level: i + F.coalesce(F.try_divide(level - at(i), at(i + 1) - at(i)), F.lit(0.0))
+    rows = rows.withColumn("hp", F.get(F.filter(span(F.col("p"), F.col("n") - 2), lambda i: (at(i) >= fall) & (fall >= at(i + 1))), F.lit(0)))
+    rows = rows.withColumn("h2", F.get(F.filter(span(F.col("t"), F.col("p") - 2), lambda i: (at(i) <= half) & (half <= at(i + 1))), F.lit(0)))
+    rows = rows.withColumn("pp", F.array_max(F.filter(span(one, F.col("t") - 2), lambda i: (at(i - 1) < at(i)) & (at(i) > at(i + 1)) & (at(i) >= half))))
+    rows = rows.withColumn("h1", F.array_max(F.filter(span(F.col("pp"), F.col("t") - 2), lambda i: (at(i) >= half) & (half >= at(i + 1)))))
+    second = F.when(F.col("p") > F.col("t"), F.coalesce(cross(F.col("h2"), half), (F.col("p") - 1).cast("double")))
+    first = F.when(F.col("pp").isNotNull(), F.coalesce(cross(F.col("h1"), half), (F.col("t") - 1).cast("double")))
+    falls = F.coalesce(cross(F.col("hp"), fall), F.col("n").cast("double"))
+    return rows.select("unit", (second - first).alias("width"), (F.col("p") - F.col("t")).alias("peak_time"), (second - F.col("t")).alias("half_time"), (falls - F.col("p")).alias("fall_time"), F.try_divide("high", "low").alias("ratio"))
+
+
+def merged_units(units: DataFrame, most_isi: float, most_diff: float, isi: float) -> DataFrame:
+    """unit, into: units of a group (rows group, unit, times, template) that join the first merge that has room for them.
+
+    Units come by falling number of spikes; one joins if the violations (intervals of ``isi`` or
+    less) are at most ``most_isi`` of the spikes of both and the templates, scaled by their
+    depth, differ by ``most_diff`` or less in sum.  A merge has all times and the mean template by spikes.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        merges: list[list] = []
+        p = p.assign(n=[len(t) for t in p["times"]]).sort_values(["n", "unit"], ascending=[False, True])
+        out = []
+        for unit, times, shape in zip(p["unit"], p["times"], p["template"]):
+            times, shape = np.sort(np.asarray(times, float)), np.asarray(shape, float)
+            for m in merges:
+                both = np.sort(np.concatenate([m[1], times]))
+                if (np.diff(both) <= isi).sum() <= most_isi * len(both) and np.abs(m[2] / abs(m[2].min()) - shape / abs(shape.min())).sum() <= most_diff:
+                    m[2] = (m[2] * len(m[1]) + shape * len(times)) / len(both)
+                    m[1] = both
+                    out.append((unit, m[0]))
+                    break
+            else:
+                merges.append([unit, times, shape])
+                out.append((unit, unit))
+        return pd.DataFrame(out, columns=["unit", "into"])
+
+    kind = dict(units.dtypes)["unit"]
+    return units.groupBy("group").applyInPandas(run, f"unit {kind}, into {kind}")

@@ -57,7 +57,7 @@ def rms(trace: DataFrame, *keys: str | Column) -> DataFrame:
 
 def rms_detections(trace: DataFrame, factor: float) -> DataFrame:
     """Frames whose absolute value reaches factor times the channel's RMS, maxima or not."""
-    level = F.sqrt(F.avg(F.col("v") * F.col("v")).over(Window.partitionBy("chan")))
+    level = F.sqrt(F.avg(F.col("v") * F.col("v")).over(Window.partitionBy(*line_keys(trace))))
     return trace.withColumn("rms", level).where(F.abs("v") >= factor * F.col("rms"))
 
 

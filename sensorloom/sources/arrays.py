@@ -8,6 +8,7 @@ memory map, so a file is never held whole.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -78,6 +79,32 @@ def open_recording(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path}; convert it to .npy or Parquet")
 
 
+def read_trains(spark: SparkSession, path: str) -> DataFrame:
+    """unit, place, t of spike trains in .npz or .npy files (a file or a folder): one array a unit, or one file a unit.
+
+    Arrays are taken as they are named or numbered; files are read by the tasks and never unpickled.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                found = np.load(io.BytesIO(content), allow_pickle=False)
+                for unit, x in {k: found[k] for k in found.files}.items() if name.endswith(".npz") else [(Path(name).stem, found)]:
+                    x = np.asarray(x, float).reshape(-1)
+                    yield pa.record_batch([pa.array([unit] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.array(x)], names=["unit", "place", "t"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(path)
+    return files.select("path", "content").mapInArrow(run, "unit string, place long, t double")
+
+
+def concatenated_recordings(traces: DataFrame) -> DataFrame:
+    """chan, frame, v of recordings one behind another, by rec_id; a recording is as long as its last frame says."""
+    ends = traces.groupBy("rec_id").agg((F.max("frame") + 1).alias("n"))
+    other = ends.select(F.col("rec_id").alias("earlier"), F.col("n").alias("m"))
+    start = ends.join(other, F.col("earlier") < F.col("rec_id"), "left").groupBy("rec_id").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
+    return traces.join(start, "rec_id").select("chan", (F.col("frame") + F.col("start")).alias("frame"), "v")
+
+
 def blocked(trace: DataFrame, width: int, rec: str = "rec_id") -> DataFrame:
     """rec_id, chan, block_no, start_frame, v (array): traces in their storage form."""
     k = F.floor(F.col("frame") / width)

@@ -148,11 +148,6 @@ def test_split_events(spark):
     assert parts == [list(range(40)), list(range(40, 80))]
 
 
-def test_merging_trains():
-    assert sequences.merged_trains([10.0, 20.0], [5.0, 10.1, 15.0, 30.0, 30.1], 0.2) == [10.0, 15.0, 20.0, 30.0, 30.1]
-    assert sequences.merged_trains([10.0, 20.0], [5.0, 10.1, 15.0, 30.0, 30.1], 0.2, strict=False) == [5.0, 10.0, 15.0, 20.0, 30.0]
-
-
 def test_filter_passes_the_band_only(spark):
     rate, n = 20_000.0, 4_000
     t = np.arange(n) / rate

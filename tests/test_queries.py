@@ -59,9 +59,14 @@ def test_assignment_is_greedy(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_others_run(spark, name):
-    df = plans.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_others_are_stable(spark, name):
+    """Queries without SQL: rows as the schema says, and the same rows when run again; their operators have tests of their own."""
+    runs = []
+    for _ in range(2):
+        df = plans.QUERIES[name](spark, SF)
+        runs.append(sorted(map(str, df.collect())))
+    assert df.columns and runs[0] == runs[1]
+    assert runs[0] or name == "prp9_greedy_by_score"
 
 
 def test_synthetic_takes_waveforms_of_all_labels(spark, monkeypatch):
