@@ -222,7 +222,8 @@ def test_stored_tables(spark, tmp_path):
     folders.write_sections(f"{tmp_path}/r", trace)
     assert sorted(tuple(x) for x in spark.read.parquet(f"{tmp_path}/r").select("rec_id", "chan", "frame", "v").collect()) == sorted(tuple(x) for x in trace.collect())
     assert sorted((x.frame, x.v) for x in arrays.concatenated_recordings(trace).collect()) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 10.0), (4, 11.0)]
-    np.savez(tmp_path / "trains.npz", u1=np.array([1.0, 2.5]), u2=np.array([4]))
-    np.save(tmp_path / "u3.npy", np.array([7.0]))
-    got = sorted((x.unit, x.place, x.t) for x in arrays.read_trains(spark, str(tmp_path)).collect())
+    (tmp_path / "trains").mkdir()
+    np.savez(tmp_path / "trains" / "trains.npz", u1=np.array([1.0, 2.5]), u2=np.array([4]))
+    np.save(tmp_path / "trains" / "u3.npy", np.array([7.0]))
+    got = sorted((x.unit, x.place, x.t) for x in arrays.read_trains(spark, str(tmp_path / "trains")).collect())
     assert got == [("u1", 0, 1.0), ("u1", 1, 2.5), ("u2", 0, 4.0), ("u3", 0, 7.0)]
