@@ -12,18 +12,18 @@ from sensorloom.operators.joins import band_join
 
 
 def _merged(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
-    """u1, u2, t, side of the spikes of every pair of units that are at most delta from one of the other train.
+    """u1, u2, t, side of the spikes of every pair of units that have the other train in their cell of time or beside it.
 
-    Only those can match, and no train is copied to units that it never meets.
+    Cells are as wide as delta, so all that can match is there, and no train is copied to units
+    that it never meets; what is there besides matches nothing.
     """
-    met = band_join(a.select(F.col("unit").alias("u1"), "t"), b.select(F.col("unit").alias("u2"), F.col("t").alias("rt")), delta, delta)
-    met = met.join(pairs.select("u1", "u2"), ["u1", "u2"], "left_semi")
-    both = F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("side")), F.struct(F.col("rt").alias("t"), F.lit(2).alias("side")))
-    rows = met.select("u1", "u2", F.explode(both).alias("x")).select("u1", "u2", "x.t", "x.side").distinct()
-    # Spikes of one time in a train come back as often as they are.
-    often = a.select("unit", "t", F.lit(1).alias("side")).union(b.select("unit", "t", F.lit(2).alias("side"))).groupBy("unit", "t", "side").agg(F.count("*").alias("k")).where("k > 1")
-    rows = rows.withColumn("unit", F.when(F.col("side") == 1, F.col("u1")).otherwise(F.col("u2"))).join(often, ["unit", "t", "side"], "left")
-    return rows.select("u1", "u2", "t", "side", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("k", F.lit(1).cast("long"))))).drop("col")
+    cell = F.floor(F.col("t") / max(1, delta))
+
+    def side(x: DataFrame, y: DataFrame, mine: str, other: str, k: int) -> DataFrame:
+        there = y.select(F.col("unit").alias(other), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+        return x.select(F.col("unit").alias(mine), "t", cell.alias("cell")).join(there, "cell").select("u1", "u2", "t", F.lit(k).alias("side"))
+
+    return side(a, b, "u1", "u2", 1).union(side(b, a, "u2", "u1", 2)).join(pairs.select("u1", "u2"), ["u1", "u2"], "left_semi")
 
 
 def run_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
