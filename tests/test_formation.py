@@ -1,6 +1,5 @@
 """Merging, formation, scores and stored tables against plain restatements."""
 
-import json
 import math
 import os
 import random
@@ -227,3 +226,10 @@ def test_stored_tables(spark, tmp_path):
     np.save(tmp_path / "trains" / "u3.npy", np.array([7.0]))
     got = sorted((x.unit, x.place, x.t) for x in arrays.read_trains(spark, str(tmp_path / "trains")).collect())
     assert got == [("u1", 0, 1.0), ("u1", 1, 2.5), ("u2", 0, 4.0), ("u3", 0, 7.0)]
+
+
+def test_half_up(spark):
+    from sensorloom.functions.scalar import half_up
+
+    got = spark.createDataFrame([(0.5,), (1.5,), (2.4,), (-0.5,), (-1.6,)], "x double").select(half_up(F.col("x")).alias("y")).collect()
+    assert [x.y for x in got] == [1, 2, 2, 0, -2]
