@@ -65,6 +65,32 @@ def synthetic(noise: DataFrame, waves: DataFrame, size: int, most: int, gap: int
     return rows.select("id", "v", "put").mapInPandas(build, "id long, v array<double>, n int, places array<int>, scales array<double>")
 
 
+def around_spikes(trace: DataFrame, spikes: DataFrame, size: int, front: int, places: int, seed: int) -> DataFrame:
+    """id, chan, start, locs, v: a sample of ``size`` frames around each spike (id, chan, frame) of the trace (chan, frame, v).
+
+    The spike lies front + d frames from the start, d drawn below ``places`` by hash of seed and
+    id; samples are moved inside the recording.  locs: places of all spikes of the channel in
+    [front, front + places) of the sample, each once, in order.  v has its mean taken off.  A
+    channel shorter than a sample gives none.
+    """
+    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(places))
+    length = trace.groupBy("chan").agg((F.max("frame") + 1).alias("length")).where(F.col("length") >= size)
+    start = F.least(F.greatest(F.col("frame") - draw - front, F.lit(0)), F.col("length") - size)
+    samples = spikes.select("id", "chan", "frame").join(length, "chan").select("id", "chan", start.alias("start"))
+    cells = lambda first, n: F.explode(F.sequence(F.floor(first / size), F.floor((first + n - 1) / size)))
+    # Two blocks at most hold a sample, and two cells its places.
+    blocks = trace.groupBy("chan", F.floor(F.col("frame") / size).alias("cell")).agg(F.sort_array(F.collect_list(F.struct("frame", "v"))).alias("part"))
+    got = samples.withColumn("cell", cells(F.col("start"), size)).join(blocks, ["chan", "cell"])
+    got = got.select("id", "chan", "start", F.filter("part", lambda x: (x["frame"] >= F.col("start")) & (x["frame"] < F.col("start") + size)).alias("part"))
+    got = got.groupBy("id", "chan", "start").agg(F.array_sort(F.flatten(F.collect_list("part")))["v"].alias("v"))
+    hits = spikes.select("chan", "frame", F.floor(F.col("frame") / size).alias("cell")).distinct()
+    at = samples.withColumn("cell", cells(F.col("start") + front, places)).join(hits, ["chan", "cell"])
+    at = at.withColumn("loc", F.col("frame") - F.col("start")).where((F.col("loc") >= front) & (F.col("loc") < front + places)).groupBy("id").agg(F.array_sort(F.collect_set("loc")).alias("locs"))
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    out = got.withColumn("mean", mean).join(at, "id", "left")
+    return out.select("id", "chan", "start", F.coalesce("locs", F.array().cast("array<bigint>")).alias("locs"), F.transform("v", lambda x: x - F.col("mean")).alias("v"))
+
+
 def detector_scores(labels: DataFrame, predicted: DataFrame, buffer: int) -> DataFrame:
     """One row: tp, n_label, n_pred, accuracy, recall, precision, f1, mad.
 

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import sigmoid
 from sensorloom.operators.graphs import linked, written
 from sensorloom.operators.joins import neighbours
 from sensorloom.operators.mixtures import split_events
-from sensorloom.operators.spikes import refractory
+from sensorloom.operators.spikes import refractory, stretches
 from sensorloom.operators.traces import line_keys, preceding_noise
 
 
@@ -171,28 +171,16 @@ def candidates(foot: DataFrame, roled: DataFrame, roots: DataFrame, stringent: f
     return out.where(ok).select("event", "frame", "seq", score.alias("score"))
 
 
-def assigned(candidate: DataFrame, near: DataFrame, overlap: int) -> DataFrame:
+def assigned(candidate: DataFrame, near: DataFrame, overlap: int, window: Column | None = None) -> DataFrame:
     """event, frame, seq of the spikes that greedy choice by score keeps.
 
     The best candidate is taken and suppresses those within ``overlap`` frames of sequences
     that near (seq, other) lists.  Suppression doesn't reach across a gap longer than the
-    overlap, so the choice runs inside stretches without one, each on its own.
+    overlap, so the choice runs inside stretches without one, each on its own.  With
+    ``window``, a number for each candidate, spikes of other windows suppress nothing, as when
+    windows are assigned one by one as they come in.
     """
-    # Stretches by time alone; the first pass finds them inside ranges of frames with many candidates.
-    frames = candidate.select("frame").distinct()
-    cell = F.floor(F.col("frame") / (overlap + 1))
-    cells = frames.select(cell.alias("cell")).distinct()
-    linked = cells.withColumn("block", F.floor(F.col("cell") / 4096))
-    w = Window.partitionBy("block").orderBy("cell")
-    linked = linked.withColumn("fresh", F.when(F.col("cell") - F.lag("cell").over(w) <= 1, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = linked.groupBy("block", "run").agg(F.min("cell").alias("a"), F.max("cell").alias("b"))
-    # Only runs at the edge of a block, two a block at most, can go on in the next; a chain of them has one name.
-    edge = (F.col("a") % 4096 == 0) | (F.col("b") % 4096 == 4095)
-    chain = Window.orderBy("a")
-    touching = ends.where(edge).withColumn("fresh", F.when(F.col("a") - F.lag("b").over(chain) <= 1, 0).otherwise(1)).withColumn("chain", F.sum("fresh").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    touching = touching.select("block", "run", F.min("a").over(Window.partitionBy("chain")).alias("stretch"))
-    named = linked.join(touching.union(ends.where(~edge).select("block", "run", F.col("a").alias("stretch"))), ["block", "run"]).select("cell", "stretch")
-    rows = candidate.withColumn("cell", cell).join(named, "cell")
+    rows = stretches(candidate, overlap, t="frame").withColumn("window", F.lit(0) if window is None else window)
     others = near.groupBy("seq").agg(F.collect_set("other").alias("others"))
     rows = rows.join(others, "seq", "left")
 
@@ -207,7 +195,7 @@ def assigned(candidate: DataFrame, near: DataFrame, overlap: int) -> DataFrame:
         return p.loc[out, ["event", "frame", "seq"]]
 
     kinds = dict(candidate.dtypes)
-    return rows.groupBy("stretch").applyInPandas(choose, f"event {kinds['event']}, frame {kinds['frame']}, seq {kinds['seq']}")
+    return rows.groupBy("stretch", "window").applyInPandas(choose, f"event {kinds['event']}, frame {kinds['frame']}, seq {kinds['seq']}")
 
 
 def relocated(roled: DataFrame, roots: DataFrame, latency: float = -2.0, amp: float = 0.8, stringent: float = 0.275) -> DataFrame:

@@ -123,10 +123,10 @@ def cmp13_best_other_unit(spark, sf):
 @query(_sides() + f", m AS (SELECT id, t, unit, (SELECT rt FROM q ORDER BY abs(rt - t), rt DESC LIMIT 1) AS n FROM l) SELECT CAST(floor((n - t + {10 * MINUTE}) / {MINUTE}.0::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM m WHERE n BETWEEN t - {10 * MINUTE} AND t + {10 * MINUTE} GROUP BY 1")
 def prp2_nearest_correlogram(spark, sf):
     """One target per reference, the nearest; both sides in one train."""
-    one = F.lit(0).alias("g")
-    a = _kinds(spark, sf, "click", "id", "unit", "t", "amp").select("id", "t", one)
-    b = _kinds(spark, sf, "view", "rid", "runit", "t", "ramp").select("t", one)
-    near = J.as_of(a, b, ["g"], direction="nearest", tolerance=10 * MINUTE).where("match IS NOT NULL")
+    a = _kinds(spark, sf, "click", "id", "unit", "t", "amp").select("id", "t")
+    b = _kinds(spark, sf, "view", "rid", "runit", "t", "ramp").select(F.col("t").alias("rt"))
+    gap = F.struct(F.abs(F.col("rt") - F.col("t")), -F.col("rt"))
+    near = J.band_join(a, b, 10 * MINUTE, 10 * MINUTE).groupBy("id", "t").agg(F.min_by("rt", gap).alias("match"))
     return near.groupBy(F.floor((F.col("match") - F.col("t") + 10 * MINUTE) / MINUTE).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -153,7 +153,7 @@ def prp12_detected_times(spark, sf):
     left = _kinds(spark, sf, "click", "id", "unit", "t", "amp").select("id", "t")
     right = spikes(spark, sf).where("kind <> 'click'").select(F.col("t").alias("rt"), "kind")
     c = J.band_join(left, right, 0, 10 * MINUTE).groupBy("id", "t").agg(F.count_distinct("kind").alias("n")).where("n >= 2")
-    return K.refractory(c.select(F.lit(0).alias("unit"), "t", "id"), HOUR).select("t")
+    return K.refractory(K.stretches(c, HOUR).select(F.col("stretch").alias("unit"), "t", "id"), HOUR).select("t")
 
 
 @query(f"""WITH {TRACE}, e AS (SELECT chan, frame FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM trace WINDOW w AS (PARTITION BY chan ORDER BY frame)) WHERE v > a AND v > b AND v >= 90000),

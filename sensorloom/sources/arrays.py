@@ -70,6 +70,14 @@ def read_traces(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame
     return spark.read.format("arrays").option("path", path).option("block", str(block)).load()
 
 
+def view(trace: DataFrame, start: int, chans: list | None = None, gain: float = 1.0) -> DataFrame:
+    """The trace from frame ``start`` on, which becomes frame 0, of the channels named, in units of gain; lazy, so the filters reach the scan."""
+    rows = trace.where(F.col("frame") >= start)
+    if chans is not None:
+        rows = rows.where(F.col("chan").isin(list(chans)))
+    return rows.withColumn("frame", F.col("frame") - start).withColumn("v", F.col("v") * gain)
+
+
 def open_recording(spark: SparkSession, path: str) -> DataFrame:
     """A recording by its suffix: .npy or a folder of them, or Parquet."""
     if path.endswith(".parquet"):

@@ -8,12 +8,15 @@ The state of a sequence is two times, whatever the length of the stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+from sensorloom.operators.sequences import candidates
+from sensorloom.operators.spikes import stretches
 
 NEVER = -(1 << 62)
 
@@ -37,19 +40,23 @@ def advance(rows, first_at: int, last_spike: int, longest: int, refractory: int)
 
 
 def routed(crossings: DataFrame, members: DataFrame) -> DataFrame:
-    """seq, t, is_first: crossings (chan, t) sent to every sequence (seq, chan, is_first) that has their channel."""
-    return crossings.join(F.broadcast(members), "chan").select("seq", "t", "is_first")
+    """seq, t, is_first: crossings (chan, t, also ts) sent to every sequence (seq, chan, is_first) that has their channel."""
+    return crossings.join(members, "chan").select("seq", "t", "is_first", *(c for c in crossings.columns if c == "ts"))
 
 
 def batch_spikes(crossings: DataFrame, members: DataFrame, longest: int, refractory: int) -> DataFrame:
-    """seq, t, first_t over a bounded table."""
+    """seq, t, first_t over a bounded table.
+
+    Behind a gap longer than ``longest`` and ``refractory`` a sequence knows nothing of what
+    was before it, so each stretch without one is a group of its own.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(p["t"].tolist(), p["is_first"].tolist()))
         found, _, _ = advance(rows, NEVER, NEVER, longest, refractory)
         return pd.DataFrame([(p["seq"].iloc[0], *x) for x in found], columns=["seq", "t", "first_t"])
 
-    return routed(crossings, members).groupBy("seq").applyInPandas(run, "seq long, t long, first_t long")
+    return stretches(routed(crossings, members), max(longest, refractory), ["seq"]).groupBy("seq", "stretch").applyInPandas(run, "seq long, t long, first_t long")
 
 
 class SequenceDetector(StatefulProcessor):
@@ -73,9 +80,62 @@ class SequenceDetector(StatefulProcessor):
         pass
 
 
-def stream_spikes(crossings: DataFrame, members: DataFrame, longest: int, refractory: int) -> DataFrame:
-    """seq, t, first_t from a stream of crossings (chan, t)."""
-    return routed(crossings, members).groupBy("seq").transformWithStateInPandas(statefulProcessor=SequenceDetector(longest, refractory), outputStructType="seq long, t long, first_t long", outputMode="Append", timeMode="None")
+class OrderedDetector(StatefulProcessor):
+    """The same in order of time across batches: crossings wait until the watermark has passed them."""
+
+    def __init__(self, longest: int, refractory: int):
+        self.longest, self.refractory = longest, refractory
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "first_at long, last_spike long")
+        self.waiting = handle.getListState("waiting", "t long, is_first boolean, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(rows))
+        ms = (p["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+        self.waiting.appendList(list(zip(p["t"].astype(int).tolist(), p["is_first"].astype(bool).tolist(), ms)))
+        for at in set(ms):
+            self.handle.registerTimer(at + 1)
+        yield pd.DataFrame({"seq": [], "t": [], "first_t": []}, dtype="int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The first timer of a batch takes all that the watermark has passed.
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        ready, rest = [x[:2] for x in rows if x[2] < passed], [x for x in rows if x[2] >= passed]
+        first_at, last_spike = self.clock.get() if self.clock.exists() else (NEVER, NEVER)
+        found, first_at, last_spike = advance(sorted(ready), first_at, last_spike, self.longest, self.refractory)
+        self.clock.update((first_at, last_spike))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame([(key[0], *x) for x in found], columns=["seq", "t", "first_t"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def stream_spikes(crossings: DataFrame, members: DataFrame, longest: int, refractory: int, late: str | None = None) -> DataFrame:
+    """seq, t, first_t from a stream of crossings (chan, t).
+
+    With ``late`` crossings also have a timestamp ts, whose order is that of t: they wait for the
+    watermark and are taken in order of time whatever batch brings them; later ones are dropped.
+    """
+    if late is None:
+        processor, mode = SequenceDetector(longest, refractory), "None"
+    else:
+        crossings, processor, mode = crossings.withWatermark("ts", late), OrderedDetector(longest, refractory), "EventTime"
+    return routed(crossings, members).groupBy("seq").transformWithStateInPandas(statefulProcessor=processor, outputStructType="seq long, t long, first_t long", outputMode="Append", timeMode=mode)
+
+
+def stream_scores(foot: DataFrame, write: Callable[[DataFrame, int], None], *sequences, **limits) -> DataStreamWriter:
+    """A writer that scores each micro-batch of footprints (rows of an event come together) against known sequences.
+
+    ``sequences`` and ``limits`` are those of ``candidates``; ``write`` takes its rows and the number of the batch.
+    """
+    return foot.writeStream.foreachBatch(lambda batch, n: write(candidates(batch, *sequences, **limits), n))
 
 
 def stream_sessions(spikes: DataFrame, gap: str, late: str) -> DataFrame:
