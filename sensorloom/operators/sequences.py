@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import sigmoid
+from sensorloom.operators.folds import folded
 from sensorloom.operators.graphs import linked, written
 from sensorloom.operators.joins import neighbours
 from sensorloom.operators.mixtures import split_events
@@ -184,18 +185,18 @@ def assigned(candidate: DataFrame, near: DataFrame, overlap: int, window: Column
     others = near.groupBy("seq").agg(F.collect_set("other").alias("others"))
     rows = rows.join(others, "seq", "left")
 
-    def choose(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "frame", "seq"], ascending=[False, True, True]).reset_index(drop=True)
-        frame, seq, live, out = p["frame"].to_numpy(), p["seq"].to_numpy(), np.ones(len(p), bool), []
-        for i in range(len(p)):
+    def choose(p: list[tuple]) -> list[tuple]:
+        p = sorted(p, key=lambda x: (-x[0], x[1], x[2]))
+        frame, seq, live, out = np.array([x[1] for x in p]), np.array([x[2] for x in p]), np.ones(len(p), bool), []
+        for i, (_, _, own, event, apart) in enumerate(p):
             if live[i]:
-                out.append(i)
-                mine = set(p["others"][i] if p["others"][i] is not None else ()) | {seq[i]}
+                out.append((event, p[i][1], own))
+                mine = {own, *(apart if apart is not None else ())}
                 live &= ~((np.abs(frame - frame[i]) <= overlap) & np.isin(seq, list(mine)))
-        return p.loc[out, ["event", "frame", "seq"]]
+        return out
 
     kinds = dict(candidate.dtypes)
-    return rows.groupBy("stretch", "window").applyInPandas(choose, f"event {kinds['event']}, frame {kinds['frame']}, seq {kinds['seq']}")
+    return folded(rows, ["stretch", "window"], ["score", "frame", "seq", "event", "others"], choose, f"event {kinds['event']}, frame {kinds['frame']}, seq {kinds['seq']}")
 
 
 def relocated(roled: DataFrame, roots: DataFrame, latency: float = -2.0, amp: float = 0.8, stringent: float = 0.275) -> DataFrame:

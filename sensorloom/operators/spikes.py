@@ -50,25 +50,23 @@ def sessions(spikes: DataFrame, gap: int, unit: str = "unit", t: str = "t", tie:
     return spikes.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
-def stretches(rows: DataFrame, gap: int, keys: list[str] = (), t: str = "t", block: int = 4096) -> DataFrame:
-    """Rows with stretch, the same for rows of the same keys that no gap longer than ``gap`` parts.
+def stretches(rows: DataFrame, gap: int, keys: list[str] = (), t: str = "t", span: int = 4096) -> DataFrame:
+    """Rows with stretch, the time of the first of those of the same keys that no gap longer than ``gap`` parts from it.
 
-    Runs of occupied cells of gap + 1 are found inside blocks of cells; only runs at the edge of
-    a block, two a block at most, can go on in the next, and a chain of those has one name.
-    Rows up to two cells apart may share a stretch, so a fold that forgets over ``gap`` may run on each alone.
+    Runs are found inside blocks of ``span`` gaps; only runs at the edge of a block, two a block
+    at most, can go on in the next, and a chain of those has one name.
     """
-    cell = F.floor(F.col(t) / (gap + 1))
-    cells = rows.select(*keys, cell.alias("cell")).distinct().withColumn("block", F.floor(F.col("cell") / block))
-    w = Window.partitionBy(*keys, "block").orderBy("cell")
-    cells = cells.withColumn("fresh", F.when(F.col("cell") - F.lag("cell").over(w) <= 1, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = cells.groupBy(*keys, "block", "run").agg(F.min("cell").alias("a"), F.max("cell").alias("b"))
-    edge = (F.pmod("a", F.lit(block)) == 0) | (F.pmod("b", F.lit(block)) == block - 1)
+    width = (gap + 1) * span
+    w = Window.partitionBy(*keys, "_block").orderBy(t)
+    marked = rows.withColumn("_block", F.floor(F.col(t) / width)).withColumn("_fresh", F.when(F.col(t) - F.lag(t).over(w) <= gap, 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*keys, "_block", "_run").agg(F.min(t).alias("a"), F.max(t).alias("b"))
+    edge = (F.col("a") - F.col("_block") * width <= gap) | ((F.col("_block") + 1) * width - F.col("b") <= gap)
     chain = Window.partitionBy(*keys).orderBy("a")
-    touching = ends.where(edge).withColumn("fresh", F.when(F.col("a") - F.lag("b").over(chain) <= 1, 0).otherwise(1)).withColumn("chain", F.sum("fresh").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    touching = touching.select(*keys, "block", "run", F.min("a").over(Window.partitionBy(*keys, "chain")).alias("stretch"))
-    names = touching.union(ends.where(~edge).select(*keys, "block", "run", F.col("a").alias("stretch")))
-    named = cells.join(names, [*keys, "block", "run"]).select(*keys, "cell", "stretch")
-    return rows.withColumn("cell", cell).join(named, [*keys, "cell"]).select(*rows.columns, "stretch")
+    touching = ends.where(edge).withColumn("fresh", F.when(F.col("a") - F.lag("b").over(chain) <= gap, 0).otherwise(1)).withColumn("chain", F.sum("fresh").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    touching = touching.select(*keys, "_block", "_run", F.min("a").over(Window.partitionBy(*keys, "chain")).alias("stretch"))
+    names = touching.union(ends.where(~edge).select(*keys, "_block", "_run", F.col("a").alias("stretch")))
+    return marked.join(names, [*keys, "_block", "_run"]).select(*rows.columns, "stretch")
 
 
 def refractory(spikes: DataFrame, period: int, inclusive: bool = True, unit: str = "unit", t: str = "t", tie: str = "id") -> DataFrame:

@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from sensorloom.operators.folds import folded
 from sensorloom.operators.sequences import candidates
 from sensorloom.operators.spikes import stretches
 
 NEVER = -(1 << 62)
+#: Members of sequences that are sent to all tasks.
+MEMBERS = 100_000
 
 
 def advance(rows, first_at: int, last_spike: int, longest: int, refractory: int):
@@ -41,7 +44,8 @@ def advance(rows, first_at: int, last_spike: int, longest: int, refractory: int)
 
 def routed(crossings: DataFrame, members: DataFrame) -> DataFrame:
     """seq, t, is_first: crossings (chan, t, also ts) sent to every sequence (seq, chan, is_first) that has their channel."""
-    return crossings.join(members, "chan").select("seq", "t", "is_first", *(c for c in crossings.columns if c == "ts"))
+    few = F.broadcast(members) if members.count() <= MEMBERS else members
+    return crossings.join(few, "chan").select("seq", "t", "is_first", *(c for c in crossings.columns if c == "ts"))
 
 
 def batch_spikes(crossings: DataFrame, members: DataFrame, longest: int, refractory: int) -> DataFrame:
@@ -51,12 +55,12 @@ def batch_spikes(crossings: DataFrame, members: DataFrame, longest: int, refract
     was before it, so each stretch without one is a group of its own.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(p["t"].tolist(), p["is_first"].tolist()))
-        found, _, _ = advance(rows, NEVER, NEVER, longest, refractory)
-        return pd.DataFrame([(p["seq"].iloc[0], *x) for x in found], columns=["seq", "t", "first_t"])
+    def run(rows: list[tuple]) -> list[tuple]:
+        found, _, _ = advance([x[1:] for x in rows], NEVER, NEVER, longest, refractory)
+        return [(rows[0][0], *x) for x in found]
 
-    return stretches(routed(crossings, members), max(longest, refractory), ["seq"]).groupBy("seq", "stretch").applyInPandas(run, "seq long, t long, first_t long")
+    parts = stretches(routed(crossings, members), max(longest, refractory), ["seq"])
+    return folded(parts, ["seq", "stretch"], ["seq", "t", "is_first"], run, "seq long, t long, first_t long")
 
 
 class SequenceDetector(StatefulProcessor):

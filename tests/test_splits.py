@@ -14,12 +14,14 @@ from sensorloom.streaming import detector
 def test_stretches(spark):
     r = random.Random(5)
     rows = [(k, r.randrange(3000)) for k in (1, 2) for _ in range(60)]
-    out = spikes.stretches(spark.createDataFrame(rows, "k int, t long"), 9, ["k"], block=4).collect()
+    out = spikes.stretches(spark.createDataFrame(rows, "k int, t long"), 9, ["k"], span=4).collect()
     assert sorted((x.k, x.t) for x in out) == sorted(rows)
     for k in (1, 2):
         mine = sorted((x.t, x.stretch) for x in out if x.k == k)
         for (a, p), (b, q) in zip(mine, mine[1:]):
-            assert p == q if b // 10 - a // 10 <= 1 else p != q
+            assert (p == q) == (b - a <= 9) and p <= a
+    whole = spikes.stretches(spark.createDataFrame([(1, 9 * k) for k in range(50)], "k int, t long"), 9, span=2)
+    assert {x.stretch for x in whole.collect()} == {0}
     assert spikes.stretches(spark.createDataFrame([], "k int, t long"), 9, ["k"]).count() == 0
 
 
