@@ -7,9 +7,12 @@ ratio.  A propagation is a reference channel with the channels that follow it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.graphs import written
 from sensorloom.operators.joins import band_join
 
 
@@ -140,3 +143,58 @@ def best_overlap(pairs: DataFrame, common_share: float, alike_share: float) -> D
     good = pairs.where((F.col("common_share") >= common_share) & (F.col("alike_share") >= alike_share))
     best = good.agg(F.max(F.struct(*order, (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")).where("x IS NOT NULL")
     return best.select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b"), *(F.col(f"x.{c}").alias(c) for c in order))
+
+
+def shape_scores(members: DataFrame) -> DataFrame:
+    """a, b, common, percent, shift, height of each two propagations a < b (ref, chan, latency, amp) that share a channel.
+
+    percent: shared channels of all; shift: mean absolute difference of the latencies
+    relative to the shared channel of least number, which is left out; height: mean absolute
+    difference of the amplitudes relative to the shared channel of largest amplitude in a.
+    """
+    side = lambda s: members.select(F.col("ref").alias(s), "chan", F.col("latency").alias(f"l{s}"), F.col("amp").alias(f"h{s}"))
+    size = members.groupBy("ref").agg(F.count("*").alias("n"))
+    both = side("a").join(side("b"), "chan").where("a < b")
+    base = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.struct("chan", "la", "lb")).alias("first"), F.min(F.struct((-F.col("ha")).alias("rank"), "chan", "ha", "hb")).alias("top"))
+    base = base.join(size.select(F.col("ref").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("ref").alias("b"), F.col("n").alias("nb")), "b")
+    late = F.abs((F.col("la") - F.col("first.la")) - (F.col("lb") - F.col("first.lb")))
+    high = F.abs(F.try_divide("ha", F.col("top.ha")) - F.try_divide("hb", F.col("top.hb")))
+    return both.join(base, ["a", "b"]).groupBy("a", "b").agg(
+        F.max("common").alias("common"), F.max(100 * F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("percent"), F.coalesce(F.avg(F.when(F.col("chan") != F.col("first.chan"), late)), F.lit(0.0)).alias("shift"), F.avg(high).alias("height")
+    )
+
+
+def merged_propagations(members: DataFrame, least: int, percent: float, most_shift: float, most_height: float, measured: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """ref, chan, latency, amp, n when no two propagations (of the same columns; n events) are alike any more.
+
+    In each round the pairs that are the best, by the sum of shift and height, for both their
+    members become one: the one of larger amplitude at its first channel takes from the other
+    the channels that it lacks, with latencies moved so that the first channel they share
+    agrees.  Amplitudes on shared channels are means over events, unless ``measured`` takes them
+    anew from the recording.
+    """
+    now = written(members.select("ref", "chan", F.col("latency").cast("double").alias("latency"), F.col("amp").cast("double").alias("amp"), F.col("n").cast("long").alias("n")))
+    while True:
+        good = shape_scores(now).where((F.col("common") >= least) & (F.col("percent") >= percent) & (F.col("shift") <= most_shift) & (F.col("height") <= most_height))
+        good = written(good.select("a", "b", F.struct(F.col("shift") + F.col("height"), "a", "b").alias("score")))
+        best = good.select(F.col("a").alias("ref"), "score").union(good.select("b", "score")).groupBy("ref").agg(F.min("score").alias("best"))
+        pick = good.join(best.select(F.col("ref").alias("a"), F.col("best").alias("ba")), "a").join(best.select(F.col("ref").alias("b"), F.col("best").alias("bb")), "b").where("score = ba AND score = bb").select("a", "b")
+        head = now.groupBy("ref").agg(F.min_by("amp", F.struct("latency", "chan")).alias("head"))
+        pick = pick.join(head.select(F.col("ref").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("ref").alias("b"), F.col("head").alias("hb")), "b")
+        over = F.col("ha") >= F.col("hb")
+        pick = written(pick.select(F.when(over, F.col("a")).otherwise(F.col("b")).alias("ref"), F.when(over, F.col("b")).otherwise(F.col("a")).alias("gone")))
+        if pick.isEmpty():
+            return now
+        mine = now.join(pick, "ref")
+        other = pick.join(now.select(F.col("ref").alias("gone"), "chan", F.col("latency").alias("late2"), F.col("amp").alias("amp2"), F.col("n").alias("n2")), "gone")
+        shared = mine.join(other.select("ref", "chan", "late2"), ["ref", "chan"])
+        move = shared.groupBy("ref").agg(F.min_by(F.col("latency") - F.col("late2"), F.struct("late2", "chan")).alias("move"))
+        joined = mine.select("ref", "chan", "latency", "amp", "n").join(other.join(move, "ref").select("ref", "chan", (F.col("late2") + F.col("move")).alias("late2"), "amp2", "n2"), ["ref", "chan"], "full")
+        a, b = F.coalesce("n", F.lit(0)), F.coalesce("n2", F.lit(0))
+        amp = F.coalesce((F.col("amp") * F.col("n") + F.col("amp2") * F.col("n2")) / (a + b), "amp", "amp2")
+        merged = joined.select("ref", "chan", F.coalesce("latency", "late2").alias("latency"), amp.alias("amp"), (a + b).alias("n"))
+        # All channels of a propagation carry the events of both.
+        total = merged.groupBy("ref").agg(F.max("n").alias("n"))
+        merged = merged.drop("n").join(total, "ref").select("ref", "chan", "latency", "amp", "n")
+        rest = now.join(pick.select("ref").union(pick.select(F.col("gone"))), "ref", "left_anti")
+        now = written(rest.union(measured(merged) if measured else merged))

@@ -17,7 +17,7 @@ from sensorloom.functions.scalar import sigmoid
 from sensorloom.operators.folds import folded
 from sensorloom.operators.graphs import linked, written
 from sensorloom.operators.joins import neighbours
-from sensorloom.operators.mixtures import split_events
+from sensorloom.operators.mixtures import is_unimodal, split_events
 from sensorloom.operators.spikes import refractory, stretches
 from sensorloom.operators.traces import line_keys, preceding_noise
 
@@ -254,18 +254,42 @@ def agglomerated(pairs: DataFrame) -> DataFrame:
     return greedy_merges(pairs)
 
 
-def merged_to_end(foot: DataFrame, spikes: DataFrame, roots: DataFrame, places: DataFrame, loose: float, inner: float, radius: float, overlap: int, **tests) -> tuple[DataFrame, DataFrame, DataFrame]:
+def of_one_mode(pairs: DataFrame, foot: DataFrame, spikes: DataFrame, roots: DataFrame, least: int = 100, p: float = 0.075) -> DataFrame:
+    """The pairs (a, b, ...) whose amplitudes together may have one mode at each root of both; not tested where one has fewer than ``least`` spikes.
+
+    A task tests the amplitudes of one pair at one channel, after ``pairs`` has passed all other tests.
+    """
+    pairs = written(pairs)
+    n = spikes.groupBy("seq").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    tested = pairs.select("a", "b").join(n.select(F.col("seq").alias("a")), "a").join(n.select(F.col("seq").alias("b")), "b").withColumn("seq", F.explode(F.array("a", "b")))
+    at = tested.join(roots.select("seq", F.col("root").alias("chan")), "seq").select("a", "b", "chan").distinct()
+    amps = tested.join(at, ["a", "b"]).join(spikes.select("seq", "event"), "seq").join(foot.select("event", "chan", "amp"), ["event", "chan"]).where("amp IS NOT NULL")
+    kinds = dict(pairs.dtypes)
+
+    def judge(g: pd.DataFrame) -> pd.DataFrame:
+        return g.loc[[] if is_unimodal(g["amp"].to_numpy(float), p) else [g.index[0]], ["a", "b"]]
+
+    # A test costs far more than its few rows show: as many tasks as there are partitions, not as few as would hold the bytes.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = amps.select("a", "b", "chan", "amp").repartition(tasks, "a", "b", "chan").groupBy("a", "b", "chan").applyInPandas(judge, f"a {kinds['a']}, b {kinds['b']}").distinct()
+    return pairs.join(apart, ["a", "b"], "left_anti")
+
+
+def merged_to_end(foot: DataFrame, spikes: DataFrame, roots: DataFrame, places: DataFrame, loose: float, inner: float, radius: float, overlap: int, modes: tuple[int, float] | None = None, **tests) -> tuple[DataFrame, DataFrame, DataFrame]:
     """spikes (seq, event, shift), roots (seq, root, ord) and their statistics with roles when no two sequences may merge any more.
 
     Statistics are taken anew after each round.  The sequence of the larger amplitude at its
     root takes up the other, whose latencies are counted from the base's root from then on;
-    a spike within ``overlap`` frames of the last kept one is the same spike.
+    a spike within ``overlap`` frames of the last kept one is the same spike.  With ``modes``,
+    least spikes and p, pairs must also pass ``of_one_mode``.
     """
     while True:
         shifted = foot.join(spikes.select("event", "shift"), "event").withColumn("latency", F.col("latency") - F.col("shift")).drop("shift")
         stats = statistics(shifted, spikes)
         roled = written(roles(stats, roots, roots.select("seq", F.col("root").alias("chan")), places, loose, inner))
         pairs = merge_tests(roled, roots, places, radius, **tests)
+        if modes:
+            pairs = of_one_mode(pairs, foot, spikes, roots, *modes)
         first = roots.groupBy("seq").agg(F.min_by("root", "ord").alias("root"))
         height = roled.join(first, "seq").where("chan = root").select("seq", "root", "amp")
         pairs = pairs.join(height.select(F.col("seq").alias("a"), F.col("amp").alias("ha")), "a").join(height.select(F.col("seq").alias("b"), F.col("amp").alias("hb")), "b")

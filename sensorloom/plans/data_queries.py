@@ -109,6 +109,26 @@ def t1_online_detector_batch(spark, sf):
     return O.batch_spikes(_crossings(spark, sf), _members(spark), 5 * MINUTE, 20 * MINUTE)
 
 
+def _orders(spark):
+    """Two orders of three channels for each of five sequences."""
+    rows = [(s, o, (s - 1 + p * (o + 1)) % 5 + 1, p) for s in range(1, 6) for o in range(2) for p in range(3)]
+    return spark.createDataFrame(rows, "seq long, order long, chan long, pos long")
+
+
+@query(f"""WITH RECURSIVE {SPIKES}, c AS (SELECT CASE kind WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS chan, t FROM spikes),
+m AS (SELECT seq, o, pos, (seq - 1 + pos * (o + 1)) % 5 + 1 AS chan FROM (SELECT unnest(range(1, 6)) AS seq), (SELECT unnest(range(0, 2)) AS o), (SELECT unnest(range(0, 3)) AS pos)),
+r AS (SELECT seq, o, pos, t, row_number() OVER (PARTITION BY seq ORDER BY t, o, pos) AS k FROM c JOIN m USING (chan)),
+f AS (SELECT DISTINCT seq, 0::BIGINT AS k, CAST(NULL AS BIGINT) AS i0, CAST(NULL AS BIGINT) AS p0, 0::BIGINT AS n0, CAST(NULL AS BIGINT) AS i1, CAST(NULL AS BIGINT) AS p1, 0::BIGINT AS n1, CAST(NULL AS BIGINT) AS hit FROM r
+UNION ALL SELECT seq, k, CASE WHEN n = 3 THEN NULL WHEN o = 0 THEN i ELSE i0 END, CASE WHEN n = 3 THEN NULL WHEN o = 0 THEN p ELSE p0 END, CASE WHEN n = 3 THEN 0 WHEN o = 0 THEN n ELSE n0 END,
+CASE WHEN n = 3 THEN NULL WHEN o = 1 THEN i ELSE i1 END, CASE WHEN n = 3 THEN NULL WHEN o = 1 THEN p ELSE p1 END, CASE WHEN n = 3 THEN 0 WHEN o = 1 THEN n ELSE n1 END, CASE WHEN n = 3 THEN i END
+FROM (SELECT *, CASE WHEN fresh THEN t ELSE ci END AS i, CASE WHEN fresh OR pos > cp THEN pos ELSE cp END AS p, CASE WHEN fresh THEN 1 WHEN pos > cp THEN cn + 1 ELSE cn END AS n
+FROM (SELECT *, ci IS NULL OR t - ci >= {30 * MINUTE} AS fresh FROM (SELECT r.*, i0, p0, n0, i1, p1, n1, CASE o WHEN 0 THEN i0 ELSE i1 END AS ci, CASE o WHEN 0 THEN p0 ELSE p1 END AS cp, CASE o WHEN 0 THEN n0 ELSE n1 END AS cn FROM f JOIN r ON r.seq = f.seq AND r.k = f.k + 1))))
+SELECT seq, hit AS t FROM f WHERE hit IS NOT NULL""")
+def prp11_activated_times(spark, sf):
+    """Times at which three channels of one of a sequence's orders follow each other inside half an hour."""
+    return O.activated(_crossings(spark, sf), _orders(spark), 30 * MINUTE, 3)
+
+
 @query()
 def flt1_src3_band_pass(spark, sf):
     t = trace(spark, sf)

@@ -112,6 +112,13 @@ def prp9_greedy_by_score(spark, sf):
     return Q.greedy_merges(pairs.select("a", "b", (-F.col("agreement")).alias("score")), chains=True)
 
 
+@query()
+def prp9_merged_propagations(spark, sf):
+    """Propagations of like latencies and amplitudes merged, scores taken anew after each round; events of the pair stand for amplitudes."""
+    p = _props(spark, sf).select("ref", "chan", "latency", F.col("n1").alias("amp"), F.lit(1).alias("n"))
+    return rounded(P.merged_propagations(p, 2, 20.0, 10.0, 0.5))
+
+
 @query()
 def cmp14_merged_units(spark, sf):
     """Units of ten labels, by fives, that join if few intervals are short and the templates alike."""

@@ -17,7 +17,7 @@ from sensorloom.operators import sequences as Q
 from sensorloom.plans.sequence_queries import _AM, _CA, _EV, _FT, _RO, _ST, _measured, _roled, _roots
 from sensorloom.plans.tables import MINUTE, SPIKES, TRACE, spikes, table, trace, waveforms
 from sensorloom.plans.trace_queries import _kinds, _sides
-from sensorloom.plans.unit_queries import _FOOT, _TWO, _template
+from sensorloom.plans.unit_queries import _AGREE, _FOOT, _GREEDY, _TWO, _template
 from sensorloom.plans.unit_queries import _sides as _trains
 
 HOUR = 60 * MINUTE
@@ -45,7 +45,11 @@ def evt8_template_scores(spark, sf):
     return rounded(T.local_maxima(scored, 0.9, edges=True))
 
 
-@query()
+@query(_sides().replace("WITH ", "WITH RECURSIVE ") + f""", c AS (SELECT id, t, rid, rt FROM l JOIN q ON rt BETWEEN t - {5 * MINUTE} AND t + {5 * MINUTE} WHERE (unit % 5 * 20 - runit % 5 * 20) ** 2 + (unit // 5 * 20 - runit // 5 * 20) ** 2 <= 10000),
+o AS (SELECT id, t, row_number() OVER (ORDER BY t, id) AS k FROM (SELECT DISTINCT id, t FROM c)),
+f AS (SELECT 0::BIGINT AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS rid, []::BIGINT[] AS used
+UNION ALL SELECT k, id, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (SELECT o.k, o.id, any_value(f.used) AS used, arg_min(c.rid, (abs(c.rt - c.t), c.rt, c.rid)) AS best FROM f JOIN o ON o.k = f.k + 1 LEFT JOIN c ON c.id = o.id AND NOT list_contains(f.used, c.rid) GROUP BY 1, 2))
+SELECT id, rid FROM f WHERE rid IS NOT NULL""")
 def jn10_placed_matches(spark, sf):
     """Clicks take the nearest free view of a place within 100 and five minutes."""
     x, y = (lambda c: F.col(c) % 5 * 20.0), (lambda c: F.floor(F.col(c) / 5) * 20.0)
@@ -111,7 +115,7 @@ def cmp11_split_by_amplitude(spark, sf):
     return rounded(rows.groupBy("u", "large").agg(F.count("*").alias("n"), F.avg("hit").alias("share")))
 
 
-@query()
+@query(_TWO + f", {_GREEDY}, ct AS (SELECT u1, u2, count(*) AS n FROM st WHERE t1 IS NOT NULL GROUP BY 1, 2), {_AGREE} SELECT u1, u2 AS match, round(score, 6) AS score FROM ag QUALIFY row_number() OVER (PARTITION BY u1 ORDER BY score DESC, u2) = 1")
 def cmp13_best_other_unit(spark, sf):
     """Best other unit by the Jaccard index of one-to-one matches."""
     a, b, pairs = _trains(spark, sf)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import mixtures as M
 from sensorloom.operators import sequences as Q
 from sensorloom.operators import traces as T
+from sensorloom.operators.graphs import written
 from sensorloom.operators.joins import neighbours
 from sensorloom.plans.registry import query, r, rounded
 from sensorloom.plans.tables import PLACES, TRACE, places, trace
@@ -200,3 +201,13 @@ def asg5_window_tiling(spark, sf):
 def asg4_noise_refresh(spark, sf):
     w = trace(spark, sf).groupBy("chan", F.floor(F.col("frame") / 100).alias("tile"))
     return w.agg(r(F.greatest(F.lit(0.5), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(v))") / 0.6745), 4).alias("noise"))
+
+
+@query()
+def seq15_of_one_mode(spark, sf):
+    """The pairs that may merge and whose amplitudes together may have one mode, where both have ten spikes."""
+    f = written(_measured(spark, sf))
+    s = f.select(F.col("root").alias("seq"), "event").distinct()
+    roots, at = _roots(spark, sf), places(spark, sf)
+    roled = Q.roles(Q.statistics(f, s), roots, roots.select("seq", F.col("root").alias("chan")), at, 0.85, 45.0)
+    return rounded(Q.of_one_mode(Q.merge_tests(roled, roots, at, 45.0), f, s, roots, 10).select("a", "b", "score"), 5)

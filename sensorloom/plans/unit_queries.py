@@ -331,12 +331,14 @@ def srt5_lowest_scores(spark, sf):
 _OA = "oa AS (SELECT u1, u2, t, side, row_number() OVER (PARTITION BY u1, u2, side ORDER BY t) AS k FROM mg)"
 
 
-@query(_TWO + f""", {_OA}, z AS (SELECT u1, u2, max(k) FILTER (side = 1) AS na, max(k) FILTER (side = 2) AS nb FROM oa GROUP BY 1, 2),
+_GREEDY = f"""{_OA}, z AS (SELECT u1, u2, max(k) FILTER (side = 1) AS na, max(k) FILTER (side = 2) AS nb FROM oa GROUP BY 1, 2),
 st AS (SELECT u1, u2, 1::BIGINT AS i, 1::BIGINT AS j, CAST(NULL AS BIGINT) AS t1, CAST(NULL AS BIGINT) AS t2, na, nb FROM z
 UNION ALL SELECT st.u1, st.u2, CASE WHEN abs(x.t - y.t) <= {_DELTA} OR x.t < y.t THEN i + 1 ELSE i END, CASE WHEN abs(x.t - y.t) <= {_DELTA} OR x.t >= y.t THEN j + 1 ELSE j END,
 CASE WHEN abs(x.t - y.t) <= {_DELTA} THEN x.t END, CASE WHEN abs(x.t - y.t) <= {_DELTA} THEN y.t END, na, nb
-FROM st JOIN oa x ON x.u1 = st.u1 AND x.u2 = st.u2 AND x.side = 1 AND x.k = st.i JOIN oa y ON y.u1 = st.u1 AND y.u2 = st.u2 AND y.side = 2 AND y.k = st.j)
-SELECT u1, u2, t1, t2 FROM st WHERE t1 IS NOT NULL""")
+FROM st JOIN oa x ON x.u1 = st.u1 AND x.u2 = st.u2 AND x.side = 1 AND x.k = st.i JOIN oa y ON y.u1 = st.u1 AND y.u2 = st.u2 AND y.side = 2 AND y.k = st.j)"""
+
+
+@query(_TWO + f", {_GREEDY} SELECT u1, u2, t1, t2 FROM st WHERE t1 IS NOT NULL")
 def cmp2_cmp3_greedy_matches(spark, sf):
     return C.greedy_matches(*_sides(spark, sf), _DELTA)
 

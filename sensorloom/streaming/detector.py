@@ -63,6 +63,36 @@ def batch_spikes(crossings: DataFrame, members: DataFrame, longest: int, refract
     return folded(parts, ["seq", "stretch"], ["seq", "t", "is_first"], run, "seq long, t long, first_t long")
 
 
+def activated(crossings: DataFrame, members: DataFrame, within: int, least: int) -> DataFrame:
+    """seq, t of the spikes of sequences that several orders of channels (members: seq, order, chan, pos) may show.
+
+    An order begins with any of its channels and goes on with channels of larger pos, each less
+    than ``within`` after the first; at ``least`` of them there is a spike at the time of the
+    first, and all orders of the sequence begin anew; the crossing that made the spike may begin
+    the orders of larger number.  What comes too late begins its order anew.  Crossings of one
+    time are taken by order and pos.  Nothing outlasts a gap of ``within``, so each stretch
+    without one is a group of its own.
+    """
+    if least < 2:
+        raise ValueError("least must be 2 or more")
+    few = F.broadcast(members) if members.count() <= MEMBERS else members
+    rows = crossings.select("chan", "t").join(few, "chan").select("seq", "t", "order", "pos")
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        out, begun = [], {}
+        for seq, t, order, pos in rows:
+            first, top, n = begun.get(order, (t, None, 0))
+            if n and t - first < within and pos <= top:
+                continue
+            begun[order] = (first, pos, n + 1) if n and t - first < within else (t, pos, 1)
+            if begun[order][2] >= least:
+                out.append((seq, first))
+                begun = {}
+        return out
+
+    return folded(stretches(rows, within - 1, ["seq"]), ["seq", "stretch"], ["seq", "t", "order", "pos"], run, "seq long, t long")
+
+
 class SequenceDetector(StatefulProcessor):
     """The same with state: crossings of a batch are sorted by time before use."""
 

@@ -233,3 +233,84 @@ def test_half_up(spark):
 
     got = spark.createDataFrame([(0.5,), (1.5,), (2.4,), (-0.5,), (-1.6,)], "x double").select(half_up(F.col("x")).alias("y")).collect()
     assert [x.y for x in got] == [1, 2, 2, 0, -2]
+
+
+def test_pairs_of_one_mode(spark):
+    """Two far modes are found where both sequences have enough spikes, at a root of either."""
+    rng = np.random.default_rng(4)
+    level = {0: 0.0, 1: 0.5, 2: 40.0, 3: 40.0}
+    count = {0: 60, 1: 60, 2: 60, 3: 9}
+    rows = [(q, f"{q}-{k}", c, float(level[q] + rng.normal(0, 1))) for q in level for k in range(count[q]) for c in (7, 8, 9)]
+    both = spark.createDataFrame(rows, "seq long, event string, chan long, amp double")
+    spikes = both.select("seq", "event").distinct()
+    roots = spark.createDataFrame([(0, 7), (1, 8), (2, 7), (3, 9)], "seq long, root long")
+    pairs = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.2), (1, 2, 0.3), (2, 3, 0.4), (0, 3, 0.5)], "a long, b long, score double")
+    kept = sequences.of_one_mode(pairs, both.drop("seq"), spikes, roots, 50, 0.05)
+    assert {(x.a, x.b) for x in kept.collect()} == {(0, 1), (2, 3), (0, 3)}
+
+
+def shapes_of(p, q):
+    """common, percent, shift and height of two propagations, as dictionaries of channel: (latency, amp)."""
+    both = sorted(p.keys() & q.keys())
+    if not both:
+        return None
+    base, top = both[0], max(both, key=lambda c: (p[c][1], -c))
+    late = [abs((p[c][0] - p[base][0]) - (q[c][0] - q[base][0])) for c in both[1:]]
+    high = [abs(p[c][1] / p[top][1] - q[c][1] / q[top][1]) for c in both]
+    return len(both), 100 * len(both) / len(p.keys() | q.keys()), sum(late) / len(late) if late else 0.0, sum(high) / len(high)
+
+
+def test_merged_propagations(spark):
+    """Rounds of pairs that are best for both, on dictionaries."""
+    r = random.Random(5)
+    made = {}
+    for k in range(14):
+        kind = r.randrange(4)
+        chans = r.sample(range(kind * 4, kind * 4 + 6), r.choice((3, 4, 5)))
+        made[k] = ({c: (float(c % 5 + r.choice((0, 0, 1))), 10.0 + c + r.random()) for c in chans}, r.randrange(1, 9))
+    rows = [(k, c, *x, n) for k, (p, n) in made.items() for c, x in p.items()]
+    got = {}
+    for x in correlograms.merged_propagations(spark.createDataFrame(rows, "ref long, chan long, latency double, amp double, n long"), 2, 30.0, 1.5, 0.4).collect():
+        got.setdefault(x.ref, ({}, x.n))[0][x.chan] = (x.latency, x.amp)
+    now = {k: (dict(p), n) for k, (p, n) in made.items()}
+    while True:
+        score = {}
+        for a in now:
+            for b in now:
+                s = shapes_of(now[a][0], now[b][0]) if a < b else None
+                if s and s[0] >= 2 and s[1] >= 30 and s[2] <= 1.5 and s[3] <= 0.4:
+                    score[a, b] = (s[2] + s[3], a, b)
+        best = {k: min((s for p, s in score.items() if k in p), default=None) for k in now}
+        pick = [(a, b) for (a, b), s in score.items() if best[a] == s == best[b]]
+        if not pick:
+            break
+        for a, b in pick:
+            head = lambda k: min((late, c, amp) for c, (late, amp) in now[k][0].items())[2]
+            keep, gone = (a, b) if head(a) >= head(b) else (b, a)
+            (p, n), (q, m) = now[keep], now.pop(gone)
+            first = min((q[c][0], c) for c in p if c in q)[1]
+            move = p[first][0] - q[first][0]
+            now[keep] = ({c: (p[c][0] if c in p else q[c][0] + move, (p[c][1] * n + q[c][1] * m) / (n + m) if c in p and c in q else (p.get(c) or q.get(c))[1]) for c in {*p, *q}}, n + m)
+    assert len(now) < len(made)
+    assert got.keys() == now.keys()
+    for k in now:
+        assert got[k][1] == now[k][1] and got[k][0].keys() == now[k][0].keys()
+        assert all(got[k][0][c] == pytest.approx(now[k][0][c]) for c in now[k][0])
+
+
+def test_activated_starts_anew(spark):
+    """Late, repeated and wrongly ordered crossings, and a spike that resets all orders."""
+    from sensorloom.streaming import detector
+
+    members = spark.createDataFrame([(1, 0, 1, 0), (1, 0, 2, 1), (1, 0, 3, 2), (1, 1, 2, 0), (1, 1, 4, 1)], "seq long, order long, chan long, pos long")
+    spikes = lambda *x: sorted((y.seq, y.t) for y in detector.activated(spark.createDataFrame(list(x), "chan long, t long"), members, 10, 2).collect())
+    assert spikes((1, 0), (2, 5)) == [(1, 0)]
+    assert spikes((1, 0), (2, 10), (4, 19)) == [(1, 10)]
+    assert spikes((2, 0), (1, 3)) == [] and spikes((1, 0), (1, 3)) == []
+    # Channel 2 makes the spike of order 0 and begins order 1, as each crossing is offered to all orders in turn.
+    assert spikes((1, 0), (2, 5), (4, 6)) == [(1, 0), (1, 5)]
+    assert spikes((1, 0), (2, 5), (4, 15)) == [(1, 0)]
+    # Channel 2 begins both orders, channel 1 doesn't follow it, channel 4 does.
+    assert spikes((2, 0), (1, 1), (2, 3), (4, 4)) == [(1, 0)]
+    with pytest.raises(ValueError):
+        detector.activated(spark.createDataFrame([(1, 0)], "chan long, t long"), members, 10, 1)

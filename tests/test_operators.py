@@ -135,6 +135,9 @@ def test_mixtures_and_dip():
     assert len(set(mixtures.best_mixture(rng.normal(0, 1, 400)).tolist())) == 1
     assert mixtures.dip(two) > 3 * mixtures.dip(np.sort(rng.random(400)))
     assert mixtures.unimodal_p(two[::4], 60) < 0.05 < mixtures.unimodal_p(rng.normal(0, 1, 100), 60)
+    for x in (two[::4], rng.normal(0, 1, 40), rng.random(30), np.r_[rng.normal(0, 1, 12), rng.normal(4, 1, 12)]):
+        at = mixtures.unimodal_p(x, 40)
+        assert [mixtures.is_unimodal(x, p, 40) for p in (at, at + 0.01, 0.075, 0.0)] == [True, False, at >= 0.075, True]
 
 
 def test_split_events(spark):
