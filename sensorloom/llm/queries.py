@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from sensorloom.llm import rounds_sql
+from sensorloom.llm.bpe import op12_bpe
+from sensorloom.llm.centroids import op13_centroids
 from sensorloom.llm.decontamination import op2_decontamination
 from sensorloom.llm.fingerprints import op7_fingerprints
 from sensorloom.llm.line_dedup import op6_line_dedup
+from sensorloom.llm.merkle import op11_merkle_manifest
 from sensorloom.llm.mixing import op10_mixing
 from sensorloom.llm.quality import op5_quality
 from sensorloom.llm.simhash_dedup import op4_simhash_dedup
@@ -24,6 +28,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe": op12_bpe,
+    "op13_centroids": op13_centroids,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -60,4 +67,6 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY q) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
         SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_merkle_manifest": rounds_sql.merkle(),
+    "op13_centroids": rounds_sql.centroids(),
 }
