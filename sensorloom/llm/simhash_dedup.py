@@ -244,32 +244,32 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (as a long) and component_id, the smallest id of the group, for each row of docs."""
+    """doc_id, text_hash, fp (as a long), component_id, the smallest id of the group, and root, which names the group even where it has no id, for each row of docs."""
     prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     top = F.lit(np.iinfo(np.int64).max)
     distinct = checkpointed(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.coalesce("doc_id", top)).alias("least"), F.count("*").alias("n")))
     named = named_by_least(distinct, components(links(distinct, radius)))
-    return joined(prints, named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return joined(prints, named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def named_by_least(distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """node, component_id, n for rows (node, least, n), found (node, root) telling which belong together; no id at all gives null."""
+    """node, root, component_id, n for rows (node, least, n), found (node, root) telling which belong together; no id at all gives a null component."""
     rooted = checkpointed(distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     named = joined(rooted.withColumnRenamed("n", "rows"), best, "root")
     top = np.iinfo(np.int64).max
-    return named.select("node", F.when(F.col("component_id") != top, F.col("component_id")).alias("component_id"), F.col("rows").alias("n"))
+    return named.select("node", "root", F.when(F.col("component_id") != top, F.col("component_id")).alias("component_id"), F.col("rows").alias("n"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped=groups, **options) -> DataFrame:
     """One row of docs for each group of ``grouped``, that of the smallest id (a null id last), all columns as they are.
 
-    Of rows alike in id and text the one stays that is least written as JSON.
+    Of rows alike in id and text the one stays that is least written as JSON.  Groups are told
+    apart by their root, so unlike texts without ids all stay.
     """
     found = grouped(docs, id_col=id_col, text_col=text_col, **options)
     top = F.lit(np.iinfo(np.int64).max)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("i"), "text_hash")).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.text_hash").alias("_h"))
-    # Groups without any id share a null component: those rows are all of one key, so nothing else is lost.
+    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("i"), "text_hash")).alias("x")).select(F.col("x.i").alias("_i"), F.col("x.text_hash").alias("_h"))
     h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), top).alias("_i"), h.alias("_h"))
     keys = found.select(F.coalesce("doc_id", top).alias("_i"), F.col("text_hash").alias("_h")).groupBy("_i", "_h").agg(F.count("*").alias("n"))

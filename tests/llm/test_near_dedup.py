@@ -82,3 +82,12 @@ def test_candidates_lose_nothing_at_the_bound():
 
 def test_empty(spark):
     assert near_dedup.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("grouped, options", [(near_dedup.groups, {"shingle": 5, "similarity": 0.8}), (simhash_dedup.groups, {"shingle": 5, "radius": 4})])
+def test_unlike_texts_without_ids_all_stay(spark, grouped, options):
+    """Groups that have no id are as many as their texts; copies among them are one."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (None, texts[2])]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), grouped=grouped, **options).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == [(texts[0], None), (texts[1], None), (texts[2], 4)]

@@ -47,4 +47,4 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_queries_are_named():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
