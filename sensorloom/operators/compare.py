@@ -65,9 +65,10 @@ def greedy_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) ->
                         i += 1
                     else:
                         j += 1
-            yield pd.DataFrame(out, columns=["u1", "u2", "t1", "t2"]).astype("int64")
+            yield pd.DataFrame(out, columns=["u1", "u2", "t1", "t2"])
 
-    return both.select(F.col("u1").cast("long").alias("u1"), F.col("u2").cast("long").alias("u2"), "x", "y").mapInPandas(match, "u1 long, u2 long, t1 long, t2 long")
+    kinds = dict(both.dtypes)
+    return both.select("u1", "u2", "x", "y").mapInPandas(match, f"u1 {kinds['u1']}, u2 {kinds['u2']}, t1 long, t2 long")
 
 
 def agreement(n: DataFrame, sizes1: DataFrame, sizes2: DataFrame, form: str = "both") -> DataFrame:
@@ -115,7 +116,8 @@ def one_to_one(scores: DataFrame, least: float) -> DataFrame:
 
     Units that no score connects are solved apart from each other.
     """
-    strong = scores.where(F.col("score") >= least).select("u1", "u2", "score")
+    strong = scores.where(F.col("score") >= least).select("u1", "u2", F.col("score").cast("double").alias("score"))
+    kinds = dict(strong.dtypes)
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(set(p["u1"])), sorted(set(p["u2"]))
@@ -126,7 +128,7 @@ def one_to_one(scores: DataFrame, least: float) -> DataFrame:
         out = [(rows[i], cols[j], grid[i, j]) for i, j in assignment(-grid) if grid[i, j] > 0]
         return pd.DataFrame(out, columns=["u1", "u2", "score"])
 
-    return linked(strong, sides=True).groupBy("part").applyInPandas(solve, "u1 long, u2 long, score double")
+    return linked(strong, sides=True).groupBy("part").applyInPandas(solve, f"u1 {kinds['u1']}, u2 {kinds['u2']}, score double")
 
 
 def nearest_first(a: DataFrame, b: DataFrame, delta: int) -> DataFrame:
@@ -197,7 +199,8 @@ def average_linkage(scores: DataFrame, least: float, missing: float = 0.0) -> Da
             total, size = np.delete(np.delete(total, j, 0), j, 1), np.delete(np.where(np.arange(len(size)) == i, size + size[j], size), j)
         return pd.DataFrame([(u, min(g)) for g in groups for u in g], columns=["unit", "cluster"])
 
-    return linked(scores.where("u1 <> u2").select("u1", "u2", "score")).groupBy("part").applyInPandas(merge, "unit long, cluster long")
+    kind = dict(scores.dtypes)["u1"]
+    return linked(scores.where("u1 <> u2").select("u1", "u2", "score")).groupBy("part").applyInPandas(merge, f"unit {kind}, cluster {kind}")
 
 
 def rank_scores(top: DataFrame, events: DataFrame, spikes: DataFrame, delta: int) -> DataFrame:

@@ -41,11 +41,14 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sides: bool = False) -> DataFrame:
     """Pairs (u1, u2, ...) with part, the same for pairs that a chain of shared units connects.
 
-    ``sides``: units of one number are different ones on the two sides.
+    ``sides``: units of one name are different ones on the two sides.  Units may be of any
+    type: inside they go by numbers from a table of the distinct ones.
     """
     pairs = written(pairs)
-    u = F.col("u1").cast("long")
-    v = F.col("u2").cast("long")
-    ends = pairs.select((2 * u).alias("u"), (2 * v + 1).alias("v")) if sides else pairs.select(u.alias("u"), v.alias("v"))
-    part = components(ends).select(((F.col("node") / 2).cast("long") if sides else F.col("node")).alias("u1"), "part", (F.col("node") % 2 == 0 if sides else F.lit(True)).alias("mine"))
-    return pairs.join(part.where("mine").drop("mine"), "u1")
+    mine, yours = F.lit(False), F.lit(sides)
+    units = pairs.select(F.col("u1").alias("unit"), mine.alias("side")).union(pairs.select(F.col("u2").alias("unit"), yours.alias("side"))).distinct()
+    named = written(units.withColumn("node", F.monotonically_increasing_id()))
+    left = named.where(~F.col("side")).select(F.col("unit").alias("u1"), F.col("node").alias("u"))
+    right = named.where(F.col("side") == sides).select(F.col("unit").alias("u2"), F.col("node").alias("v"))
+    part = components(pairs.select("u1", "u2").join(left, "u1").join(right, "u2").select("u", "v"))
+    return pairs.join(left.join(part, F.col("u") == F.col("node")).select("u1", "part"), "u1")

@@ -231,22 +231,27 @@ def merged_trains(base: DataFrame, other: DataFrame, overlap: float, strict: boo
 def greedy_merges(pairs: DataFrame, chains: bool = False) -> DataFrame:
     """seq, into: merging of rows (a, b, score), the lowest score first, b into a; a sequence that has been merged away takes no further part.
 
-    One that has taken up others stays as it is in a round of its own, unless ``chains``: then
+    Sequences may have names of any type.  One that has taken up others stays as it is in a round of its own, unless ``chains``: then
     its whole group may be taken up.  Components of the pair graph are merged each on its own.
     """
-    p = linked(pairs.select(F.col("a").cast("long").alias("u1"), F.col("b").cast("long").alias("u2"), "score"))
+    p = linked(pairs.select(F.col("a").alias("u1"), F.col("b").alias("u2"), "score"))
+    kind = dict(p.dtypes)["u1"]
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        gone, took, into = set(), set(), {}
+        took, into = set(), {}
         for a, b in g.sort_values(["score", "u1", "u2"])[["u1", "u2"]].itertuples(index=False):
-            if a in gone or b in gone or (b in took and not chains):
-                continue
-            gone.add(b)
-            took.add(a)
-            into = {s: a if t == b else t for s, t in into.items()} | {b: a}
-        return pd.DataFrame(sorted(into.items()), columns=["seq", "into"], dtype="int64")
-
-    return p.groupBy("part").applyInPandas(merge, "seq long, into long")
+            if a not in into and b not in into and (chains or b not in took):
+                into[b] = a
+                took.add(a)
+
+        def last(s):
+            while s in into:
+                s = into[s]
+            return s
+
+        return pd.DataFrame([(s, last(s)) for s in sorted(into)], columns=["seq", "into"])
+
+    return p.groupBy("part").applyInPandas(merge, f"seq {kind}, into {kind}")
 
 
 def agglomerated(pairs: DataFrame) -> DataFrame:

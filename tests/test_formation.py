@@ -74,6 +74,35 @@ def test_greedy_merges(spark, chains):
     assert {x.seq: x.into for x in got.collect()} == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF.replace("sf0.001", "sf0.01")), reason="no tables")
+def test_greedy_merges_of_names(spark):
+    """Propagations named by strings, of the table whose pairs pass, merge as a plain loop merges them."""
+    from sensorloom.operators import correlograms as P
+    from sensorloom.plans import formation_queries as Z
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    p = Z._props(spark, sf)
+    pairs = P.overlaps(p).where("jaccard >= 0.5").join(P.order_scores(p), ["a", "b"]).where("agreement >= 0.5")
+    ranked = sorted((-x.agreement, x.a, x.b) for x in pairs.collect())
+    assert ranked and isinstance(ranked[0][1], str)
+    groups = {s: [s] for _, *ab in ranked for s in ab}
+    for _, a, b in ranked:
+        if a in groups and b in groups:
+            groups[a] += groups.pop(b)
+    assert {x.seq: x.into for x in Z.prp9_greedy_by_score(spark, sf).collect()} == {s: a for a, x in groups.items() for s in x if s != a}
+
+
+def test_matching_of_names(spark):
+    """Units may be named by strings: assignment, linkage and matching are those of their numbers."""
+    scores = [("a", "a", 0.9), ("a", "b", 0.8), ("b", "a", 0.7), ("c", "b", 0.3)]
+    df = spark.createDataFrame(scores, "u1 string, u2 string, score double")
+    assert {(x.u1, x.u2) for x in compare.one_to_one(df, 0.5).collect()} == {("a", "b"), ("b", "a")}
+    assert {(x.unit, x.cluster) for x in compare.average_linkage(df, 0.6).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    a, b = (spark.createDataFrame([("x", t) for t in ts], "unit string, t long") for ts in ((1, 50, 90), (3, 52, 200)))
+    pair = spark.createDataFrame([("x", "x")], "u1 string, u2 string")
+    assert {tuple(x) for x in compare.greedy_matches(a, b, pair, 5).collect()} == {("x", "x", 1, 3), ("x", "x", 50, 52)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_formed_sequences_are_final(spark):
     """No two may merge any more, each has its spikes once, and statistics are those of the spikes that are left."""

@@ -58,15 +58,15 @@ def test_assignment_is_greedy(spark):
         assert bool(better) != (p in kept)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - {"seq7_seq10_seq13_formed"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - {"seq7_seq10_seq13_formed", "prp9_greedy_by_score"}))
 def test_others_are_stable(spark, name):
-    """Queries without SQL: rows as the schema says, and the same rows when run again; their operators have tests of their own (the one left out takes long and is tested with them)."""
+    """Queries without SQL: rows as the schema says, and the same rows when run again; their operators have tests of their own (those left out take long, or need a larger table to have rows, and are tested with them)."""
     runs = []
     for _ in range(2):
         df = plans.QUERIES[name](spark, SF)
         runs.append(sorted(map(str, df.collect())))
     assert df.columns and runs[0] == runs[1]
-    assert runs[0] or name == "prp9_greedy_by_score"
+    assert runs[0]
 
 
 def test_synthetic_takes_waveforms_of_all_labels(spark, monkeypatch):
