@@ -3,22 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there; a folder of our own only in local mode and where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; one of our own only in local mode and where none is set."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables of a long loop, as Parquet in the checkpoint folder, gone when the loop is done.
+
+    A checkpoint hands on the optimiser's guess of its size, which join after join multiplies to
+    numbers of thousands of digits; a file has a size of its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4()}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, part (the smallest node that can be reached) for the nodes of undirected edges (u, v), longs.
 
