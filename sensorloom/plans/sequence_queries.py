@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import frontier as R
 from sensorloom.operators import mixtures as M
 from sensorloom.operators import sequences as Q
 from sensorloom.operators import traces as T
@@ -17,7 +18,7 @@ from sensorloom.operators.joins import neighbours
 from sensorloom.plans.registry import query, r, rounded
 from sensorloom.plans.tables import PLACES, TRACE, places, trace
 
-HALF, NOISE, RADIUS = 4, 40, 45.0
+HALF, NOISE, RADIUS, NEXT = 4, 40, 45.0, 20.0
 
 
 def _scores(spark, sf):
@@ -180,7 +181,16 @@ def seq1_seq2_seq3_split_events(spark, sf):
     """Events of a root split by latencies and amplitudes into preliminary sequences."""
     f = _measured(spark, sf)
     c = f.where("prob >= 0.85 OR chan = root")
-    return M.split_events(c, least=5, amp_p=-1.0)
+    return M.split_events(c, least=5, amp_p=0.1)
+
+
+@query()
+def seq2_frontier_split(spark, sf):
+    """The same from each root outward: channels compared bring in their neighbours, a fruitless distance ends a branch."""
+    f = written(_measured(spark, sf))
+    found = f.where("prob >= 0.85 AND chan <> root").select("root", "event", "chan", "latency")
+    amps = f.where("chan = root").select("root", "event", "amp")
+    return R.frontier_split(found, amps, places(spark, sf), NEXT, patience=1, amp_p=0.0)
 
 
 @query(f"{_EV} SELECT root AS seq, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS idx, count(*) AS n FROM ev GROUP BY root")

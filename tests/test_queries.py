@@ -58,7 +58,7 @@ def test_assignment_is_greedy(spark):
         assert bool(better) != (p in kept)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - {"seq7_seq10_seq13_formed", "prp9_greedy_by_score"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - {"seq7_seq10_seq13_formed", "prp9_greedy_by_score", "seq2_frontier_split"}))
 def test_others_are_stable(spark, name):
     """Queries without SQL: rows as the schema says, and the same rows when run again; their operators have tests of their own (those left out take long, or need a larger table to have rows, and are tested with them)."""
     runs = []
