@@ -9,9 +9,11 @@ from sensorloom.functions import scalar as S
 from sensorloom.operators import compare as C
 from sensorloom.operators import joins as J
 from sensorloom.operators import mixtures as M
+from sensorloom.operators import pairs as A
 from sensorloom.operators import spikes as K
 from sensorloom.operators import templates as W
 from sensorloom.operators import traces as T
+from sensorloom.operators.graphs import written
 from sensorloom.plans.registry import query, r, rounded
 from sensorloom.operators import sequences as Q
 from sensorloom.plans.sequence_queries import _AM, _CA, _EV, _FT, _RO, _ST, _measured, _roled, _roots
@@ -189,6 +191,15 @@ def prp13_pair_mixtures(spark, sf):
     return f.groupBy("pair").applyInPandas(run, "pair string, component int, n long, mean double")
 
 
+@query()
+def prp13_pair_components(spark, sf):
+    """Latency and relative amplitude of every two neighbouring channels: mixtures from six components down, those that stand."""
+    f = written(_measured(spark, sf))
+    root = f.where("chan = root").select("event", F.col("amp").alias("height"))
+    rows = f.where("prob >= 0.85 AND chan <> root").join(root, "event").select(F.concat_ws("-", "root", "chan").alias("pair"), "event", "latency", (F.col("amp") / F.col("height")).alias("amp"))
+    return rounded(A.component_statistics(A.pair_components(rows, min_count=10, min_spikes=20, max_std=2.0, wide=1.0)), 4)
+
+
 @query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.source IN ('src1', 'src2') UNION ALL SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.source = 'src3'")
 def ds4_subset_concat(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")

@@ -1,23 +1,30 @@
-"""Array files as a Spark source: .npy traces and .npz sorter results, read block by block.
+"""Array files as a Spark source and sink: .npy traces and .npz sorter results, block by block.
 
-``spark.dataSource.register(ArraySource)`` and then
-``spark.read.format("arrays").option("path", folder).load()`` gives (rec_id, chan, frame, v)
-for (channels, frames) arrays.  A partition is a run of frames of one file, read through a
-memory map, so a file is never held whole.
+``spark.read.format("arrays").option("path", folder).load()``, once ``ArraySource`` is
+registered, gives (rec_id, chan, frame, v).  A recording is a (channels, frames) array in one
+file, or a folder of such slices, each named by its first frame.  A partition is a run of
+frames of one file, read through a memory map.  Conditions on rec_id, chan and frame reach the
+scan: only the blocks and rows of the array that they need are opened.
+
+Tasks write slices apart, into a folder of the write that no reader looks at; the commit moves
+them in place, and an abort leaves nothing.  The path is one that all executors see.
 """
 
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 BLOCK = 1 << 20
 
@@ -25,32 +32,139 @@ BLOCK = 1 << 20
 @dataclass
 class Block(InputPartition):
     path: str
+    rec: str
     start: int
     end: int
+    first: int  # frame of the file's first column
+
+
+@dataclass
+class Wanted:
+    """What pushed conditions leave: frames from low up to high, and sets of channels and recordings (None: all)."""
+
+    low: int = 0
+    high: int = 1 << 62
+    chans: set | None = None
+    recs: set | None = None
+
+    def take(self, f: Filter) -> bool:
+        """Whether the condition is one that the scan answers by itself; if so it counts from now on."""
+        name = f.attribute[0] if len(f.attribute) == 1 else None
+        if isinstance(f, IsNotNull):
+            return name in ("rec_id", "chan", "frame")
+        if isinstance(f, (EqualTo, In)) and name in ("chan", "rec_id"):
+            values = set(f.value) if isinstance(f, In) else {f.value}
+            which = "chans" if name == "chan" else "recs"
+            before = getattr(self, which)
+            setattr(self, which, values if before is None else before & values)
+        elif name == "frame" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+        else:
+            return False
+        return True
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.block = Path(options["path"]), int(options.get("block", BLOCK))
+        self.path, self.block, self.wanted = Path(options["path"]), int(options.get("block", BLOCK)), Wanted()
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.wanted.take(f):
+                yield f
+
+    def _files(self) -> list[tuple[Path, str, int]]:
+        """File, recording and first frame."""
+        if not self.path.is_dir():
+            return [(self.path, self.path.stem, 0)]
+        whole = [(f, f.stem, 0) for f in sorted(self.path.glob("*.npy"))]
+        return whole + [(f, f.parent.name, int(f.stem)) for f in sorted(self.path.glob("[!_]*/*.npy"))]
 
     def partitions(self):
-        files = sorted(self.path.glob("*.npy")) if self.path.is_dir() else [self.path]
-        out = []
-        for f in files:
+        out, want = [], self.wanted
+        for f, rec, first in self._files():
+            if want.recs is not None and rec not in want.recs:
+                continue
             shape = np.load(f, mmap_mode="r").shape
             step = max(1, self.block // max(1, shape[0]))
-            out += [Block(str(f), a, min(a + step, shape[1])) for a in range(0, shape[1], step)]
-        return out or [Block("", 0, 0)]
+            blocks = ((max(a, want.low - first), min(a + step, shape[1], want.high - first)) for a in range(0, shape[1], step))
+            out += [Block(str(f), rec, a, b, first) for a, b in blocks if a < b]
+        return out or [Block("", "", 0, 0, 0)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        part = np.load(partition.path, mmap_mode="r")[:, partition.start : partition.end]
-        frames = np.arange(partition.start, partition.end, dtype=np.int64)
-        name = Path(partition.path).stem
-        for chan, row in enumerate(part):
-            n = len(frames)
-            yield pa.record_batch([pa.array([name] * n), pa.array(np.full(n, chan, np.int32)), pa.array(frames), pa.array(np.asarray(row, np.float64))], names=["rec_id", "chan", "frame", "v"])
+        part = np.load(partition.path, mmap_mode="r")
+        frames = np.arange(partition.start, partition.end, dtype=np.int64) + partition.first
+        n = len(frames)
+        for chan in range(part.shape[0]):
+            if self.wanted.chans is None or chan in self.wanted.chans:
+                v = np.asarray(part[chan, partition.start : partition.end], np.float64)
+                yield pa.record_batch([pa.array([partition.rec] * n), pa.array(np.full(n, chan, np.int32)), pa.array(frames), pa.array(v)], names=["rec_id", "chan", "frame", "v"])
+
+
+@dataclass
+class _Slices(WriterCommitMessage):
+    names: list[str] = field(default_factory=list)
+
+
+class _Writer(DataSourceArrowWriter):
+    """Rows sorted by recording, slice, channel and frame to one file a slice."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = Path(options["path"]), overwrite
+        self.width, self.channels = int(options["width"]), int(options["channels"])
+        self.staged = self.path / f"_writing-{uuid.uuid4().hex}"
+
+    def write(self, iterator) -> WriterCommitMessage:
+        done, key, rows = _Slices(), None, None
+        for batch in iterator:
+            rec, (chan, frame, v) = batch["rec_id"].to_pylist(), (batch[c].to_numpy(zero_copy_only=False) for c in ("chan", "frame", "v"))
+            slot = frame // self.width
+            cut = [0, *(i for i in range(1, len(rec)) if rec[i] != rec[i - 1] or slot[i] != slot[i - 1]), len(rec)] if rec else []
+            for a, b in zip(cut, cut[1:]):
+                if key != (rec[a], int(slot[a])):
+                    self._flush(key, rows, done)
+                    key, rows = (rec[a], int(slot[a])), []
+                rows.append((chan[a:b], frame[a:b], v[a:b]))
+        self._flush(key, rows, done)
+        return done
+
+    def _flush(self, key, rows, done: _Slices) -> None:
+        if key is None:
+            return
+        rec, slot = key
+        if not rec or "/" in rec or rec[0] in "._":
+            raise ValueError(f"no name for a folder: {rec!r}")
+        chan, frame, v = (np.concatenate(x) for x in zip(*rows))
+        first = slot * self.width
+        out = np.full((self.channels, int(frame.max()) - first + 1), np.nan)
+        out[chan, frame - first] = v
+        name = f"{rec}/{first:019d}.npy"
+        at = self.staged / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        # An attempt of its own, so that a task that runs twice never shares a file.
+        own = at.with_suffix(f".{uuid.uuid4().hex}")
+        with open(own, "wb") as file:
+            np.save(file, out)
+        os.replace(own, at)
+        done.names.append(name)
+
+    def commit(self, messages) -> None:
+        names = sorted({n for m in messages if m is not None for n in m.names})
+        if self.overwrite:
+            for old in [*self.path.glob("[!_]*/*.npy"), *self.path.glob("*.npy")]:
+                old.unlink()
+        for name in names:
+            (self.path / name).parent.mkdir(parents=True, exist_ok=True)
+            os.replace(self.staged / name, self.path / name)
+        shutil.rmtree(self.staged, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.staged, ignore_errors=True)
 
 
 class ArraySource(DataSource):
@@ -64,14 +178,37 @@ class ArraySource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options, overwrite)
 
-def read_traces(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session and lets its filters reach it."""
     spark.dataSource.register(ArraySource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_traces(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    register(spark)
     return spark.read.format("arrays").option("path", path).option("block", str(block)).load()
 
 
+def write_traces(trace: DataFrame, path: str, width: int, mode: str = "overwrite") -> None:
+    """rec_id, chan, frame, v as slices of ``width`` frames of all channels, a task writing whole slices; frames that a slice lacks are NaN.
+
+    rec_id names a folder; a null or negative place is an error.
+    """
+    register(trace.sparkSession)
+    v = F.col("v").cast("double")
+    place = F.when((F.col("chan") >= 0) & (F.col("frame") >= 0) & F.col("rec_id").isNotNull(), F.col("frame").cast("long")).otherwise(F.raise_error(F.lit("a row without a place")).cast("long"))
+    rows = trace.select(F.col("rec_id").cast("string").alias("rec_id"), F.col("chan").cast("int").alias("chan"), place.alias("frame"), v.alias("v"))
+    channels = (rows.agg(F.max("chan")).first()[0] or 0) + 1
+    dealt = rows.withColumn("slot", F.floor(F.col("frame") / width)).repartition("rec_id", "slot").sortWithinPartitions("rec_id", "slot", "chan", "frame").drop("slot")
+    dealt.write.format("arrays").mode(mode).option("path", path).option("width", str(width)).option("channels", str(channels)).save()
+
+
 def view(trace: DataFrame, start: int, chans: list | None = None, gain: float = 1.0) -> DataFrame:
-    """The trace from frame ``start`` on, which becomes frame 0, of the channels named, in units of gain; lazy, so the filters reach the scan."""
+    """The trace from frame ``start`` on, which becomes frame 0, of the channels named, in units of gain; lazy, and over array files only the blocks it needs are opened."""
     rows = trace.where(F.col("frame") >= start)
     if chans is not None:
         rows = rows.where(F.col("chan").isin(list(chans)))
@@ -108,8 +245,9 @@ def read_trains(spark: SparkSession, path: str) -> DataFrame:
 def concatenated_recordings(traces: DataFrame) -> DataFrame:
     """chan, frame, v of recordings one behind another, by rec_id; a recording is as long as its last frame says."""
     ends = traces.groupBy("rec_id").agg((F.max("frame") + 1).alias("n"))
-    other = ends.select(F.col("rec_id").alias("earlier"), F.col("n").alias("m"))
-    start = ends.join(other, F.col("earlier") < F.col("rec_id"), "left").groupBy("rec_id").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
+    # One row a recording: their lengths are added up in one running sum.
+    before = Window.orderBy("rec_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select("rec_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return traces.join(start, "rec_id").select("chan", (F.col("frame") + F.col("start")).alias("frame"), "v")
 
 
