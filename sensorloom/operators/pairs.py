@@ -19,7 +19,6 @@ from sensorloom.operators.graphs import written
 #: Rows of a pair that a task holds.
 ROWS = 1_000_000
 _STEPS = 24
-_STOP, _MOST = 1e-6, 1000
 
 
 def start(late: list[float], high: list[float], k: int) -> N.Normals:
@@ -31,6 +30,11 @@ def start(late: list[float], high: list[float], k: int) -> N.Normals:
     return N.Normals(np.full(k, 1 / k), mean, np.repeat(np.diag(wide)[None], k, 0))
 
 
+def possible(n: int, most: int, min_count: int) -> int:
+    """The most components of ``min_count`` rows that n rows can make."""
+    return max(1, min(most, n // max(1, min_count)))
+
+
 def overlapping(a: tuple[float, float], b: tuple[float, float], wide: float) -> bool:
     """Whether mean +- wide deviations of both touch."""
     return abs(a[0] - b[0]) <= wide * (a[1] + b[1])
@@ -68,7 +72,7 @@ def _sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return one.sum(0), one.T @ x, one.T @ (x**2)
 
 
-def _inside(most: int, full: bool, gates: dict):
+def _inside(most: int, full: bool, gates: dict, stop: float):
     """Labels of the rows of small pairs, one array a pair."""
 
     def run(batches: Iterator[pd.DataFrame]):
@@ -76,8 +80,8 @@ def _inside(most: int, full: bool, gates: dict):
             out = []
             for pair, rows, late, high in zip(p["pair"], p["rows"], p["late"], p["high"]):
                 x = np.array([(r["latency"], r["amp"]) for r in rows], float)
-                for k in range(most, 0, -1):
-                    m, _ = N.fitted(x, np.ones(len(x)), start(late, high, k), full, _MOST, _STOP)
+                for k in range(possible(len(x), most, gates["min_count"]), 0, -1):
+                    m, _ = N.fitted(x, np.ones(len(x)), start(late, high, k), full, stop=stop)
                     label = _labels(x, m)
                     n, s, q = _sums(x, label, k)
                     stand = judged(n, *_summed(n, s, q), **gates)
@@ -107,11 +111,11 @@ def _grouped(rows: DataFrame, k: int, what) -> dict:
     return {pair: np.array(v) for pair, v in out.items()}
 
 
-def _outside(large: DataFrame, quantiles: dict, most: int, full: bool, gates: dict) -> DataFrame:
+def _outside(large: DataFrame, quantiles: dict, most: int, full: bool, gates: dict, stop: float) -> DataFrame:
     """Labels of the rows of large pairs; quantiles: pair to (rows, late, high).  Only sums of components come to the driver."""
     final: dict = {}
     for k in range(most, 0, -1):
-        going = {pair: start(q[1], q[2], k) for pair, q in quantiles.items() if pair not in final}
+        going = {pair: start(q[1], q[2], k) for pair, q in quantiles.items() if pair not in final and k <= possible(q[0], most, gates["min_count"])}
         settled: dict = {}
         last = {pair: -np.inf for pair in going}
         while going:
@@ -120,7 +124,7 @@ def _outside(large: DataFrame, quantiles: dict, most: int, full: bool, gates: di
             for pair, v in flat.items():
                 s = N.Moments(v[:k], v[k : 3 * k].reshape(k, 2), v[3 * k : 7 * k].reshape(k, 2, 2), float(v[-1]))
                 mean = s.likelihood / quantiles[pair][0]
-                if abs(mean - last[pair]) < _STOP:
+                if abs(mean - last[pair]) < stop:
                     settled[pair] = going.pop(pair)
                 else:
                     last[pair], going[pair] = mean, N.updated(s, full)
@@ -143,11 +147,12 @@ def _outside(large: DataFrame, quantiles: dict, most: int, full: bool, gates: di
     return large.mapInPandas(run, f"pair {kinds['pair']}, component int, event {kinds['event']}, latency double, amp double")
 
 
-def pair_components(rows: DataFrame, most: int = 6, min_count: int = 100, min_spikes: int = 200, max_std: float = 0.167, wide: float = 2.0, full: bool = False) -> DataFrame:
+def pair_components(rows: DataFrame, most: int = 6, min_count: int = 100, min_spikes: int = 200, max_std: float = 0.167, wide: float = 2.0, full: bool = False, stop: float = 1e-6) -> DataFrame:
     """pair, component, event, latency, amp of the rows (pair, event, latency, amp) in components that stand.
 
     Each pair has a mixture of ``most`` normals or, while ``judged`` asks for fewer, one less;
-    ``full``: their covariances are free, else the two values vary apart.
+    ``full``: their covariances are free, else the two values vary apart.  A fit ends when the
+    mean log likelihood grows by less than ``stop``.
     """
     rows = written(rows.select("pair", "event", F.col("latency").cast("double").alias("latency"), F.col("amp").cast("double").alias("amp")).where("latency IS NOT NULL AND amp IS NOT NULL"))
     steps = [i / _STEPS for i in range(_STEPS + 1)]
@@ -155,11 +160,11 @@ def pair_components(rows: DataFrame, most: int = 6, min_count: int = 100, min_sp
     seen = written(rows.groupBy("pair").agg(F.count("*").alias("n"), F.percentile_approx("latency", steps, 10_000).alias("late"), F.percentile_approx("amp", steps, 10_000).alias("high")))
     kinds = dict(rows.dtypes)
     small = rows.join(seen.where(F.col("n") <= ROWS), "pair").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("latency", "amp", "event"))).alias("rows"), F.first("late").alias("late"), F.first("high").alias("high"))
-    out = small.mapInPandas(_inside(most, full, gates), f"pair {kinds['pair']}, component int, event {kinds['event']}, latency double, amp double")
+    out = small.mapInPandas(_inside(most, full, gates, stop), f"pair {kinds['pair']}, component int, event {kinds['event']}, latency double, amp double")
     # At most one pair in ROWS rows.
     large = {r.pair: (r.n, r.late, r.high) for r in seen.where(F.col("n") > ROWS).collect()}
     if large:
-        out = out.union(_outside(rows.where(F.col("pair").isin(list(large))), large, most, full, gates))
+        out = out.union(_outside(rows.where(F.col("pair").isin(list(large))), large, most, full, gates, stop))
     return out
 
 

@@ -197,7 +197,7 @@ def prp13_pair_components(spark, sf):
     f = written(_measured(spark, sf))
     root = f.where("chan = root").select("event", F.col("amp").alias("height"))
     rows = f.where("prob >= 0.85 AND chan <> root").join(root, "event").select(F.concat_ws("-", "root", "chan").alias("pair"), "event", "latency", (F.col("amp") / F.col("height")).alias("amp"))
-    return rounded(A.component_statistics(A.pair_components(rows, min_count=10, min_spikes=20, max_std=2.0, wide=1.0)), 4)
+    return rounded(A.component_statistics(A.pair_components(rows, min_count=20, min_spikes=40, max_std=2.5, wide=1.0, stop=1e-3)), 4)
 
 
 @query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.source IN ('src1', 'src2') UNION ALL SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.source = 'src3'")
