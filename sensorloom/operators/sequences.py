@@ -322,7 +322,7 @@ def formed(foot: DataFrame, places: DataFrame, stringent: float, loose: float, i
     """
     foot = written(foot)
     parts = split_events(foot.where((F.col("prob") >= loose) | (F.col("chan") == F.col("root"))), least=least, amp_p=amp_p)
-    parts = written(parts.select((F.col("root").cast("long") * 4096 + F.col("part")).alias("seq"), "root", "event"))
+    parts = written(parts.select((F.col("root").cast("long") * 4096 + F.when(F.col("part") < 4096, F.col("part")).otherwise(F.raise_error(F.lit("a root of 4096 parts")).cast("int"))).alias("seq"), "root", "event"))
     roots = written(parts.select("seq", "root", F.lit(0).alias("ord")).distinct())
 
     def judged(spikes, roots):

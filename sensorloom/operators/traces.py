@@ -75,7 +75,7 @@ def in_blocks(trace: DataFrame, func, schema: str, width: int, before: int, afte
     ``before`` and ``after`` frames beyond it, marked by a column ``own``.
     """
     low, high = F.floor((F.col("frame") - after) / width), F.floor((F.col("frame") + before) / width)
-    rows = trace.withColumn("_block", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0))))).withColumn("own", F.floor(F.col("frame") / width) == F.col("_block"))
+    rows = trace.withColumn("_block", F.explode(F.sequence(low, high))).withColumn("own", F.floor(F.col("frame") / width) == F.col("_block"))
     return rows.groupBy(*line_keys(trace), "_block").applyInPandas(lambda p: func(p.sort_values("frame", ignore_index=True).drop(columns="_block")), schema)
 
 

@@ -236,3 +236,9 @@ def test_folders(spark, tmp_path):
     folders.write_level(str(tmp_path / "level"), units, s, log)
     assert [(r.unit, r.t_ms) for r in folders.read_level(spark, str(tmp_path / "level"), 20.0).collect()] == [(1, 2.0)]
     assert curation.history_json(log).first().n_passed == 1
+
+
+def test_frames_below_zero_are_kept(spark):
+    t = spark.createDataFrame([(1, f, float(abs(f))) for f in range(-3, 3)], "chan long, frame long, v double")
+    assert {x.frame for x in traces.centred_median(t, 1).collect()} == set(range(-3, 3))
+    assert {x.frame for x in traces.preceding_noise(t, 2).collect()} == set(range(-3, 3))
