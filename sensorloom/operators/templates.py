@@ -110,31 +110,91 @@ def waveform_metrics(waves: DataFrame) -> DataFrame:
     return rows.select("unit", (second - first).alias("width"), (F.col("p") - F.col("t")).alias("peak_time"), (second - F.col("t")).alias("half_time"), (falls - F.col("p")).alias("fall_time"), F.try_divide("high", "low").alias("ratio"))
 
 
-def merged_units(units: DataFrame, most_isi: float, most_diff: float, isi: float) -> DataFrame:
-    """unit, into: units of a group (rows group, unit, times, template) that join the first merge that has room for them.
+def close_before(trains: DataFrame, isi: float) -> DataFrame:
+    """group, unit, earlier, n: the spikes (group, unit, t) of a unit by the units with a spike up to ``isi`` before.
 
-    Units come by falling number of spikes; one joins if the violations (intervals of ``isi`` or
-    less) are at most ``most_isi`` of the spikes of both and the templates, scaled by their
-    depth, differ by ``most_diff`` or less in sum.  A merge has all times and the mean template by spikes.
+    A union of units has a short interval at a spike of its own if one of its units is in
+    ``earlier``, so these counts, which add up, tell the short intervals of every union.  Of
+    equal times the smaller unit is the earlier one.  Times lie in cells with a margin of isi.
     """
+    t, cell = F.col("t"), 64.0 * isi if isi > 0 else 1.0
+    rows = trains.select("group", "unit", F.col("t").cast("double").alias("t")).where("t IS NOT NULL")
+    rows = rows.groupBy("group", "unit", "t").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(t / cell), F.floor((t + isi) / cell))))
+    rows = rows.groupBy("group", "cell", "t").agg(F.sort_array(F.collect_list(F.struct("unit", "n"))).alias("here"))
+    rows = rows.withColumn("one", F.struct("t", F.col("here")["unit"].alias("units")))
+    # The frame is a little wide; the difference itself decides.
+    near = F.expr(f"collect_list(one) OVER (PARTITION BY group, cell ORDER BY t RANGE BETWEEN {isi * (1 + 1e-9) + 1e-9!r}D PRECEDING AND CURRENT ROW)")
+    rows = rows.withColumn("near", near).where(F.floor(t / cell) == F.col("cell"))
+    before = F.flatten(F.transform(F.filter("near", lambda x: (x["t"] < t) & (t - x["t"] <= isi)), lambda x: x["units"]))
+    rows = rows.select("group", before.alias("before"), "here", F.posexplode("here").alias("k", "x"))
+    earlier = F.array_sort(F.array_union("before", F.transform(F.slice("here", F.lit(1), F.col("k")), lambda x: x["unit"])))
+    rows = rows.select("group", F.col("x.unit").alias("unit"), earlier.alias("earlier"), F.col("x.n").alias("n"))
+    copies = F.struct(F.array_sort(F.array_union("earlier", F.array("unit"))).alias("earlier"), (F.col("n") - 1).alias("n"))
+    rows = rows.select("group", "unit", F.explode(F.filter(F.array(F.struct("earlier", F.lit(1).cast("long").alias("n")), copies), lambda x: x["n"] > 0)).alias("x"))
+    return rows.groupBy("group", "unit", F.col("x.earlier").alias("earlier")).agg(F.sum("x.n").alias("n"))
+
+
+def merge_grid(trains: DataFrame, shapes: DataFrame, isi: float, most_isi: list[float | None], most_diff: list[float]) -> DataFrame:
+    """group, most_isi, most_diff, unit, into: for every pair of limits the units that join the first merge with room for them.
+
+    trains: (group, unit, t), shapes: (group, unit, template).  Units come by falling number of
+    spikes, then by unit; one joins if the violations (intervals of ``isi`` or less) are at most
+    most_isi of the spikes of both (None: the smaller share of the two) and the templates, scaled by
+    their depth, differ by most_diff or less in sum.  A merge has all spikes and the mean template
+    by spikes.  All limits are tried on one table of counts; times are in no task as a whole.
+    """
+    points = [(a, d) for a in most_isi for d in most_diff]
+    kinds = dict(shapes.dtypes)
+
+    def run(counts: pd.DataFrame, shapes: pd.DataFrame) -> pd.DataFrame:
+        units = sorted(shapes["unit"])
+        at = {u: i for i, u in enumerate(units)}
+        shape = {at[u]: np.asarray(x, float) for u, x in zip(shapes["unit"], shapes["template"])}
+        counts = counts[counts["unit"].isin(at)]
+        owner, n = counts["unit"].map(at).to_numpy(int), counts["n"].to_numpy(int)
+        early = np.zeros((len(counts), len(units)), bool)
+        for row, found in zip(early, counts["earlier"]):
+            row[[at[u] for u in found if u in at]] = True
+        spikes = np.bincount(owner, n, len(units))
+
+        def short(members):
+            return n[np.isin(owner, members) & early[:, members].any(axis=1)].sum()
+
+        def share(members):
+            return short(members) / max(1, spikes[members].sum())
+
+        def differ(x, y):
+            return np.abs(x / abs(x.min()) - y / abs(y.min())).sum()
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        merges: list[list] = []
-        p = p.assign(n=[len(t) for t in p["times"]]).sort_values(["n", "unit"], ascending=[False, True])
         out = []
-        for unit, times, shape in zip(p["unit"], p["times"], p["template"]):
-            times, shape = np.sort(np.asarray(times, float)), np.asarray(shape, float)
-            for m in merges:
-                both = np.sort(np.concatenate([m[1], times]))
-                if (np.diff(both) <= isi).sum() <= most_isi * len(both) and np.abs(m[2] / abs(m[2].min()) - shape / abs(shape.min())).sum() <= most_diff:
-                    m[2] = (m[2] * len(m[1]) + shape * len(times)) / len(both)
-                    m[1] = both
-                    out.append((unit, m[0]))
-                    break
-            else:
-                merges.append([unit, times, shape])
-                out.append((unit, unit))
-        return pd.DataFrame(out, columns=["unit", "into"])
-
-    kind = dict(units.dtypes)["unit"]
-    return units.groupBy("group").applyInPandas(run, f"unit {kind}, into {kind}")
+        for limit, most in points:
+            merges: list[list] = []  # members, mean template
+            for i in sorted(range(len(units)), key=lambda i: (-spikes[i], i)):
+                for m in merges:
+                    both = [*m[0], i]
+                    total = spikes[both].sum()
+                    if short(both) <= (min(share(m[0]), share([i])) if limit is None else limit) * total and differ(m[1], shape[i]) <= most:
+                        if total:
+                            m[1] = (m[1] * spikes[m[0]].sum() + shape[i] * spikes[i]) / total
+                        m[0] = both
+                        break
+                else:
+                    merges.append([[i], shape[i]])
+            out += [(shapes["group"].iloc[0], limit, most, units[i], units[m[0][0]]) for m in merges for i in m[0]]
+        return pd.DataFrame(out, columns=["group", "most_isi", "most_diff", "unit", "into"]).astype({"most_isi": float})
+
+    schema = f"group {kinds['group']}, most_isi double, most_diff double, unit {kinds['unit']}, into {kinds['unit']}"
+    return close_before(trains, isi).groupBy("group").cogroup(shapes.groupBy("group")).applyInPandas(lambda c, s: run(c, s) if len(s) else pd.DataFrame(columns=["group", "most_isi", "most_diff", "unit", "into"]), schema)
+
+
+def merge_sizes(grid: DataFrame) -> DataFrame:
+    """most_isi, most_diff, merged: units in merges of two or more, for each pair of limits."""
+    sizes = grid.groupBy("most_isi", "most_diff", "group", "into").agg(F.count("*").alias("n"))
+    return sizes.groupBy("most_isi", "most_diff").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("merged"))
+
+
+def merged_units(units: DataFrame, most_isi: float | None, most_diff: float, isi: float) -> DataFrame:
+    """unit, into of merge_grid at one pair of limits, for rows (group, unit, times, template)."""
+    trains = units.select("group", "unit", F.explode("times").alias("t"))
+    return merge_grid(trains, units.select("group", "unit", "template"), isi, [most_isi], [most_diff]).select("unit", "into")

@@ -68,17 +68,53 @@ def runs_above(trace: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy(*line_keys(trace)).agg(F.count_if(F.col("above") & ~F.coalesce("next", F.lit(False))).alias("runs"))
 
 
+def _cut(trace: DataFrame, width: int, before: int, after: int) -> DataFrame:
+    """Rows with _block, those of a margin once for each block they are in, and own, true in their own block."""
+    low, high = F.floor((F.col("frame") - after) / width), F.floor((F.col("frame") + before) / width)
+    return trace.withColumn("_block", F.explode(F.sequence(low, high))).withColumn("own", F.floor(F.col("frame") / width) == F.col("_block"))
+
+
 def in_blocks(trace: DataFrame, func, schema: str, width: int, before: int, after: int) -> DataFrame:
     """Rows that func makes of each block of ``width`` frames of a line, the recording cut so that no task holds a whole one.
 
     func gets a pandas frame sorted by frame, with the rows of the block and those up to
     ``before`` and ``after`` frames beyond it, marked by a column ``own``.
     """
-    low, high = F.floor((F.col("frame") - after) / width), F.floor((F.col("frame") + before) / width)
-    rows = trace.withColumn("_block", F.explode(F.sequence(low, high))).withColumn("own", F.floor(F.col("frame") / width) == F.col("_block"))
+    rows = _cut(trace, width, before, after)
     return rows.groupBy(*line_keys(trace), "_block").applyInPandas(lambda p: func(p.sort_values("frame", ignore_index=True).drop(columns="_block")), schema)
 
 
+def in_context(trace: DataFrame, func, init, schema: str, width: int, before: int, after: int) -> DataFrame:
+    """As in_blocks, for func(context, block); init() makes the context once a task, when its first block comes.
+
+    A task takes its blocks one by one and holds one at a time, and a batch of rows.  func must
+    not depend on the blocks that the context met before: tasks may be run again.
+    """
+    keys = [*line_keys(trace), "_block"]
+    rows = _cut(trace, width, before, after).repartition(*keys).sortWithinPartitions(*keys, "frame")
+
+    def run(batches):
+        context, held = None, []
+        for p in batches:
+            if not len(p):
+                continue
+            context = context or (init(),)
+            for _, part in p.groupby(p[keys].ne(p[keys].shift()).any(axis=1).cumsum()):
+                if held and not part[keys].iloc[0].equals(held[0][keys].iloc[0]):
+                    yield func(context[0], pd.concat(held, ignore_index=True).drop(columns="_block"))
+                    held = []
+                held.append(part)
+        if held:
+            yield func(context[0], pd.concat(held, ignore_index=True).drop(columns="_block"))
+
+    return rows.mapInPandas(run, schema)
+
+
+def _moving_medians(line: np.ndarray, width: int) -> np.ndarray:
+    """Median of the values there are among the last ``width``, nan without any; an ordered list moves along by one value."""
+    return pd.Series(line).rolling(width, min_periods=1).median().to_numpy()
+
+
 def preceding_noise(trace: DataFrame, frames: int, floor: float = 0.5, gap: int = 0) -> DataFrame:
     """Trace with noise: median of |v| over the ``frames`` that end ``gap`` + 1 before / 0.6745, at least floor, which also stands where there are none.
 
@@ -91,12 +127,8 @@ def preceding_noise(trace: DataFrame, frames: int, floor: float = 0.5, gap: int
         line = np.full(frame[-1] - low + 1, np.nan)
         line[frame - low] = np.abs(p["v"].to_numpy(float))
         mine = p[p["own"]]
-        at = mine["frame"].to_numpy() - low
-        view = np.sort(np.lib.stride_tricks.sliding_window_view(line, frames)[at - frames - gap], axis=1)  # nan last
-        n = np.isfinite(view).sum(1)
-        row, mid = np.arange(len(view)), np.maximum(n - 1, 0)
-        value = np.where(n > 0, (view[row, mid // 2] + view[row, (mid + 1) // 2]) / 2, 0.0)
-        return mine.drop(columns="own").assign(noise=np.maximum(floor, value / MAD))
+        value = _moving_medians(line, frames)[mine["frame"].to_numpy() - low - gap - 1]
+        return mine.drop(columns="own").assign(noise=np.fmax(floor, value / MAD))
 
     schema = ", ".join(f"{c} {k}" for c, k in trace.dtypes) + ", noise double"
     return in_blocks(trace, run, schema, max(BLOCK, 16 * frames), frames + gap, 0)
@@ -107,15 +139,11 @@ def centred_median(trace: DataFrame, half: int) -> DataFrame:
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         frame = p["frame"].to_numpy()
-        low = frame[0] - half
+        low = frame[0]
         line = np.full(frame[-1] + half - low + 1, np.nan)
         line[frame - low] = p["v"].to_numpy(float)
         mine = p[p["own"]]
-        at = mine["frame"].to_numpy() - low
-        view = np.sort(np.lib.stride_tricks.sliding_window_view(line, 2 * half + 1)[at - half], axis=1)
-        n = np.isfinite(view).sum(1)
-        row = np.arange(len(view))
-        return mine.drop(columns="own").assign(median=(view[row, (n - 1) // 2] + view[row, n // 2]) / 2)
+        return mine.drop(columns="own").assign(median=_moving_medians(line, 2 * half + 1)[mine["frame"].to_numpy() - low + half])
 
     schema = ", ".join(f"{c} {k}" for c, k in trace.dtypes) + ", median double"
     return in_blocks(trace, run, schema, max(BLOCK, 16 * half), half, half)

@@ -119,13 +119,25 @@ def prp9_merged_propagations(spark, sf):
     return rounded(P.merged_propagations(p, 2, 20.0, 10.0, 0.5))
 
 
+def _mergeable(spark, sf):
+    """Trains and templates of units of ten labels, by fives."""
+    shape = _template(spark, sf).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("chan", "sample", "mean"))).alias("x")).select("unit", F.transform("x", lambda s: s["mean"]).alias("template"))
+    train = spikes(spark, sf).select((F.col("unit") % 10).alias("unit"), "t")
+    shape = shape.join(train.select("unit").distinct(), "unit", "left_semi")
+    group = (F.col("unit") % 2).alias("group")
+    return train.select(group, "unit", "t"), shape.select(group, F.col("unit").cast("long").alias("unit"), "template")
+
+
 @query()
 def cmp14_merged_units(spark, sf):
     """Units of ten labels, by fives, that join if few intervals are short and the templates alike."""
-    shape = _template(spark, sf).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("chan", "sample", "mean"))).alias("x")).select("unit", F.transform("x", lambda s: s["mean"]).alias("template"))
-    train = spikes(spark, sf).groupBy((F.col("unit") % 10).alias("unit")).agg(F.collect_list(F.col("t").cast("double")).alias("times"))
-    rows = train.join(shape, "unit").select((F.col("unit") % 2).alias("group"), F.col("unit").cast("long").alias("unit"), "times", "template")
-    return W.merged_units(rows, 0.5, 60.0, HOUR)
+    return W.merge_grid(*_mergeable(spark, sf), HOUR, [0.5], [60.0]).select("unit", "into")
+
+
+@query()
+def cmp14_threshold_grid(spark, sf):
+    """most_isi, most_diff, merged: units in merges of two or more, for twelve pairs of limits."""
+    return W.merge_sizes(W.merge_grid(*_mergeable(spark, sf), MINUTE, [0.001, 0.01, 0.05, None], [20.0, 60.0, 100.0]))
 
 
 @query()
