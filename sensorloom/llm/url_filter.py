@@ -1,14 +1,17 @@
 """URL filters by explicit rules and a path-template tree, as DataFrame expressions.
 
 Rules fit a host and its subdomains and the beginnings of paths; the longest wins.  The other
-urls are judged by a tree of templates: a node is the labels of a host from the last to the
-first, then the segments of the path, all of them.  Variable segments (numbers, hashes, dates,
-and the children of a node that are nearly all different) become wildcards, until nothing
-changes.  The verdicts of the rules are the labels; branches of one node whose shares of bad
-urls don't differ significantly from those of their siblings pool their counts.  The purity of
+urls are judged by a tree of path templates of their host: a node is the first segments of a
+path.  Variable segments (numbers, hashes, dates, and the children of a node that are nearly all
+different) become wildcards, until nothing changes.  The verdicts of the rules are the labels.
+
+Branches of one node with equally deep trees below are of a kind.  Ordered by their share of bad
+urls (branches of equal counts as one), neighbours whose shares don't differ significantly form a
+group, and the branches of a group pool their counts.  A branch without labels joins the group if
+there is but one of its kind, as nothing tells it apart; else it has no counts.  The purity of
 a node is smoothed by that of the node above, (bad + alpha * above) / (labelled + alpha), from
-the root down, so a branch with few labels or none inherits what is known around it.  A
-template of a purity of ``purity`` or more is rejected.
+the host (0.5 above it) down.  A template of a purity of ``purity`` or more is rejected if a branch
+on its way has counts; what is known of the host alone rejects nothing.
 
 Null urls and urls without :// have an empty host and path, match no rule and are allowed.
 Rows that repeat are judged alike.  Other columns are passed on by the operator unread, also
@@ -17,7 +20,7 @@ those that have the names of its own.  Without any label all is allowed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm._spark import checkpointed, joined
@@ -71,33 +74,45 @@ def generalised(counted: DataFrame, wide: int = 8, share: float = 0.5) -> DataFr
         rows = checkpointed(rows.join(hit, ["host", "t"], "left").withColumn("t", F.when(F.col("ks").isNotNull(), star).otherwise(F.col("t"))).drop("ks"))
 
 
+def branch_counts(nodes: DataFrame, z: float) -> DataFrame:
+    """host, node, n, bad, of as pooled with similar branches, for nodes (host, node, height, n, bad, of) below the host; those without counts are left out.
+
+    A kind's branches come as their distinct counts, so one with many branches is a small table.
+    """
+    kind = F.struct("host", F.slice("node", F.lit(1), F.size("node") - 1).alias("above"), "height")
+    nodes = nodes.where(F.size("node") > 0).withColumn("kind", kind)
+    alike = nodes.groupBy("kind", "bad", "of").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("kind").orderBy(F.col("bad") / F.col("of"), "of")
+    b, m = F.col("bad") * F.col("n"), F.col("of") * F.col("n")
+    b0, m0 = F.lag(b).over(w), F.lag(m).over(w)
+    p = (b + b0) / (m + m0)
+    same = F.abs(b / m - b0 / m0) <= z * F.sqrt(p * (1 - p) * (1 / m + 1 / m0))
+    alike = checkpointed(alike)
+    known = alike.where("of > 0").withColumn("group", F.sum(F.when(same, 0).otherwise(1)).over(w))
+    of_group = Window.partitionBy("kind", "group")
+    known = checkpointed(known.withColumn("all_bad", F.sum(b).over(of_group)).withColumn("all_of", F.sum(m).over(of_group)))
+    single = known.groupBy("kind").agg(F.max("group").alias("groups"), F.first("all_bad").alias("all_bad"), F.first("all_of").alias("all_of")).where("groups = 1")
+    rest = alike.where("of = 0").join(single, "kind").select("kind", "bad", "of", "n", "all_bad", "all_of")
+    pools = known.select(*rest.columns).union(rest).select(F.struct("kind", "bad", "of").alias("key"), "n", "all_bad", "all_of")
+    found = joined(nodes.select(F.struct("kind", "bad", "of").alias("key"), "host", "node", F.col("n").alias("leaves")), pools, "key")
+    return found.select("host", "node", F.col("leaves").alias("n"), F.col("all_bad").alias("bad"), F.col("all_of").alias("of"))
+
+
 def template_tree(counted: DataFrame, wide: int = 8, share: float = 0.5, alpha: float = 2.0, purity: float = 0.9, z: float = 1.96) -> DataFrame:
     """host, segs, purity, reject for rows (host, segs, n, bad, good), each (host, segs) once."""
     rows = generalised(counted, wide, share)
-    labels = F.filter(F.reverse(F.split("host", r"\.")), lambda x: x != "")
-    leaves = checkpointed(rows.groupBy(F.concat(labels, F.array(F.lit("/")), F.col("t")).alias("leaf")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    step = F.explode(F.transform(F.sequence(F.lit(0), F.size("leaf")), lambda k: F.slice(F.col("leaf"), F.lit(1), k)))
-    paths = leaves.select("leaf", "bad", "good", step.alias("node"))
-    nodes = paths.groupBy("node").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("of"), F.count("*").alias("n")).where("of > 0")
-    nodes = checkpointed(nodes.withColumn("above", F.when(F.size("node") > 0, F.slice("node", F.lit(1), F.size("node") - 1))))
-    top = nodes.where("above IS NULL").select(F.lit(None).cast(nodes.schema["above"].dataType).alias("above"), "node", "bad", "of", "n")
-    # Each branch against the rest of its siblings: pooled if their shares are as near as chance makes them.
-    total = nodes.where("above IS NOT NULL").groupBy("above").agg(F.sum("bad").alias("all_bad"), F.sum("of").alias("all_of"), F.count("*").alias("n"))
-    both = joined(nodes.where("above IS NOT NULL").withColumnRenamed("n", "leaves"), total, "above")
-    rest_bad, rest = F.col("all_bad") - F.col("bad"), F.col("all_of") - F.col("of")
-    p = F.col("all_bad") / F.col("all_of")
-    like = (rest > 0) & (F.abs(F.col("bad") / F.col("of") - F.try_divide(rest_bad, rest)) <= z * F.sqrt(p * (1 - p) * (1 / F.col("of") + F.try_divide(F.lit(1.0), rest))))
-    both = checkpointed(both.withColumn("like", F.coalesce(like, F.lit(False))))
-    pool = both.where("like").groupBy("above").agg(F.sum("bad").alias("bad"), F.sum("of").alias("of"), F.count("*").alias("n"))
-    pooled = joined(both.where("like").select("above", "node", "leaves"), pool, "above")
-    counts = pooled.select("node", "bad", "of", "leaves").union(both.where("NOT like").select("node", "bad", "of", "leaves")).union(top.select("node", "bad", "of", F.col("n").alias("leaves")))
-    found = joined(paths.select("leaf", "node"), counts.withColumnRenamed("leaves", "n"), "node")
-    chain = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct(F.size("node").alias("k"), "bad", "of"))).alias("chain"))
+    leaves = checkpointed(rows.groupBy("host", "t").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("of")))
+    paths = leaves.select("host", "t", "bad", "of", F.explode(F.transform(F.sequence(F.lit(0), F.size("t")), lambda k: F.slice("t", F.lit(1), k))).alias("node"))
+    nodes = paths.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("of").alias("of"), F.count("*").alias("n"), F.max(F.size("t") - F.size("node")).alias("height"))
+    nodes = checkpointed(nodes)
+    hosts = nodes.where((F.size("node") == 0) & (F.col("of") > 0)).select("host", "node", "n", "bad", "of")
+    counts = branch_counts(nodes, z).union(hosts).select(F.struct("host", "node").alias("key"), "n", "bad", "of")
+    found = joined(paths.select("host", "t", F.struct("host", "node").alias("key")), counts, "key")
+    chain = found.groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct(F.size("key.node").alias("k"), "bad", "of"))).alias("chain"))
     smooth = F.aggregate("chain", F.lit(0.5), lambda above, x: (x["bad"] + alpha * above) / (x["of"] + alpha))
-    judged = chain.select("leaf", smooth.alias("purity"))
-    named = rows.select("host", "segs", F.concat(labels, F.array(F.lit("/")), F.col("t")).alias("leaf"))
-    out = named.join(judged, "leaf", "left").select("host", "segs", F.coalesce("purity", F.lit(0.0)).alias("purity"))
-    return out.withColumn("reject", F.col("purity") >= purity)
+    judged = chain.select("host", "t", smooth.alias("purity"), (F.element_at("chain", -1)["k"] > 0).alias("known"))
+    out = rows.select("host", "segs", "t").join(judged, ["host", "t"], "left")
+    return out.select("host", "segs", F.coalesce("purity", F.lit(0.5)).alias("purity"), F.coalesce(F.col("known") & (F.col("purity") >= purity), F.lit(False)).alias("reject"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", **options) -> DataFrame:

@@ -262,8 +262,8 @@ def test_url_filter(spark):
         best = max(fit, default=(0, None, None))
         assert (r.host, r.path, r.rule) == (host, path, best[1])
         plain.append((r.row.page_id, host, segments(path), best[2]))
-    purity = plain_tree(plain)
-    verdicts = {k: v or ("block" if host and purity[host, segs] >= 0.9 else "allow") for k, host, segs, v in plain}
+    reject = plain_tree(plain)
+    verdicts = {k: v or ("block" if host and reject[host, segs] else "allow") for k, host, segs, v in plain}
     assert {r.row.page_id: r.verdict for r in judged} == verdicts
     free = [verdicts[k] for k, host, _, v in plain if v is None and host]
     assert "block" in free and "allow" in free  # the tree decides, one way and the other
@@ -275,8 +275,8 @@ def segments(path):
     return tuple(kind(s) for s in path.split("/") if s)
 
 
-def plain_tree(rows, alpha=2.0, z=1.96, wide=8, share=0.5):
-    """Purity of each (host, segments), by dictionaries."""
+def plain_tree(rows, alpha=2.0, z=1.96, purity=0.9, wide=8, share=0.5):
+    """Whether each (host, segments) is rejected, by dictionaries."""
     t = {(h, s): list(s) for _, h, s, _ in rows}
     while True:
         kids, many = defaultdict(Counter), set()
@@ -289,33 +289,70 @@ def plain_tree(rows, alpha=2.0, z=1.96, wide=8, share=0.5):
             break
         for key, x in t.items():
             t[key] = ["*" if (key[0], tuple(x[:k])) in many else v for k, v in enumerate(x)]
-    leaf = {(h, s): tuple([x for x in reversed(h.split(".")) if x] + ["/"] + x) for (h, s), x in t.items()}
-    bad, of = Counter(), Counter()
+    bad, of, height = Counter(), Counter(), Counter()
     for _, h, s, v in rows:
-        if v:
-            for k in range(len(leaf[h, s]) + 1):
-                bad[leaf[h, s][:k]] += v == "block"
-                of[leaf[h, s][:k]] += 1
-    kin, pooled = defaultdict(list), {(): (bad[()], of[()])}
-    for node in of:
-        if node:
-            kin[node[:-1]].append(node)
-    for nodes in kin.values():
-        b, n = sum(bad[x] for x in nodes), sum(of[x] for x in nodes)
-        like = [x for x in nodes if n > of[x] and abs(bad[x] / of[x] - (b - bad[x]) / (n - of[x])) <= z * (b / n * (1 - b / n) * (1 / of[x] + 1 / (n - of[x]))) ** 0.5]
+        x = t[h, s]
+        for k in range(len(x) + 1):
+            node = (h, tuple(x[:k]))
+            bad[node] += v == "block"
+            of[node] += v is not None
+            height[node] = max(height[node], len(x) - k)
+    kinds = defaultdict(list)
+    for h, x in of:
+        if x:
+            kinds[h, x[:-1], height[h, x]].append((h, x))
+    pooled = {(h, x): (bad[h, x], of[h, x]) for h, x in of if not x}
+    for nodes in kinds.values():
+        lots = Counter((bad[x], of[x]) for x in nodes if of[x])
+        groups = []
+        before = None
+        for b, n in sorted(lots, key=lambda y: (y[0] / y[1], y[1])):
+            now = (b * lots[b, n], n * lots[b, n])
+            if before is not None:
+                p = (before[0] + now[0]) / (before[1] + now[1])
+            if before is None or abs(now[0] / now[1] - before[0] / before[1]) > z * (p * (1 - p) * (1 / now[1] + 1 / before[1])) ** 0.5:
+                groups.append([])
+            groups[-1].append((b, n))
+            before = now
+        total = [tuple(sum(y[i] * lots[y] for y in g) for i in (0, 1)) for g in groups]
         for x in nodes:
-            pooled[x] = (sum(bad[y] for y in like), sum(of[y] for y in like)) if x in like else (bad[x], of[x])
+            mine = [s for g, s in zip(groups, total) if (bad[x], of[x]) in g] if of[x] else total
+            pooled[x] = mine[0] if len(mine) == 1 else (0, 0)
     out = {}
-    for key, x in leaf.items():
-        p = 0.5
+    for h, s in t:
+        x, p, known = t[h, s], 0.5, False
         for k in range(len(x) + 1):
-            if x[:k] in of:
-                b, n = pooled[x[:k]]
-                p = (b + alpha * p) / (n + alpha)
-        out[key] = p
+            b, n = pooled[h, tuple(x[:k])]
+            p = (b + alpha * p) / (n + alpha) if n else p
+            known |= k > 0 and n > 0
+        out[h, s] = known and p >= purity
     return out
 
 
+def test_url_branches_decide_inside_a_host(spark):
+    """Of one host: two kinds of branches apart, each pooled; a branch without labels follows its kind only where there is one group."""
+    counted = [("h", [lang, "*"], 50, 50 * (lang in ("es", "fr")), 50 * (lang in ("de", "it"))) for lang in ("es", "fr", "de", "it", "xx")]
+    counted += [("h", ["spam", "a", "*"], 30, 30, 0), ("h", ["new", "b", "*"], 5, 0, 0), ("h", ["about"], 3, 0, 0), ("h", [], 1, 0, 0), ("other", ["spam", "a", "*"], 9, 0, 0)]
+    rows = spark.createDataFrame(counted, "host string, segs array<string>, n long, bad long, good long")
+    got = {(r.host, *r.segs): (round(r.purity, 6), r.reject) for r in url_filter.template_tree(rows).collect()}
+    root = (130 + 2 * 0.5) / (230 + 2)
+    pool = (100 + 2 * root) / (100 + 2)  # one hundred labels, not fifty
+    assert got["h", "es", "*"] == got["h", "fr", "*"] == (round((50 + 2 * pool) / 52, 6), True)
+    assert got["h", "de", "*"] == got["h", "it", "*"] and got["h", "de", "*"][0] < 0.01 and not got["h", "de", "*"][1]
+    assert got["h", "xx", "*"] == got["h", "about"] == got["h",] == (round(root, 6), False)
+    assert got["h", "spam", "a", "*"][1] and got["h", "new", "b", "*"][1]  # the only kind of that depth
+    assert got["other", "spam", "a", "*"] == (0.5, False)
+    assert len(got) == len(counted)
+
+
+def test_url_branches_without_labels_below_bad_hosts_stay(spark):
+    """A page of another depth is allowed where all that is known of its host is bad."""
+    pages = [f"http://h.net/{lang}/{k}" for lang in ("es", "de") for k in range(30)] + ["http://h.net/about", "http://few.net/es/1", "http://few.net/de/1"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    got = {r.row.url: r.verdict for r in url_filter.judge_urls(rows).collect()}
+    assert got["http://h.net/de/3"] == "block" and got["http://h.net/about"] == "allow" and got["http://few.net/de/1"] == "allow"
+
+
 def test_fingerprints(spark, docs, none):
     canon = plain_canon
     prints = fingerprints.fingerprints(docs)
