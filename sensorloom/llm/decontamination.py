@@ -2,15 +2,18 @@
 
 Texts and items are lower-cased, ASCII punctuation removed, and cut into words at white
 space; shingles are five words (an item of fewer words is one shingle).  A window of a text
-with as many words as an item is compared if it shares a shingle with an item of that length
-(one that shares none has similarity 0).  Its SimHash is cut into radius + 1 blocks, and the
-items of that length that agree on a block are candidates, so none within the radius is
-missed; a candidate counts if its weighted-shingle similarity, the sum of the smaller counts
-over that of the larger counts, is ``similarity`` or more.
+with as many words as an item meets that item if they share a shingle (those that share none
+have similarity 0).  A SimHash has 256 bits in 128 blocks; two within the radius differ in at
+most as many blocks, so at least 128 - radius blocks agree, and an item with fewer is no
+candidate: none within the radius is missed.  Of two unlike texts 32 blocks agree by chance,
+with a deviation of 5, and 56 are asked for.  A candidate counts if it is within the radius and
+its weighted-shingle similarity, the sum of the smaller counts over that of the larger counts,
+is ``similarity`` or more.
 
 The benchmark is read in blocks of bounded size and each block is held against all documents;
 the result doesn't depend on how it is cut.  The radius is so wide that a window of similarity
-0.8 is hardly ever beyond it (its bits differ in a seventh of 64, with a deviation of 3).
+0.8 is hardly ever beyond it (its bits differ in 39 of 256, with a deviation of 6).  Windows are
+hashed in stretches, so a text of any length takes the memory of a stretch and of one item.
 Null or empty texts are clean; items without a word match nothing; items with a null id are one
 item without a name.  Rows that repeat or share an id are judged each by itself.  Null ids stay.
 Empty tables give clean documents or none.
@@ -24,10 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm import _text as T
-from sensorloom.llm.simhash_dedup import majority
 
 #: Bytes of items that tasks hold at a time.
 BLOCK_BYTES = 4 << 20
+#: 64-bit words of a fingerprint, its blocks of two bits, and the bits in which a window and an item may differ.
+LANES = 4
+BLOCKS = 32 * LANES
+RADIUS = 72
+#: Starts of windows that are hashed together.
+STRETCH = 4096
+_ODD = np.uint64(0x5555555555555555)
 _LIST = pa.list_(pa.int64())
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -44,36 +53,55 @@ def normalised(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.r_[0, np.cumsum(keep)][off]
 
 
+def prints(grams: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """(windows, LANES) SimHash fingerprints of the m shingles from each start on; starts ascend."""
+    out = np.empty((len(at), LANES), T.U)
+    first = int(at[0])
+    part = grams[first : int(at[-1]) + m]
+    for lane in range(LANES):
+        h = T.mix(part + T.U(lane + 1))
+        bits = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32, out=bits[1:])
+        ones = bits[at - first + m] - bits[at - first]
+        out[:, lane] = np.packbits(ones * 2 > m, axis=1, bitorder="little").view(T.U)[:, 0]
+    return out
+
+
+def agreeing_blocks(x: np.ndarray) -> np.ndarray:
+    """Blocks of two bits that are equal, for differences (pairs, LANES) of fingerprints."""
+    return BLOCKS - np.bitwise_count((x | (x >> T.U(1))) & _ODD).sum(axis=1, dtype=np.int64)
+
+
 class Index:
     """The items of one block of the benchmark."""
 
     def __init__(self, items: list[tuple[int | None, str]], shingle: int, radius: int, similarity: float):
         self.shingle, self.radius, self.similarity = shingle, radius, similarity
-        self.cuts = np.linspace(0, 64, radius + 2).round().astype(int)
         texts = pa.array([t or "" for _, t in items], pa.string())
         buf, off = normalised(*T.text_bytes(texts))
         s, e, row = T.words(buf, off)
         h = T.word_hashes(buf, s, e)
-        self.items: dict[int, list] = {}  # words -> (id, shingle hashes, counts)
+        first = np.searchsorted(row, np.arange(len(items) + 1))
+        self.items: list[tuple] = []  # id, words, shingle hashes, counts
+        found: list[np.ndarray] = []
         for i, (item, _) in enumerate(items):
-            w = h[row == i]
+            w = h[first[i] : first[i + 1]]
             if len(w):
-                values, counts = np.unique(self.shingles(w, len(w)), return_counts=True)
-                self.items.setdefault(len(w), []).append((item, values, counts))
-        #: Shingle lengths in use: the usual one, and that of each shorter item.
-        self.lengths = sorted({min(n, shingle) for n in self.items})
-        self.known = {k: np.unique(np.concatenate([v for n, x in self.items.items() if min(n, shingle) == k for _, v, _ in x])) for k in self.lengths}
-        self.gate = {k: self._gate(v) for k, v in self.known.items()}
-        self.owners: dict[int, dict[int, set[int]]] = {}
-        for n, found in self.items.items():
-            for _, values, _ in found:
-                for v in values.tolist():
-                    self.owners.setdefault(min(n, shingle), {}).setdefault(v, set()).add(n)
-        self.prints = {n: np.array([self.print(np.repeat(v, c)) for _, v, c in x], T.U) for n, x in self.items.items()}
-        self.tables = {n: [self._table(p, b) for b in range(radius + 1)] for n, p in self.prints.items()}
-
-    def shingles(self, words: np.ndarray, n: int) -> np.ndarray:
-        return T.window_hashes(words, min(n, self.shingle))
+                values, counts = np.unique(T.window_hashes(w, min(len(w), shingle)), return_counts=True)
+                self.items.append((item, len(w), values, counts))
+                found.append(prints(np.repeat(values, counts), np.zeros(1, np.int64), int(counts.sum())))
+        self.prints = np.concatenate(found) if found else np.zeros((0, LANES), T.U)
+        #: Shingle lengths in use (the usual one, and that of each shorter item), their hashes and the items that have each.
+        self.lengths = sorted({min(n, shingle) for _, n, _, _ in self.items})
+        self.known, self.owners, self.gate = {}, {}, {}
+        for k in self.lengths:
+            mine = [i for i, x in enumerate(self.items) if min(x[1], shingle) == k]
+            values = np.concatenate([self.items[i][2] for i in mine])
+            owner = np.repeat(mine, [len(self.items[i][2]) for i in mine])
+            order = np.argsort(values, kind="stable")
+            self.known[k], cut = np.unique(values[order], return_index=True)
+            self.owners[k] = (np.r_[cut, len(values)], owner[order])
+            self.gate[k] = self._gate(self.known[k])
 
     @staticmethod
     def _gate(values):
@@ -81,20 +109,6 @@ class Index:
         gate[(values >> T.U(48)).astype(np.int64)] = True
         return gate
 
-    @staticmethod
-    def print(hashes: np.ndarray) -> np.uint64:
-        return majority(hashes, np.zeros(len(hashes), np.int64), 1)[0]
-
-    def _block(self, fps, b):
-        low, high = int(self.cuts[b]), int(self.cuts[b + 1])
-        return (fps >> T.U(low)) & T.U((1 << (high - low)) - 1)
-
-    def _table(self, fps, b):
-        out: dict[int, list[int]] = {}
-        for i, v in enumerate(self._block(fps, b).tolist()):
-            out.setdefault(v, []).append(i)
-        return out
-
     def hits(self, words: np.ndarray, k: int) -> np.ndarray:
         h = T.window_hashes(words, k)
         at = np.flatnonzero(self.gate[k][(h >> T.U(48)).astype(np.int64)])
@@ -102,47 +116,44 @@ class Index:
         return at[v[np.minimum(np.searchsorted(v, h[at]), len(v) - 1)] == h[at]]
 
     def judge(self, words: np.ndarray, near: dict[int, list[int]]) -> dict[int | None, float]:
-        """Best similarity by item, for one text; near: positions of known shingles by shingle length."""
+        """Best similarity by item, for one text; near: positions of known shingles by shingle length, ascending."""
         best: dict[int | None, float] = {}
         for k, places in near.items():
             grams = T.window_hashes(words, k)
-            shared: dict[int, list[int]] = {}
-            for p in places:
-                for n in self.owners[k].get(int(grams[p]), ()):
-                    if n <= len(words):
-                        shared.setdefault(n, []).append(p)
-            bits = None
-            for n, x in shared.items():
-                p, edge = np.array(x), np.zeros(len(words) + 2, np.int64)
-                np.add.at(edge, np.maximum(0, p - (n - k)), 1)
-                np.add.at(edge, np.minimum(p, len(words) - n) + 1, -1)
-                at = np.flatnonzero(np.cumsum(edge))
-                m = n - k + 1
-                if bits is None:
-                    bits = np.zeros((len(grams) + 1, 64), np.int32)
-                    np.cumsum(np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, out=bits[1:])
-                ones = bits[at + m] - bits[at]
-                fps = np.packbits(ones * 2 > m, axis=1, bitorder="little").reshape(-1, 8).copy().view(T.U)[:, 0]
-                self._verify(best, n, k, m, grams, at, fps)
+            p = np.array(places)
+            cut, owner = self.owners[k]
+            v = np.searchsorted(self.known[k], grams[p])
+            n = cut[v + 1] - cut[v]
+            item, p = owner[T.spread(cut[v], n)], np.repeat(p, n)
+            order = np.argsort(item, kind="stable")
+            item, p = item[order], p[order]
+            edge = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
+            for a, b in zip(edge[:-1], edge[1:]):
+                i = int(item[a])
+                size = self.items[i][1]
+                if size <= len(words):
+                    self._meet(best, i, size - k + 1, grams, np.maximum(0, p[a:b] - (size - k)), np.minimum(p[a:b], len(words) - size))
         return best
 
-    def _verify(self, best, n, k, m, grams, at, fps):
-        pairs = set()
-        for b, table in enumerate(self.tables[n]):
-            for i, v in enumerate(self._block(fps, b).tolist()):
-                for j in table.get(v, ()):
-                    pairs.add((i, j))
-        prints = self.prints[n]
-        for i, j in pairs:
-            if int(fps[i] ^ prints[j]).bit_count() > self.radius:
+    def _meet(self, best, i, m, grams, low, high):
+        """The windows of m shingles from low to high (ranges that ascend) against item i."""
+        low = np.maximum(low, np.r_[0, high[:-1] + 1])  # each start once
+        n = np.maximum(0, high - low + 1)
+        at = T.spread(low, n)
+        for part in np.split(at, np.flatnonzero(np.diff(at // STRETCH)) + 1):
+            if not len(part):
                 continue
-            item, values, counts = self.items[n][j]
-            mine, c = np.unique(grams[at[i] : at[i] + m], return_counts=True)
-            _, x, y = np.intersect1d(mine, values, assume_unique=True, return_indices=True)
-            both = int(np.minimum(c[x], counts[y]).sum())
-            score = both / (2 * m - both)
-            if score >= self.similarity and score > best.get(item, 0.0):
-                best[item] = score
+            x = prints(grams, part, m) ^ self.prints[i]
+            candidate = np.flatnonzero(agreeing_blocks(x) >= BLOCKS - self.radius)
+            candidate = candidate[np.bitwise_count(x[candidate]).sum(axis=1, dtype=np.int64) <= self.radius]
+            item, _, values, counts = self.items[i]
+            for j in part[candidate].tolist():
+                mine, c = np.unique(grams[j : j + m], return_counts=True)
+                _, x1, x2 = np.intersect1d(mine, values, assume_unique=True, return_indices=True)
+                both = int(np.minimum(c[x1], counts[x2]).sum())
+                score = both / (2 * m - both)
+                if score >= self.similarity and score > best.get(item, 0.0):
+                    best[item] = score
 
 
 def _matches(index: Index, column) -> list[dict[int, float]]:
@@ -184,7 +195,7 @@ def _indexes(benchmark: DataFrame, shingle: int, radius: int, similarity: float,
         yield Index(sorted(((r.item, r.text) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), shingle, radius, similarity)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs without a window of any item, all columns as they are."""
     place = docs.columns.index(text_col)
 
@@ -200,7 +211,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, s
     return docs
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, items (ids of matched benchmark items) and scores (their similarities), one row per row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

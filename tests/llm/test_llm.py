@@ -243,6 +243,44 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontamination.drop_contaminated(docs, bench.where("false")).count() == docs.count()
 
 
+def test_decontamination_candidates():
+    """Agreeing blocks miss nothing within the radius, leave out nearly all unlike pairs, and windows at a similarity of 0.8 are within it."""
+    D, rng = decontamination, np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, (200_000, D.LANES), np.uint64)
+    unlike = fps[: len(fps) // 2] ^ fps[len(fps) // 2 :]
+    assert (D.agreeing_blocks(unlike) >= D.BLOCKS - D.RADIUS).mean() < 0.001
+    near = np.zeros((500, 256), np.uint8)
+    for row, d in zip(near, rng.integers(0, D.RADIUS + 1, 500)):
+        row[rng.permutation(256)[:d]] = 1
+    assert (D.agreeing_blocks(np.packbits(near, axis=1).view(np.uint64)) >= D.BLOCKS - D.RADIUS).all()
+    assert D.agreeing_blocks(np.array([[3, 0, 1 << 63, 2]], np.uint64)).tolist() == [125]
+    seen = 0
+    for m in (9, 10, 18, 27, 40, 90, 300):
+        for _ in range(200):
+            a = rng.integers(0, 1 << 64, m, np.uint64)
+            b = a.copy()
+            b[: m // 9] = rng.integers(0, 1 << 64, m // 9, np.uint64)
+            same = m - m // 9
+            seen += same / (2 * m - same) >= 0.8
+            x = D.prints(a, np.zeros(1, np.int64), m) ^ D.prints(b, np.zeros(1, np.int64), m)
+            assert np.bitwise_count(x).sum() <= D.RADIUS
+    assert seen == 1400
+    grams = rng.integers(0, 1 << 64, 60, np.uint64)
+    each = np.concatenate([D.prints(grams, np.array([j]), 12) for j in range(49)])
+    assert (D.prints(grams, np.arange(49), 12) == each).all()
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """A text of many windows is hashed a stretch at a time, with the same result."""
+    item = words(40, 5)
+    text = item + " " + " ".join(words(60, s) + " " + " ".join(item.split()[:20]) for s in range(9)) + " " + item.replace(" ", "  ")
+    index = decontamination.Index([(7, item), (8, "zz yy"), (None, "qq")], 5, decontamination.RADIUS, 0.8)
+    whole = decontamination._matches(index, pa.array([text, None, "zz, YY!", item[:-9]]))
+    monkeypatch.setattr(decontamination, "STRETCH", 16)
+    assert decontamination._matches(index, pa.array([text, None, "zz, YY!", item[:-9]])) == whole
+    assert whole[:3] == [{7: 1.0}, {}, {8: 1.0}]
+
+
 def test_url_filter(spark):
     urls = ["http://www.Example.com/en/1", "https://a.example.com/en/x?y#z", "http://b.net/es/1", "http://b.net/de/1", "http://xnet/es/", "net/es/1", None, "", "ftp://net/fr/", "http://com", "http://c.org/a/1?q=/en/", "http://www.example.com", "http://É.com/", "http://a.com#/en/"]
     urls += [f"http://h.net/{lang}/{k}.html" for lang in ("es", "de") for k in range(9)]
