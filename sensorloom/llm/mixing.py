@@ -154,13 +154,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Columns of docs that have these names give way to them.  Rows alike in id, source and text
     are one, copies added: the one that is least written as JSON.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h")).agg(*(F.min(c).alias(c) for c in ("size", "source_size", "target")), F.sum("copies").alias("copies"))
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h")).agg(*(F.min(c).alias(c) for c in ("size", "source_size", "target")), F.sum("copies").alias("copies"), F.count("*").alias("_n")).where("copies > 0")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("i"), F.col(source_col).cast("string").alias("s"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
     same = F.col("i").eqNullSafe(F.col("_i")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h"))
     new = ("size", "source_size", "target", "copies")
-    one = rows.join(taken, same).groupBy("i", "s", "h").agg(F.min_by("row", F.to_json("row")).alias("row"), *(F.min(c).alias(c) for c in new))
-    out = one.withColumn("taken", F.col("size") * F.col("copies"))
+    met = rows.join(taken, same)
+    # Only rows that repeat are grouped and written as JSON; the others go on as they are.
+    several = met.where("_n > 1").groupBy("i", "s", "h").agg(F.min_by("row", F.to_json("row")).alias("row"), *(F.min(c).alias(c) for c in new))
+    out = met.where("_n = 1").select("row", *new).union(several.select("row", *new))
+    out = out.withColumn("taken", F.col("size") * F.col("copies"))
     names = [c for c in docs.columns if c not in (*new, "taken")]
     return out.select(*(F.col("row")[c].alias(c) for c in names), *new, "taken")
 
