@@ -204,6 +204,18 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_hot_lines_by_shuffle(spark, monkeypatch):
+    """Lines too many to be sent to all tasks, one of them in half of all rows: the same rows as by broadcast."""
+    rows = [(i, f"all\nline {i % 7}\nall\nown {i}", f"s{i % 9}") for i in range(120)] + [(None, "all\nline 3", None), (5, "all\nline 5\nall\nown 5", "s5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, line_dedup.dedup_lines(docs, min_sites=3, counts=True).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    monkeypatch.setattr(line_dedup, "HEAVY", 10)
+    monkeypatch.setattr(line_dedup, "SALTS", 4)
+    assert sorted(map(str, line_dedup.dedup_lines(docs, min_sites=3, counts=True).collect())) == want
+    assert sum("n_removed=0" not in x for x in want) > 100
+
+
 def test_decontamination(spark, docs, none, monkeypatch):
     item = words(30, 9)
     bench = spark.createDataFrame([(1, item), (2, "three short words"), (3, None), (4, ""), (5, words(12, 11)), (5, words(20, 12)), (None, words(25, 13)), (-1, words(22, 14))], "item_id long, text string")
