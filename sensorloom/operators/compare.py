@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.graphs import linked
+from sensorloom.operators import matching
+from sensorloom.operators.graphs import linked, written
 from sensorloom.operators.joins import band_join
 
 
@@ -111,13 +112,20 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
-def one_to_one(scores: DataFrame, least: float) -> DataFrame:
-    """u1, u2, score of the one-to-one assignment of largest total score; scores below least count 0 and are dropped.
+def one_to_one(scores: DataFrame, least: float, dense: int = 1 << 20, tolerance: float = 1e-6) -> DataFrame:
+    """u1, u2, score of the one-to-one assignment of largest total score; scores below least, and 0, are dropped.
 
-    Units that no score connects are solved apart from each other.
+    Of rows of one pair the largest score counts; rows without a unit or score take no part.
+    Edges that nothing can beat are taken first (matching.settled); units that no score
+    connects are solved apart from each other.  A component whose matrix has ``dense`` cells
+    or fewer is solved in a task, exactly; all larger ones by an auction in rounds, whose
+    total is within ``tolerance`` times the largest score of the best.
     """
-    strong = scores.where(F.col("score") >= least).select("u1", "u2", F.col("score").cast("double").alias("score"))
-    kinds = dict(strong.dtypes)
+    strong = scores.where((F.col("score") >= least) & (F.col("score") > 0) & F.col("u1").isNotNull() & F.col("u2").isNotNull())
+    taken, left = matching.settled(strong.groupBy("u1", "u2").agg(F.max(F.col("score").cast("double")).alias("score")))
+    if left.isEmpty():
+        return taken
+    kinds = dict(left.dtypes)
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(set(p["u1"])), sorted(set(p["u2"]))
@@ -128,7 +136,12 @@ def one_to_one(scores: DataFrame, least: float) -> DataFrame:
         out = [(rows[i], cols[j], grid[i, j]) for i, j in assignment(-grid) if grid[i, j] > 0]
         return pd.DataFrame(out, columns=["u1", "u2", "score"])
 
-    return linked(strong, sides=True).groupBy("part").applyInPandas(solve, f"u1 {kinds['u1']}, u2 {kinds['u2']}, score double")
+    parts = written(linked(left, sides=True))
+    cells = parts.groupBy("part").agg((F.count_distinct("u1") * F.count_distinct("u2")).alias("cells"))
+    large = written(cells.where(F.col("cells") > dense).select("part"))
+    small = parts.join(large, "part", "left_anti").groupBy("part").applyInPandas(solve, f"u1 {kinds['u1']}, u2 {kinds['u2']}, score double")
+    out = taken.union(small)
+    return out if large.isEmpty() else out.union(matching.auction(parts.join(large, "part").select("u1", "u2", "score"), tolerance))
 
 
 def nearest_first(a: DataFrame, b: DataFrame, delta: int) -> DataFrame:
