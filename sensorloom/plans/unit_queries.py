@@ -167,9 +167,9 @@ def cur3_srt2_d18_compiled(spark, sf):
 @query("SELECT c_custkey AS unit, c_mktsegment AS label, n_name AS \"group\" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 0) AND c_custkey IN (SELECT o_custkey FROM orders)")
 def jn1_src11_cluster_info(spark, sf):
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
-    africa = [x.n_name for x in n.where("n_regionkey = 0").collect()]
-    info = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("unit"), F.col("c_mktsegment").alias("label"), F.col("n_name").alias("group"))
-    return U.units_with_spikes(info, table(spark, sf, "orders").select(F.col("o_custkey").alias("unit")), "BUILDING", tuple(africa))
+    africa = n.where("n_regionkey = 0").select(F.col("n_name").alias("group"))
+    info = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("unit"), F.col("c_mktsegment").alias("label"), F.col("n_name").alias("group"))
+    return U.units_with_spikes(info.join(africa, "group", "left_anti").select(*info.columns), table(spark, sf, "orders").select(F.col("o_custkey").alias("unit")), "BUILDING", ())
 
 
 _BEFORE = _AFTER = 10 * MINUTE
