@@ -3,7 +3,8 @@
 Two texts link if their sets of distinct shingles (A-Z lower-cased, XXH64 of each) have a
 similarity of at least ``similarity``; linked texts form a group.  Candidates are those that
 agree on one of BANDS keys of ROWS minima of the shingles, and whose 64 * WIDE bits of SimHash
-over the same shingles differ in at most RADIUS.  Both are wide: at a similarity of 0.8 a pair
+over the same shingles differ in at most RADIUS, by the bit-sliced comparison with carry-save
+counters of simhash_dedup.  Both are wide: at a similarity of 0.8 a pair
 fails to meet once in 37,000, and the bits differ in 39 of 256 with a deviation of 6.  Groups
 of candidates are then taken apart: within each, shingle sets are compared as they are.
 
@@ -139,16 +140,6 @@ def _linked(rows: int, nears):
     return run
 
 
-def _by_bits(table: pa.Table):
-    bits = T.text_bytes(table["wide"])[0].view(T.U).reshape(-1, WIDE)
-
-    def between(a: int, b: int):
-        mine = bits[a:b]
-        return lambda i: np.flatnonzero(np.bitwise_count(mine ^ mine[i]).sum(1) <= RADIUS)
-
-    return between
-
-
 def _by_sets(similarity: float):
     def nears(table: pa.Table):
         buf, off = T.text_bytes(table["shingles"])
@@ -168,7 +159,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     one = F.min(F.struct(F.coalesce("doc_id", top).alias("i"), F.col("text_hash").alias("h"))).alias("one")
     distinct = checkpointed(prints.groupBy("node", "wide", "bands").agg(one, F.count("*").alias("n")).select("node", "wide", "bands", "one.i", "one.h", "n"))
     met = distinct.select("node", "wide", F.posexplode("bands").alias("t", "part"))
-    found = components(S._dealt(met, S.PART, "wide").mapInArrow(_linked(50_000, _by_bits), "u long, v long"))
+    found = components(S._dealt(met, S.PART, "wide").mapInArrow(S._compare(RADIUS, "wide"), "u long, v long"))
     picked = checkpointed(distinct.select("node", "i", "h").join(found, "node"))
     texts = rows.select(F.coalesce("doc_id", top).alias("i"), F.col("text_hash").alias("h"), "text")
     texts = texts.join(F.broadcast(picked) if picked.count() <= S.BROADCAST else picked, ["i", "h"]).select("node", "root", "text")

@@ -92,9 +92,9 @@ def _full(a, b, c):
 
 
 def _over(value: list[np.ndarray], most: int) -> np.ndarray:
-    """Lanes whose three-bit value (low bit first) exceeds most."""
+    """Lanes whose value (bits, low bit first) exceeds most."""
     more, same = np.zeros_like(value[0]), np.full_like(value[0], ~T.U(0))
-    for k in (2, 1, 0):
+    for k in reversed(range(len(value))):
         if most >> k & 1:
             same &= value[k]
         else:
@@ -106,23 +106,28 @@ def _over(value: list[np.ndarray], most: int) -> np.ndarray:
 def near_words(planes: np.ndarray, valid: np.ndarray, fps: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int):
     """Bit-sliced distances of fingerprint fps[q] to the 64 lanes of word w, pair by pair.
 
-    planes: (64, words); returns the pairs that have a lane within the radius, and their lanes.
+    fps: one word of 64 bits each, or several in columns; planes: (bits, words).  Returns the
+    pairs that have a lane within the radius, and their lanes.
     """
-    zero = np.zeros(len(q), T.U)
-    ones, twos, fours, dead = zero, zero.copy(), zero.copy(), ~valid[w]
-    for k in range(0, 64, 8):
-        d = [planes[b][w] ^ (T.U(0) - ((fps[q] >> T.U(b)) & T.U(1))) for b in range(k, k + 8)]
+    fps, zero = fps.reshape(len(fps), -1), np.zeros(len(q), T.U)
+    counts, dead = [zero] * max(3, radius.bit_length()), ~valid[w]
+    for k in range(0, 64 * fps.shape[1], 8):
+        d = [planes[b][w] ^ (T.U(0) - ((fps[q, b // 64] >> T.U(b % 64)) & T.U(1))) for b in range(k, k + 8)]
+        ones, twos, fours = counts[:3]
         ones, a = _full(ones, d[0], d[1])
         ones, b = _full(ones, d[2], d[3])
         twos, c = _full(twos, a, b)
         ones, a = _full(ones, d[4], d[5])
         ones, b = _full(ones, d[6], d[7])
         twos, e = _full(twos, a, b)
-        fours, eights = _full(fours, c, e)
-        dead = dead | eights | _over([ones, twos, fours], radius)
+        fours, carry = _full(fours, c, e)
+        counts[:3] = ones, twos, fours
+        for i in range(3, len(counts)):
+            counts[i], carry = counts[i] ^ carry, counts[i] & carry
+        dead = dead | carry | _over(counts, radius)
         live = dead != ~T.U(0)
         if not live.all():
-            ones, twos, fours, dead, q, w = ones[live], twos[live], fours[live], dead[live], q[live], w[live]
+            counts, dead, q, w = [x[live] for x in counts], dead[live], q[live], w[live]
         if not len(q):
             break
     return q, w, ~dead
@@ -141,8 +146,8 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (key order) to the root of their group; side: 0 both, 1 compared with those of side 2."""
-    n = len(fps)
+    """Rows (key order) to the root of their group; side: 0 both, 1 compared with those of side 2; fps as for near_words."""
+    n, fps = len(fps), fps.reshape(len(fps), -1)
     root = np.arange(n)
     target = np.flatnonzero(side != 1)
     query = np.flatnonzero(side != 2)
@@ -156,7 +161,7 @@ def _links(key: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> n
     word = base[group] + lane // 64
     bit = (lane % 64).astype(T.U)
     cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    planes = np.stack([np.bitwise_or.reduceat(((fps[target] >> T.U(b)) & T.U(1)) << bit, cut) for b in range(64)])
+    planes = np.stack([np.bitwise_or.reduceat(((fps[target, b // 64] >> T.U(b % 64)) & T.U(1)) << bit, cut) for b in range(64 * fps.shape[1])])
     valid = np.bitwise_or.reduceat(T.U(1) << bit, cut)
     keys = tk[start]
     g = np.searchsorted(keys, qk)
@@ -198,12 +203,15 @@ def _whole(batches, rows: int = 50_000):
         yield kept
 
 
-def _compare(radius: int):
+def _compare(radius: int, wide: str | None = None):
+    """Edges of rows that meet; their fingerprint is the node, or several words of bits in the column ``wide``."""
+
     def run(batches):
         for table in _whole(batches):
             # The place is a hash: only distances decide.
             node = table["node"].to_numpy()
-            root = _links(table["place"].to_numpy(), table["side"].to_numpy(), node.view(T.U), radius)
+            fps = T.text_bytes(table[wide])[0].view(T.U).reshape(len(node), -1) if wide else node.view(T.U)
+            root = _links(table["place"].to_numpy(), table["side"].to_numpy(), fps, radius)
             on = np.flatnonzero(root != np.arange(len(root)))
             yield pa.record_batch([pa.array(node[on]), pa.array(node[root[on]])], schema=_EDGES)
 

@@ -91,3 +91,25 @@ def test_unlike_texts_without_ids_all_stay(spark, grouped, options):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (None, texts[2])]
     kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), grouped=grouped, **options).collect()
     assert sorted((r.text, r.doc_id) for r in kept) == [(texts[0], None), (texts[1], None), (texts[2], 4)]
+
+
+def test_wide_fingerprints_are_compared_by_bit_planes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, (40, near_dedup.WIDE), np.uint64)
+    flips = np.packbits(rng.random((400, 256)) < rng.choice([0.1, 0.3, 0.36, 0.5], (400, 1)), axis=1).view(np.uint64)
+    fps, key = base[np.arange(400) % 40] ^ flips, np.sort(rng.integers(0, 3, 400))
+    far = np.bitwise_count(fps[:, None] ^ fps).sum(2)
+    want = np.arange(400)
+    for _ in range(400):
+        near = (far <= near_dedup.RADIUS) & (key[:, None] == key)
+        now = np.where(near, want[None], 400).min(1)
+        if (now == want).all():
+            break
+        want = now
+    assert (simhash_dedup._links(key, np.zeros(400, int), fps, near_dedup.RADIUS) == want).all() and 1 < len(set(want)) < 400
+    # The pipeline's candidates go through it.
+    seen = []
+    real = simhash_dedup._compare
+    monkeypatch.setattr(simhash_dedup, "_compare", lambda *a: seen.append(a) or real(*a))
+    near_dedup.groups(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).collect()
+    assert seen == [(near_dedup.RADIUS, "wide")]
