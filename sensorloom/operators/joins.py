@@ -55,6 +55,18 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str = "t", take
     return rows.select(*left.columns, best["v"].alias("match"))
 
 
+def as_of_in_cells(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, t: str = "t", take: str = "t", direction: str = "nearest", earlier: bool = False) -> DataFrame:
+    """as_of with a tolerance, for trains too long for one task: times lie in cells of eight tolerances, right rows with a margin.
+
+    Times are integers.  Work and memory follow the rows, however many of them lie within the tolerance.
+    """
+    width = 8 * max(1, tolerance)
+    l = left.withColumn("_cell", F.floor(F.col(t) / width))
+    near = F.sequence(F.floor((F.col(t) - tolerance) / width), F.floor((F.col(t) + tolerance) / width))
+    r = right.where(F.col(t).isNotNull()).withColumn("_cell", F.explode(near))
+    return as_of(l, r, [*keys, "_cell"], t, take, direction, tolerance, earlier=earlier).select(*left.columns, "match")
+
+
 def neighbours(places: DataFrame, radius: float, key: str = "chan", strict: bool = False) -> DataFrame:
     """a, b, dist of different places within the radius, by cells as wide as the radius."""
     cell = places.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))

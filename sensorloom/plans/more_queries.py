@@ -129,9 +129,8 @@ def cmp13_best_other_unit(spark, sf):
 def prp2_nearest_correlogram(spark, sf):
     """One target per reference, the nearest; both sides in one train."""
     a = _kinds(spark, sf, "click", "id", "unit", "t", "amp").select("id", "t")
-    b = _kinds(spark, sf, "view", "rid", "runit", "t", "ramp").select(F.col("t").alias("rt"))
-    gap = F.struct(F.abs(F.col("rt") - F.col("t")), -F.col("rt"))
-    near = J.band_join(a, b, 10 * MINUTE, 10 * MINUTE).groupBy("id", "t").agg(F.min_by("rt", gap).alias("match"))
+    b = _kinds(spark, sf, "view", "rid", "runit", "t", "ramp").select("t")
+    near = J.as_of_in_cells(a, b, [], 10 * MINUTE).where("match IS NOT NULL")
     return near.groupBy(F.floor((F.col("match") - F.col("t") + 10 * MINUTE) / MINUTE).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -216,9 +215,10 @@ def asg8_asg9_overlap_metrics(spark, sf):
 def jn17_nearby_sorters(spark, sf):
     """Of each two detectors, how many events of the first the second has a match for."""
     s = spikes(spark, sf).withColumn("u", F.col("unit") % 8)
-    left, right = s.select(F.col("kind").alias("first"), "id", "t", "u"), s.select(F.col("kind").alias("second"), F.col("t").alias("rt"), F.col("u").alias("ru"))
-    pairs = J.band_join(left, right, 10 * MINUTE, 10 * MINUTE, keys=[("u", "ru")]).where("first <> second")
-    return pairs.groupBy("first", "second").agg(F.count_distinct("id").alias("matched"))
+    kinds = s.select(F.col("kind").alias("second")).distinct()
+    left = s.join(F.broadcast(kinds)).where("kind <> second").select(F.col("kind").alias("first"), "second", "id", "t", "u")
+    near = J.as_of_in_cells(left, s.select(F.col("kind").alias("second"), "t", "u"), ["u", "second"], 10 * MINUTE).where("match IS NOT NULL")
+    return near.groupBy("first", "second").agg(F.count_distinct("id").alias("matched"))
 
 
 @query(_sides() + f", m AS (SELECT id, (SELECT rt - t FROM q WHERE runit = unit ORDER BY abs(rt - t), rt DESC LIMIT 1) / {MINUTE}.0::DOUBLE AS lag FROM l), s AS (SELECT avg(lag) AS m, stddev_samp(lag) AS sd FROM m) SELECT id, round((lag - m) / sd, 6) AS z FROM m, s WHERE abs(lag - m) <= 0.5 * sd")
