@@ -9,20 +9,86 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.graphs import written
-from sensorloom.operators.joins import band_join
+
+
+#: Pairs of events that a task spells out at a time.
+PAIRS = 1 << 22
+
+
+def _least_values(bins: int, step: int) -> np.ndarray:
+    """For bins 0 to ``bins``, the least whole y with y / step, rounded half to even, in that bin or beyond."""
+    low = np.array([int(np.floor((k - 0.5) * step)) - 2 for k in range(bins + 1)])
+    near = low[:, None] + np.arange(6)
+    return near[np.arange(bins + 1), (np.rint(near / step) >= np.arange(bins + 1)[:, None]).argmax(1)]
+
+
+def _counted(chan: np.ndarray, t: np.ndarray, own: np.ndarray, before: int, after: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (ref, tar, bin) and counts of the pairs of own events with all of other channels; chan: numbers from 0 on."""
+    n_chan, bins = int(chan.max()) + 1, int(np.rint((before + after) / step)) + 1
+    order = np.lexsort((t, chan))
+    chan, t, own = chan[order], t[order], own[order]
+    ref, at = chan[own], t[own]
+    # Windows per reference: by the edges of bins if these are fewer than the pairs, else pair by pair.
+    edges = np.clip(_least_values(bins, step), 0, before + after + 1) - before
+    edges[-1] = after + 1
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, ref[1:] != ref[:-1]])
+    by_time = np.argsort(t, kind="stable")
+    time, other = t[by_time], chan[by_time]
+    low, high = np.searchsorted(time, at - before), np.searchsorted(time, at + after, "right")
+    if n_chan * len(edges) * len(at) <= (high - low).sum():
+        found = np.zeros((n_chan, n_chan, bins), np.int64)
+        for tar in range(n_chan):
+            mine = t[chan == tar]
+            below = np.stack([np.add.reduceat(np.searchsorted(mine, at + e), cut) for e in edges])
+            found[ref[cut], tar] = np.diff(below, axis=0).T
+        found[np.arange(n_chan), np.arange(n_chan)] = 0
+        code = np.flatnonzero(found)
+        return code, found.reshape(-1)[code]
+    ends, codes, counts, i = np.cumsum(high - low), [], [], 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        size = high[i:j] - low[i:j]
+        row = np.repeat(np.arange(i, j), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[i:j], size)
+        apart = other[place] != ref[row]
+        row, place = row[apart], place[apart]
+        k = np.rint((time[place] - at[row] + before) / step).astype(np.int64)
+        code, n = np.unique((ref[row].astype(np.int64) * n_chan + other[place]) * bins + k, return_counts=True)
+        codes, counts, i = [*codes, code], [*counts, n], j
+    code, where = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(where, np.concatenate(counts), len(code)).astype(np.int64)
 
 
 def lags(events: DataFrame, before: int, after: int, step: int, chan: str = "chan", t: str = "t") -> DataFrame:
-    """ref, tar, bin, n: pairs of different channels with -before <= lag <= after, bins of ``step`` rounded to the nearest."""
-    left = events.select(F.col(chan).alias("ref"), F.col(t).alias("t"))
-    right = events.select(F.col(chan).alias("tar"), F.col(t).alias("rt"))
-    pairs = band_join(left, right, before, after).where("ref <> tar")
-    k = F.bround((F.col("rt") - F.col("t") + before) / step).cast("int")
-    return pairs.groupBy("ref", "tar", k.alias("bin")).agg(F.count("*").alias("n"))
+    """ref, tar, bin, n: pairs of different channels with -before <= lag <= after, bins of ``step`` rounded to the nearest.
+
+    Events lie in cells with a margin.  Where a cell has more pairs than events times channels
+    times bins, pairs are counted by the edges of the bins in sorted times and not spelled out.
+    """
+    width = 4 * max(1, before + after)
+    rows = events.select(F.col(chan).alias("chan"), F.col(t).cast("long").alias("t")).where("chan IS NOT NULL AND t IS NOT NULL")
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor((F.col("t") - after) / width), F.floor((F.col("t") + before) / width))))
+    kind = dict(rows.dtypes)["chan"]
+    bins = int(np.rint((before + after) / step)) + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table["chan"].combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        t = table["t"].to_numpy()
+        code, n = _counted(names.indices.to_numpy(), t, t // width == table["cell"][0].as_py(), before, after, step)
+        pair, size = code // bins, len(names.dictionary)
+        return pa.table({"ref": names.dictionary.take(pa.array(pair // size)), "tar": names.dictionary.take(pa.array(pair % size)), "bin": (code % bins).astype(np.int32), "n": n})
+
+    found = rows.groupBy("cell").applyInArrow(run, f"ref {kind}, tar {kind}, bin int, n long")
+    return found.groupBy("ref", "tar", "bin").agg(F.sum("n").alias("n"))
 
 
 def cohorts(counted: DataFrame, bins: int, narrow: int, wide: int, ratio: float) -> DataFrame:

@@ -10,6 +10,7 @@ from sensorloom.operators import correlograms as P
 from sensorloom.operators import sequences as Q
 from sensorloom.operators import spikes as K
 from sensorloom.operators import templates as W
+from sensorloom.operators.graphs import written
 from sensorloom.plans.registry import query, r, rounded
 from sensorloom.plans.sequence_queries import RADIUS, _measured
 from sensorloom.plans.tables import MINUTE, SPIKES, WAVES, places, spikes, table, waveforms
@@ -107,7 +108,7 @@ def prp18_best_pair(spark, sf):
 @query()
 def prp9_greedy_by_score(spark, sf):
     """Propagations that share half of their channels and their order, merged from the best score on; groups may be taken up whole."""
-    p = _props(spark, sf)
+    p = written(_props(spark, sf))
     pairs = P.overlaps(p).where("jaccard >= 0.5").join(P.order_scores(p), ["a", "b"]).where("agreement >= 0.5")
     return Q.greedy_merges(pairs.select("a", "b", (-F.col("agreement")).alias("score")), chains=True)
 
