@@ -109,10 +109,11 @@ def near_words(planes: np.ndarray, valid: np.ndarray, fps: np.ndarray, q: np.nda
     fps: one word of 64 bits each, or several in columns; planes: (bits, words).  Returns the
     pairs that have a lane within the radius, and their lanes.
     """
-    fps, zero = fps.reshape(len(fps), -1), np.zeros(len(q), T.U)
+    words, zero = np.ascontiguousarray(fps.reshape(len(fps), -1).T), np.zeros(len(q), T.U)
     counts, dead = [zero] * max(3, radius.bit_length()), ~valid[w]
-    for k in range(0, 64 * fps.shape[1], 8):
-        d = [planes[b][w] ^ (T.U(0) - ((fps[q, b // 64] >> T.U(b % 64)) & T.U(1))) for b in range(k, k + 8)]
+    for k in range(0, 64 * len(words), 8):
+        word = words[k // 64][q]
+        d = [planes[b][w] ^ (T.U(0) - ((word >> T.U(b % 64)) & T.U(1))) for b in range(k, k + 8)]
         ones, twos, fours = counts[:3]
         ones, a = _full(ones, d[0], d[1])
         ones, b = _full(ones, d[2], d[3])
@@ -208,6 +209,12 @@ def _compare(radius: int, wide: str | None = None):
 
     def run(batches):
         for table in _whole(batches):
+            # What is alone at its place meets nothing.
+            place = table["place"].to_numpy()
+            alike = place[1:] == place[:-1]
+            table = table.filter(pa.array(np.r_[False, alike] | np.r_[alike, False]))
+            if not len(table):
+                continue
             # The place is a hash: only distances decide.
             node = table["node"].to_numpy()
             fps = T.text_bytes(table[wide])[0].view(T.U).reshape(len(node), -1) if wide else node.view(T.U)
