@@ -15,7 +15,7 @@ from sensorloom.operators import templates as W
 from sensorloom.operators import traces as T
 from sensorloom.plans.registry import query, r, rounded
 from sensorloom.operators import sequences as Q
-from sensorloom.plans.sequence_queries import _AM, _CA, _EV, _FT, _RO, _ST, _measured, _roled, _roots
+from sensorloom.plans.sequence_queries import _AM, _CA, _EV, _FT, _RO, _ST, _known, _measured
 from sensorloom.plans.tables import MINUTE, SPIKES, TRACE, spikes, table, trace, waveforms
 from sensorloom.plans.trace_queries import _kinds, _sides
 from sensorloom.plans.unit_queries import _AGREE, _FOOT, _GREEDY, _TWO, _template
@@ -207,7 +207,7 @@ def ds4_subset_concat(spark, sf):
 
 @query(f"{_EV}, {_FT}, {_AM}, {_ST}, {_RO}, {_CA} SELECT event, seq, ni AS n_inner, nl AS n_loose, nc AS n_cross, round(ld, 5) AS latency_diff, round(ad, 5) AS amp_diff, round(z, 5) AS z FROM cd")
 def asg8_asg9_overlap_metrics(spark, sf):
-    m = Q.overlap_metrics(_measured(spark, sf), _roled(spark, sf), _roots(spark, sf), 0.85)
+    m = Q.metrics(_known(spark, sf), 0.85)
     return rounded(m.select("event", "seq", "n_inner", "n_loose", "n_cross", "latency_diff", "amp_diff", "z"), 5)
 
 
