@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from sensorloom.operators.folds import folded
+from sensorloom.operators.relays import relayed, spaced
 from sensorloom.operators.sequences import candidates
-from sensorloom.operators.spikes import stretches
 
 NEVER = -(1 << 62)
 #: Members of sequences that are sent to all tasks.
@@ -51,16 +50,12 @@ def routed(crossings: DataFrame, members: DataFrame) -> DataFrame:
 def batch_spikes(crossings: DataFrame, members: DataFrame, longest: int, refractory: int) -> DataFrame:
     """seq, t, first_t over a bounded table.
 
-    Behind a gap longer than ``longest`` and ``refractory`` a sequence knows nothing of what
-    was before it, so each stretch without one is a group of its own.
+    A first crossing confirms itself at once if the last spike is more than ``refractory``
+    before it, and if not, nothing that comes later can: so spikes are first crossings that
+    keep that distance.
     """
-
-    def run(rows: list[tuple]) -> list[tuple]:
-        found, _, _ = advance([x[1:] for x in rows], NEVER, NEVER, longest, refractory)
-        return [(rows[0][0], *x) for x in found]
-
-    parts = stretches(routed(crossings, members), max(longest, refractory), ["seq"])
-    return folded(parts, ["seq", "stretch"], ["seq", "t", "is_first"], run, "seq long, t long, first_t long")
+    first = routed(crossings, members.where("is_first")).select("seq", "t")
+    return spaced(first, ["seq"], refractory).select("seq", "t", F.col("t").alias("first_t"))
 
 
 def activated(crossings: DataFrame, members: DataFrame, within: int, least: int) -> DataFrame:
@@ -70,27 +65,29 @@ def activated(crossings: DataFrame, members: DataFrame, within: int, least: int)
     than ``within`` after the first; at ``least`` of them there is a spike at the time of the
     first, and all orders of the sequence begin anew; the crossing that made the spike may begin
     the orders of larger number.  What comes too late begins its order anew.  Crossings of one
-    time are taken by order and pos.  Nothing outlasts a gap of ``within``, so each stretch
-    without one is a group of its own.
+    time are taken by order and pos.  Stretches of time hand on the orders that have begun.
     """
     if least < 2:
         raise ValueError("least must be 2 or more")
     few = F.broadcast(members) if members.count() <= MEMBERS else members
     rows = crossings.select("chan", "t").join(few, "chan").select("seq", "t", "order", "pos")
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        out, begun = [], {}
-        for seq, t, order, pos in rows:
+    def run(rows: list[tuple], state: list | None) -> tuple[list[tuple], list]:
+        out, begun = [], {order: tuple(x) for order, *x in state or ()}
+        for t, order, pos in rows:
             first, top, n = begun.get(order, (t, None, 0))
             if n and t - first < within and pos <= top:
                 continue
             begun[order] = (first, pos, n + 1) if n and t - first < within else (t, pos, 1)
             if begun[order][2] >= least:
-                out.append((seq, first))
+                out.append((first,))
                 begun = {}
-        return out
+        return out, [[order, *x] for order, x in sorted(begun.items())]
+
+    def settle(state: list, t: int) -> list | None:
+        return [x for x in state if t - x[1] < within] or None
 
-    return folded(stretches(rows, within - 1, ["seq"]), ["seq", "stretch"], ["seq", "t", "order", "pos"], run, "seq long, t long")
+    return relayed(rows, ["seq"], ["t", "order", "pos"], within, run, settle, "t long").select("seq", "t")
 
 
 class SequenceDetector(StatefulProcessor):
