@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import matching
 from sensorloom.operators.graphs import linked, written
-from sensorloom.operators.joins import band_join
+from sensorloom.operators.joins import as_of_in_cells, band_join
+from sensorloom.operators.relays import relayed
 
 
 def _merged(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
@@ -44,32 +47,29 @@ def run_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> Dat
 def greedy_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
     """u1, u2, t1, t2 of the pairs that two pointers in time order match; each spike once.
 
-    Spikes more than delta apart can't compete, so the pointers run inside stretches without
-    such gaps, not over whole trains.
+    The pointers pair the first spikes that wait on both sides; stretches of time hand on what
+    waits, so they don't run over whole trains.
     """
-    w = Window.partitionBy("u1", "u2").orderBy("t", "side")
-    rows = _merged(a, b, pairs, delta).withColumn("fresh", F.when(F.col("t") - F.lag("t").over(w) <= delta, 0).otherwise(1))
-    rows = rows.withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("t"))))
-    both = rows.groupBy("u1", "u2", "stretch").agg(of(1).alias("x"), of(2).alias("y")).where("size(x) > 0 AND size(y) > 0")
-
-    def match(batches):
-        for p in batches:
-            out = []
-            for u1, u2, x, y in zip(p["u1"], p["u2"], p["x"], p["y"]):
-                i = j = 0
-                while i < len(x) and j < len(y):
-                    if abs(x[i] - y[j]) <= delta:
-                        out.append((u1, u2, x[i], y[j]))
-                        i, j = i + 1, j + 1
-                    elif x[i] < y[j]:
-                        i += 1
-                    else:
-                        j += 1
-            yield pd.DataFrame(out, columns=["u1", "u2", "t1", "t2"])
-
-    kinds = dict(both.dtypes)
-    return both.select("u1", "u2", "x", "y").mapInPandas(match, f"u1 {kinds['u1']}, u2 {kinds['u2']}, t1 long, t2 long")
+
+    def run(rows: list[tuple], state: list | None) -> tuple[list[tuple], list]:
+        out, (waits, *queue) = [], state or [1]
+        queue = deque(queue)
+        for t, side in rows:
+            while queue and t - queue[0] > delta:
+                queue.popleft()
+            if queue and waits != side:
+                x = queue.popleft()
+                out.append((x, t) if side == 2 else (t, x))
+            else:
+                waits = side
+                queue.append(t)
+        return out, [waits, *queue]
+
+    def settle(state: list, t: int) -> list | None:
+        left = [x for x in state[1:] if t - x <= delta]
+        return [state[0], *left] if left else None
+
+    return relayed(_merged(a, b, pairs, delta), ["u1", "u2"], ["t", "side"], delta + 1, run, settle, "t1 long, t2 long")
 
 
 def agreement(n: DataFrame, sizes1: DataFrame, sizes2: DataFrame, form: str = "both") -> DataFrame:
@@ -146,10 +146,9 @@ def one_to_one(scores: DataFrame, least: float, dense: int = 1 << 20, tolerance:
 
 def nearest_first(a: DataFrame, b: DataFrame, delta: int) -> DataFrame:
     """t1, t2 where each is the other's nearest within delta; of equals the earlier."""
-    pairs = band_join(a.select("t"), b.select(F.col("t").alias("rt")), delta, delta).withColumn("d", F.abs(F.col("rt") - F.col("t")))
-    mine = F.row_number().over(Window.partitionBy("t").orderBy("d", "rt"))
-    yours = F.row_number().over(Window.partitionBy("rt").orderBy("d", "t"))
-    return pairs.withColumn("i", mine).withColumn("j", yours).where("i = 1 AND j = 1").select(F.col("t").alias("t1"), F.col("rt").alias("t2"))
+    one = lambda x: x.select("t").distinct()
+    near = lambda x, y: as_of_in_cells(one(x), one(y), [], delta, earlier=True).where("match IS NOT NULL")
+    return near(a, b).select(F.col("t").alias("t1"), F.col("match").alias("t2")).join(near(b, a).select(F.col("match").alias("t1"), F.col("t").alias("t2")), ["t1", "t2"])
 
 
 def placed_matches(left: DataFrame, right: DataFrame, delta: int, radius: float) -> DataFrame:
