@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,62 +45,81 @@ def dip(x: np.ndarray) -> float:
     if n < 2 or x[0] == x[-1]:
         return 0.5 / max(n, 1)
     low, high, best = 0, n - 1, 1.0
-    f = np.arange(1, n + 1)
+    f, at_x = np.arange(1, n + 1), x.tolist()
 
-    def hull(points, sign):
+    def hull(sign):
         out: list[int] = []
-        for i in points:
+        for i in range(low, high + 1):
             while len(out) > 1:
                 a, b = out[-2], out[-1]
-                if sign * ((f[b] - f[a]) * (x[i] - x[a]) - (f[i] - f[a]) * (x[b] - x[a])) >= 0:
+                if sign * ((b - a) * (at_x[i] - at_x[a]) - (i - a) * (at_x[b] - at_x[a])) >= 0:
                     out.pop()
                 else:
                     break
             out.append(i)
-        return out
-
-    while True:
-        lower, upper = hull(range(low, high + 1), 1), hull(range(low, high + 1), -1)
+        return np.array(out)
 
-        def line(h, i, shift):
-            k = max(1, min(int(np.searchsorted(h, i)), len(h) - 1)) if len(h) > 1 else 0
-            if not k:
-                return f[h[0]] + shift
-            a, b = h[k - 1], h[k]
-            return f[a] + shift + (f[b] - f[a]) * ((x[i] - x[a]) / (x[b] - x[a]) if x[b] > x[a] else 0.0)
+    def line(h, i, shift):
+        if len(h) < 2:
+            return np.full(len(i), float(f[h[0]] + shift))
+        k = np.clip(np.searchsorted(h, i), 1, len(h) - 1)
+        a, b = h[k - 1], h[k]
+        wide = x[b] - x[a]
+        return f[a] + shift + (f[b] - f[a]) * np.divide(x[i] - x[a], wide, out=np.zeros(len(i)), where=wide > 0)
 
+    while True:
+        lower, upper = hull(1), hull(-1)
         d, at = 0.0, (low, high)
-        for i in lower:
-            gap = line(upper, i, 0) - f[i] + 1
-            if gap > d:
-                d, at = gap, (i, next((j for j in upper if j >= i), high))
-        for j in upper:
-            gap = f[j] - line(lower, j, -1)
-            if gap > d:
-                d, at = gap, (next((i for i in reversed(lower) if i <= j), low), j)
+        gap = line(upper, lower, 0) - f[lower] + 1
+        k = int(gap.argmax())
+        if gap[k] > d:
+            i, after = int(lower[k]), int(np.searchsorted(upper, lower[k]))
+            d, at = gap[k], (i, int(upper[after]) if after < len(upper) else high)
+        gap = f[upper] - line(lower, upper, -1)
+        k = int(gap.argmax())
+        if gap[k] > d:
+            before = int(np.searchsorted(lower, upper[k], "right")) - 1
+            d, at = gap[k], (int(lower[before]) if before >= 0 else low, int(upper[k]))
         if d <= best:
             break
-        for i in range(low, at[0] + 1):
-            best = max(best, f[i] - line(lower, i, 0))
-        for i in range(at[1], high + 1):
-            best = max(best, line(upper, i, 0) - f[i] + 1)
+        left, right = np.arange(low, at[0] + 1), np.arange(at[1], high + 1)
+        best = max(best, (f[left] - line(lower, left, 0)).max(initial=-np.inf), (line(upper, right, 0) - f[right] + 1).max(initial=-np.inf))
         if (at[0], at[1]) == (low, high):
             break
         low, high = at
-    return best / (2 * n)
+    return float(best / (2 * n))
+
+
+#: Sizes of samples whose uniform draws a worker remembers.
+REMEMBERED = 4096
+
+
+@lru_cache(REMEMBERED)
+def _drawn(n: int, seed: int) -> tuple[np.random.Generator, list[float]]:
+    """A generator and the dips of the uniform samples of n that it has drawn, which ``_null_dip`` adds to."""
+    return np.random.default_rng(seed), []
+
+
+def _null_dip(n: int, seed: int, i: int) -> float:
+    """The dip of the uniform sample i of n values: it depends on their number alone, so tests of one size share it."""
+    rng, dips = _drawn(n, seed)
+    while len(dips) <= i:
+        dips.append(dip(rng.random(n)))
+    return dips[i]
 
 
 def unimodal_p(x: np.ndarray, draws: int = 200, seed: int = 0) -> float:
     """Share of uniform samples of the same size with a dip as large."""
-    mine, rng = dip(x), np.random.default_rng(seed)
-    return float(np.mean([dip(rng.random(len(x))) >= mine for _ in range(draws)]))
+    mine = dip(x)
+    return float(np.mean([_null_dip(len(x), seed, i) >= mine for i in range(draws)]))
 
 
 def is_unimodal(x: np.ndarray, p: float, draws: int = 200, seed: int = 0) -> bool:
     """Whether ``unimodal_p`` of the same draws is p or more, by no more of them than it takes to tell."""
-    mine, rng, above = dip(x), np.random.default_rng(seed), 0
-    for rest in range(draws - 1, -1, -1):
-        above += dip(rng.random(len(x))) >= mine
+    mine, above = dip(x), 0
+    for i in range(draws):
+        rest = draws - 1 - i
+        above += _null_dip(len(x), seed, i) >= mine
         if above / draws >= p:
             return True
         if (above + rest) / draws < p:

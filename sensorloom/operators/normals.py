@@ -99,3 +99,100 @@ def by_value(x: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
         if 0 <= bic < best:
             best, out = bic, log_shares((x - centre)[:, None], m).argmax(1)
     return out
+
+
+#: Points of all rows that are fitted side by side.
+TOGETHER = 1 << 15
+
+
+def by_values(points: list[tuple[np.ndarray, np.ndarray]], most: int, least: int = 1, negative: bool = False) -> list[np.ndarray]:
+    """by_value of many rows (x, w) side by side: a round is one step of all of them; ``negative``: fits of a BIC below 0 count too.
+
+    Mixtures have ``least`` components or more, if there are as many values.
+    """
+    out: list = [None] * len(points)
+    order = sorted(range(len(points)), key=lambda i: len(points[i][0]))
+    while order:
+        some = max(1, TOGETHER // len(points[order[-1]][0]))
+        now, order = order[-some:], order[:-some]
+        wide = len(points[now[-1]][0])
+        x, w = np.zeros((len(now), wide)), np.zeros((len(now), wide))
+        for row, i in enumerate(now):
+            a, b = points[i]
+            x[row, : len(a)], w[row, : len(a)], x[row, len(a) :] = a, b, a[-1]
+        for i, label in zip(now, _side_by_side(x, w, np.array([len(points[i][0]) for i in now]), most, least, negative)):
+            out[i] = label[: len(points[i][0])]
+    return out
+
+
+def _side_by_side(x: np.ndarray, w: np.ndarray, size: np.ndarray, most: int, least: int, negative: bool, rounds: int = 1000, stop: float = 1e-3) -> np.ndarray:
+    """Components of the points of each row of x; points of weight 0 fill up a row."""
+    n = w.sum(1)
+    centre = (w * x).sum(1) / n
+    x = x - centre[:, None]
+    var = (w * x**2).sum(1) / n
+    ends, best, out = np.cumsum(w, 1), np.full(len(x), np.inf), np.zeros(x.shape, int)
+
+    def logs(x, weight, mean, var):
+        return np.log(weight)[:, None] - 0.5 * np.log(2 * np.pi) - 0.5 * (np.log(var)[:, None] + (x[:, :, None] - mean[:, None]) ** 2 / var[:, None])
+
+    for k in range(least, min(most, int(size.max())) + 1):
+        rows = np.flatnonzero(size >= k)
+        at = (np.arange(k) + 0.5) / k * (n[rows, None] - 1)
+        low, high = (np.take_along_axis(x[rows], (ends[rows, None] <= f(at)[:, :, None]).sum(2), 1) for f in (np.floor, np.ceil))
+        m = [np.full((len(rows), k), 1 / k), low + (high - low) * (at - np.floor(at)) + np.arange(k) * 1e-9, np.repeat(np.maximum(var[rows] / k**2, FLOOR)[:, None], k, 1)]
+        last, likelihood, final = np.full(len(rows), -np.inf), np.zeros(len(rows)), [a.copy() for a in m]
+        live = np.arange(len(rows))
+        for _ in range(rounds):
+            here, there = x[rows[live]], w[rows[live]]
+            log = logs(here, *m)
+            top = log.max(2, keepdims=True)
+            share = np.exp(log - top)
+            total = share.sum(2, keepdims=True)
+            likelihood[live] = (there * (top + np.log(total))[:, :, 0]).sum(1)
+            mean = likelihood[live] / n[rows[live]]
+            going = ~(np.abs(mean - last[live]) < stop)
+            for a, b in zip(final, m):
+                a[live[~going]] = b[~going]
+            last[live] = mean
+            live = live[going]
+            if not len(live):
+                break
+            share = (share / total * there[:, :, None])[going]
+            of = share.sum(1) + 1e-12
+            first, second = ((share * (here[going] ** d)[:, :, None]).sum(1) / of for d in (1, 2))
+            m = [of / of.sum(1, keepdims=True), first, np.maximum(second - first**2, 0) + FLOOR]
+        for a, b in zip(final, m):
+            if len(live):
+                a[live] = b
+        bic = (3 * k - 1) * np.log(n[rows]) - 2 * likelihood
+        better = (negative | (bic >= 0)) & (bic < best[rows])
+        best[rows[better]] = bic[better]
+        out[rows[better]] = logs(x[rows[better]], *(a[better] for a in final)).argmax(2)
+    return out
+
+
+def in_step(asking: list) -> list:
+    """What generators return that ask for mixtures: each yields a list of (x, w, most, least, negative) and is sent their components.
+
+    They go on side by side, and what all of them ask for is fitted together.
+    """
+    out, answers = [None] * len(asking), {i: None for i in range(len(asking))}
+    while answers:
+        wanted: dict = {}
+        for i, answer in answers.items():
+            try:
+                asked = asking[i].send(answer)
+            except StopIteration as end:
+                out[i] = end.value
+                continue
+            wanted[i] = asked
+        kinds: dict = {}
+        for i, asked in wanted.items():
+            for j, (x, w, *how) in enumerate(asked):
+                kinds.setdefault(tuple(how), []).append((i, j, x, w))
+        answers = {i: [None] * len(asked) for i, asked in wanted.items()}
+        for how, rows in kinds.items():
+            for (i, j, *_), label in zip(rows, by_values([(x, w) for *_, x, w in rows], *how)):
+                answers[i][j] = label
+    return out
