@@ -155,6 +155,13 @@ def amplitudes_at(trace: DataFrame, crossings: DataFrame) -> DataFrame:
     return crossings.join(trace.select(*keys, F.col("chan").alias("other"), F.col("v").alias("amp")), keys)
 
 
+def amplitude_totals(trace: DataFrame, crossings: DataFrame) -> DataFrame:
+    """chan, frame of each crossing with channels, top and total: number, largest and sum of amplitudes_at, which are summed up once a frame and not once a crossing."""
+    keys = [c for c in ("rec_id", "frame") if c in trace.columns]
+    found = trace.groupBy(*keys).agg(F.count("*").alias("channels"), F.max("v").alias("top"), F.sum("v").alias("total"))
+    return crossings.join(found, keys).select(*crossings.columns, "channels", "top", "total")
+
+
 def chunk_mad(trace: DataFrame, width: int) -> DataFrame:
     """chan, chunk, noise: median distance from the chunk's median / 0.6745."""
     chunk = F.floor(F.col("frame") / width)
