@@ -43,6 +43,10 @@ class Rounds:
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df where it outlives the loop."""
+        return written(df)
+
     def __enter__(self) -> Rounds:
         return self
 
