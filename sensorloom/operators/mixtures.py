@@ -7,6 +7,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sensorloom.operators.folds import fitted_in_step
 
 
 def mixture(x: np.ndarray, k: int, rounds: int = 1000, floor: float = 1e-6, stop: float = 1e-3) -> tuple[float, np.ndarray]:
@@ -136,41 +139,60 @@ def split_events(rows: DataFrame, least: int = 10, share: float = 0.1, amp_p: fl
     whose root amplitudes are not unimodal at ``amp_p`` splits by them.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        root = p["root"].iloc[0]
-        latency = p[p["chan"] != root].pivot_table(index="event", columns="chan", values="latency", aggfunc="first")
-        amp = p[p["chan"] == root].groupby("event")["amp"].first()
-        order = latency.notna().sum().sort_values(ascending=False, kind="stable").index
-        parts = [sorted(amp.index)]
-        for chan in order:
+    def ask(root, event, chan, latency, amp):
+        names, at = np.unique(event, return_inverse=True)
+        latency, amp, own = latency.astype(float), amp.astype(float), chan == root
+        height, present = np.full(len(names), np.nan), np.zeros(len(names), bool)
+        present[at[own]] = True
+        told = np.flatnonzero(own & ~np.isnan(amp))[::-1]  # of several rows the first counts
+        height[at[told]] = amp[told]
+        told = np.flatnonzero(~own & ~np.isnan(latency))[::-1]
+        chans, on = np.unique(chan[told], return_inverse=True)
+        late = np.full((len(names), len(chans)), np.nan)
+        late[at[told], on] = latency[told]
+        parts = [np.flatnonzero(present)]
+        for c in np.argsort(-(~np.isnan(late)).sum(0), kind="stable"):
+            x = [late[part, c] for part in parts]
+            there = [~np.isnan(v) for v in x]
+            full = [i for i, ok in enumerate(there) if ok.any() and ok.sum() >= least]
+            counted = {i: np.unique(x[i][there[i]], return_counts=True) for i in full}
+            labels = dict(zip(full, (yield [(v, n.astype(float), 4, 1, False) for v, n in counted.values()]))) if full else {}
             new = []
-            for part in parts:
-                x = latency[chan].reindex(part).dropna()
-                if len(x) < least:
+            for i, part in enumerate(parts):
+                if i not in labels:
                     new.append(part)
                     continue
-                label = best_mixture(x.to_numpy())
-                rest = sorted(set(part) - set(x.index))
-                groups = [sorted(x.index[label == k]) for k in np.unique(label)]
-                big = [g for g in groups if len(g) >= max(least, share * len(x))]
-                if len(big) <= 1:
-                    new.append(part)
-                else:
-                    new += big + ([rest] if len(rest) >= least else [])
+                seen, rest = part[there[i]], part[~there[i]]
+                label = labels[i][np.searchsorted(counted[i][0], x[i][there[i]])]
+                big = [g for k in np.unique(label) if len(g := seen[label == k]) >= max(least, share * len(seen))]
+                new += [part] if len(big) <= 1 else big + ([rest] if len(rest) >= least else [])
             parts = new
+        apart = [i for i, part in enumerate(parts) if amp_p > 0 and len(part) >= 2 * least and not is_unimodal(height[part], amp_p)]
+        counted = {i: np.unique(height[parts[i]], return_counts=True) for i in apart}
+        labels = dict(zip(apart, (yield [(v, n.astype(float), 4, 2, True) for v, n in counted.values()]))) if apart else {}
         out = []
-        for part in parts:
-            x = amp.reindex(part).to_numpy(float)
-            pieces = [part]
-            if amp_p > 0 and len(part) >= 2 * least and not is_unimodal(x, amp_p):
-                label = best_mixture(x, 2, negative=True)
-                pieces = [[e for e, k in zip(part, label) if k == c] for c in np.unique(label)]
-            out += [q for q in pieces if len(q) >= least]
-        rows_ = [(root, k, e) for k, q in enumerate(out) for e in q]
-        return pd.DataFrame(rows_, columns=["root", "part", "event"])
+        for i, part in enumerate(parts):
+            label = labels[i][np.searchsorted(counted[i][0], height[part])] if i in labels else np.zeros(len(part), int)
+            out += [q for k in np.unique(label) if len(q := part[label == k]) >= least]
+        which = np.concatenate(out).astype(int) if out else np.zeros(0, int)
+        return np.full(len(which), root), np.repeat(np.arange(len(out), dtype=np.int32), [len(q) for q in out]), names[which]
 
     kinds = dict(rows.dtypes)
-    return rows.select("root", "event", "chan", "latency", "amp").groupBy("root").applyInPandas(run, f"root {kinds['root']}, part int, event {kinds['event']}")
+    return fitted_in_step(rows, "root", ["event", "chan", "latency", "amp"], ask, f"root {kinds['root']}, part int, event {kinds['event']}")
+
+
+def value_mixtures(rows: DataFrame, least: int = 1, most: int = 4, negative: bool = False) -> DataFrame:
+    """pair, component, n, mean of the mixture of the values x of each pair; values are counted first, so a pair is as small as the number of different ones."""
+
+    def ask(pair, x, n):
+        (label,) = yield [(x[order := np.argsort(x)], n[order].astype(float), most, least, negative)]
+        x, n = x[order], n[order]
+        found = np.unique(label)
+        total, sums = (np.bincount(label, w, label.max() + 1)[found] for w in (n, n * x))
+        return np.full(len(found), pair), found.astype(np.int32), total.astype(np.int64), sums / total
+
+    counted = rows.where("x IS NOT NULL").groupBy("pair", "x").agg(F.count("*").alias("n"))
+    return fitted_in_step(counted, "pair", ["x", "n"], ask, f"pair {dict(rows.dtypes)['pair']}, component int, n long, mean double")
 
 
 def leader_clusters(rows: DataFrame, max_latency: float, max_amp: float) -> DataFrame:

@@ -178,15 +178,7 @@ def seq14_leader_clusters(spark, sf):
 def prp13_pair_mixtures(spark, sf):
     """Latencies of every two neighbouring channels as mixtures; how many events each component has."""
     f = _measured(spark, sf).where("prob >= 0.85 AND chan <> root").select(F.concat_ws("-", "root", "chan").alias("pair"), F.col("latency").cast("double").alias("x"))
-
-    def run(p):
-        import numpy as np
-        import pandas as pd
-
-        part = M.best_mixture(p["x"].to_numpy(), 1, 4, negative=True)
-        return pd.DataFrame([(p["pair"].iloc[0], int(k), int((part == k).sum()), float(p["x"][part == k].mean())) for k in np.unique(part)], columns=["pair", "component", "n", "mean"])
-
-    return f.groupBy("pair").applyInPandas(run, "pair string, component int, n long, mean double")
+    return M.value_mixtures(f, 1, 4, negative=True)
 
 
 @query()
