@@ -8,11 +8,14 @@ events there are, and components are carried back to the events by a join.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.folds import fitted_in_step
 from sensorloom.operators.graphs import Rounds, written
 from sensorloom.operators.joins import neighbours
 from sensorloom.operators.mixtures import best_mixture, is_unimodal
@@ -106,6 +109,77 @@ def by_amplitude(parts: DataFrame, amps: DataFrame, least: int, p: float, most:
     return rows.groupBy("part").applyInPandas(run, f"part string, root {kinds['root']}, event {kinds['event']}")
 
 
+#: Rows of a root that a task holds.
+ROWS = 1_000_000
+
+
+def _searched(least: int, share: float, extend: float, patience: int, most: int, active: int, together: int):
+    """``_started`` and ``grown`` for one root in a task, asking for the mixtures of all its open parts at once."""
+    def ask(root, event, chan, latency, near_of, near, near_x, near_y, x, y):
+        told = np.flatnonzero((chan != root) & ~np.isnan(latency.astype(float)))
+        names, at = np.unique(event[told], return_inverse=True)
+        chans, on = np.unique(chan[told], return_inverse=True)
+        late = np.full((len(names), len(chans)), np.nan)
+        late[at, on] = latency[told]
+        column = {c: k for k, c in enumerate(chans.tolist())}
+        rows = list(zip(near_of.tolist(), near.tolist(), near_x.tolist(), near_y.tolist(), x.tolist(), y.tolist()))
+        around: dict = {}
+        for c, b, bx, by, cx, cy in rows:
+            around.setdefault(c, []).append((math.sqrt((cx - bx) * (cx - bx) + (cy - by) * (cy - by)), b))
+        around = {c: [b for _, b in sorted(v)] for c, v in around.items()}
+        mine = next(((cx, cy) for c, *_, cx, cy in rows if c == root), (0.0, 0.0))
+        dist = {b: float(np.hypot(mine[0] - bx, mine[1] - by)) for _, b, bx, by, *_ in rows}
+        order = around.get(root, [])
+        close = [column[c] for c in order if c in column]
+        k = (~np.isnan(late[:, close])).sum(1)
+        left, out = np.flatnonzero(k > 0), []
+        if len(left) < least or (k >= together).sum() < active:
+            left = left[:0]
+        for c in range(len(order)):
+            if len(left) < least:
+                break
+            ended, going = [], [(f"{root}:{c}", left, order[c:], [root], 0, 0.0)]
+            while going:
+                wanted = {}
+                for i, (_, part, queue, *_rest) in enumerate(going):
+                    v = late[part, column[queue[0]]] if queue[0] in column else np.full(len(part), np.nan)
+                    seen = ~np.isnan(v)
+                    if seen.sum() > max(least, share * len(part)):
+                        wanted[i] = v, seen, *np.unique(v[seen], return_counts=True)
+                labels = dict(zip(wanted, (yield [(v, n.astype(float), most, 1, False) for *_, v, n in wanted.values()]))) if wanted else {}
+                after = []
+                for i, (name, part, queue, used, misses, last) in enumerate(going):
+                    chan_, need, kept = queue[0], max(least, share * len(part)), []
+                    if i in labels:
+                        v, seen, value, _ = wanted[i]
+                        label = labels[i][np.searchsorted(value, v[seen])]
+                        kept = [(f"{name}.{j}", g) for j in np.unique(label) if len(g := part[seen][label == j]) >= need]
+                    over = False
+                    if kept:
+                        misses = 0
+                    else:
+                        kept = [(name, part)]
+                        if dist[chan_] != last:
+                            misses += 1
+                            over = misses >= patience
+                        last = dist[chan_]
+                    used = [*used, chan_]
+                    fresh = [b for b in around.get(chan_, []) if b not in queue and b not in used]
+                    for child, g in kept:
+                        longer = queue[1:] + (fresh if len(g) >= extend * len(part) else [])
+                        if over or len(queue) == 1 or len(g) <= least:
+                            ended.append((child, g))
+                        else:
+                            after.append((child, g, longer, used, misses, last))
+                going = after
+            out += ended
+            left = np.setdiff1d(left, np.concatenate([g for _, g in ended])) if ended else left
+        which = np.concatenate([g for _, g in out]).astype(int) if out else np.zeros(0, int)
+        return np.array([name for name, g in out for _ in g], object), np.full(len(which), root), names[which]
+
+    return ask
+
+
 def frontier_split(found: DataFrame, amps: DataFrame, places: DataFrame, inner: float, least: int = 10, share: float = 0.1, extend: float = 0.5, patience: int = 6, most: int = 4, amp_p: float = 0.1, active: int = 0, together: int = 2) -> DataFrame:
     """root, part, event: the events of each root as preliminary sequences.
 
@@ -115,9 +189,21 @@ def frontier_split(found: DataFrame, amps: DataFrame, places: DataFrame, inner:
     more.  Its events grow from its nearest channel outward (``grown``); events in no part that
     has ended then start from the next channel, until fewer than ``least`` are left.  In the
     end parts split by root amplitude unless amp_p is 0.  Patience is counted along each branch.
+    The search of a root of up to ``ROWS`` rows runs in a task, with those of others side by
+    side; larger ones go on in rounds over a table of open parts.
     """
-    with Rounds(found.sparkSession) as table:
-        done = _started(table, found.where("chan <> root").select("root", "event", "chan", "latency"), places, inner, least, share, extend, patience, most, active, together)
+    found = written(found.where("chan <> root").select("root", "event", "chan", "latency"))
+    large = written(found.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > ROWS).select("root"))
+    small = found.join(large, "root", "left_anti")
+    at = lambda c, *names: places.select(F.col("chan").alias(c), *(F.col(k).alias(v) for k, v in zip("xy", names)))
+    near = neighbours(places, inner).select(F.col("a").alias("near_of"), F.col("b").alias("near")).join(at("near", "near_x", "near_y"), "near").join(at("near_of", "x", "y"), "near_of")
+    reached = small.select("root", F.col("chan").alias("near_of")).union(small.select("root", F.col("root"))).distinct()
+    kinds = dict(found.dtypes)
+    ask = _searched(least, share, extend, patience, most, active, together)
+    done = fitted_in_step(small, "root", ["event", "chan", "latency"], ask, f"part string, root {kinds['root']}, event {kinds['event']}", reached.join(near, "near_of"), ["near_of", "near", "near_x", "near_y", "x", "y"])
+    if not large.isEmpty():
+        with Rounds(found.sparkSession) as table:
+            done = done.union(_started(table, found.join(large, "root", "left_semi"), places, inner, least, share, extend, patience, most, active, together).select("part", "root", "event"))
     out = by_amplitude(done, amps, least, amp_p, most) if amp_p > 0 else done
     return out.select("root", (F.dense_rank().over(Window.partitionBy("root").orderBy("part")) - 1).alias("part"), "event")
 

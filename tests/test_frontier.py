@@ -120,3 +120,18 @@ def test_no_events(spark):
     none = spark.createDataFrame([], "root long, event long, chan long, latency double")
     places = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 0.0)], "chan long, x double, y double")
     assert frontier.frontier_split(none, spark.createDataFrame([], "root long, event long, amp double"), places, 10.0).count() == 0
+
+
+def test_roots_in_tasks_as_in_rounds(spark, monkeypatch):
+    """No rounds of jobs for roots that a task holds, and the same parts as with rounds."""
+    rows, amps = planted(6)
+    found = spark.createDataFrame(rows, "root long, event long, chan long, latency double").repartition(4)
+    places = spark.createDataFrame([(c, *p) for c, p in PLACES.items()], "chan long, x double, y double")
+    amp = spark.createDataFrame(amps, "root long, event long, amp double")
+    o = {"patience": 2, "extend": 0.5, "inner": 10.5, "least": 10}
+    run = lambda: sorted(map(tuple, frontier.frontier_split(found, amp, places, **o, amp_p=0.0).collect()))
+    monkeypatch.setattr(frontier, "ROWS", 0)
+    rounds = run()
+    monkeypatch.setattr(frontier, "ROWS", 1_000_000)
+    monkeypatch.setattr(frontier, "_started", lambda *_: pytest.fail("rounds of jobs"))
+    assert run() == rounds and rounds
