@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from sensorloom.operators import matching
 from sensorloom.operators.graphs import linked, written
 from sensorloom.operators.joins import as_of_in_cells, band_join
-from sensorloom.operators.relays import relayed
 
 
 def _merged(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
@@ -44,32 +43,72 @@ def run_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> Dat
     return pairs.select("u1", "u2").join(n, ["u1", "u2"], "left").select("u1", "u2", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def greedy_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
+def greedy_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, delta: int, span: int = 64) -> DataFrame:
     """u1, u2, t1, t2 of the pairs that two pointers in time order match; each spike once.
 
-    The pointers pair the first spikes that wait on both sides; stretches of time hand on what
-    waits, so they don't run over whole trains.
+    The pointers pair the first spikes that wait on both sides, so what waits are the last spikes
+    of one side.  Their number, below 0 for the first side, goes up or down by one with each
+    spike and never beyond the spikes of the last ``delta``: a stretch of time makes
+    min(max(number + s, low), high) of it, whatever the number is.  The stretches of a pair of
+    units are chained by these three, then all are matched at once from their true numbers.
     """
-
-    def run(rows: list[tuple], state: list | None) -> tuple[list[tuple], list]:
-        out, (waits, *queue) = [], state or [1]
-        queue = deque(queue)
-        for t, side in rows:
-            while queue and t - queue[0] > delta:
+    width = span * (delta + 1)
+    rows = _merged(a, b, pairs, delta)
+    own = F.floor(F.col("t") / width)
+    rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array(own, F.floor((F.col("t") + delta) / width)))))
+    heads = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in ("u1", "u2"))
+    by = ["u1", "u2", "_block"]
+
+    def sorted_rows(p: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, int]:
+        """Block, times and sides in order, and where the block's own begin."""
+        block, t, side = int(p["_block"].iloc[0]), p["t"].to_numpy(), p["side"].to_numpy()
+        order = np.lexsort((side, t))
+        return block, t[order], side[order], int(np.searchsorted(t[order], block * width))
+
+    def through(p: pd.DataFrame) -> pd.DataFrame:
+        block, t, side, i = sorted_rows(p)
+        if i == len(t):
+            return pd.DataFrame(columns=[*by, "_s", "_low", "_high"])
+        most = []
+        for k in (1, 2):
+            before = np.cumsum(side == k) - (side == k)
+            most.append((before - np.searchsorted(t[side == k], t - delta))[i:].tolist())
+        low, high = -(1 << 60), 1 << 60
+        for first, second, k in zip(*most, side[i:].tolist()):
+            step = 1 if k == 2 else -1
+            low = (-first if low < -first else second if low > second else low) + step
+            high = (-first if high < -first else second if high > second else high) + step
+        s = int((side[i:] == 2).sum() - (side[i:] == 1).sum())
+        return pd.DataFrame([(p["u1"].iloc[0], p["u2"].iloc[0], block, s, low, high)], columns=[*by, "_s", "_low", "_high"])
+
+    def chain(p: pd.DataFrame) -> pd.DataFrame:
+        p, waiting, out = p.sort_values("_block"), 0, []
+        for s, low, high in zip(p["_s"].tolist(), p["_low"].tolist(), p["_high"].tolist()):
+            out.append(waiting)
+            waiting = min(max(waiting + s, low), high)
+        return p[by].assign(_waits=out)
+
+    def match(p: pd.DataFrame) -> pd.DataFrame:
+        _, t, side, i = sorted_rows(p)
+        waiting = int(p["_waits"].iloc[0])
+        waits = 2 if waiting > 0 else 1
+        queue = deque(t[:i][side[:i] == waits][-abs(waiting) :].tolist() if waiting else ())
+        one, two = [], []
+        for x, k in zip(t[i:].tolist(), side[i:].tolist()):
+            while queue and x - queue[0] > delta:
                 queue.popleft()
-            if queue and waits != side:
-                x = queue.popleft()
-                out.append((x, t) if side == 2 else (t, x))
+            if queue and waits != k:
+                y = queue.popleft()
+                one.append(y if k == 2 else x)
+                two.append(x if k == 2 else y)
             else:
-                waits = side
-                queue.append(t)
-        return out, [waits, *queue]
-
-    def settle(state: list, t: int) -> list | None:
-        left = [x for x in state[1:] if t - x <= delta]
-        return [state[0], *left] if left else None
+                waits = k
+                queue.append(x)
+        return pd.DataFrame({"u1": p["u1"].iloc[0], "u2": p["u2"].iloc[0], "t1": one, "t2": two})
 
-    return relayed(_merged(a, b, pairs, delta), ["u1", "u2"], ["t", "side"], delta + 1, run, settle, "t1 long, t2 long")
+    ways = rows.groupBy(*by).applyInPandas(through, f"{heads}, _block long, _s long, _low long, _high long")
+    entered = ways.groupBy("u1", "u2").applyInPandas(chain, f"{heads}, _block long, _waits long")
+    return rows.join(entered, by).groupBy(*by).applyInPandas(match, f"{heads}, t1 long, t2 long")
 
 
 def agreement(n: DataFrame, sizes1: DataFrame, sizes2: DataFrame, form: str = "both") -> DataFrame:

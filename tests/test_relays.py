@@ -78,3 +78,24 @@ def test_nearest_of_dense_times_without_pairs(spark):
     want = {(a, b) for a in set(x) for b in set(y) if abs(a - b) <= 8 and min((abs(a - r), r) for r in y)[1] == b and min((abs(b - r), r) for r in x)[1] == a}
     found = C.nearest_first(side(x), side(y), 8)
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_two_pointers_in_one_go(spark, monkeypatch):
+    """Queues that stay long, in stretches shorter than what they remember: chained, with no rounds over them."""
+    import sensorloom.operators.relays as relays
+
+    monkeypatch.setattr(relays, "relayed", lambda *_, **__: 1 / 0)
+    assert not hasattr(C, "relayed")
+    for seed, (one, two) in enumerate([(3, 3), (2, 5), (0, 1)]):
+        x, y, i, j, want = _dense(400, one, seed), _dense(400, two, seed + 9), 0, 0, []
+        while i < len(x) and j < len(y):
+            if abs(x[i] - y[j]) <= 40:
+                want.append((0, 0, x[i], y[j]))
+                i, j = i + 1, j + 1
+            elif x[i] < y[j]:
+                i += 1
+            else:
+                j += 1
+        side = lambda ts: spark.createDataFrame([(0, t) for t in ts], "unit long, t long")
+        found = C.greedy_matches(side(x), side(y), spark.createDataFrame([(0, 0)], "u1 long, u2 long"), 40, span=1)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
