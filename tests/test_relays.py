@@ -99,3 +99,30 @@ def test_two_pointers_in_one_go(spark, monkeypatch):
         side = lambda ts: spark.createDataFrame([(0, t) for t in ts], "unit long, t long")
         found = C.greedy_matches(side(x), side(y), spark.createDataFrame([(0, 0)], "u1 long, u2 long"), 40, span=1)
         assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_orders_are_chained_not_relayed(spark, monkeypatch):
+    """Stretches know where each point leads, so states are handed on only where nothing begins anew for long."""
+    orders = [(1, o, (p * (o + 1)) % 3 + 1, p) for o in range(2) for p in range(3)]
+    members = spark.createDataFrame(orders, "seq long, order long, chan long, pos long")
+
+    def plain(crossings):
+        begun, want = {}, []
+        for t, o, pos in sorted((t, o, p) for c, t in crossings for _, o, chan, p in orders if chan == c):
+            first, top, n = begun.get(o, (t, None, 0))
+            if n and t - first < 12 and pos <= top:
+                continue
+            begun[o] = (first, pos, n + 1) if n and t - first < 12 else (t, pos, 1)
+            if begun[o][2] >= 3:
+                want.append((1, first))
+                begun = {}
+        return want
+
+    rnd = random.Random(11)
+    dense = [(rnd.randint(1, 3), t) for t in _dense(1500, 3, 12)] * 2
+    # Nothing ends an order in the middle, and no pause parts it.
+    stuck = [(rnd.randint(1, 3) if abs(i - 750) > 500 else 3, t) for i, t in enumerate(_dense(1500, 3, 13))]
+    found = lambda x: sorted(map(tuple, O.activated(spark.createDataFrame(x, "chan long, t long"), members, 12, 3, span=8).collect()))
+    assert found(stuck) == sorted(plain(stuck))
+    monkeypatch.setattr(O, "relayed", lambda *_, **__: 1 / 0)
+    assert found(dense) == sorted(plain(dense)) and len(plain(dense)) > 50
