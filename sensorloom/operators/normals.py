@@ -196,3 +196,37 @@ def in_step(asking: list) -> list:
             for (i, j, *_), label in zip(rows, by_values([(x, w) for *_, x, w in rows], *how)):
                 answers[i][j] = label
     return out
+
+
+def fitted_together(points: list[np.ndarray], starts: list[Normals], rounds: int = 1000, stop: float = 1e-3) -> list[Normals]:
+    """What ``fitted`` makes of points (rows, dimensions) of weight 1 from mixtures of as many components, dimensions apart, side by side."""
+    out: list = [None] * len(points)
+    order = sorted(range(len(points)), key=lambda i: len(points[i]))
+    while order:
+        some = max(1, TOGETHER // len(points[order[-1]]))
+        now, order = np.array(order[-some:]), order[:-some]
+        n = np.array([len(points[i]) for i in now], float)
+        x = np.zeros((len(now), int(n[-1]), points[now[-1]].shape[1]))
+        for row, i in enumerate(now):
+            x[row, : len(points[i])] = points[i]
+        w = (np.arange(x.shape[1]) < n[:, None]).astype(float)
+        m = [np.stack([starts[i].weight for i in now]), np.stack([starts[i].mean for i in now]), np.stack([np.einsum("kii->ki", starts[i].cov) for i in now])]
+        last = np.full(len(now), -np.inf)
+        for turn in range(rounds + 1):
+            log = np.log(m[0])[:, None] - 0.5 * x.shape[2] * np.log(2 * np.pi) - 0.5 * (np.log(m[2])[:, None] + (x[:, :, None] - m[1][:, None]) ** 2 / m[2][:, None]).sum(3)
+            top = log.max(2, keepdims=True)
+            share = np.exp(log - top)
+            total = share.sum(2, keepdims=True)
+            mean = (w * (top + np.log(total))[:, :, 0]).sum(1) / n
+            ends = (np.abs(mean - last) < stop) | (turn == rounds)
+            for row in np.flatnonzero(ends):
+                out[now[row]] = Normals(m[0][row], m[1][row], np.stack([np.diag(v) for v in m[2][row]]))
+            go = ~ends
+            if not go.any():
+                break
+            share = (share / total * w[:, :, None])[go]
+            now, n, x, w, last = now[go], n[go], x[go], w[go], mean[go]
+            of = share.sum(1) + 1e-12
+            first, second = (np.einsum("bnk,bnd->bkd", share, x**d) / of[:, :, None] for d in (1, 2))
+            m = [of / of.sum(1, keepdims=True), first, np.maximum(second - first**2, 0) + FLOOR]
+    return out

@@ -75,20 +75,24 @@ def _sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 def _inside(most: int, full: bool, gates: dict, stop: float):
     """Labels of the rows of small pairs, one array a pair."""
 
+    def fit(points: list[np.ndarray], starts: list[N.Normals]) -> list[N.Normals]:
+        if not full:
+            return N.fitted_together(points, starts, stop=stop)
+        return [N.fitted(x, np.ones(len(x)), m, full, stop=stop)[0] for x, m in zip(points, starts)]
+
     def run(batches: Iterator[pd.DataFrame]):
         for p in batches:
-            out = []
-            for pair, rows, late, high in zip(p["pair"], p["rows"], p["late"], p["high"]):
-                x = np.array([(r["latency"], r["amp"]) for r in rows], float)
-                for k in range(possible(len(x), most, gates["min_count"]), 0, -1):
-                    m, _ = N.fitted(x, np.ones(len(x)), start(late, high, k), full, stop=stop)
-                    label = _labels(x, m)
-                    n, s, q = _sums(x, label, k)
+            points = [np.column_stack([np.array(v, float) for v in x]) for x in zip(p["latency"], p["amp"])]
+            late, high, done = p["late"].tolist(), p["high"].tolist(), {}
+            for k in range(most, 0, -1):
+                going = [i for i, x in enumerate(points) if i not in done and k <= possible(len(x), most, gates["min_count"])]
+                for i, m in zip(going, fit([points[i] for i in going], [start(late[i], high[i], k) for i in going])):
+                    label = _labels(points[i], m)
+                    n, s, q = _sums(points[i], label, k)
                     stand = judged(n, *_summed(n, s, q), **gates)
                     if stand is not None:
-                        break
-                keep = np.isin(label, stand)
-                out.append(pd.DataFrame({"pair": pair, "component": label[keep], "event": [r["event"] for r, ok in zip(rows, keep) if ok], "latency": x[keep, 0], "amp": x[keep, 1]}))
+                        done[i] = label, np.isin(label, stand)
+            out = [pd.DataFrame({"pair": pair, "component": done[i][0][done[i][1]], "event": np.array(event, object)[done[i][1]], "latency": points[i][done[i][1], 0], "amp": points[i][done[i][1], 1]}) for i, (pair, event) in enumerate(zip(p["pair"], p["event"])) if done[i][1].any()]
             yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("pair", "component", "event", "latency", "amp")})
 
     return run
@@ -159,7 +163,11 @@ def pair_components(rows: DataFrame, most: int = 6, min_count: int = 100, min_sp
     gates = {"min_count": min_count, "min_spikes": min_spikes, "max_std": max_std, "wide": wide}
     seen = written(rows.groupBy("pair").agg(F.count("*").alias("n"), F.percentile_approx("latency", steps, 10_000).alias("late"), F.percentile_approx("amp", steps, 10_000).alias("high")))
     kinds = dict(rows.dtypes)
-    small = rows.join(seen.where(F.col("n") <= ROWS), "pair").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("latency", "amp", "event"))).alias("rows"), F.first("late").alias("late"), F.first("high").alias("high"))
+    # No component can stand in a pair of fewer rows than one needs, so these aren't fitted.
+    small = rows.join(seen.where((F.col("n") <= ROWS) & (F.col("n") >= min_spikes)), "pair")
+    # Fits cost far more than their few rows show: as many tasks as there are partitions.
+    small = small.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("latency", "amp", "event"))).alias("rows"), F.first("late").alias("late"), F.first("high").alias("high"))
+    small = small.select("pair", "late", "high", *(F.col("rows")[c].alias(c) for c in ("latency", "amp", "event")))
     out = small.mapInPandas(_inside(most, full, gates, stop), f"pair {kinds['pair']}, component int, event {kinds['event']}, latency double, amp double")
     # At most one pair in ROWS rows.
     large = {r.pair: (r.n, r.late, r.high) for r in seen.where(F.col("n") > ROWS).collect()}

@@ -71,3 +71,13 @@ def test_values_are_counted_before_they_are_fitted(spark):
         x = np.array([v for p, v in rows if p == pair])
         part = M.best_mixture(x, 1, 4, negative=True)
         assert sorted(out[pair]) == [(k, (part == k).sum(), x[part == k].mean()) for k in np.unique(part)]
+
+
+def test_pairs_are_fitted_together(monkeypatch):
+    r = np.random.default_rng(9)
+    points = [np.concatenate([r.normal(m, 1, (int(r.integers(20, 60)), 2)) for m in r.uniform(-8, 8, 2)]) for _ in range(40)]
+    starts = [N.Normals(np.full(2, 0.5), x[[0, -1]], np.repeat(np.eye(2)[None], 2, 0)) for x in points]
+    for x, start, m in zip(points, starts, N.fitted_together(points, starts)):
+        want, _ = N.fitted(x, np.ones(len(x)), start)
+        assert all(np.allclose(a, b) for a, b in zip(m, want))
+        assert (N.log_shares(x, m).argmax(1) == N.log_shares(x, want).argmax(1)).all()
